@@ -1,0 +1,6 @@
+"""All registered queries of the library and the SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
