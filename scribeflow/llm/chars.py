@@ -14,6 +14,7 @@ from functools import cache
 import numpy as np
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_U64 = np.uint64
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -42,13 +43,13 @@ def _symbols() -> np.ndarray:
     return mix(np.arange(1, 1 << 16, dtype=np.uint64) * GOLD)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash for each non-overlapping span [start, start + length) of values; spans cover ascending places.
+def prefix_hashes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, caps: tuple[int | None, ...]) -> list[np.ndarray]:
+    """For each cap, a hash of each non-overlapping span [start, start + length) of values, cut to cap (None: whole).
 
-    values: uint8 bytes or uint32 code points. Position inside the span counts, so order matters.
+    values: uint8 bytes or uint32 code points; spans ascend. Position inside the span counts, so order matters.
     """
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64)] * len(caps)
     first = np.zeros(len(values), np.int64)
     first[starts] = starts
     np.maximum.accumulate(first, out=first)
@@ -58,9 +59,16 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     else:
         v = mix((values.astype(np.uint64) + np.uint64(1)) * GOLD)
     v = v * _pow(int(inside.max()) + 1)[inside]
-    ends = starts + lengths
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])
-    return mix(total[ends] - total[starts] + lengths.astype(np.uint64) * GOLD)
+    out = []
+    for cap in caps:
+        n = lengths if cap is None else np.minimum(lengths, cap)
+        out.append(mix(total[starts + n] - total[starts] + n.astype(np.uint64) * GOLD))
+    return out
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return prefix_hashes(values, starts, lengths, (None,))[0]
 
 
 def blocks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
@@ -77,26 +85,34 @@ def blocks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
 
 
 @cache
-def _lower() -> np.ndarray:
+def _lower(punctuation: bool) -> np.ndarray:
+    """Each byte's lower case, or a blank for white space (and for ASCII punctuation, if it parts words)."""
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
+    t[9:14] = 32
+    if punctuation:
+        for a, b in ((0x21, 0x30), (0x3A, 0x41), (0x5B, 0x61), (0x7B, 0x7F)):
+            t[a:b] = 32
     return t
 
 
-def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, A-Z lower-cased, and each text's first word (n + 1 offsets).
+def word_spans(texts: list, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts, start and length of each word, and each text's first word (n + 1 offsets).
 
-    None counts as a text without words.
+    Words are [^\\x20\\x09-\\x0D]+; with punctuation, ASCII punctuation parts them too. None has no words.
     """
     raw = [x.encode("utf-8", "surrogatepass") if x else b"" for x in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    low = _lower()[data]
-    space = (low == 32) | ((low >= 9) & (low <= 13))
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
+    low = _lower(punctuation)[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
+    edge = np.flatnonzero(np.diff((low == 32).view(np.int8), prepend=1))
     starts, ends = edge[::2], edge[1::2]
-    ends = ends[: len(starts)]
     at = np.cumsum([0] + [len(x) + 1 for x in raw])
-    return span_hashes(low, starts, ends - starts), np.searchsorted(starts, at)
+    return low, starts, ends[: len(starts)] - starts, np.searchsorted(starts, at)
+
+
+def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z lower-cased, and each text's first word (n + 1 offsets)."""
+    low, starts, lengths, at = word_spans(texts)
+    return span_hashes(low, starts, lengths), at
 
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
