@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeflow.llm import bpe, hilbert, langid, neardup, tokencount, toxicity
+from scribeflow.llm import ann, bpe, hilbert, langid, neardup, tokencount, toxicity
 from scribeflow.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_nearest_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 @query
 def op6_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))

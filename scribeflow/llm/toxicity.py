@@ -54,7 +54,7 @@ def hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(owners)
 
 
-def train(examples: list[tuple[np.ndarray, int]], rate: float = 0.2, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def train(examples: list[tuple[np.ndarray, int]], rate: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (distinct places, label) in the given order: places and weights that remain, and the intercept."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     share = min(0.99, max(0.01, np.mean([y for _, y in examples]))) if examples else 0.5
