@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeflow.llm import ann, bpe, hilbert, langid, neardup, tokencount, toxicity
+from scribeflow.llm import ann, bpe, decontaminate, hilbert, langid, neardup, tokencount, toxicity
 from scribeflow.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op7_hilbert_sharding(spark, sf_dir):
     return hilbert.shard(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_benchmark_passages(spark, sf_dir):
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_byte_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), ids=False)
