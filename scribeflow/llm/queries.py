@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeflow.llm import ann, bpe, decontaminate, hilbert, langid, neardup, tokencount, toxicity
+from scribeflow.llm import ann, bpe, decontaminate, hilbert, langid, neardup, tokencount, toxicity, warc
 from scribeflow.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,24 @@ def op2_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=(85, 100))
 
 
+@query
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+SQL["op3_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT h, max(page_id) AS response FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('{_BASE32}',
+    1 + (CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) % 32, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
+FROM p JOIN r USING (h)
+"""
+
+
 @query
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
