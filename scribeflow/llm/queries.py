@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeflow.llm import ann, bpe, decontaminate, hilbert, langid, neardup, tokencount, toxicity, warc
+from scribeflow.llm import ann, bpe, decontaminate, hilbert, langid, neardup, pii, tokencount, toxicity, warc
 from scribeflow.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,12 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), ids=False)
 
 
+@query
+def op10_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.fit(docs))
+
+
 def all_queries():
     import corpus_pipeline
 
