@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
@@ -17,3 +19,29 @@ def schema(spark: SparkSession | None, ddl: str) -> tuple[StructType, pa.Schema]
 
 def batch(kind: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
+
+def filtered(docs: DataFrame, text: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text keep (many texts -> flags) lets pass."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def replaced(docs: DataFrame, text: str, change: Callable[[list], list]) -> DataFrame:
+    """docs with each text changed; the other columns as they are."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                yield part.set_column(at, part.schema.field(at), pa.array(change(part.column(at).to_pylist()), part.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

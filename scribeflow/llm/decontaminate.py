@@ -226,18 +226,24 @@ def _index(ids: tuple[int, ...], texts: tuple[str, ...]) -> Index:
     return Index(list(ids), list(texts))
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """doc_id, item_id, start_word, n_words, edits: each passage of the benchmark that a document holds."""
-    spark = docs.sparkSession
-    kind, out = arrow.schema(None, "doc_id long, item_id long, start_word long, n_words long, edits long")
+def _shared_blocks(spark, benchmark: DataFrame, item: str) -> list:
+    """Broadcasts of (ids, texts) of the passages, each of at most about BLOCK_WORDS words."""
     items = benchmark.where(F.col(item).isNotNull() & F.col("text").isNotNull()).select(F.col(item).cast("long").alias("item"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_WORDS))
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(text).cast("string"))
-    result = None
+    out = []
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item", "text").toArrow()
-        shared = spark.sparkContext.broadcast((tuple(part.column(0).to_pylist()), tuple(part.column(1).to_pylist())))
+        out.append(spark.sparkContext.broadcast((tuple(part.column(0).to_pylist()), tuple(part.column(1).to_pylist()))))
+    return out
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+    """doc_id, item_id, start_word, n_words, edits: each passage of the benchmark that a document holds."""
+    kind, out = arrow.schema(None, "doc_id long, item_id long, start_word long, n_words long, edits long")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(text).cast("string"))
+    result = None
+    for shared in _shared_blocks(docs.sparkSession, benchmark, item):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = _index(*shared.value)
@@ -251,3 +257,18 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         result = found if result is None else result.unionByName(found)
     first = F.min(F.struct("edits", "start_word", "n_words")).alias("m")
     return result.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "m.start_word", "m.n_words", "m.edits")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+    """docs without the rows that hold a passage of the benchmark."""
+    for shared in _shared_blocks(docs.sparkSession, benchmark, item):
+
+        def keep(texts: list, shared=shared) -> list[bool]:
+            own, out = _index(*shared.value), []
+            for i, j in chars.blocks(texts, _CHARS):
+                hit = {t for t, *_ in own.matches(texts[i:j])}
+                out += [t not in hit for t in range(j - i)]
+            return out
+
+        docs = arrow.filtered(docs, text, keep)
+    return docs

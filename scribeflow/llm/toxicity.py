@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
-    """docs with the columns toxic_score and toxic_predicted."""
+    """doc_id, score, predicted of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind, out = arrow.schema(None, "doc_id long, score double, predicted int")
 
@@ -160,3 +160,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
                 yield arrow.batch(out, b.column(0)[i:j], got, (got >= THRESHOLD).astype(np.int32))
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, kind)
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
+    """docs without the rows whose text scores THRESHOLD or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list) -> list[bool]:
+        places, weights, bias = shared.value
+        dense = np.zeros(1 << BITS)
+        dense[places] = weights
+        return [bool(s < THRESHOLD) for i, j in chars.blocks(texts, _CHARS) for s in scores(texts[i:j], dense, bias)]
+
+    return arrow.filtered(docs, text, keep)
