@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scribeflow.runtime import table
 
-EPISODES = T.StructType.fromDDL("id string not null, title string not null, audio_file string, duration_ms long, published_at date, summary string, guests_reviewed int, guest_start_ms long")
-SEGMENTS = T.StructType.fromDDL("episode_id string not null, seq long not null, start_ms long not null, end_ms long not null, text string not null")
-EPISODE_GUESTS = T.StructType.fromDDL("episode_id string not null, guest_name string not null")
-PLACES = T.StructType.fromDDL("id long not null, name string not null, lat double not null, lng double not null")
-PLACE_MENTIONS = T.StructType.fromDDL("place_id long not null, episode_id string not null")
-TRANSCRIPT = T.StructType.fromDDL("episode_id string, title string, segments array<struct<start_ms: long, end_ms: long, text: string>>")
-VECTOR = T.StructType.fromDDL("id string not null, values array<float> not null, metadata struct<episode_id: string, title: string, start_ms: long, end_ms: long, text: string>")
-CANDIDATE = T.StructType.fromDDL("ord long, name string, normalized_name string, address string, lat double, lng double, source string, sources array<string>, category string, categories array<string>, meta map<string, string>")
+#: Schemas, in DDL.
+EPISODES = "id string not null, title string not null, audio_file string, duration_ms long, published_at date, summary string, guests_reviewed int, guest_start_ms long"
+SEGMENTS = "episode_id string not null, seq long not null, start_ms long not null, end_ms long not null, text string not null"
+EPISODE_GUESTS = "episode_id string not null, guest_name string not null"
+PLACES = "id long not null, name string not null, lat double not null, lng double not null"
+PLACE_MENTIONS = "place_id long not null, episode_id string not null"
+TRANSCRIPT = "episode_id string, title string, segments array<struct<start_ms: long, end_ms: long, text: string>>"
+VECTOR = "id string not null, values array<float> not null, metadata struct<episode_id: string, title: string, start_ms: long, end_ms: long, text: string>"
+CANDIDATE = "ord long, name string, normalized_name string, address string, lat double, lng double, source string, sources array<string>, category string, categories array<string>, meta map<string, string>"
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ from scribeflow.functions import names as N
 def dated_files(files: DataFrame, show: str, skip: tuple[str, ...] = ()) -> DataFrame:
     """Files (filename, size) that are .mp3 and not in skip, with recording id and date (null: unparseable)."""
     rows = files.where(F.lower("filename").endswith(".mp3") & (~F.col("filename").isin(*skip) if skip else F.lit(True)))
-    rows = rows.withColumn("recording_id", N.recording_id(F.col("filename"), show, "scripts"))
+    # a generator of one row: the long expression is evaluated once, and filters on its result aren't moved before it
+    rows = rows.select("*", F.explode(F.array(N.recording_id(F.col("filename"), show, "scripts"))).alias("recording_id"))
     return rows.withColumn("date", X.id_date(F.col("recording_id")))
 
 

@@ -7,14 +7,19 @@ cleaning pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribeflow.functions import text as T
 
-EPISODE = W.partitionBy("episode_id")
-IN_ORDER = EPISODE.orderBy("seq")
+
+def _episode() -> WindowSpec:
+    return W.partitionBy("episode_id")
+
+
+def _in_order() -> WindowSpec:
+    return W.partitionBy("episode_id").orderBy("seq")
 
 
 def phrase_key(text: Column) -> Column:
@@ -25,7 +30,7 @@ def _frequent_short(least: int, share: float) -> Column:
     """Phrases of at most three words that come more often than max(least, share of the episode's segments)."""
     short = T.word_count(F.col("text")) <= 3
     times = F.count_if(short).over(W.partitionBy("episode_id", phrase_key(F.col("text"))))
-    limit = F.greatest(F.lit(least), F.floor(F.count("*").over(EPISODE) * share))
+    limit = F.greatest(F.lit(least), F.floor(F.count("*").over(_episode()) * share))
     return short & (times > limit)
 
 
@@ -37,10 +42,10 @@ def clean_segments(segments: DataFrame, variant: str = "pipeline", corrections:
     """
     if variant == "pipeline":
         kept = segments.withColumn("_noise", _frequent_short(least, share)).where("start_ms <> end_ms AND NOT _noise").where(~T.has_internal_loop(F.col("text")))
-        kept = kept.withColumn("_last", F.lag("text").over(IN_ORDER)).where("_last IS NULL OR _last <> text")
+        kept = kept.withColumn("_last", F.lag("text").over(_in_order())).where("_last IS NULL OR _last <> text")
         return kept.withColumn("text", T.fix_host(F.col("text"))).select(segments.columns)
     kept = segments.withColumn("text", T.correct_words(F.col("text"), corrections or {})).where("start_ms <> end_ms").where(~T.has_internal_loop(F.col("text")))
-    kept = kept.withColumn("_last", F.lag("text").over(IN_ORDER)).where("_last IS NULL OR _last <> text")
+    kept = kept.withColumn("_last", F.lag("text").over(_in_order())).where("_last IS NULL OR _last <> text")
     return kept.withColumn("_noise", _frequent_short(least, share)).where("NOT _noise").select(segments.columns)
 
 
@@ -81,10 +86,10 @@ def guest_start(segments: DataFrame, guests: DataFrame, late_ms: int = 3_000_000
     the fallback.
     """
     names = guests.groupBy("episode_id").agg(F.collect_set(F.lower("guest_name")).alias("_names"))
-    late = segments.where(F.col("start_ms") >= late_ms).withColumn("_before", F.lag("end_ms").over(IN_ORDER))
+    late = segments.where(F.col("start_ms") >= late_ms).withColumn("_before", F.lag("end_ms").over(_in_order()))
     song = F.when(F.col("end_ms") - F.col("start_ms") >= song_ms, F.col("end_ms"))
     gap = F.when(F.col("start_ms") - F.col("_before") >= gap_ms, F.col("_before"))
-    late = late.join(names, "episode_id").withColumn("_break", F.max(F.greatest(song, gap)).over(EPISODE))
+    late = late.join(names, "episode_id").withColumn("_break", F.max(F.greatest(song, gap)).over(_episode()))
     named = F.exists("_names", lambda n: F.lower("text").contains(n))
     after = F.col("start_ms") >= F.col("_break")
     first = lambda cond: F.min_by("start_ms", F.when(cond, F.col("seq")))

@@ -81,7 +81,7 @@ def sf18_verdicts(spark, d):
 
 
 @query("""SELECT p_partkey, round(6 + 22 * sqrt(p_size / 50), 6) AS radius, round(ln(p_size) / ln(50), 6) AS t, CAST(floor(((p_partkey * 7) % 360) / 45.0 + 0.5) AS INT) % 8 AS point,
-round(cos(radians(p_size)) * sin(radians((p_partkey * 7) % 360)), 6) AS x, round(sin(radians(p_size)), 6) AS y, round(cos(radians(p_size)) * cos(radians((p_partkey * 7) % 360)), 6) AS z FROM part""")
+round(cos(radians(p_size)) * sin(radians((p_partkey * 7) % 360)), 6) + 0.0 AS x, round(sin(radians(p_size)), 6) AS y, round(cos(radians(p_size)) * cos(radians((p_partkey * 7) % 360)), 6) + 0.0 AS z FROM part""")
 def sf38_sky(spark, d):
     """SF37-SF39: sizes and directions of stars."""
     az = (F.col("p_partkey") * 7 % 360).cast("double")
@@ -89,7 +89,7 @@ def sf38_sky(spark, d):
     v = X.sky_xyz(az, F.col("p_size"))
     return table(spark, d, "part").select(
         "p_partkey", F.round(X.circle_radius(F.col("p_size"), F.lit(50)), 6).alias("radius"), F.round(X.star_scale(F.col("p_size"), F.lit(50)), 6).alias("t"),
-        (F.array_position(names, X.compass_point(az)) - 1).cast("int").alias("point"), *[F.round(v[c], 6).alias(c) for c in "xyz"],
+        (F.array_position(names, X.compass_point(az)) - 1).cast("int").alias("point"), *[(F.round(v[c], 6) + 0.0).alias(c) for c in "xyz"],
     )
 
 
@@ -107,7 +107,7 @@ def sf21_id_dates(spark, d):
     return o.select("o_orderkey", X.id_date(rid).cast("string").alias("date"), T.percent_encoded(F.concat(F.lit("a "), "o_orderkey", F.lit("&b"))).alias("encoded"))
 
 
-@query(r"SELECT c_custkey, regexp_replace(c_name || ' & ""co"" (x)', '[''""*(){}\[\]:^~!@#$%&]', '', 'g') AS phrase, trim(regexp_replace('The ' || c_name, '(?i)^(the|a|an)\s+', '')) AS bare FROM customer".replace('""', '"'))
+@query(r"""SELECT c_custkey, regexp_replace(c_name || ' & "co" (x)', '[''"*(){}\[\]:^~!@#$%&]', '', 'g') AS phrase, trim(regexp_replace('The ' || c_name, '(?i)^(the|a|an)\s+', '')) AS bare FROM customer""")
 def sf07_phrase_names(spark, d):
     """SF07, SF08: names as phrases, and without articles."""
     return table(spark, d, "customer").select("c_custkey", T.phrase_query(F.concat("c_name", F.lit(' & "co" (x)'))).alias("phrase"), N.strip_articles(F.concat(F.lit("The "), "c_name")).alias("bare"))

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scribeflow.model import TRANSCRIPT
 
 
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """episode_id, title, segments of each file; corrupt files are left out, missing segments are none, and a missing id is the file's stem."""
-    kind = T.StructType([*TRANSCRIPT.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(kind).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(folder)
+    rows = spark.read.schema(TRANSCRIPT + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(folder)
     rows = rows.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("_stem")).where("_corrupt IS NULL")
-    none = F.array().cast(TRANSCRIPT["segments"].dataType)
+    none = F.array().cast(rows.schema["segments"].dataType)
     return rows.select(F.coalesce("episode_id", "_stem").alias("episode_id"), F.coalesce("title", "episode_id", "_stem").alias("title"), F.coalesce("segments", none).alias("segments"))
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 class Gate:
@@ -64,7 +64,7 @@ class RateLimiter(StatefulProcessor):
         self.limit, self.window_s = limit, window_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", StructType.fromDDL("at long"))
+        self.times = handle.getListState("times", StructType([StructField("at", LongType())]))
 
     def handleInputRows(self, key, rows, timer_values):
         import pandas as pd
