@@ -39,10 +39,10 @@ from scribeflow.runtime import written
 #: Minwise tokens in a sketch; a path's used tokens fit a 64-bit mask.
 TOKENS = 64
 #: Independent trees, each with two root branches.
-TREES = 5
+TREES = 3
 #: A node of at most this many documents is compared exhaustively.
-LEAF = 512
-BLOCK = 256
+LEAF = 2048
+BLOCK = 1024
 DEPTH = 8
 _CHARS = 3_000_000
 _U = np.uint64
@@ -82,8 +82,8 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """doc_id, key (digest of the set; null if empty), n (its size), sketch."""
-    kind, out = arrow.schema(None, "doc_id long, key binary, n long, sketch binary")
+    """doc_id, key (digest of the set; null if empty), n (its size), sketch, mini (the sketch's low bytes)."""
+    kind, out = arrow.schema(None, "doc_id long, key binary, n long, sketch binary, mini binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,7 +91,8 @@ def features(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
             for i, j in chars.blocks(texts, _CHARS):
                 sets = shingle_sets(texts[i:j], k)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield arrow.batch(out, b.column(0)[i:j], keys, [len(s) for s in sets], [minwise(s).tobytes() if len(s) else None for s in sets])
+                sketch = [minwise(s) if len(s) else None for s in sets]
+                yield arrow.batch(out, b.column(0)[i:j], keys, [len(s) for s in sets], [x.tobytes() if x is not None else None for x in sketch], [x.astype(np.uint8).tobytes() if x is not None else None for x in sketch])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, kind)
 
@@ -155,7 +156,7 @@ def _linked(links: np.ndarray) -> np.ndarray:
 
 
 def _similar_groups(similarity: float, slack: float) -> Callable:
-    least = int(np.ceil((similarity - slack) * TOKENS))
+    least = int(np.ceil((similarity - slack) * TOKENS))  # low bytes agree by chance too, which only adds pairs to verify
 
     def run(rows: pa.RecordBatch):
         if rows.num_rows < 2:
@@ -165,8 +166,8 @@ def _similar_groups(similarity: float, slack: float) -> Callable:
         if len(docs) < 2:
             return None
         n = rows.column(2).to_numpy()[first].astype(float)
-        sketch = np.frombuffer(b"".join(rows.column(3).take(pa.array(first)).to_pylist()), np.uint32).reshape(-1, TOKENS)
-        same = np.zeros((len(docs), len(docs)), np.int16)
+        sketch = np.frombuffer(b"".join(rows.column(3).take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, TOKENS)
+        same = np.zeros((len(docs), len(docs)), np.uint8)
         for i in range(TOKENS):
             same += sketch[:, i, None] == sketch[None, :, i]
         small, large = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
@@ -184,24 +185,35 @@ def _similar_groups(similarity: float, slack: float) -> Callable:
 
 
 def exact_links(sets: list[np.ndarray], parts: tuple[int, int]) -> np.ndarray:
-    """Which pairs have parts[1] * intersection >= parts[0] * union."""
+    """Which pairs have parts[1] * intersection >= parts[0] * union. sets: sorted distinct hashes."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    place = np.cumsum(shared) - 1
-    row = np.repeat(np.arange(m), sizes)
-    use = shared[column]
-    row, col = row[use], place[column[use]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    both = np.zeros((m, m), np.int64)
-    for a in range(0, int(shared.sum()), 4096):
-        i, j = np.searchsorted(col, [a, a + 4096])
-        x = np.zeros((m, 4096), np.float32)
-        x[row[i:j], col[i:j] - a] = 1
-        both += (x @ x.T).astype(np.int64)
-    return parts[1] * both >= parts[0] * (sizes[:, None] + sizes[None] - both)
+    both = np.zeros((m, m), np.float32)  # counts below 2**24 are exact
+    # strips of the hash range, so that very many or very long sets take bounded memory
+    strips = max(1, int(sizes.sum()) >> 21)
+    edges = np.array([(1 << 64) * k // strips for k in range(1, strips)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets]
+    for k in range(strips):
+        held = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        _, column, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        shared = count > 1
+        place = np.cumsum(shared) - 1
+        row = np.repeat(np.arange(m), [len(s) for s in held])
+        use = shared[column]
+        row, col = row[use], place[column[use]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        total = int(shared.sum())
+        for a in range(0, total, 2048):
+            i, j = np.searchsorted(col, [a, a + 2048])
+            x = np.zeros((m, min(2048, total - a)), np.float32)
+            x[row[i:j], col[i:j] - a] = 1
+            both += x @ x.T
+    out = np.empty((m, m), bool)
+    for i in range(m):
+        inter = both[i].astype(np.int64)
+        out[i] = parts[1] * inter >= parts[0] * (sizes[i] + sizes - inter)
+    return out
 
 
 def _exact_stars(parts: tuple[int, int]) -> Callable:
@@ -225,17 +237,17 @@ def _root_paths(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs = b.column(0).to_numpy()
-            sketch = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
+            sketch = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
             for c in range(2 * TREES):
                 with np.errstate(over="ignore"):
                     node = chars.mix(sketch[:, c].astype(np.uint64) + _U(c + 1) * chars.GOLD)
                 yield arrow.batch(out, node.view(np.int64), np.full(len(docs), 1 << c), docs)
 
-    return reps.select("doc", "n", "sketch").mapInArrow(run, kind)
+    return reps.select("doc", "sketch").mapInArrow(run, kind)
 
 
 def _branches(rows: DataFrame, similarity: float) -> DataFrame:
-    kind, out = arrow.schema(None, "node long, used long, doc long, n long, sketch binary")
+    kind, out = arrow.schema(None, "node long, used long, doc long")
     second = _U(int((1 / similarity - 1) * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +256,7 @@ def _branches(rows: DataFrame, similarity: float) -> DataFrame:
                 continue
             node = b.column(0).to_numpy().view(np.uint64)
             used = b.column(1).to_numpy().view(np.uint64)
-            sketch = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32).reshape(-1, TOKENS)
+            sketch = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, TOKENS)
             with np.errstate(over="ignore"):
                 order = chars.mix(node[:, None] + np.arange(7, 7 + TOKENS, dtype=np.uint64)[None] * chars.GOLD)
                 order[(used[:, None] >> np.arange(TOKENS, dtype=np.uint64)[None]) & _U(1) == 1] = ~_U(0)
@@ -255,37 +267,33 @@ def _branches(rows: DataFrame, similarity: float) -> DataFrame:
                     rows = np.arange(len(node)) if turn == 0 else np.flatnonzero(more)
                     c = best[rows, turn]
                     child = chars.mix(node[rows] * chars.M1 + chars.mix(sketch[rows, c].astype(np.uint64) + c.astype(np.uint64) * chars.GOLD))
-                    at = pa.array(rows)
-                    yield arrow.batch(out, child.view(np.int64), (used[rows] | (_U(1) << c.astype(np.uint64))).view(np.int64), b.column(2).take(at), b.column(3).take(at), b.column(4).take(at))
+                    yield arrow.batch(out, child.view(np.int64), (used[rows] | (_U(1) << c.astype(np.uint64))).view(np.int64), b.column(2).take(pa.array(rows)))
 
-    return rows.select("node", "used", "doc", "n", "sketch").mapInArrow(run, kind)
+    return rows.select("node", "used", "doc", "sketch").mapInArrow(run, kind)
 
 
 def _near_pivot(rows: DataFrame, least: float = 0.95) -> DataFrame:
     """rows with near: whether the sketch agrees with the pivot's almost everywhere."""
-    ddl = "node long, used long, doc long, n long, sketch binary, pivot long, size long"
-    kind, out = arrow.schema(None, ddl + ", near boolean")
+    kind, out = arrow.schema(None, "node long, used long, doc long, n long, mini binary, pivot long, size long, near boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, TOKENS) for c in (4, 7))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in (4, 7))
             yield arrow.batch(out, *b.columns[:7], (x == y).mean(axis=1) >= least)
 
-    pivots = rows.where("doc = pivot").select("node", F.col("sketch").alias("other")).dropDuplicates(["node"])
-    return rows.select("node", "used", "doc", "n", "sketch", "pivot", "size").join(pivots, "node").mapInArrow(run, kind)
+    pivots = rows.where("doc = pivot").select("node", F.col("mini").alias("other")).dropDuplicates(["node"])
+    return rows.select("node", "used", "doc", "n", "mini", "pivot", "size").join(pivots, "node").mapInArrow(run, kind)
 
 
 def _compared(reps: DataFrame, similarity: float) -> list[DataFrame]:
-    """Tables (grp, doc, n, sketch) of bounded groups whose members are to be compared."""
+    """Tables (grp, doc, n, mini) of bounded groups whose members are to be compared."""
     groups = []
     rows = _root_paths(reps)
     for level in range(DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where("size > 1")
-        live = rows.join(sizes, "node")
-        if level == 0:
-            live = live.join(reps.select("doc", "n", "sketch"), "doc")
-        live = written(live.select("node", "used", "doc", "n", "sketch", "pivot", "size"), "paths")
-        groups.append(live.where(F.col("size") <= LEAF).select(F.col("node").alias("grp"), "doc", "n", "sketch"))
+        live = rows.join(sizes, "node").join(reps.select("doc", "n", "mini"), "doc")
+        live = written(live.select("node", "used", "doc", "n", "mini", "pivot", "size"), "paths")
+        groups.append(live.where(F.col("size") <= LEAF).select(F.col("node").alias("grp"), "doc", "n", "mini"))
         large = live.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
@@ -302,20 +310,34 @@ def _compared(reps: DataFrame, similarity: float) -> list[DataFrame]:
         ended = F.when(F.col("ends"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1), lambda j: name(block, j))).otherwise(F.array(name(block, F.lit(-1))))
         rest = F.when(F.col("ends") & ~F.col("near"), F.transform(all_blocks, lambda i: name(i, far_block))).otherwise(none)
         shared = F.when(F.col("doc") == F.col("pivot"), F.transform(all_blocks, lambda i: name(i, F.when(F.col("ends"), 0).otherwise(-1)))).otherwise(none)
-        groups.append(large.select(F.explode(F.array_distinct(F.concat(ended, rest, shared))).alias("grp"), "doc", "n", "sketch"))
+        groups.append(large.select(F.explode(F.array_distinct(F.concat(ended, rest, shared))).alias("grp"), "doc", "n", "mini"))
         if level < DEPTH:
-            rows = _branches(large.where(~F.col("ends")), similarity)
+            rows = written(_branches(large.where(~F.col("ends")).select("node", "used", "doc").join(reps.select("doc", "sketch"), "doc"), similarity), "branches")
     return groups
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """rows (doc, ...) that may be among the wanted (doc), so that few texts go into the shuffle that decides it.
+
+    A bitmap of hashed ids, of at most bits bits (2 MB) whatever the input, is broadcast; once very many
+    documents are wanted it lets more rows pass, never fewer.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(bits)) + 1
+    bitmap = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
+    bit = F.bitmap_bit_position(place)
+    marked = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "_bit": bit}).join(F.broadcast(bitmap), "bucket")
+    hit = F.expr("shiftright(cast(conv(hex(substring(map, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1") == 1
+    return marked.where(hit).select(rows.columns)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), text: str = "text", slack: float = 0.18) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; similarity is a fraction (parts, of)."""
     level = similarity[0] / similarity[1]
     found = written(features(docs, k, text), "sets")
-    reps = found.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = found.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
     reps = written(reps, "classes")
     groups = None
-    for g in _compared(reps.select("doc", "n", "sketch"), level):
+    for g in _compared(reps.select("doc", "n", "sketch", "mini"), level):
         groups = g if groups is None else groups.unionByName(g)
     alike = written(_grouped(groups, "grp", _similar_groups(level, slack), "grp long, doc long").distinct(), "alike")
     kind, out = arrow.schema(None, "doc long, shingles binary")
@@ -326,7 +348,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
             for i, j in chars.blocks(texts, _CHARS):
                 yield arrow.batch(out, b.column(0)[i:j], [s.tobytes() for s in shingle_sets(texts[i:j], k)])
 
-    active = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text")).join(alike.select("doc").distinct(), "doc", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    # an inner join: a semi join would be moved below the filter
+    active = _likely(texts, alike.select("doc")).join(alike.select("doc").distinct(), "doc")
     full = alike.join(active.mapInArrow(sets, kind), "doc").select("grp", "doc", "shingles")
     edges = _grouped(full, "grp", _exact_stars(similarity), "u long, v long")
     roots = components(edges)
