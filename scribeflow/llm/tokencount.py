@@ -108,13 +108,29 @@ def pieces(vocab: DataFrame, path: str) -> DataFrame:
     return vocab.mapInArrow(run, kind)
 
 
+def _frequent(counted: DataFrame, top: int) -> DataFrame:
+    """key, pieces of the pre-tokens that occur most often: all above a frequency, and at most top of them.
+
+    The frequency comes from a histogram with eight steps to a doubling, a few hundred rows at any size, so
+    that no task has to sort what all others found.
+    """
+    step = F.floor(F.log2("n") * 8)
+    total, least = 0, None
+    for s, n in sorted(map(tuple, counted.groupBy(step.alias("s")).count().collect()), reverse=True):
+        total += n
+        if total > top:
+            break
+        least = s
+    return counted.where(F.lit(False) if least is None else step >= least).select("key", "pieces")
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, over: int = 512, text: str = "text", top: int = TOP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs."""
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     special = specials(path)
     counted = written(pieces(vocabulary(docs, special, text), path), "pieces")
-    frequent = counted.select("key", "pieces", "n").orderBy(F.desc("n"), "key").limit(top).select("key", "pieces").toArrow()
+    frequent = _frequent(counted, top).toArrow()
     keys, sizes = frequent.column(0).to_numpy(), frequent.column(1).to_numpy()
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((keys[order], sizes[order].astype(np.int64)))
