@@ -82,9 +82,14 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, *_accents())
 
 
+def padded_tokens(c: Column) -> Column:
+    """Lower-cased, accent-folded runs of letters and digits in order, each between blanks."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(strip_accents(c)), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
 def search_tokens(c: Column) -> Column:
-    """Lower-cased, accent-folded runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(strip_accents(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """The same as an array."""
+    return F.filter(F.split(padded_tokens(c), " "), lambda t: t != "")
 
 
 def tokens_of(phrase: str) -> list[str]:

@@ -109,7 +109,7 @@ def phrase_mentions(names: DataFrame, texts: DataFrame, name: str = "normalized_
     left = names.withColumn("_t", T.search_tokens(T.phrase_query(F.col(name)))).where(F.size("_t") > 0)
     longest = F.array_sort("_t", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     left = left.withColumns({"_w": F.get(longest, F.lit(0)), "_p": F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" "))}).drop("_t")
-    right = texts.withColumn("_t", T.search_tokens(F.col("text"))).withColumns({"_s": F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")), "_w": F.explode(F.array_distinct("_t"))}).drop("_t")
+    right = texts.withColumn("_s", T.padded_tokens(F.col("text"))).withColumn("_w", F.explode(F.array_distinct(F.split("_s", " ")))).where("_w <> ''")
     return left.join(right, "_w").where(F.col("_s").contains(F.col("_p"))).drop("_w", "_s", "_p")
 
 

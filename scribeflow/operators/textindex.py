@@ -25,11 +25,6 @@ def document_lengths(segments: DataFrame) -> DataFrame:
     return segments.select("episode_id", "seq", F.size(T.search_tokens(F.col("text"))).alias("dl"))
 
 
-def _padded(text: Column) -> Column:
-    """The tokens of a text, each between blanks."""
-    return F.concat(F.lit(" "), F.array_join(T.search_tokens(text), " "), F.lit(" "))
-
-
 def _occurrences(padded: Column, phrase: list[str]) -> Column:
     """How often phrase (tokens: letters and digits alone) stands in padded text, overlaps included."""
     return F.regexp_count(padded, F.lit(f"(?= {' '.join(phrase)} )"))
@@ -45,7 +40,7 @@ def match(segments: DataFrame, query: str | list[str]) -> DataFrame:
     phrases = _phrases(query)
     if not phrases:
         return segments.where(F.lit(False))
-    padded = _padded(F.col("text"))
+    padded = T.padded_tokens(F.col("text"))
     return segments.where(reduce(lambda a, p: a & padded.contains(f" {' '.join(p)} "), phrases, F.lit(True)))
 
 
@@ -75,10 +70,12 @@ def bm25(segments: DataFrame, query: str | list[str], k1: float = 1.2, b: float
     phrases = _phrases(query)
     if not phrases:
         return segments.where(F.lit(False)).withColumn("rank", F.lit(0.0))
-    padded = segments.withColumn("_t", _padded(F.col("text")))
-    counted = padded.withColumns({"_dl": F.regexp_count("_t", F.lit(r" (?=\S)"))} | {f"_f{i}": _occurrences(F.col("_t"), p) for i, p in enumerate(phrases)})
+    padded = segments.withColumn("_t", T.padded_tokens(F.col("text")))
+    counts = {"_dl": F.regexp_count("_t", F.lit(r" (?=\S)"))} | {f"_f{i}": _occurrences(F.col("_t"), p) for i, p in enumerate(phrases)}
+    counted = padded.withColumns(counts)
     corpus = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))])
-    hits = counted.where(reduce(lambda a, i: a & (F.col(f"_f{i}") > 0), range(len(phrases)), F.lit(True)))
+    padded = padded.where(reduce(lambda a, p: a & F.col("_t").contains(f" {' '.join(p)} "), phrases, F.lit(True)))
+    hits = padded.withColumns(counts).where(reduce(lambda a, i: a & (F.col(f"_f{i}") > 0), range(len(phrases)), F.lit(True)))
     scored = hits.crossJoin(F.broadcast(corpus))  # one row of corpus statistics
     score = F.lit(0.0)
     for i in range(len(phrases)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribeflow.functions import formats as X
@@ -21,10 +22,12 @@ def search(segments: DataFrame, episodes: DataFrame, query: str, page: int = 1,
 
     has_more is true when the page is full, even if nothing follows.
     """
-    hits = textindex.bm25(segments, query).join(episodes.select(F.col("id").alias("episode_id"), "title", "duration_ms", "summary"), "episode_id")
-    chosen = _page(hits.groupBy("episode_id").agg(F.min("rank").alias("best_rank")).orderBy(F.desc("episode_id")), page, size)
-    full = chosen.agg((F.count("*") == size).alias("has_more"))
-    rows = hits.join(F.broadcast(chosen), "episode_id").crossJoin(F.broadcast(full))  # a page, and one row
+    hits = textindex.bm25(segments, query).select("episode_id", "rank", F.struct("start_ms", "end_ms", "seq", "text").alias("match"))
+    known = episodes.select(F.col("id").alias("episode_id"), "title", "duration_ms", "summary")
+    # one row an episode with its matches, so that the hits are made once and a page is a top-k
+    per = hits.groupBy("episode_id").agg(F.min("rank").alias("best_rank"), F.array_sort(F.collect_list("match")).alias("matches")).join(known, "episode_id")
+    chosen = _page(per.orderBy(F.desc("episode_id")), page, size).withColumn("has_more", F.count("*").over(W.partitionBy()) == size)
+    rows = chosen.select("episode_id", "title", "duration_ms", "summary", "best_rank", "has_more", F.inline("matches"))
     return rows.select("episode_id", "title", "duration_ms", "summary", "seq", "start_ms", "end_ms", "text", "best_rank", "has_more").orderBy(F.desc("episode_id"), "start_ms")
 
 

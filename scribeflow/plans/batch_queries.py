@@ -411,6 +411,20 @@ def sl10_first_pending(spark, d):
     return tables.unprocessed(o, done, "o_orderkey").orderBy("day", "o_orderkey").limit(50).withColumn("day", F.col("day").cast("string"))
 
 
+@query(f"WITH {_FILES} SELECT date IS NOT NULL AS parseable, count(*) AS files FROM dated WHERE kind <> 7 GROUP BY 1")
+def so05_parseable(spark, d):
+    """SO05: files with a date in their name, and without."""
+    return catalog.dated_files(_files(spark, d), SHOW).groupBy(F.col("date").isNotNull().alias("parseable")).agg(F.count("*").alias("files"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'high' WHEN p_size < 20 THEN 'llm_verified' END AS confidence FROM part WHERE p_size < 20")
+def pf23_confident(spark, d):
+    """PF23: matches of high or verified confidence."""
+    size = F.col("p_size")
+    confidence = F.when(size < 10, "high").when(size < 20, "llm_verified").when(size < 30, "medium").otherwise("unverified")
+    return table(spark, d, "part").select("p_partkey", confidence.alias("confidence")).where(F.col("confidence").isin("high", "llm_verified"))
+
+
 # ---- word statistics
 
 _STOP = ", ".join(repr(w) for w in lexicon.STOP_WORDS)
