@@ -216,12 +216,13 @@ def exact_links(sets: list[np.ndarray], parts: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def _exact_stars(parts: tuple[int, int]) -> Callable:
+def _exact_stars(k: int, parts: tuple[int, int]) -> Callable:
     def run(rows: pa.RecordBatch):
         if rows.num_rows < 2:
             return None
         docs = rows.column(1).to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column(2).to_pylist()]
+        texts = rows.column(2).to_pylist()
+        sets = [s for i, j in chars.blocks(texts, _CHARS) for s in shingle_sets(texts[i:j], k)]
         order = np.argsort(docs, kind="stable")
         root = _linked(exact_links([sets[i] for i in order], parts))
         docs = docs[order]
@@ -340,19 +341,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     for g in _compared(reps.select("doc", "n", "sketch", "mini"), level):
         groups = g if groups is None else groups.unionByName(g)
     alike = written(_grouped(groups, "grp", _similar_groups(level, slack), "grp long, doc long").distinct(), "alike")
-    kind, out = arrow.schema(None, "doc long, shingles binary")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in chars.blocks(texts, _CHARS):
-                yield arrow.batch(out, b.column(0)[i:j], [s.tobytes() for s in shingle_sets(texts[i:j], k)])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    # an inner join: a semi join would be moved below the filter
-    active = _likely(texts, alike.select("doc")).join(alike.select("doc").distinct(), "doc")
-    full = alike.join(active.mapInArrow(sets, kind), "doc").select("grp", "doc", "shingles")
-    edges = _grouped(full, "grp", _exact_stars(similarity), "u long, v long")
+    active = _likely(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text")), alike.select("doc"))
+    # texts travel, not sets: they compress, and sets are made where they are compared
+    full = alike.join(active, "doc").select("grp", "doc", "text")
+    edges = _grouped(full, "grp", _exact_stars(k, similarity), "u long, v long")
     roots = components(edges)
     return (
         found.select("doc_id", F.col("n").alias("n_shingles"), "key")
