@@ -79,7 +79,8 @@ def _accents() -> tuple[str, str]:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, *_accents())
+    """Letters without their marks. ASCII texts, which have none, are spared the character-by-character look-up."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, *_accents()))
 
 
 def padded_tokens(c: Column) -> Column:
