@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from scribeflow import model as M
@@ -264,9 +266,22 @@ def ag15_places_by_episode(spark, d):
 # ---- catalogues
 
 
-def _files(spark, d):
-    """Orders as recordings: several spellings, some on one date, some unknown."""
+def _orders(spark, d, below):
     o = table(spark, d, "orders")
+    return o if below is None else o.where(F.col("o_orderkey") < below)
+
+
+def whole(f, bound):
+    """Files f again under its name with _whole, over every row: below is None, and the SQL is f's without the bound."""
+    name = f"{f.__name__}_whole"
+    QUERIES[name] = partial(f, below=None)
+    SQL[name] = SQL[f.__name__].replace(bound, "")
+    return f
+
+
+def _files(spark, d, below):
+    """Orders as recordings: several spellings, some on one date, some unknown."""
+    o = _orders(spark, d, below)
     k, day = F.col("o_orderkey"), F.col("o_orderdate")
     ymd, dash = F.date_format(day, "yyyyMMdd"), F.date_format(day, "yyyy-MM-dd")
     name = (
@@ -280,7 +295,7 @@ def _files(spark, d):
         .otherwise(F.concat(F.lit("notes "), k, F.lit(".txt")))
     )
     # a listing is made once: its names aren't recomputed in every rule that looks at them
-    return cut_lineage(o.where("o_orderkey < 4000").select(name.alias("filename"), (k % 11 * 1_000_000).alias("size"), F.to_date(day).alias("born")).distinct())
+    return cut_lineage(o.select(name.alias("filename"), (k % 11 * 1_000_000).alias("size"), F.to_date(day).alias("born")).distinct())
 
 
 _FILES = """files AS (SELECT DISTINCT CASE o_orderkey % 8 WHEN 0 THEN 'dawn-patrol-hour_' || strftime(o_orderdate, '%Y-%m-%d') || '_07-30-00.mp3' WHEN 1 THEN 'App Recording ' || strftime(o_orderdate, '%Y%m%d') || ' 0815.mp3'
@@ -293,20 +308,29 @@ dated AS (SELECT *, CASE WHEN kind IN (5, 7) THEN NULL WHEN kind = 1 THEN 'dawn-
 
 
 @query(f"WITH {_FILES} SELECT filename, size, pid AS id FROM dated")
-def sf20_parse_id_a(spark, d):
+def sf20_parse_id_a(spark, d, below=4000):
     """SF20 A, PF18: ids of recordings by the pipeline's rules."""
-    return _files(spark, d).select("filename", "size", N.recording_id(F.col("filename"), SHOW).alias("id"))
+    return _files(spark, d, below).select("filename", "size", N.recording_id(F.col("filename"), SHOW).alias("id"))
+
+
+whole(sf20_parse_id_a, " WHERE o_orderkey < 4000")
 
 
 @query(f"WITH {_FILES} SELECT filename, size, sid AS id FROM dated WHERE kind <> 7")
-def sf20_parse_id_b(spark, d):
+def sf20_parse_id_b(spark, d, below=4000):
     """SF20 B: ids by the scripts' rules."""
-    return _files(spark, d).where(F.lower("filename").endswith(".mp3")).select("filename", "size", N.recording_id(F.col("filename"), SHOW, "scripts").alias("id"))
+    return _files(spark, d, below).where(F.lower("filename").endswith(".mp3")).select("filename", "size", N.recording_id(F.col("filename"), SHOW, "scripts").alias("id"))
+
+
+whole(sf20_parse_id_b, " WHERE o_orderkey < 4000")
 
 
 @query(f"WITH {_FILES} SELECT filename, size, CASE WHEN contains(lower(filename), 'final') OR contains(lower(filename), '_full') THEN 100 ELSE 0 END + CASE WHEN contains(lower(filename), 'copy') OR regexp_matches(filename, '\\([0-9]+\\)') THEN -50 ELSE 0 END + CASE WHEN starts_with(lower(filename), 'podcast ') THEN -10 ELSE 0 END + CASE WHEN regexp_matches(filename, '(?i)\\s[0-9]\\.mp3$') THEN -20 ELSE 0 END AS score FROM files")
-def sf15_preference(spark, d):
-    return _files(spark, d).select("filename", "size", N.file_score(F.col("filename")).alias("score"))
+def sf15_preference(spark, d, below=4000):
+    return _files(spark, d, below).select("filename", "size", N.file_score(F.col("filename")).alias("score"))
+
+
+whole(sf15_preference, " WHERE o_orderkey < 4000")
 
 
 _BEST = f"""{_FILES}, v AS (SELECT *, bool_or(size >= 5242880) OVER (PARTITION BY date) AS big, CASE WHEN kind = 2 THEN 100 WHEN kind = 3 THEN -50 WHEN kind = 4 THEN -10 ELSE 0 END AS score FROM dated WHERE date IS NOT NULL),
@@ -314,16 +338,22 @@ best AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY CASE WHEN big T
 
 
 @query(f"WITH {_BEST} SELECT sid AS recording_id, CAST(date AS VARCHAR) AS date, filename, size FROM best WHERE r = 1 AND sid NOT IN (SELECT sid FROM dated WHERE sid IS NOT NULL AND size = 1000000)")
-def cl06_discover(spark, d):
+def cl06_discover(spark, d, below=4000):
     """CL06, SC04, AG14, PF19, WN04, JN07: the best file of each date that isn't done yet."""
-    files = _files(spark, d)
+    files = _files(spark, d, below)
     done = catalog.dated_files(files, SHOW).where("size = 1000000").select("recording_id")
     return catalog.discover(files, done, SHOW).select("recording_id", F.col("date").cast("string").alias("date"), "filename", "size")
 
 
+whole(cl06_discover, " WHERE o_orderkey < 4000")
+
+
 @query(f"WITH {_FILES} SELECT CAST(date AS VARCHAR) AS date, count(*) AS files FROM dated WHERE date IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
-def cl07_duplicate_dates(spark, d):
-    return catalog.duplicate_dates(catalog.dated_files(_files(spark, d), SHOW)).withColumn("date", F.col("date").cast("string"))
+def cl07_duplicate_dates(spark, d, below=4000):
+    return catalog.duplicate_dates(catalog.dated_files(_files(spark, d, below), SHOW)).withColumn("date", F.col("date").cast("string"))
+
+
+whole(cl07_duplicate_dates, " WHERE o_orderkey < 4000")
 
 
 @query(f"WITH {M.EPISODES_SQL} SELECT CAST(published_at AS VARCHAR) AS date FROM ep WHERE dayofweek(published_at) <> 4 GROUP BY 1")
@@ -342,13 +372,16 @@ def jn13_missing_weeks(spark, d):
 @query(f"""WITH {_FILES}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY CASE WHEN kind = 1 THEN '00495' WHEN kind = 0 THEN '00450' ELSE regexp_replace(filename, '(?i)\\.mp3$', '') END, filename) AS i, count(*) OVER (PARTITION BY date) AS n FROM dated WHERE date IS NOT NULL),
 p AS (SELECT filename AS src, 'Dawn Patrol Hour ' || date || CASE WHEN n > 1 THEN ' ' || i ELSE '' END || '.mp3' AS dest FROM k UNION ALL SELECT filename, regexp_replace(filename, '\\.mp3$', '') || ' Dawn Patrol Hour ' || born || '.mp3' FROM dated WHERE kind = 5),
 c AS (SELECT *, count(*) OVER (PARTITION BY dest) AS m FROM p) SELECT src, dest, CASE WHEN m > 1 THEN 'collision' WHEN src = dest THEN 'same' ELSE 'rename' END AS status FROM c""")
-def cl08_rename_plan(spark, d):
+def cl08_rename_plan(spark, d, below=4000):
     """CL08, WN03, SF16, AG23, SL11, SK16: file names by date and time of day."""
-    return catalog.rename_plan(_files(spark, d), SHOW)
+    return catalog.rename_plan(_files(spark, d, below), SHOW)
+
+
+whole(cl08_rename_plan, " WHERE o_orderkey < 4000")
 
 
-def _listings(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 500")
+def _listings(spark, d, below):
+    o = _orders(spark, d, below)
     row = lambda tag: o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.min("o_orderkey").alias("k")).select("date", F.concat(F.lit(tag), "k").alias("recording_id"), F.concat(F.lit(tag + "-file"), "k").alias("file"))
     return row("a").where(F.dayofmonth("date") < 20), row("b").where(F.dayofmonth("date") > 10)
 
@@ -357,13 +390,16 @@ _LISTINGS = """o AS (SELECT CAST(o_orderdate AS DATE) AS date, min(o_orderkey) A
 
 
 @query(f"WITH {_LISTINGS} SELECT CAST(coalesce(b.date, a.date) AS VARCHAR) AS date, CASE WHEN b.k IS NOT NULL THEN 'b' || b.k ELSE 'a' || a.k END AS recording_id, CASE WHEN b.k IS NOT NULL THEN 'b-file' || b.k ELSE 'a-file' || a.k END AS file FROM a FULL JOIN b ON a.date = b.date")
-def jn15_full_prefer_right(spark, d):
+def jn15_full_prefer_right(spark, d, below=500):
     """JN15: two listings by date, the right one wins."""
-    return catalog.merged_listings(*_listings(spark, d)).withColumn("date", F.col("date").cast("string"))
+    return catalog.merged_listings(*_listings(spark, d, below)).withColumn("date", F.col("date").cast("string"))
 
 
-def _manifest(spark, d):
-    ids = table(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("recording_id"))
+whole(jn15_full_prefer_right, " WHERE o_orderkey < 500")
+
+
+def _manifest(spark, d, below):
+    ids = _orders(spark, d, below).select(F.col("o_orderkey").alias("recording_id"))
     k = F.col("recording_id")
     return catalog.manifest(ids, ids.where(k % 2 == 0), ids.where(k % 3 == 0), ids.where(k % 5 == 0), ids.where(k % 7 == 0))
 
@@ -372,24 +408,33 @@ _MANIFEST = "m AS (SELECT o_orderkey AS recording_id, CASE WHEN o_orderkey % 2 =
 
 
 @query(f"WITH {_MANIFEST} SELECT * FROM m")
-def jn16_status_cascade(spark, d):
+def jn16_status_cascade(spark, d, below=2000):
     """JN16, CL09: the status of each recording; the first rule counts."""
-    return _manifest(spark, d)
+    return _manifest(spark, d, below)
+
+
+whole(jn16_status_cascade, " WHERE o_orderkey < 2000")
 
 
 @query(f"WITH {_MANIFEST} SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, round(count(*) FILTER (status = 'completed') * 100 / count(*), 1) AS percent FROM m")
-def ag17_histogram(spark, d):
+def ag17_histogram(spark, d, below=2000):
     """AG17, AG06: a count for each status, zeros kept."""
-    return catalog.status_counts(_manifest(spark, d))
+    return catalog.status_counts(_manifest(spark, d, below))
+
+
+whole(ag17_histogram, " WHERE o_orderkey < 2000")
 
 
 @query(f"WITH {_MANIFEST} SELECT recording_id FROM m WHERE NOT (status = 'failed' OR (status = 'skipped' AND recording_id % 2 = 1))")
-def pf26_pruned_progress(spark, d):
+def pf26_pruned_progress(spark, d, below=2000):
     """PF26: what a retry forgets."""
-    rows = _manifest(spark, d).withColumn("reason", F.when(F.col("recording_id") % 2 == 1, "Hallucination found").otherwise("short"))
+    rows = _manifest(spark, d, below).withColumn("reason", F.when(F.col("recording_id") % 2 == 1, "Hallucination found").otherwise("short"))
     return catalog.pruned_progress(rows, "hallucination").select("recording_id")
 
 
+whole(pf26_pruned_progress, " WHERE o_orderkey < 2000")
+
+
 @query("SELECT DISTINCT o_orderkey AS recording_id FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0")
 def so02_finished_ids(spark, d):
     ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("recording_id"))
@@ -412,9 +457,12 @@ def sl10_first_pending(spark, d):
 
 
 @query(f"WITH {_FILES} SELECT date IS NOT NULL AS parseable, count(*) AS files FROM dated WHERE kind <> 7 GROUP BY 1")
-def so05_parseable(spark, d):
+def so05_parseable(spark, d, below=4000):
     """SO05: files with a date in their name, and without."""
-    return catalog.dated_files(_files(spark, d), SHOW).groupBy(F.col("date").isNotNull().alias("parseable")).agg(F.count("*").alias("files"))
+    return catalog.dated_files(_files(spark, d, below), SHOW).groupBy(F.col("date").isNotNull().alias("parseable")).agg(F.count("*").alias("files"))
+
+
+whole(so05_parseable, " WHERE o_orderkey < 4000")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'high' WHEN p_size < 20 THEN 'llm_verified' END AS confidence FROM part WHERE p_size < 20")

@@ -129,6 +129,13 @@ def sc05_byte_ranges(spark, d):
     return windows.byte_ranges(o)
 
 
+@query("WITH o AS (SELECT p_partkey AS key, (p_partkey % 40 + 1) * 7000000 AS size FROM part), r AS (SELECT key, size, unnest(range(0, size, 20971520)) AS first FROM o) SELECT key, first // 20971520 AS part, first, least(20971520, size - first) AS length FROM r")
+def sc05_byte_ranges_whole(spark, d):
+    """SC05: the ranges of every part as an object of 7 to 280 MB."""
+    key = F.col("p_partkey")
+    return windows.byte_ranges(table(spark, d, "part").select(key.alias("key"), ((key % 40 + 1) * 7_000_000).alias("size")))
+
+
 @query("SELECT 'uploads/' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '.MP3' ELSE '.wav' END AS key, o_orderkey AS size FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0")
 def sc13_upload_events(spark, d):
     """SC13, ST01, PF18: upload events worth a job; those without a key or of other kinds are passed over."""
