@@ -12,7 +12,9 @@ text is parsed whole.
 
 The labelled sample has at most DOCS documents a language (those with the
 smallest hash of their id) and SYMBOLS symbols of them; only these reference
-texts are broadcast, and each worker builds the automata once.
+texts are broadcast, and each worker builds the automata once. Every labelled
+language takes part, with every letter of its reference: transitions by a
+language's most frequent letters are a table, the others a sorted list.
 
 Defined cases: a null text, or one without a letter, gets `und` and score 0;
 ties go to the language that sorts first; without labelled rows every text
@@ -35,9 +37,8 @@ from scribeflow.llm import arrow, chars
 
 DOCS = 60
 SYMBOLS = 30_000
-LANGUAGES = 200
-#: Letters that the automata tell apart; rarer ones match nowhere.
-ALPHABET = 94
+#: Bytes of the transition tables of all languages; transitions that they don't hold are looked up in sorted lists.
+TABLES = 128_000_000
 PIECE = 512
 _CHARS = 2_000_000
 
@@ -52,95 +53,119 @@ def normal(text: str) -> np.ndarray:
     return c[:-1] if len(c) and c[-1] == 32 else c
 
 
-def automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions of the suffix automaton of symbols (1 to alphabet - 1; 0 parts texts): states by symbols, 0 for none.
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of symbols (0 parts texts).
 
     State 0 is the start; no transition leads to it.
     """
-    size = 2 * len(symbols) + 2
-    step = np.zeros((size, alphabet), np.int32)
-    link, length = [-1] + [0] * (size - 1), [0] * size
-    states, last = 1, 0
+    step: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+
+    def state(transitions: dict[int, int], size: int) -> int:
+        step.append(transitions)
+        link.append(0)
+        length.append(size)
+        return len(step) - 1
+
+    def split(p: int, s: int, q: int) -> int:
+        clone = state(dict(step[q]), length[p] + 1)
+        link[clone] = link[q]
+        while p >= 0 and step[p].get(s) == q:
+            step[p][s] = clone
+            p = link[p]
+        link[q] = clone
+        return clone
+
+    last = 0
     for s in symbols:
         if not s:
             last = 0
             continue
-        q = int(step[last, s])
+        q = step[last].get(s)
         if q:  # the start of a later text may be there already
-            if length[q] == length[last] + 1:
-                last = q
-                continue
-            clone = states
-            states += 1
-            step[clone], link[clone], length[clone] = step[q], link[q], length[last] + 1
-            link[q] = clone
-            p = last
-            while p >= 0 and step[p, s] == q:
-                step[p, s] = clone
-                p = link[p]
-            last = clone
+            last = q if length[q] == length[last] + 1 else split(last, s, q)
             continue
-        new = states
-        states += 1
-        length[new] = length[last] + 1
+        new = state({}, length[last] + 1)
         p = last
-        while p >= 0 and not step[p, s]:
-            step[p, s] = new
+        while p >= 0 and s not in step[p]:
+            step[p][s] = new
             p = link[p]
-        if p < 0:
-            link[new] = 0
-        else:
-            q = int(step[p, s])
-            if length[q] == length[p] + 1:
-                link[new] = q
-            else:
-                clone = states
-                states += 1
-                step[clone], link[clone], length[clone] = step[q], link[q], length[p] + 1
-                while p >= 0 and step[p, s] == q:
-                    step[p, s] = clone
-                    p = link[p]
-                link[q] = link[new] = clone
+        if p >= 0:
+            q = step[p][s]
+            link[new] = q if length[q] == length[p] + 1 else split(p, s, q)
         last = new
-    return step[:states].copy()
+    return step
+
+
+class Language:
+    """A language's automaton over all letters of its reference."""
+
+    def __init__(self, texts: list[np.ndarray], size: int, columns: int):
+        """texts: symbols below size; columns: the most frequent symbols whose transitions are a table."""
+        joined = np.concatenate([x for t in texts for x in (t, [0])] or [np.zeros(0)])[: SYMBOLS + 1].astype(np.int64)
+        n = np.bincount(joined, minlength=size)
+        n[0] = 0
+        known = np.flatnonzero(n)
+        self.own = np.zeros(size, np.int64)  # a symbol's number in this language, by frequency; 0: in no text
+        self.own[known[np.lexsort((known, -n[known]))]] = 1 + np.arange(len(known))
+        step = automaton(self.own[joined].tolist())
+        self.all = len(known) + 1
+        self.width = min(self.all, columns + 1)
+        out = [len(t) for t in step]
+        at = np.repeat(np.arange(len(step)), out)
+        s = np.fromiter((k for t in step for k in t), np.int64, len(at))
+        to = np.fromiter((v for t in step for v in t.values()), np.int32, len(at))
+        self.start = np.zeros(self.all, np.int64)
+        self.start[s[: out[0]]] = to[: out[0]]
+        often = s < self.width
+        self.table = np.zeros(len(step) * self.width, np.int32)
+        self.table[at[often] * self.width + s[often]] = to[often]
+        key = (at * self.all + s)[~often]
+        order = np.argsort(key)
+        self.keys, self.targets = key[order], to[~often][order]
+
+    def after(self, at: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The state after the symbol s from each state at; 0 for none."""
+        if self.width == self.all:
+            return self.table[at * self.width + s]
+        to = self.table[at * self.width + np.where(s < self.width, s, 0)]
+        rare = np.flatnonzero(s >= self.width)
+        key = at[rare] * self.all + s[rare]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        to[rare] = np.where(self.keys[place] == key, self.targets[place], 0)
+        return to
 
 
 class Parser:
-    """The automata of all languages over one alphabet."""
+    """The automata of all languages."""
 
     def __init__(self, references: tuple[tuple[str, tuple[str, ...]], ...]):
         self.languages = [lang for lang, _ in references]
         norm = [[normal(t) for t in texts] for _, texts in references]
-        everything = np.concatenate([c for texts in norm for c in texts] or [np.zeros(0, np.uint32)])
-        letters, n = np.unique(everything[everything != 32], return_counts=True)
-        letters = letters[np.lexsort((letters, -n))][:ALPHABET]
-        self.symbol = np.full(0x110000, 1, np.uint8)  # 1: a letter of none; it is in no automaton
+        letters = np.unique(np.concatenate([c for texts in norm for c in texts] or [np.zeros(0, np.uint32)]))
+        letters = letters[letters != 32]
+        self.symbol = np.ones(0x110000, np.int32)  # 1: a letter of none; it is in no automaton
         self.symbol[32] = 2
         self.symbol[letters] = 3 + np.arange(len(letters))
-        self.tables = []
-        for texts in norm:
-            symbols: list[int] = []
-            for c in texts:
-                s = self.symbol[c]
-                symbols += np.where(s == 1, 0, s).tolist() + [0]
-            self.tables.append(automaton(symbols[: SYMBOLS + 1], 3 + len(letters)).reshape(-1))
-        self.width = 3 + len(letters)
+        columns = TABLES // (4 * 2 * SYMBOLS * max(1, len(norm)))
+        self.tables = [Language([self.symbol[c] for c in texts], 3 + len(letters), columns) for texts in norm]
 
     def phrases(self, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each piece (columns of symbols, 0 after the end) against each language; pieces longest first."""
         out = np.zeros((len(self.tables), len(lengths)), np.int32)
         live = np.searchsorted(-lengths, -np.arange(1, len(pieces) + 1), "right")
-        for t, table in enumerate(self.tables):
+        for t, language in enumerate(self.tables):
+            own = language.own[pieces]
             at = np.zeros(len(lengths), np.int64)
             count = out[t]
-            for row, n in zip(pieces, live, strict=True):
+            for row, n in zip(own, live, strict=True):
                 if not n:
                     break
                 s = row[:n]
                 now = at[:n]
-                to = table[now * self.width + s]
+                to = language.after(now, s)
                 end = to == 0
-                fresh = table[s]  # from the start again; 0: in no text, a phrase of its own
+                fresh = language.start[s]  # from the start again; 0: in no text, a phrase of its own
                 count[:n] += end & (now > 0)
                 count[:n] += end & (fresh == 0)
                 at[:n] = np.where(end, fresh, to)
@@ -149,7 +174,7 @@ class Parser:
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         norm = [normal(x) if x else np.zeros(0, np.uint32) for x in texts]
         sizes = np.array([len(c) for c in norm])
-        joined = self.symbol[np.concatenate(norm)] if sizes.sum() else np.zeros(0, np.uint8)
+        joined = self.symbol[np.concatenate(norm)] if sizes.sum() else np.zeros(0, np.int32)
         first = np.cumsum(sizes) - sizes
         pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(len(texts)), pieces)
@@ -160,7 +185,7 @@ class Parser:
         owner, start, length = owner[order], start[order], length[order]
         if not len(owner) or not self.tables:
             return ["und"] * len(texts), np.zeros(len(texts))
-        padded = np.append(joined, np.zeros(PIECE, np.uint8))
+        padded = np.append(joined, np.zeros(PIECE, np.int32))
         grid = np.ascontiguousarray(padded[start[:, None] + np.arange(PIECE)[None]].T).astype(np.int64)
         counts = self.phrases(grid, length)
         total = np.stack([np.bincount(owner, c, len(texts)) for c in counts])
@@ -183,7 +208,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[tuple[
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))  # each task keeps DOCS a language before the shuffle
     ids = short.select("id", "lang", "text").withColumn("place", rank).where(F.col("place") <= DOCS)
     held: dict[str, list[str]] = {}
-    for r in ids.orderBy("lang", "place").limit(LANGUAGES * DOCS).toLocalIterator():
+    for r in ids.orderBy("lang", "place").toLocalIterator():
         texts = held.setdefault(r["lang"], [])
         if sum(map(len, texts)) < SYMBOLS:
             texts.append(r["text"])
