@@ -115,6 +115,49 @@ def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(low, starts, lengths), at
 
 
+#: Scripts that set no blanks between words: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese, kana, bopomofo, Han.
+UNSPACED = (
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+#: Their blanks and punctuation.
+_BREAKS = ((0x3000, 0x3004), (0x3008, 0x3020), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+@cache
+def _unspaced() -> np.ndarray:
+    """Of each code point: 1 for a character of an unspaced script, 2 for what parts words there."""
+    t = np.zeros(1 << 21, np.uint8)
+    for k, ranges in ((1, UNSPACED), (2, _BREAKS)):
+        for a, b in ranges:
+            t[a : b + 1] = k
+    return t
+
+
+def symbol_spans(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_spans with punctuation, but each character of an unspaced script is a span of its own, and punctuation of such scripts parts too."""
+    low, starts, lengths, at = word_spans(texts, punctuation=True)
+    lead = np.flatnonzero(low >= 0xE0)  # of characters of three and four bytes
+    if not len(lead):
+        return low, starts, lengths, at
+    size = 3 + (low[lead] >= 0xF0)
+    code = low[lead].astype(np.int64) & np.where(size == 3, 0x0F, 0x07)
+    for j in range(1, 4):
+        code = np.where(j < size, code << 6 | low[np.minimum(lead + j, len(low) - 1)] & 0x3F, code)
+    kind = _unspaced()[code]
+    if not kind.any():
+        return low, starts, lengths, at
+    for j in range(4):
+        low[(lead + j)[(kind == 2) & (j < size)]] = 32
+    edge = np.zeros(len(low) + 1, bool)
+    edge[lead[kind == 1]] = edge[(lead + size)[kind == 1]] = True
+    full = low != 32
+    before, after = np.concatenate([[False], full[:-1]]), np.concatenate([full[1:], [False]])
+    new = np.flatnonzero(full & (~before | edge[:-1]))
+    ends = np.flatnonzero(full & (~after | edge[1:])) + 1
+    return low, new, ends - new, np.searchsorted(new, np.append(starts, len(low))[at])
+
+
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 

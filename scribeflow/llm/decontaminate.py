@@ -1,7 +1,8 @@
 """Operator 8: benchmark passages in documents, by a random-walk embedding of edit distance.
 
 Words (lower-cased, parted by white space and ASCII punctuation) are the
-symbols; a passage matches where some run of a document's words is within
+symbols, and single characters in scripts that set no blanks; both are called
+words below. A passage matches where some run of a document's words is within
 RATE * (its words) edits. The embedding of Chakraborty, Goldenberg and Koucky
 walks along a window and at each step emits the symbol it stands on, then
 advances or not by a random bit of step and symbol: few edits give few
@@ -12,11 +13,15 @@ passages of a size class. What collides is verified by exact edit distance.
 Before the walks, a lossless filter drops places where no passage can lie:
 within e edits of n words at least n - 1 - 2e of its word pairs occur.
 
+A passage of fewer than LEAST words is cut into one piece more than the edits
+it may have, so that one piece is untouched; where a piece stands in a text,
+the passage is verified. These short passages are found without loss.
+
 Passages are broadcast in blocks of at most BLOCK_WORDS words each; more
 passages take more blocks, so what is broadcast is bounded.
 
-Defined cases: null and empty texts match nothing; passages of fewer than
-LEAST words are too short to be evidence and are left out; of several matches
+Defined cases: null and empty texts match nothing, nor do passages without a
+word; of several matches
 of a passage in a document the one with fewest edits, then the first, is
 returned; equal passages match each; repeated document rows count once;
 empty tables give an empty result; extra columns are ignored.
@@ -35,6 +40,7 @@ from pyspark.sql import functions as F
 from scribeflow.llm import arrow, chars
 
 RATE = 0.2
+#: Passages of at least so many words are found by walks, shorter ones by their pieces.
 LEAST = 8
 #: Walks and sampled steps of each: a passage at the full edit rate is found with probability of about 0.99.
 WALKS = 24
@@ -47,7 +53,7 @@ _PAD = _U(0x0DDC0FFEE0DDF00D)
 
 
 def symbols(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    low, starts, lengths, at = chars.word_spans(texts, punctuation=True)
+    low, starts, lengths, at = chars.symbol_spans(texts)
     return chars.span_hashes(low, starts, lengths), at
 
 
@@ -64,6 +70,15 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return chars.mix(h[:-1] * _U(0x9FB21C651E98DF25) + h[1:])
 
 
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on."""
+    odd = chars.mix(np.arange(1, n + 1, dtype=np.uint64) * chars.GOLD) | _U(1)
+    s = np.full(max(0, len(h) - n + 1), _U(n))
+    for j in range(n):
+        s += h[j : len(h) - n + 1 + j] * odd[j]
+    return chars.mix(s)
+
+
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Fewest edits between item and a run of text, with the run's start and end: the first such end, the shortest run."""
     e, s, t = best_matches(item, text[None], np.array([len(text)]))
@@ -96,13 +111,16 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str]):
         h, at = symbols(texts)
-        rows = [(i, h[a:b]) for i, a, b in zip(ids, at[:-1], at[1:], strict=True) if b - a >= LEAST]
+        rows = [(i, h[a:b]) for i, a, b in zip(ids, at[:-1], at[1:], strict=True) if b > a]
+        rows.sort(key=lambda r: len(r[1]) < LEAST)
         self.ids = [i for i, _ in rows]
         self.items = [w for _, w in rows]
-        sizes = [len(w) for w in self.items]
+        sizes = [len(w) for w in self.items if len(w) >= LEAST]  # of the first items; the short ones follow
+        self.exact = np.array([not edits_allowed(len(w)) for w in self.items], bool)
+        self.pieces = self._pieces(len(sizes))
         self.longest = max((n + edits_allowed(n) for n in sizes), default=0)
         self.hits = min((-(-(n - 1 - 2 * edits_allowed(n)) // -(-(n + edits_allowed(n)) // _SPAN)) for n in sizes), default=1)
-        self.pairs = np.unique(np.concatenate([_pairs(w) for w in self.items] or [np.zeros(0, np.uint64)]))
+        self.pairs = np.unique(np.concatenate([_pairs(w) for w in self.items[: len(sizes)]] or [np.zeros(0, np.uint64)]))
         self.quick = np.zeros(1 << 22, bool)
         self.quick[(self.pairs >> _U(42)).astype(np.int64)] = True
         self.classes = {c: [i for i, n in enumerate(sizes) if size_class(n) == c] for c in {size_class(n) for n in sizes}}
@@ -114,7 +132,7 @@ class Index:
             for w in range(WALKS):
                 draw = np.random.default_rng([c, w, 7])
                 self.steps[c, w] = np.sort(draw.choice(max(SAMPLED, int(1.6 * shortest)), SAMPLED, replace=False))
-        joined = np.concatenate(self.items) if self.items else np.zeros(0, np.uint64)
+        joined = np.concatenate(self.items[: len(sizes)]) if sizes else np.zeros(0, np.uint64)
         ends = np.cumsum(sizes)
         starts = ends - sizes
         self.keys = {}
@@ -125,6 +143,46 @@ class Index:
                 order = np.argsort(k, kind="stable")
                 self.keys[c, w] = (k[order], np.asarray(members)[order])
 
+    def _pieces(self, first: int) -> dict[int, tuple[np.ndarray, ...]]:
+        """For each length of a piece of the items from first on: hashes in order, with their items and places in these."""
+        held: dict[int, list[tuple[int, int, int]]] = {}
+        for i in range(first, len(self.items)):
+            w = self.items[i]
+            parts = edits_allowed(len(w)) + 1
+            cuts = [len(w) * k // parts for k in range(parts + 1)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                held.setdefault(b - a, []).append((int(_runs(w[a:b], b - a)[0]), i, a))
+        out = {}
+        for n, rows in held.items():
+            rows.sort()
+            keys = np.array([k for k, _, _ in rows], np.uint64)
+            quick = np.zeros(1 << 22, bool)
+            quick[(keys >> _U(42)).astype(np.int64)] = True
+            out[n] = keys, np.array([i for _, i, _ in rows]), np.array([a for *_, a in rows]), quick
+        return out
+
+    def short_candidates(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, short item and starting word where a piece of the item stands."""
+        found = []
+        for n, (keys, items, places, quick) in self.pieces.items():
+            r = _runs(h, n)
+            lanes = np.flatnonzero(quick[(r >> _U(42)).astype(np.int64)])
+            who = np.searchsorted(at, lanes, "right") - 1
+            inside = lanes + n <= at[who + 1]
+            lanes, who = lanes[inside], who[inside]
+            a, b = np.searchsorted(keys, r[lanes], "left"), np.searchsorted(keys, r[lanes], "right")
+            count = b - a
+            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+            lanes, who, item = np.repeat(lanes, count), np.repeat(who, count), items[k]
+            start = np.maximum(lanes - places[k], at[who])
+            # without edits the first place in a text is the answer
+            order = np.lexsort((start, who, item))
+            again = np.zeros(len(order), bool)
+            again[1:] = (item[order][1:] == item[order][:-1]) & (who[order][1:] == who[order][:-1])
+            keep = order[~(again & self.exact[item][order])]
+            found.append((who[keep], item[keep], start[keep]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
     def walk(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: int) -> dict[int, np.ndarray]:
         """The key of each class for the walk w from each start."""
         wanted: dict[int, list[int]] = {}
@@ -145,7 +203,7 @@ class Index:
     def candidates(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """text, item and starting word of windows that collide with a passage."""
         none = (np.zeros(0, np.int64),) * 3
-        if len(h) < 2 or not self.items:
+        if len(h) < 2 or not self.classes:
             return none
         p = _pairs(h)
         hit = np.flatnonzero(self.quick[(p >> _U(42)).astype(np.int64)])
@@ -193,7 +251,7 @@ class Index:
     def matches(self, texts: list) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, starting word, words, edits) of each passage found in each text."""
         h, at = symbols(texts)
-        who, item, start = self.candidates(h, at)
+        who, item, start = map(np.concatenate, zip(self.candidates(h, at), self.short_candidates(h, at), strict=True))
         out = []
         order = np.lexsort((start, who, item))
         who, item, start = who[order], item[order], start[order]
@@ -229,7 +287,8 @@ def _index(ids: tuple[int, ...], texts: tuple[str, ...]) -> Index:
 def _shared_blocks(spark, benchmark: DataFrame, item: str) -> list:
     """Broadcasts of (ids, texts) of the passages, each of at most about BLOCK_WORDS words."""
     items = benchmark.where(F.col(item).isNotNull() & F.col("text").isNotNull()).select(F.col(item).cast("long").alias("item"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    unspaced = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in chars.UNSPACED)
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")) + F.length(F.regexp_replace("text", f"[^{unspaced}]", "")))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_WORDS))
     out = []
     for block in range(blocks):
