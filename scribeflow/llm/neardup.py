@@ -3,7 +3,7 @@
 A document is the set of its distinct word shingles. Equal sets fall together
 by digest; one representative of each set goes on. Each has a sketch of
 minwise tokens. Independent trees branch the representatives: at the root by
-two tokens a tree, below by tokens chosen from the node's own hash, with
+two tokens a tree (as many trees as reach RECALL), below by tokens chosen from the node's own hash, with
 1 / similarity branches in expectation, so that a pair at the threshold keeps
 one common path in expectation while others part. A node small enough is
 compared exhaustively: by sketches first, with a margin of several standard
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from scribeflow.runtime import written
 
 #: Minwise tokens in a sketch; a path's used tokens fit a 64-bit mask.
 TOKENS = 64
-#: Independent trees, each with two root branches.
-TREES = 3
+#: The probability at least with which a pair at the threshold keeps a common path through DEPTH levels.
+RECALL = 0.99
 #: A node of at most this many documents is compared exhaustively.
 LEAF = 2048
 BLOCK = 1024
@@ -232,14 +233,34 @@ def _exact_stars(k: int, parts: tuple[int, int]) -> Callable:
     return run
 
 
-def _root_paths(reps: DataFrame) -> DataFrame:
+def missed(similarity: float, count: int) -> float:
+    """The probability that a pair at the threshold has no common path after DEPTH levels of so many trees."""
+    second, out = 1 / similarity - 1, 0.0
+    for same in range(TOKENS + 1):  # tokens on which the two sketches agree; a path uses up those that it took
+        ended = 0.0  # the pair has no common path left below a node that it shares
+        for used in range(DEPTH, 0, -1):
+            keeps = max(0, same - used) / (TOKENS - used)
+            lost = 1 - keeps + keeps * ended
+            ended = (1 - second) * lost + second * lost**2
+        roots = sum(comb(same, r) * comb(TOKENS - same, 2 * count - r) * ended**r for r in range(2 * count + 1)) / comb(TOKENS, 2 * count)
+        out += comb(TOKENS, same) * similarity**same * (1 - similarity) ** (TOKENS - same) * roots
+    return out
+
+
+def trees(similarity: float) -> int:
+    """The least number of independent trees, each with two root branches, that reaches RECALL."""
+    return next((n for n in range(1, TOKENS // 2) if missed(similarity, n) <= 1 - RECALL), TOKENS // 2)
+
+
+def _root_paths(reps: DataFrame, similarity: float) -> DataFrame:
     kind, out = arrow.schema(None, "node long, used long, doc long")
+    roots = 2 * trees(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs = b.column(0).to_numpy()
             sketch = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            for c in range(2 * TREES):
+            for c in range(roots):
                 with np.errstate(over="ignore"):
                     node = chars.mix(sketch[:, c].astype(np.uint64) + _U(c + 1) * chars.GOLD)
                 yield arrow.batch(out, node.view(np.int64), np.full(len(docs), 1 << c), docs)
@@ -289,7 +310,7 @@ def _near_pivot(rows: DataFrame, least: float = 0.95) -> DataFrame:
 def _compared(reps: DataFrame, similarity: float) -> list[DataFrame]:
     """Tables (grp, doc, n, mini) of bounded groups whose members are to be compared."""
     groups = []
-    rows = _root_paths(reps)
+    rows = _root_paths(reps, similarity)
     for level in range(DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where("size > 1")
         live = rows.join(sizes, "node").join(reps.select("doc", "n", "mini"), "doc")
