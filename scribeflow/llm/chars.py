@@ -7,6 +7,7 @@ All hashes depend on the text alone, never on the batch it came in.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -84,6 +85,22 @@ def blocks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+_SAFE = re.compile(r"\S(?=[\x20\x09-\x0D])")
+
+
+def runs(text: str, limit: int) -> Iterator[str]:
+    """text in parts of about limit characters, cut only before white space that follows something else; '' has none."""
+    at = 0
+    while len(text) - at > limit:
+        m = _SAFE.search(text, at + limit)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    if at < len(text):
+        yield text[at:]
+
+
 @cache
 def _lower(punctuation: bool) -> np.ndarray:
     """Each byte's lower case, or a blank for white space (and for ASCII punctuation, if it parts words)."""

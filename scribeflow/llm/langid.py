@@ -6,20 +6,26 @@ the longest match from where the last one ended (the cross-parsing of Ziv and
 Merhav); the language that needs the fewest phrases for its symbols wins.
 
 Text is lower-cased; letters count, and a run of anything else is one blank.
-Texts are parsed in pieces of PIECE symbols, so that the pieces of many texts
-advance together as array operations; a piece border ends a phrase. Every
-text is parsed whole.
+A text is parsed whole, as one sequence. To advance much text together as
+array operations, pieces of PIECE symbols are first parsed as if each began a
+phrase; then each is entered anew with the state that the piece before it
+ends in, until both parses stand in one state (mostly after a phrase or two).
+Where they don't meet within a piece, a plain walk goes on from there. The
+phrases are those of a parse from the first symbol to the last.
 
 The labelled sample has at most DOCS documents a language (those with the
 smallest hash of their id) and SYMBOLS symbols of them; only these reference
 texts are broadcast, and each worker builds the automata once. Every labelled
 language takes part, with every letter of its reference: transitions by a
-language's most frequent letters are a table, the others a sorted list.
+language's most frequent letters are a table, the others a sorted list. The
+sample is chosen on ids alone; only the chosen texts are gathered.
 
 Defined cases: a null text, or one without a letter, gets `und` and score 0;
 ties go to the language that sorts first; without labelled rows every text
-gets `und`; null languages and texts are no labels; repeated rows are
-predicted each; other columns are never read.
+gets `und`; null languages, texts and ids are no labels; of labelled rows that
+repeat an id and language one text counts; very long texts are parsed in runs
+of bounded memory; repeated rows are predicted each; other columns are never
+read.
 """
 
 from __future__ import annotations
@@ -135,6 +141,78 @@ class Language:
         to[rare] = np.where(self.keys[place] == key, self.targets[place], 0)
         return to
 
+    def advance(self, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the symbols s, and the phrases that they end: that before s, and s itself if it is in no text."""
+        to = self.after(at, s)
+        end = to == 0
+        fresh = self.start[s]
+        ended = (end & (at > 0)).view(np.uint8) + (end & (fresh == 0)).view(np.uint8)
+        return np.where(end, fresh, to), ended
+
+    def walk(self, at: int, symbols: np.ndarray, states: np.ndarray) -> tuple[list[int], list[int]]:
+        """States and ended phrases from the state at on, up to the first place where states has the same."""
+        out, ended = [], []
+        for s, known in zip(symbols.tolist(), states.tolist(), strict=True):
+            to = self.table.item(at * self.width + s) if s < self.width else int(self.after(np.array([at]), np.array([s]))[0])
+            count = 0
+            if not to:
+                to = self.start.item(s)
+                count = (at > 0) + (to == 0)
+            at = to
+            out.append(at)
+            ended.append(count)
+            if at == known:
+                break
+        return out, ended
+
+    def parse(self, grid: np.ndarray, lengths: np.ndarray, before: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each piece, and the state at its end.
+
+        grid: the pieces' symbols as columns, 0 after the end, longest first; before: the piece that each continues,
+        or -1; entry: the state in which the others start.
+        """
+        rows, lanes = grid.shape
+        own = self.own[grid]
+        states, ended = np.zeros((rows, lanes), np.int32), np.zeros((rows, lanes), np.uint8)
+        used = np.where(before < 0, entry, 0)
+        at = used.astype(np.int64)
+        for row, n in enumerate(np.searchsorted(-lengths, -np.arange(1, rows + 1), "right")):
+            at[:n], ended[row, :n] = self.advance(at[:n], own[row, :n])
+            states[row, :n] = at[:n]
+        tip = lengths - 1, np.arange(lanes)
+        enters = lambda: np.where(before < 0, used, states[tip][before])
+        cur = np.flatnonzero(used != enters())
+        used = enters()
+        at = used[cur].astype(np.int64)
+        for row in range(rows):
+            if not len(cur):
+                break
+            at, ended[row, cur] = self.advance(at, own[row, cur])
+            apart = states[row, cur] != at
+            states[row, cur] = at
+            apart &= lengths[cur] > row + 1
+            cur, at = cur[apart], at[apart]
+        stale = np.flatnonzero(used != enters())
+        if len(stale):  # pieces whose predecessor's end changed once more: from here on one after the other
+            after = np.full(lanes, -1)
+            after[before[before >= 0]] = np.flatnonzero(before >= 0)
+            depth = np.zeros(lanes, np.int64)
+            heads, n = np.flatnonzero(before < 0), 0
+            while len(heads):
+                depth[heads] = n
+                heads, n = after[heads], n + 1
+                heads = heads[heads >= 0]
+            for lane in stale[np.argsort(depth[stale], kind="stable")]:
+                while lane >= 0:
+                    now = int(states[lengths[before[lane]] - 1, before[lane]])
+                    if now == used[lane]:
+                        break
+                    used[lane] = now
+                    got, count = self.walk(now, own[: lengths[lane], lane], states[: lengths[lane], lane])
+                    states[: len(got), lane], ended[: len(got), lane] = got, count
+                    lane = after[lane]
+        return ended.sum(axis=0, dtype=np.int64), states[tip]
+
 
 class Parser:
     """The automata of all languages."""
@@ -150,45 +228,56 @@ class Parser:
         columns = TABLES // (4 * 2 * SYMBOLS * max(1, len(norm)))
         self.tables = [Language([self.symbol[c] for c in texts], 3 + len(letters), columns) for texts in norm]
 
-    def phrases(self, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each piece (columns of symbols, 0 after the end) against each language; pieces longest first."""
-        out = np.zeros((len(self.tables), len(lengths)), np.int32)
-        live = np.searchsorted(-lengths, -np.arange(1, len(pieces) + 1), "right")
-        for t, language in enumerate(self.tables):
-            own = language.own[pieces]
-            at = np.zeros(len(lengths), np.int64)
-            count = out[t]
-            for row, n in zip(own, live, strict=True):
-                if not n:
-                    break
-                s = row[:n]
-                now = at[:n]
-                to = language.after(now, s)
-                end = to == 0
-                fresh = language.start[s]  # from the start again; 0: in no text, a phrase of its own
-                count[:n] += end & (now > 0)
-                count[:n] += end & (fresh == 0)
-                at[:n] = np.where(end, fresh, to)
-        return out
-
-    def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
-        norm = [normal(x) if x else np.zeros(0, np.uint32) for x in texts]
-        sizes = np.array([len(c) for c in norm])
-        joined = self.symbol[np.concatenate(norm)] if sizes.sum() else np.zeros(0, np.int32)
-        first = np.cumsum(sizes) - sizes
+    def phrases(self, texts: list[np.ndarray], entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each text (symbols) by language, parsed on from the states entry, and the states at the ends."""
+        out, last = np.zeros((len(self.tables), len(texts)), np.int64), entry.copy()
+        sizes = np.array([len(t) for t in texts])
+        if not sizes.sum():
+            return out, last
         pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(len(texts)), pieces)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = first[owner] + inside * PIECE
-        length = np.minimum(PIECE, first[owner] + sizes[owner] - start)
+        start = (np.cumsum(sizes) - sizes)[owner] + inside * PIECE
+        length = np.minimum(PIECE, sizes[owner] - inside * PIECE)
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        if not len(owner) or not self.tables:
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(inside > 0, place[np.arange(len(owner)) - 1], -1)[order]
+        padded = np.concatenate([*texts, np.zeros(PIECE, np.int32)])
+        rows = np.arange(int(length.max()))
+        grid = np.ascontiguousarray(padded[start[order, None] + rows[None]].T)
+        grid[rows[:, None] >= length[order][None]] = 0
+        final = np.flatnonzero(inside == pieces[owner] - 1)
+        for t, language in enumerate(self.tables):
+            ended, states = language.parse(grid, length[order], before, entry[t][owner[order]])
+            out[t] = np.bincount(owner[order], ended, len(texts))
+            last[t][owner[final]] = states[place[final]]
+        return out, last
+
+    def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
+        """The language and score of each text. Texts above _CHARS are parsed in runs."""
+        total, sizes = np.zeros((len(self.tables), len(texts)), np.int64), np.zeros(len(texts), np.int64)
+        entry = np.zeros((len(self.tables), len(texts)), np.int64)
+        runs = [chars.runs(x or "", _CHARS) for x in texts]
+        live = list(range(len(texts)))
+        while live:
+            part, more = [], []
+            for i in live:
+                x = next(runs[i], None)
+                if x is not None:
+                    c = normal(x)
+                    if len(c) and sizes[i]:
+                        c = np.concatenate([np.array([32], c.dtype), c])  # runs part at white space
+                    part.append(self.symbol[c])
+                    more.append(i)
+            live = more
+            if live:
+                own = np.array(live)
+                ended, entry[:, own] = self.phrases(part, entry[:, own])
+                total[:, own] += ended
+                sizes[own] += [len(c) for c in part]
+        if not self.tables:
             return ["und"] * len(texts), np.zeros(len(texts))
-        padded = np.append(joined, np.zeros(PIECE, np.int32))
-        grid = np.ascontiguousarray(padded[start[:, None] + np.arange(PIECE)[None]].T).astype(np.int64)
-        counts = self.phrases(grid, length)
-        total = np.stack([np.bincount(owner, c, len(texts)) for c in counts])
         rate = total / np.maximum(sizes, 1)
         best = rate.argmin(axis=0)
         odds = np.exp(-12 * (rate - rate.min(axis=0)))
@@ -203,10 +292,13 @@ def parser(references: tuple[tuple[str, tuple[str, ...]], ...]) -> Parser:
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[tuple[str, tuple[str, ...]], ...]:
     """The reference texts of each language: a bounded sample of the labelled documents."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select(F.col("doc_id").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))  # each task keeps DOCS ids a language before the shuffle
+    ids = rows.select("id", "lang").distinct().withColumn("place", rank).where(F.col("place") <= DOCS)
     short = rows.withColumn("text", F.substring("text", 1, SYMBOLS))  # of the references alone; predictions read whole texts
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))  # each task keeps DOCS a language before the shuffle
-    ids = short.select("id", "lang", "text").withColumn("place", rank).where(F.col("place") <= DOCS)
+    chosen = short.join(F.broadcast(ids), ["id", "lang"])  # DOCS ids a language
+    ids = chosen.groupBy("lang", "place").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     held: dict[str, list[str]] = {}
     for r in ids.orderBy("lang", "place").toLocalIterator():
         texts = held.setdefault(r["lang"], [])
