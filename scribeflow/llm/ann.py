@@ -1,34 +1,42 @@
 """Operator 5: approximate nearest neighbours by a robust-pruned directed graph in each shard.
 
-Equal vectors are one node (a heap of copies would link to itself alone); a
-node keeps the smallest ids of its copies, as many as an answer can hold.
+Equal vectors are one row, which keeps the smallest ids of its copies, as many
+as an answer can hold; rows of one direction in a shard are one node (a heap
+of copies would link to itself alone).
 Nodes fall to shards of bounded size by hash. Within a shard the graph grows
 in doubling batches: a greedy beam search on the graph so far proposes each
 new node's neighbours, relaxed distance pruning keeps diverse ones, and the
 links back are pruned alike. Beam searches of many nodes advance together as
-array operations. Each block of queries then beam-searches every shard, and
-the best answers of all shards are merged and scored in double precision on
-the original vectors.
+array operations. Each shard's graph is a file in the shared folder. A task
+that holds a block of queries loads the shards in turn, beam-searches each and
+keeps the best k so far, so rows never exceed the queries and their answers;
+scores are computed in double precision on the original vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components (and null ids) take no part; vectors of a length other than the
 longest common one, the smallest of ties, take no part either; rows that
-repeat an id and a vector count once; ties go to the smaller id; with fewer
-candidates than asked for, all are returned; empty tables give empty results.
+repeat an id and a vector count once, and a query id with several vectors is
+asked with each; ties go to the smaller id; with fewer
+candidates than asked for, all are returned; components whose squares overflow
+or underflow are scaled by powers of two, which is exact; columns other than
+the id and the vector are never read; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribeflow.llm import arrow, chars
-from scribeflow.runtime import cut_lineage
+from scribeflow.runtime import cut_lineage, fresh_path
 
 SHARD_ROWS = 8192
 DEGREE = 32
@@ -146,7 +154,52 @@ def _usable(vectors: DataFrame, vec: str) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & good)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM) -> DataFrame:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two so that their largest component is between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
+def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of each query with the largest scores, ties to the smaller id: query, vec, score, rank from 1."""
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    first = np.flatnonzero(np.diff(query, prepend=query[:1] - 1))
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) + 1
+    keep = rank <= k
+    return query[keep], vec[keep], score[keep], rank[keep]
+
+
+def packed_shard(x: np.ndarray, ids: list[list[int]]) -> tuple:
+    """What a query needs of a shard: its graph, and the rows and ids of each node. Rows of one direction are one node."""
+    x = scaled(x)
+    norm = np.linalg.norm(x, axis=1)
+    unit, node = np.unique((x / norm[:, None]).astype(np.float32), axis=0, return_inverse=True)
+    order = np.argsort(node, kind="stable")
+    ids = [ids[i] for i in order]
+    rows_at = np.searchsorted(node[order], np.arange(len(unit) + 1))
+    return unit, *build(unit), x[order], norm[order], rows_at, np.concatenate(ids), np.cumsum([0, *map(len, ids)])
+
+
+def _answers(shard: tuple, own: np.ndarray, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ids and scores of at least the k best other rows that a shard's graph gives for each query."""
+    unit, links, entry, x, norm, rows_at, ids, ids_at = shard
+    q_norm = np.linalg.norm(q, axis=1)
+    near, _ = beam_search(unit, links, entry, (q / q_norm[:, None]).astype(np.float32), max(beam, k + 2))
+    out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i, nodes in enumerate(near):
+        nodes = nodes[nodes >= 0]
+        rows = np.concatenate([np.arange(a, b) for a, b in zip(rows_at[nodes], rows_at[nodes + 1], strict=True)])
+        score = x[rows] @ q[i] / (norm[rows] * q_norm[i])
+        least = -np.partition(-score, min(k, len(score) - 1))[min(k, len(score) - 1)]
+        best = np.flatnonzero(score >= least)  # k + 1 rows, and all that tie with the last
+        copies = ids_at[rows[best] + 1] - ids_at[rows[best]]
+        vec = np.concatenate([ids[ids_at[r] : ids_at[r + 1]] for r in rows[best]])
+        other = vec != own[i]
+        out.append((np.full(int(other.sum()), i), vec[other], np.repeat(score[best], copies)[other]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row among all rows but its own id."""
     usable, asked = _usable(vectors, vec), _usable(queries, vec)
     width = usable.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
@@ -157,45 +210,40 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embed
     nodes = cut_lineage(nodes)
     shards = max(1, -(-nodes.count() // shard_rows))
     asked = cut_lineage(asked.select("vec_id", "v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    part = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
-    index_kind, index_out = arrow.schema(None, "shard int, packed binary")
+    n = asked.count()
+    # blocks of bounded size; few queries are spread so that no core idles
+    blocks = max(1, -(-n // block), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // 64)))
+    folder = fresh_path(vectors.sparkSession, "graphs")
+    shard_of = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(1)), F.lit(shards)).cast("int")
+    index_kind, index_out = arrow.schema(None, "shard int, path string")
 
     def graph(rows: pa.Table) -> pa.Table:
         x = np.asarray(rows.column("v").combine_chunks().flatten()).reshape(rows.num_rows, -1)
-        unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-        links, entry = build(unit)
-        ids = rows.column("ids").to_pylist()
-        # one row a shard: the graph of a bounded number of nodes
-        packed = pickle.dumps((x, links, entry, np.concatenate(ids), np.cumsum([0, *map(len, ids)])), protocol=5)
-        return pa.table([pa.array([rows.column("shard")[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], schema=index_out)
-
-    index = nodes.withColumn("shard", part(F.col("ids")[0], shards, 1)).groupBy("shard").applyInArrow(graph, index_kind)
-    index = cut_lineage(index).select("shard", "packed", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.withColumn("block", part(F.col("vec_id"), blocks, 2)).select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found_kind, found_out = arrow.schema(None, "query_id long, vec_id long, score double")
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return found_out.empty_table()
-        x, links, entry, ids, at = pickle.loads(left.column("packed")[0].as_py())
-        q = np.asarray(right.column("v").combine_chunks().flatten()).reshape(right.num_rows, -1)
-        norm, q_norm = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-        got, _ = beam_search((x / norm[:, None]).astype(np.float32), links, entry, (q / q_norm[:, None]).astype(np.float32), max(beam, k + 2))
-        own = right.column("vec_id").to_numpy()
-        cols: list[list] = [[], [], []]
-        for i, near in enumerate(got):
-            near = near[near >= 0]
-            score = (x[near] * q[i]).sum(1) / (norm[near] * q_norm[i])
-            best = np.argsort(-score, kind="stable")
-            cut = score[best[min(k, len(best) - 1)]]  # k + 1 nodes, and all that tie with the last
-            for j in best[score[best] >= cut]:
-                for v in ids[at[near[j]] : at[near[j] + 1]]:
-                    if v != own[i]:
-                        for c, e in zip(cols, (own[i], v, score[j]), strict=True):
-                            c.append(e)
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, found_out, strict=True)], schema=found_out)
-
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(answer, found_kind)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        packed = pickle.dumps(packed_shard(x, rows.column("ids").to_pylist()), protocol=5)
+        store, base = pafs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        path = f"{base}/{uuid.uuid4().hex}"  # a name of its own: what failed attempts leave is in no manifest
+        with store.open_output_stream(path, compression=None) as f:
+            f.write(packed)
+        return pa.table([pa.array([rows.column("shard")[0].as_py()], pa.int32()), pa.array([path])], schema=index_out)
+
+    made = nodes.withColumn("shard", shard_of).groupBy("shard").applyInArrow(graph, index_kind)
+    paths = vectors.sparkSession.sparkContext.broadcast([r["path"] for r in made.orderBy("shard").collect()])  # one name a shard
+    found_kind, found_out = arrow.schema(None, "query_id long, rank int, vec_id long, score double")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # a block of queries
+        if not held:
+            return
+        own = np.concatenate([b.column(0).to_numpy() for b in held])
+        q = scaled(np.concatenate([np.asarray(b.column(1).flatten()) for b in held]).reshape(len(own), -1))
+        store, _ = pafs.FileSystem.from_uri(folder)
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for path in paths.value:
+            with store.open_input_file(path) as f:
+                shard = pickle.loads(f.read())  # a graph of a bounded number of nodes
+            *best, rank = _best(*(np.concatenate(c) for c in zip(best, _answers(shard, own, q, k, beam), strict=True)), k)
+        if len(best[0]):
+            yield arrow.batch(found_out, own[best[0]], rank.astype(np.int32), best[1], best[2])
+
+    return asked.repartition(blocks, "vec_id").mapInArrow(answer, found_kind)

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from scribeflow.llm import ann, decontaminate, hilbert, warc
 
@@ -190,3 +191,32 @@ def test_pipeline_keeps_odd_rows(spark):
     left = cp.dedup_stage(spark, docs, sf).collect()
     assert sum(r.doc_id is None for r in left) == 2 and sum(r.doc_id == 10**9 for r in left) == 1
     assert cp.pii_stage(spark, odd.limit(0), sf).count() == 0 and cp.bpe_stage(spark, odd, sf).count() == 4
+
+
+def test_vectors_beyond_the_range_of_squares(spark):
+    """Components whose squares overflow or underflow a double take part, with true cosines."""
+    rows = [(0, [3e200, 4e200]), (1, [3e-200, 4e-200]), (2, [4e200, -3e200]), (3, [5e-324, 0.0]), (4, [1.0, 1.0]), (50, [6.0, 8.0]), (51, [float("inf"), 1.0]), (52, [0.0, 0.0]), (53, None), (54, [1.0, None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(df, df.where("vec_id % 50 = 0"), 5).collect()}
+    want = {(0, 1): 1.0, (0, 50): 1.0, (0, 2): 0.0, (0, 3): 0.6, (0, 4): 7 / 5 / 2**0.5}
+    want |= {(50, v): s for (_, v), s in want.items() if v != 50} | {(50, 0): 1.0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+@pytest.mark.parametrize("n", [1500, 6000, 24_000])
+def test_recall_at_three_sizes(spark, n):
+    """The shards and the blocks of queries grow with the table; recall stays, and no row more than the answers is made."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 24))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, df.where("vec_id % 50 = 0"), 5, shard_rows=1500, block=100).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len({v for _, v in found[q]} & set(np.argsort(-s)[:5].tolist()))
+        assert sorted(r for r, _ in found[q]) == [1, 2, 3, 4, 5]
+    assert len(found) == n // 50 and hits >= 0.9 * 5 * len(found)
