@@ -10,12 +10,18 @@ raises ValueError when a header, a length or a digest isn't right.
 
 Of records with equal payloads (equal SHA-1) of at least least_bytes bytes,
 the one with the largest page_id is the response and the others are revisits
-of it, stored without their payload; all smaller ones are responses.
+of it, stored without their payload; all smaller ones are responses. Which
+payloads repeat is found on digests alone; pages whose payload surely doesn't
+are written where they are read, and only the others are shuffled, salted, so
+that one very common page is spread over tasks.
 
 Defined cases: a null html is an empty payload; a null url is replaced by the
 page's own name; a null page_id counts as smaller than any other, and is read
 back as null; rows that repeat the response's page_id and payload are
-responses too; empty tables write no archive and give an empty result.
+responses too; very long payloads are records of their own archive, up to
+LARGEST_RECORD, above which reading raises ValueError; columns other than
+page_id, url and html are never read; empty tables write no archive and give
+an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribeflow.llm import arrow
+from scribeflow.llm import arrow, sieve
 from scribeflow.runtime import cut_lineage, fresh_path
 
 #: Fixed values of the format.
@@ -48,6 +54,8 @@ ROLL = 48_000_000
 SAMPLE = 4_000_000
 DICTIONARY = 32_768
 LARGEST_RECORD = 1 << 31
+#: Parts among which the rows of one payload are dealt.
+SALTS = 16
 
 
 def base32_sha1(data: bytes) -> str:
@@ -165,8 +173,13 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
     """Writes a record for each row of pages (page_id, url, html) and returns the manifest: path, records, bytes."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("sha", F.sha1(F.encode("html", "utf-8")))
-    first = own.groupBy("sha").agg(F.max("page_id").alias("response"))
-    rows = own.join(first, "sha").select("page_id", "url", "html", "response")
+    again = own.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    again = cut_lineage(again.where("n > 1 AND first IS NOT NULL").select("sha", "first"))
+    some, single = sieve.parted(own, F.xxhash64("sha"), again.select(F.xxhash64("sha").alias("k")))
+    salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = some.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
+    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    rows = some.select("page_id", "url", "html", refers.alias("refers_to")).unionByName(single.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
     kind, out = arrow.schema(None, "path string, records long, bytes long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +197,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
         held, size = [], 0
         for b in batches:
             for page, url, html, response in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                payload = html.encode("utf-8", "surrogatepass")
-                again = page != response and len(payload) >= least_bytes
-                held.append(record(page, url, payload, "revisit" if again else "response", response, date))
+                held.append(record(page, url, html.encode("utf-8", "surrogatepass"), "response" if response is None else "revisit", response, date))
                 size += len(held[-1])
                 if size >= ROLL:
                     yield flush(held)
@@ -220,7 +231,8 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> Da
                 if rows:
                     yield arrow.batch(out, *map(list, zip(*rows, strict=True)))
 
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    archives = manifest.count()
+    parts = max(archives // 8, min(archives, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)  # at most about 8 archives a task
     return manifest.select("path", "records").repartition(parts).mapInArrow(run, kind)
 
 

@@ -220,3 +220,13 @@ def test_recall_at_three_sizes(spark, n):
         hits += len({v for _, v in found[q]} & set(np.argsort(-s)[:5].tolist()))
         assert sorted(r for r, _ in found[q]) == [1, 2, 3, 4, 5]
     assert len(found) == n // 50 and hits >= 0.9 * 5 * len(found)
+
+
+def test_common_pages_are_spread(spark):
+    """A page that half of the rows share, another that many share, and single ones: against a plain count."""
+    rows = [(i, f"u{i}", "<p>top</p>" if i % 2 else "<p>some</p>" if i % 3 else f"<p>{i}</p>") for i in range(3000)] + [(None, None, "<p>null id</p>")] * 2
+    got = {(r.page_id, r.record_type, r.refers_to): r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    top, some = 2999, max(i for i in range(3000) if i % 2 == 0 and i % 3)
+    want = {(i, *(("revisit", top) if i % 2 and i != top else ("revisit", some) if i % 2 == 0 and i % 3 and i != some else ("response", None))) for i in range(3000)}
+    assert set(got) == want | {(None, "response", None)}
+    assert len({r.payload_digest for r in got.values()}) == 3 + sum(1 for i in range(3000) if i % 2 == 0 and i % 3 == 0)
