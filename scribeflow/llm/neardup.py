@@ -13,8 +13,11 @@ pivot (or the depth is used up) its remaining documents are compared with all
 blocks, which is exact, and it isn't branched further.
 
 Compared groups give a star for each exactly linked component, never all
-pairs, so output stays linear in the rows. Components of these stars over the
-cluster give each document's group.
+pairs, so output stays linear in the rows. Groups are bounded in documents and
+in bytes. Components of these stars over the cluster give each document's
+group. Joins on a node or a class hold a few narrow columns and have a side
+that was aggregated first; adaptive execution may split them where one key is
+very frequent. Tables of the levels are removed once the groups are compared.
 
 Defined cases: null or blank texts have an empty set and are linked with
 nothing; fewer words than a shingle make one shingle of all of them; equal
@@ -31,11 +34,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribeflow.llm import arrow, chars
+from scribeflow.llm import arrow, chars, sieve
 from scribeflow.llm.components import components
-from scribeflow.runtime import written
+from scribeflow.runtime import Scratch, tasks_for, written
 
 #: Minwise tokens in a sketch; a path's used tokens fit a 64-bit mask.
 TOKENS = 64
@@ -45,6 +49,8 @@ RECALL = 0.99
 LEAF = 2048
 BLOCK = 1024
 DEPTH = 8
+#: Shingles of texts that are compared at once in a task: more documents, or longer ones, are compared by pairs of blocks.
+BULK = 1 << 22
 _CHARS = 3_000_000
 _U = np.uint64
 
@@ -119,7 +125,7 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Rec
         yield pa.concat_batches(held) if len(held) > 1 else held[0]
 
 
-def _grouped(df: DataFrame, key: str, run: Callable, ddl: str) -> DataFrame:
+def _grouped(df: DataFrame, key: str, run: Callable, ddl: str, tasks: int) -> DataFrame:
     """run(rows of one key) -> columns, for keys of bounded size."""
     kind, out = arrow.schema(None, ddl)
 
@@ -135,8 +141,7 @@ def _grouped(df: DataFrame, key: str, run: Callable, ddl: str) -> DataFrame:
                 held = [[] for _ in out]
         yield arrow.batch(out, *held)
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, key).sortWithinPartitions(key).mapInArrow(each, kind)
+    return df.repartition(tasks, key).sortWithinPartitions(key).mapInArrow(each, kind)
 
 
 def _linked(links: np.ndarray) -> np.ndarray:
@@ -307,19 +312,19 @@ def _near_pivot(rows: DataFrame, least: float = 0.95) -> DataFrame:
     return rows.select("node", "used", "doc", "n", "mini", "pivot", "size").join(pivots, "node").mapInArrow(run, kind)
 
 
-def _compared(reps: DataFrame, similarity: float) -> list[DataFrame]:
+def _compared(reps: DataFrame, similarity: float, scratch: Scratch) -> list[DataFrame]:
     """Tables (grp, doc, n, mini) of bounded groups whose members are to be compared."""
     groups = []
     rows = _root_paths(reps, similarity)
     for level in range(DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where("size > 1")
         live = rows.join(sizes, "node").join(reps.select("doc", "n", "mini"), "doc")
-        live = written(live.select("node", "used", "doc", "n", "mini", "pivot", "size"), "paths")
+        live = scratch.written(live.select("node", "used", "doc", "n", "mini", "pivot", "size"), "paths")
         groups.append(live.where(F.col("size") <= LEAF).select(F.col("node").alias("grp"), "doc", "n", "mini"))
         large = live.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        large = written(_near_pivot(large), "pivots")
+        large = scratch.written(_near_pivot(large), "pivots")
         far = large.groupBy("node").agg(F.count_if(~F.col("near")).alias("far"))
         large = large.join(far, "node").withColumns({
             "blocks": F.ceil(F.col("size") / BLOCK), "far_blocks": F.greatest(F.lit(1), F.ceil(F.col("far") / BLOCK)),
@@ -334,41 +339,55 @@ def _compared(reps: DataFrame, similarity: float) -> list[DataFrame]:
         shared = F.when(F.col("doc") == F.col("pivot"), F.transform(all_blocks, lambda i: name(i, F.when(F.col("ends"), 0).otherwise(-1)))).otherwise(none)
         groups.append(large.select(F.explode(F.array_distinct(F.concat(ended, rest, shared))).alias("grp"), "doc", "n", "mini"))
         if level < DEPTH:
-            rows = written(_branches(large.where(~F.col("ends")).select("node", "used", "doc").join(reps.select("doc", "sketch"), "doc"), similarity), "branches")
+            rows = scratch.written(_branches(large.where(~F.col("ends")).select("node", "used", "doc").join(reps.select("doc", "sketch"), "doc"), similarity), "branches")
     return groups
 
 
-def _likely(rows: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """rows (doc, ...) that may be among the wanted (doc), so that few texts go into the shuffle that decides it.
+def _bounded(alike: DataFrame) -> DataFrame:
+    """alike (grp, doc, n) with groups of more than BULK shingles cut into blocks: each pair of blocks is a group.
 
-    A bitmap of hashed ids, of at most bits bits (2 MB) whatever the input, is broadcast; once very many
-    documents are wanted it lets more rows pass, never fewer.
+    So what a task holds is bounded in bytes too, and each pair of documents still meets.
     """
-    place = F.pmod(F.xxhash64("doc"), F.lit(bits)) + 1
-    bitmap = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
-    bit = F.bitmap_bit_position(place)
-    marked = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "_bit": bit}).join(F.broadcast(bitmap), "bucket")
-    hit = F.expr("shiftright(cast(conv(hex(substring(map, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1") == 1
-    return marked.where(hit).select(rows.columns)
+    before = F.sum("n").over(W.partitionBy("grp").orderBy("doc").rowsBetween(W.unboundedPreceding, -1))  # of at most about LEAF rows
+    rows = alike.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / BULK))
+    rows = rows.withColumn("blocks", F.max("block").over(W.partitionBy("grp")) + 1)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: (j != F.col("block")) | (F.col("blocks") == 1))
+    pair = rows.select("grp", "doc", "block", F.explode(others).alias("other"))
+    return pair.select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("grp"), "doc")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), text: str = "text", slack: float = 0.18) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; similarity is a fraction (parts, of)."""
-    level = similarity[0] / similarity[1]
+    spark, level = docs.sparkSession, similarity[0] / similarity[1]
+    scratch = Scratch(spark)
     found = written(features(docs, k, text), "sets")
-    reps = found.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
-    reps = written(reps, "classes")
+    whole = found.where("key IS NOT NULL AND doc_id IS NOT NULL")
+    reps = whole.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
+    reps = written(reps.withColumn("class", F.xxhash64("key")), "classes")
     groups = None
-    for g in _compared(reps.select("doc", "n", "sketch", "mini"), level):
+    for g in _compared(reps.select(F.col("class").alias("doc"), "n", "sketch", "mini"), level, scratch):
         groups = g if groups is None else groups.unionByName(g)
-    alike = written(_grouped(groups, "grp", _similar_groups(level, slack), "grp long, doc long").distinct(), "alike")
-    active = _likely(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text")), alike.select("doc"))
+    tasks = tasks_for(spark, reps.count() * 2 * trees(level), 2_000_000)
+    alike = _grouped(groups, "grp", _similar_groups(level, slack), "grp long, class long", tasks).distinct()
+    alike = written(alike.join(reps.select("class", "doc", "n"), "class").groupBy("grp", "doc").agg(F.max("n").alias("n")), "alike")
+    scratch.clear()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    active, _ = sieve.parted(own, F.col("doc"), alike.select("doc"))
+    again = whole.groupBy("doc_id").agg(F.count("*").alias("rows"), (F.min("key") != F.max("key")).alias("varied")).where("rows > 1")
+    again = written(again, "again")
+    if not again.isEmpty():  # of rows that repeat an id and a text one goes on
+        some, single = sieve.parted(active, F.col("doc"), again.select("doc_id"))
+        active = single.unionByName(some.dropDuplicates(["doc", "text"]))
     # texts travel, not sets: they compress, and sets are made where they are compared
-    full = alike.join(active, "doc").select("grp", "doc", "text")
-    edges = _grouped(full, "grp", _exact_stars(k, similarity), "u long, v long")
+    full = _bounded(alike).join(active, "doc").select("grp", "doc", "text")
+    edges = _grouped(full, "grp", _exact_stars(k, similarity), "u long, v long", tasks_for(spark, alike.count(), 20_000))
+    if not again.isEmpty():  # an id with several texts is one document
+        varied = whole.join(again.where("varied").select("doc_id"), "doc_id").select("doc_id", "key").distinct()
+        edges = edges.unionByName(varied.join(reps.select("key", "doc"), "key").select(F.col("doc_id").alias("u"), F.col("doc").alias("v")))
     roots = components(edges)
+    unmatched = F.concat(F.lit("-").cast("binary"), F.col("doc_id").cast("string").cast("binary"))  # of no class: dealt over all tasks
     return (
-        found.select("doc_id", F.col("n").alias("n_shingles"), "key")
+        found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("key", unmatched).alias("key"))
         .join(reps.select("key", "doc"), "key", "left")
         .join(roots, F.col("doc") == F.col("vertex"), "left")
         .withColumn("component_id", F.coalesce("component", "doc", "doc_id"))

@@ -48,9 +48,10 @@ def corpus(seed, n=160):
     return out + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "One two"), (n + 4, "ONE TWO"), (n + 5, "one"), (n + 6, "x " * 30_000)]
 
 
-@pytest.mark.parametrize("k, parts, leaf", [(3, (85, 100), 2048), (5, (80, 100), 2048), (3, (85, 100), 6)])
-def test_groups_equal_all_pairs(spark, monkeypatch, k, parts, leaf):
+@pytest.mark.parametrize("k, parts, leaf, bulk", [(3, (85, 100), 2048, 1 << 22), (5, (80, 100), 2048, 150), (3, (85, 100), 6, 300)])
+def test_groups_equal_all_pairs(spark, monkeypatch, k, parts, leaf, bulk):
     monkeypatch.setattr(neardup, "LEAF", leaf)  # small nodes make the trees branch
+    monkeypatch.setattr(neardup, "BULK", bulk)  # few shingles make pairs of blocks
     monkeypatch.setattr(neardup, "BLOCK", max(3, leaf // 2))
     rows = corpus(k + leaf)
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], DDL)
@@ -73,6 +74,14 @@ def test_one_hot_group(spark):
     assert {r.component_id for r in got if r.doc_id >= 10} == {10} and sum(r.doc_id == 5 for r in got) == 3
 
 
+def test_rows_that_repeat_an_id(spark):
+    """A third of all rows are one row; others have two texts, of which each has its copies."""
+    text = lambda i, n=40: " ".join(f"t{i}w{j}" for j in range(n))
+    rows = [(7, text(0))] * 400 + [(8, text(0) + " more"), (9, text(1)), (9, text(2)), (10, text(1)), (11, text(2) + " end"), (12, text(3)), (6, text(4)), (12, text(4))] + [(i, text(i)) for i in range(20, 200)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame([(i, t, "k") for i, t in rows], DDL), 3, (85, 100)).collect()}
+    assert got == {i: i for i, _ in rows} | {8: 7, 10: 9, 11: 9, 12: 6}
+
+
 def test_nothing_and_nulls(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DDL)).count() == 0
     got = neardup.near_duplicates(spark.createDataFrame([(None, "a b c d e f", "x"), (1, None, None)], DDL)).collect()
