@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeflow.llm import bpe, decontaminate, neardup, pii, toxicity
+from scribeflow.llm import bpe, decontaminate, neardup, pii, sieve, toxicity
 from scribeflow.runtime import table, written
 
 
@@ -18,12 +18,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays (five words, similarity 0.8).
 
-    Rows that repeat an id are one document, of which one row stays; rows without an id all stay.
+    Rows that repeat an id are one document, of which the row with the smallest text stays (nulls first, then the
+    smallest of the other columns); rows without an id all stay. Which rows go is decided on ids alone: of the
+    texts, only those whose id may be gone or repeated are shuffled.
     """
-    gone = neardup.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    nameless = "nameless" + "_" * max(map(len, docs.columns))  # a column name that docs hasn't
-    rows = docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
-    return rows.withColumn(nameless, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", nameless]).drop(nameless)
+    gone = written(neardup.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    maybe, rest = sieve.parted(docs, F.col("doc_id").cast("long"), gone)
+    rows = rest.unionByName(maybe.join(gone, "doc_id", "left_anti").select(docs.columns))
+    again = written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return rows
+    maybe, single = sieve.parted(rows, F.col("doc_id").cast("long"), again)
+    sortable = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = F.struct(*sorted(sortable, key=lambda c: c != "text"))
+    one = maybe.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
+    return single.unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
