@@ -7,14 +7,15 @@ else: no match of the pattern spans such a place, so the ids are those of the
 whole text. Decoding joins the raw bytes of the ids, so text that isn't valid
 on token borders survives.
 
-Defined cases: a null text counts as empty (no ids); an empty table gives an
+Defined cases: a null text counts as empty (no ids); a long text without white
+space is one part, and one long match of the pattern is merged as a whole, as
+the library does it; an empty table gives an
 empty result; repeated rows are encoded each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,11 +25,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribeflow.llm import arrow
+from scribeflow.llm import arrow, chars
 
 #: Characters above which a text is cut at safe places.
 LONG = 50_000
-_SAFE = re.compile(r"\S(?=[\x20\x09-\x0D])")
 
 
 @cache
@@ -42,22 +42,10 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def safe_parts(text: str, limit: int = LONG) -> Iterator[str]:
-    """text in parts of about limit characters, cut only where no match of the pattern can span."""
-    at = 0
-    while len(text) - at > limit:
-        m = _SAFE.search(text, at + limit)
-        if not m:
-            break
-        yield text[at : m.end()]
-        at = m.end()
-    yield text[at:]
-
-
 def encode_text(text: str | None, path: str, pattern: str, limit: int = LONG) -> np.ndarray:
     enc = encoding(path, pattern)
-    parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_parts(text or "", limit)]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in chars.runs(text or "", limit)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: bool = True) -> DataFrame:

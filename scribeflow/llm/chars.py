@@ -101,6 +101,28 @@ def runs(text: str, limit: int) -> Iterator[str]:
         yield text[at:]
 
 
+def rounds(texts: list, limit: int) -> Iterator[list]:
+    """texts, or, of one text above limit alone, its runs one by one: what a block of texts is worked through in."""
+    if len(texts) == 1 and texts[0] and len(texts[0]) > limit:
+        for part in runs(texts[0], limit):
+            yield [part]
+    else:
+        yield texts
+
+
+def tail(text: str, n: int, spans) -> str:
+    """The shortest end of text from white space on that has n words by spans (word_spans or the like); all of it if it has fewer."""
+    k = n
+    while True:
+        parts = text.rsplit(None, k)
+        if len(parts) <= k:
+            return text
+        end = text[len(parts[0]) :]
+        if spans([end])[3][1] >= n:
+            return end
+        k *= 2
+
+
 @cache
 def _lower(punctuation: bool) -> np.ndarray:
     """Each byte's lower case, or a blank for white space (and for ASCII punctuation, if it parts words)."""

@@ -21,7 +21,7 @@ Passages are broadcast in blocks of at most BLOCK_WORDS words each; more
 passages take more blocks, so what is broadcast is bounded.
 
 Defined cases: null and empty texts match nothing, nor do passages without a
-word; of several matches
+word; very long texts are searched whole, in runs that overlap; of several matches
 of a passage in a document the one with fewest edits, then the first, is
 returned; equal passages match each; repeated document rows count once;
 empty tables give an empty result; extra columns are ignored.
@@ -249,7 +249,25 @@ class Index:
         return who[lane], item, starts[lane]
 
     def matches(self, texts: list) -> list[tuple[int, int, int, int, int]]:
-        """(text, item id, starting word, words, edits) of each passage found in each text."""
+        """(text, item id, starting word, words, edits) of each passage found in each text.
+
+        One very long text is searched in runs, each with as many words before it as a passage can span.
+        """
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        reach = max((len(w) + edits_allowed(len(w)) for w in self.items), default=0)
+        before, words = "", 0
+        for part in chars.rounds(texts, _CHARS):
+            own = [before + part[0]] if before else part
+            ahead = len(symbols([before])[0]) if before else 0
+            for t, i, s, m, k in self._matches(own):
+                row = (k, s + words - ahead, m)
+                best[t, i] = min(best.get((t, i), row), row)
+            if len(texts) == 1 and part[0]:
+                words += len(symbols(part)[0])
+                before = chars.tail(own[0], reach, chars.symbol_spans) if reach else ""
+        return sorted((t, self.ids[i], s, m, k) for (t, i), (k, s, m) in best.items())
+
+    def _matches(self, texts: list) -> list[tuple[int, int, int, int, int]]:
         h, at = symbols(texts)
         who, item, start = map(np.concatenate, zip(self.candidates(h, at), self.short_candidates(h, at), strict=True))
         out = []
@@ -275,8 +293,8 @@ class Index:
                     if k <= e:
                         row = (k, base + f, z - f)
                         best[t] = min(best.get(t, row), row)
-            out += [(t, self.ids[i], s, m, k) for t, (k, s, m) in best.items()]
-        return sorted(out)
+            out += [(t, i, s, m, k) for t, (k, s, m) in best.items()]
+        return out
 
 
 @lru_cache(maxsize=2)

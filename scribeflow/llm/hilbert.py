@@ -11,9 +11,16 @@ checksum and the id, so a group of copies that holds a third of all rows is
 spread over many partitions, while copies stay neighbours on the curve. Only
 one row per partition (a count) is summed in one place.
 
+Sizes take two cells to a doubling: at 6 bits, up to 4 GB, so the longest texts
+still have cells of their own.
+
 Defined cases: a null text has no bytes and size 1, checksum 0; null
-dimensions fall in cell 0; repeated rows are placed each; an empty table gives
-an empty result; fewer rows than shards leave some shards empty.
+dimensions, and columns that docs lacks, fall in cell 0; rows of one cell are
+ordered by checksum, size and id, and rows that tie in all of these stand in
+any order; repeated rows are placed each; a text's length moves no more than
+its cell and size, since texts themselves never leave their task; other columns
+are never read, whatever their names; an empty table gives an empty result;
+fewer rows than shards leave some shards empty.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribeflow.runtime import cut_lineage
+from scribeflow.runtime import cut_lineage, tasks_for
 
 
 def curve_table(dims: int) -> tuple[list[int], list[int]]:
@@ -90,7 +97,7 @@ def log_cell(value: Column, bits: int) -> Column:
     return F.least(F.lit((1 << bits) - 1), F.floor(2 * F.log2(F.coalesce(value, F.lit(0)).cast("double") + 1))).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 8, bits: int = 5, partitions: int | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, bits: int = 6, partitions: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), curve (the index)."""
     spark = docs.sparkSession
     names = set(docs.columns)
@@ -99,7 +106,7 @@ def shard(docs: DataFrame, shards: int = 8, bits: int = 5, partitions: int | Non
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     rows = docs.select(F.col("doc_id"), size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), hilbert_index([cell("lang"), log_cell(size, bits), cell("source")], bits).alias("curve"))
     order = ["curve", "text_crc32", "size", "doc_id"]
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or tasks_for(spark, docs.count(), 2_000_000)
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     # range bounds are sampled: the counts below must be those of the rows that are returned
     placed = cut_lineage(placed.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)}))

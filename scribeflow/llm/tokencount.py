@@ -7,7 +7,11 @@ frequent pre-tokens (top, a bounded table) are broadcast and summed where the
 text is; the rest are joined by Spark. The special string of the vocabulary
 inside a text is one token and splits the text, as is the library's default.
 
-Defined cases: a null or empty text has 0 tokens; repeated rows give a row
+Another vocabulary file of the same kind may be given; one that splits texts
+otherwise is refused.
+
+Defined cases: a null or empty text has 0 tokens; a very long text is worked
+through in runs that part where no pre-token spans; repeated rows give a row
 each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -41,10 +45,16 @@ def tokenizer(path: str):
 
 @cache
 def specials(path: str) -> tuple[str, ...]:
+    """The special strings of a vocabulary file; ValueError if its texts aren't split as this module splits them."""
     import json
 
     with open(path, encoding="utf-8") as f:
-        return tuple(x["content"] for x in json.load(f)["added_tokens"])
+        own = json.load(f)
+    split = own.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not own.get("normalizer")
+    if not plain or any(x[k] for x in own["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: only byte-level vocabularies with the public pattern, no prefix blank and no normaliser are counted here")
+    return tuple(x["content"] for x in own["added_tokens"])
 
 
 def _laid_out(texts: list, special: tuple[str, ...]):
@@ -83,8 +93,8 @@ def vocabulary(docs: DataFrame, special: tuple[str, ...], text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
-            for i, j in chars.blocks(texts, _CHARS):
-                joined, starts, lengths, keys, _, _ = _tokens(texts[i:j], special)
+            for part in (r for i, j in chars.blocks(texts, _CHARS) for r in chars.rounds(texts[i:j], _CHARS)):
+                joined, starts, lengths, keys, _, _ = _tokens(part, special)
                 got, first, n = np.unique(keys, return_index=True, return_counts=True)
                 s = starts[first].tolist()
                 e = (starts[first] + lengths[first]).tolist()
@@ -141,21 +151,21 @@ def count_tokens(docs: DataFrame, path: str | None = None, over: int = 512, text
         for b in batches:
             ids, rows, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             for i, j in chars.blocks(texts, _CHARS):
-                part = texts[i:j]
-                joined, starts, lengths, h, who, found = _tokens(part, special)
-                h = h.view(np.int64)
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-                base = found + np.bincount(who[hit], size[at[hit]] if len(known) else None, len(part)).astype(np.int64)
-                miss = np.flatnonzero(~hit)
-                rare: list = [{} for _ in part]
-                for w, s, e in zip(who[miss].tolist(), starts[miss].tolist(), (starts[miss] + lengths[miss]).tolist(), strict=True):
-                    t = joined[s:e]
-                    rare[w][t] = rare[w].get(t, 0) + 1
+                base, rare = np.zeros(j - i, np.int64), [{} for _ in range(i, j)]
+                for part in chars.rounds(texts[i:j], _CHARS):
+                    joined, starts, lengths, h, who, found = _tokens(part, special)
+                    h = h.view(np.int64)
+                    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                    base += found + np.bincount(who[hit], size[at[hit]] if len(known) else None, len(part)).astype(np.int64)
+                    miss = np.flatnonzero(~hit)
+                    for w, s, e in zip(who[miss].tolist(), starts[miss].tolist(), (starts[miss] + lengths[miss]).tolist(), strict=True):
+                        t = joined[s:e]
+                        rare[w][t] = rare[w].get(t, 0) + 1
                 flat = [(t, f) for r in rare for t, f in r.items()]
                 ends = np.cumsum([0] + [len(r) for r in rare])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.string()), pa.array([f for _, f in flat], pa.int32())], ["token", "f"]))
-                n_bytes = [len(x.encode("utf-8", "surrogatepass")) if x else 0 for x in part]
+                n_bytes = [len(x.encode("utf-8", "surrogatepass")) if x else 0 for x in texts[i:j]]
                 yield arrow.batch(out, ids[i:j], rows[i:j], n_bytes, base, lists.cast(out.field("rare").type))
 
     # a row's number keeps repeated rows apart; it is used inside this one plan only

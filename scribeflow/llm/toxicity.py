@@ -8,9 +8,10 @@ broadcast, and every task scores whole texts with them.
 
 A fifth of the training sample isn't trained on; it shifts the intercept so that
 the fixed threshold parts the classes best. The classifier is fitted on a bounded sample of labelled rows (sample rows,
-those with the smallest hash of their id), in one task of that bounded size.
+those with the smallest hash of their id, and SAMPLE_CHARS characters), in one task of that bounded size.
 
-Defined cases: a null or empty text gets the score of the intercept alone;
+Defined cases: a null or empty text gets the score of the intercept alone; very
+long texts are scored whole, in runs;
 without labelled rows the score is 0.5 everywhere and nothing is rejected;
 labels that are null or have no document are ignored; of repeated labels of a
 document the largest counts; repeated rows are scored each; other columns are
@@ -31,6 +32,8 @@ from scribeflow.llm import arrow, chars
 BITS = 20
 #: Labelled rows that training uses at most.
 SAMPLE = 12_000
+#: Characters of their texts that it uses at most: rows beyond, in the order of the sample, are left out.
+SAMPLE_CHARS = 60_000_000
 THRESHOLD = 0.7
 _CHARS = 3_000_000
 
@@ -107,12 +110,28 @@ def train_calibrated(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray
     return places, weights, bias
 
 
+def _spans(texts: list):
+    return chars.word_spans(texts, punctuation=True)
+
+
+def features(texts: list, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places of each text (those that wanted marks) and the text that each belongs to.
+
+    One very long text is worked through in runs, each with the two words before it, so that no pair is lost.
+    """
+    held, before = np.zeros(0, np.int64), ""
+    for part in chars.rounds(texts, _CHARS):
+        places, owners = hashed([before + part[0]] if before else part)
+        keep = slice(None) if wanted is None else np.flatnonzero(wanted[places])
+        held = np.union1d(held, owners[keep] * (1 << BITS) + places[keep])
+        before = chars.tail(part[0], 2, _spans) if len(texts) == 1 and part[0] else ""
+    return held & ((1 << BITS) - 1), held >> BITS
+
+
 def scores(texts: list, model: np.ndarray, bias: float) -> np.ndarray:
     """model: dense weights of all places."""
-    places, owners = hashed(texts)
-    hit = np.flatnonzero(model[places] != 0)
-    pairs = np.unique(owners[hit] * (1 << BITS) + places[hit])
-    total = bias + np.bincount(pairs >> BITS, model[pairs & ((1 << BITS) - 1)], len(texts))
+    places, owners = features(texts, model != 0)
+    total = bias + np.bincount(owners, model[places], len(texts))
     return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
@@ -129,11 +148,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     kind, out = arrow.schema(None, "place int, weight double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+        examples, size = [], 0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for x, y in zip(texts, b.column(1).to_pylist(), strict=True):
-                examples.append((np.unique(hashed([x])[0]), int(y > 0)))
+            for x, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                size += len(x.as_py() or "")
+                if size <= SAMPLE_CHARS or not examples:
+                    examples.append((features([x.as_py()])[0].astype(np.int32), int(y > 0)))
         places, weights, bias = train_calibrated(examples)
         yield arrow.batch(out, np.append(places, -1).astype(np.int32), np.append(weights, bias))
 

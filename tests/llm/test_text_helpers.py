@@ -69,5 +69,5 @@ def test_long_texts_are_cut_safely(limit):
     enc = bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for t in HARD:
         t = (t + " ") * 3
-        assert "".join(bpe.safe_parts(t, limit)) == t
+        assert "".join(chars.runs(t, limit)) == t
         assert bpe.encode_text(t, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, limit).tolist() == enc.encode_ordinary(t)
