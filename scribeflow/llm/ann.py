@@ -228,7 +228,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embed
         return pa.table([pa.array([rows.column("shard")[0].as_py()], pa.int32()), pa.array([path])], schema=index_out)
 
     made = nodes.withColumn("shard", shard_of).groupBy("shard").applyInArrow(graph, index_kind)
-    paths = vectors.sparkSession.sparkContext.broadcast([r["path"] for r in made.orderBy("shard").collect()])  # one name a shard
+    paths = vectors.sparkSession.sparkContext.broadcast([path for _, path in sorted(map(tuple, made.collect()))])  # one name a shard
     found_kind, found_out = arrow.schema(None, "query_id long, rank int, vec_id long, score double")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
