@@ -15,9 +15,10 @@ blocks, which is exact, and it isn't branched further.
 Compared groups give a star for each exactly linked component, never all
 pairs, so output stays linear in the rows. Groups are bounded in documents and
 in bytes. Components of these stars over the cluster give each document's
-group. Joins on a node or a class hold a few narrow columns and have a side
-that was aggregated first; adaptive execution may split them where one key is
-very frequent. Tables of the levels are removed once the groups are compared.
+group. The rows of a large node are dealt over tasks by salt. The join on a
+class holds two narrow columns and has a side that was aggregated first, so
+adaptive execution can split a class that very many rows share. Tables of the
+levels are removed once the groups are compared.
 
 Defined cases: null or blank texts have an empty set and are linked with
 nothing; fewer words than a shingle make one shingle of all of them; equal
@@ -51,6 +52,8 @@ BLOCK = 1024
 DEPTH = 8
 #: Shingles of texts that are compared at once in a task: more documents, or longer ones, are compared by pairs of blocks.
 BULK = 1 << 22
+#: Tasks over which the rows of a large node are dealt.
+SALTS = 32
 _CHARS = 3_000_000
 _U = np.uint64
 
@@ -299,6 +302,25 @@ def _branches(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("node", "used", "doc", "sketch").mapInArrow(run, kind)
 
 
+def _dealt(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows with the columns of nodes (one row each): a node's rows are dealt over SALTS tasks, and its row goes to each."""
+    salt = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(SALTS)).cast("int")
+    each = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(each, ["node", "_salt"]).drop("_salt")
+
+
+def _sized(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with the size and pivot of their nodes, for nodes of more than one."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where("size > 1")
+    sizes = scratch.written(sizes, "sizes")
+    large = sizes.where(F.col("size") > LEAF).select("node")
+    if large.isEmpty():
+        return rows.join(sizes, "node")
+    hot, cool = sieve.parted(rows, F.col("node"), large)
+    hot_sizes, cool_sizes = sieve.parted(sizes, F.col("node"), large)
+    return _dealt(hot, hot_sizes).unionByName(cool.join(cool_sizes, "node"))
+
+
 def _near_pivot(rows: DataFrame, least: float = 0.95) -> DataFrame:
     """rows with near: whether the sketch agrees with the pivot's almost everywhere."""
     kind, out = arrow.schema(None, "node long, used long, doc long, n long, mini binary, pivot long, size long, near boolean")
@@ -309,16 +331,16 @@ def _near_pivot(rows: DataFrame, least: float = 0.95) -> DataFrame:
             yield arrow.batch(out, *b.columns[:7], (x == y).mean(axis=1) >= least)
 
     pivots = rows.where("doc = pivot").select("node", F.col("mini").alias("other")).dropDuplicates(["node"])
-    return rows.select("node", "used", "doc", "n", "mini", "pivot", "size").join(pivots, "node").mapInArrow(run, kind)
+    own = _dealt(rows.select("node", "used", "doc", "n", "mini", "pivot", "size"), pivots)
+    return own.select("node", "used", "doc", "n", "mini", "pivot", "size", "other").mapInArrow(run, kind)
 
 
 def _compared(reps: DataFrame, similarity: float, scratch: Scratch) -> list[DataFrame]:
     """Tables (grp, doc, n, mini) of bounded groups whose members are to be compared."""
     groups = []
-    rows = _root_paths(reps, similarity)
+    rows = scratch.written(_root_paths(reps, similarity), "roots")
     for level in range(DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where("size > 1")
-        live = rows.join(sizes, "node").join(reps.select("doc", "n", "mini"), "doc")
+        live = _sized(rows, scratch).join(reps.select("doc", "n", "mini"), "doc")
         live = scratch.written(live.select("node", "used", "doc", "n", "mini", "pivot", "size"), "paths")
         groups.append(live.where(F.col("size") <= LEAF).select(F.col("node").alias("grp"), "doc", "n", "mini"))
         large = live.where(F.col("size") > LEAF)
@@ -326,7 +348,7 @@ def _compared(reps: DataFrame, similarity: float, scratch: Scratch) -> list[Data
             break
         large = scratch.written(_near_pivot(large), "pivots")
         far = large.groupBy("node").agg(F.count_if(~F.col("near")).alias("far"))
-        large = large.join(far, "node").withColumns({
+        large = _dealt(large, far).withColumns({
             "blocks": F.ceil(F.col("size") / BLOCK), "far_blocks": F.greatest(F.lit(1), F.ceil(F.col("far") / BLOCK)),
             "ends": (F.col("far") <= BLOCK) | F.lit(level == DEPTH), "salt": F.xxhash64("doc", F.lit(11)),
         })
