@@ -1,28 +1,124 @@
-"""Full-text search on segments: postings, AND of phrases, phrase positions, BM25.
+"""Full-text search on segments: a stored index, AND of phrases, phrase positions, BM25.
 
-A query scans the segments once and keeps those whose tokens hold every
-phrase: no shuffle, and only the text column is read. For repeated queries the
-postings table is stored, bucketed by term.
+An Index holds postings with positions and segment lengths, and totals by
+episode. Stored by range of term, a query reads the row groups of its own terms
+alone; matches, counts and ranks come from ids and positions, never from
+texts. Episodes can be added and replaced.
+
+Without an index a query scans the segments once and keeps those whose tokens
+hold every phrase: no shuffle, and only the text column is read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribeflow.functions import text as T
+from scribeflow.runtime import tasks_for
 
 
 def postings(segments: DataFrame) -> DataFrame:
-    """term, episode_id, seq, positions (0-based, ascending)."""
-    rows = segments.select("episode_id", "seq", F.posexplode(T.search_tokens(F.col("text"))).alias("pos", "term"))
-    return rows.groupBy("term", "episode_id", "seq").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
-def document_lengths(segments: DataFrame) -> DataFrame:
-    return segments.select("episode_id", "seq", F.size(T.search_tokens(F.col("text"))).alias("dl"))
+    """term, episode_id, seq, positions (0-based, ascending), dl (tokens of the segment).
+
+    A segment's tokens are grouped where they are made, before the shuffle.
+    """
+    tokens = segments.select("episode_id", "seq", T.search_tokens(F.col("text")).alias("t"))
+    rows = tokens.select("episode_id", "seq", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    return rows.groupBy("term", "episode_id", "seq").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
+
+
+def episode_lengths(segments: DataFrame) -> DataFrame:
+    """episode_id, segments, tokens: what ranks need of segments without the terms asked for."""
+    return segments.groupBy("episode_id").agg(F.count("*").alias("segments"), F.sum(F.regexp_count(T.padded_tokens(F.col("text")), F.lit(r" (?=\S)"))).alias("tokens"))
+
+
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame
+    lengths: DataFrame
+
+    @staticmethod
+    def of(segments: DataFrame) -> Index:
+        return Index(postings(segments), episode_lengths(segments))
+
+    @staticmethod
+    def stored(spark: SparkSession, folder: str) -> Index:
+        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"))
+
+    def store(self, folder: str) -> Index:
+        """Written by ranges of term and episode (a frequent term takes several), so that a term's rows stand together."""
+        spark = self.postings.sparkSession
+        self.lengths.write.parquet(f"{folder}/lengths")
+        lengths = spark.read.parquet(f"{folder}/lengths")
+        tasks = tasks_for(spark, int(lengths.agg(F.sum("tokens")).first()[0] or 0), 20_000_000)
+        self.postings.repartitionByRange(tasks, "term", "episode_id").sortWithinPartitions("term", "episode_id", "seq").write.parquet(f"{folder}/postings")
+        return Index.stored(spark, folder)
+
+    def without(self, episodes: DataFrame) -> Index:
+        """The index without the episodes of a table (episode_id)."""
+        gone = episodes.select("episode_id").distinct()
+        return Index(self.postings.join(gone, "episode_id", "left_anti"), self.lengths.join(gone, "episode_id", "left_anti"))
+
+    def merged(self, new: Index) -> Index:
+        """The index with the episodes of another in place of its own of the same ids."""
+        own = self.without(new.lengths)
+        return Index(own.postings.select(new.postings.columns).unionByName(new.postings), own.lengths.select(new.lengths.columns).unionByName(new.lengths))
+
+    def _counted(self, phrases: list[list[str]]) -> DataFrame:
+        """episode_id, seq, dl and _f0, _f1...: how often each phrase stands in each segment with a term of one."""
+        terms = sorted({t for p in phrases for t in p})
+        rows = self.postings.where(F.col("term").isin(*terms))
+        own = [F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"_p{i}") for i, t in enumerate(terms)]
+        per = rows.groupBy("episode_id", "seq").agg(F.first("dl").alias("dl"), *own)
+        at = {t: F.col(f"_p{i}") for i, t in enumerate(terms)}
+
+        def times(phrase: list[str]) -> Column:
+            starts = at[phrase[0]]
+            for k, t in enumerate(phrase[1:], 1):
+                starts = F.array_intersect(starts, _moved(at[t], k))
+            return F.greatest(F.lit(0), F.coalesce(F.size(starts), F.lit(0)))
+
+        return per.select("episode_id", "seq", "dl", *[times(p).alias(f"_f{i}") for i, p in enumerate(phrases)])
+
+    def match(self, query: str | list[str]) -> DataFrame:
+        """episode_id, seq of the segments that hold every phrase of query."""
+        phrases = _phrases(query)
+        if not phrases:
+            return self.postings.select("episode_id", "seq").where(F.lit(False))
+        return self._counted(phrases).where(_all(phrases)).select("episode_id", "seq")
+
+    def bm25(self, query: str | list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """episode_id, seq, rank of the segments that hold every phrase: as the function bm25."""
+        phrases = _phrases(query)
+        if not phrases:
+            return self.postings.select("episode_id", "seq", F.lit(0.0).alias("rank")).where(F.lit(False))
+        counted = self._counted(phrases)
+        hits = counted.agg(*[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))])
+        corpus = self.lengths.agg(F.sum("segments").alias("_n"), (F.sum("tokens") / F.sum("segments")).alias("_avg"))
+        rows = counted.where(_all(phrases)).withColumnRenamed("dl", "_dl").crossJoin(F.broadcast(hits)).crossJoin(F.broadcast(corpus))  # one row each
+        return rows.select("episode_id", "seq", _rank(len(phrases), k1, b).alias("rank"))
+
+
+def _moved(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
+def _all(phrases: list) -> Column:
+    return reduce(lambda a, i: a & (F.col(f"_f{i}") > 0), range(len(phrases)), F.lit(True))
+
+
+def _rank(phrases: int, k1: float, b: float) -> Column:
+    score = F.lit(0.0)
+    for i in range(phrases):
+        n, f = F.col(f"_n{i}"), F.col(f"_f{i}")
+        idf = F.ln((F.col("_n") - n + 0.5) / (n + 0.5))
+        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
+        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_dl") / F.col("_avg")))
+    return -score
 
 
 def _occurrences(padded: Column, phrase: list[str]) -> Column:
@@ -44,17 +140,13 @@ def match(segments: DataFrame, query: str | list[str]) -> DataFrame:
     return segments.where(reduce(lambda a, p: a & padded.contains(f" {' '.join(p)} "), phrases, F.lit(True)))
 
 
-def _moved(by: int) -> Column:
-    return F.transform("positions", lambda p: p - by)
-
-
 def match_postings(index: DataFrame, query: str | list[str]) -> DataFrame:
     """episode_id, seq of the segments that hold every phrase, from stored postings."""
     out = None
     for phrase in _phrases(query):
         hits = None
         for k, term in enumerate(phrase):
-            own = index.where(F.col("term") == term).select("episode_id", "seq", _moved(k).alias("at"))
+            own = index.where(F.col("term") == term).select("episode_id", "seq", _moved(F.col("positions"), k).alias("at"))
             if hits is None:
                 hits = own
             else:
@@ -75,12 +167,6 @@ def bm25(segments: DataFrame, query: str | list[str], k1: float = 1.2, b: float
     counted = padded.withColumns(counts)
     corpus = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))])
     padded = padded.where(reduce(lambda a, p: a & F.col("_t").contains(f" {' '.join(p)} "), phrases, F.lit(True)))
-    hits = padded.withColumns(counts).where(reduce(lambda a, i: a & (F.col(f"_f{i}") > 0), range(len(phrases)), F.lit(True)))
+    hits = padded.withColumns(counts).where(_all(phrases))
     scored = hits.crossJoin(F.broadcast(corpus))  # one row of corpus statistics
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        n, f = F.col(f"_n{i}"), F.col(f"_f{i}")
-        idf = F.ln((F.col("_n") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_dl") / F.col("_avg")))
-    return scored.select(*segments.columns, (-score).alias("rank"))
+    return scored.select(*segments.columns, _rank(len(phrases), k1, b).alias("rank"))

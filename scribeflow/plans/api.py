@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scribeflow.functions import formats as X
 from scribeflow.functions import text as T
 from scribeflow.operators import textindex, vectors
+from scribeflow.runtime import cut_lineage
 
 PAGE = 20
 
@@ -17,17 +18,22 @@ def _page(rows: DataFrame, page: int, size: int) -> DataFrame:
     return rows.offset((max(1, page) - 1) * size).limit(size)
 
 
-def search(segments: DataFrame, episodes: DataFrame, query: str, page: int = 1, size: int = PAGE) -> DataFrame:
+def search(segments: DataFrame, episodes: DataFrame, query: str, page: int = 1, size: int = PAGE, index: textindex.Index | None = None) -> DataFrame:
     """Matching segments of a page of episodes (newest id first), with best_rank and has_more.
 
+    The page is chosen on ids and ranks; only its own texts are fetched. With
+    an index, nothing else is read of the segments.
+
     has_more is true when the page is full, even if nothing follows.
     """
-    hits = textindex.bm25(segments, query).select("episode_id", "rank", F.struct("start_ms", "end_ms", "seq", "text").alias("match"))
+    hits = (index.bm25(query) if index else textindex.bm25(segments, query)).select("episode_id", "seq", "rank")
     known = episodes.select(F.col("id").alias("episode_id"), "title", "duration_ms", "summary")
-    # one row an episode with its matches, so that the hits are made once and a page is a top-k
-    per = hits.groupBy("episode_id").agg(F.min("rank").alias("best_rank"), F.array_sort(F.collect_list("match")).alias("matches")).join(known, "episode_id")
-    chosen = _page(per.orderBy(F.desc("episode_id")), page, size).withColumn("has_more", F.count("*").over(W.partitionBy()) == size)
-    rows = chosen.select("episode_id", "title", "duration_ms", "summary", "best_rank", "has_more", F.inline("matches"))
+    best = hits.groupBy("episode_id").agg(F.min("rank").alias("best_rank")).join(known.select("episode_id"), "episode_id", "left_semi")
+    chosen = _page(best.orderBy(F.desc("episode_id")), page, size).withColumn("has_more", F.count("*").over(W.partitionBy()) == size)
+    chosen = F.broadcast(cut_lineage(chosen))  # a page, made once
+    own = segments.select("episode_id", "seq", "start_ms", "end_ms", "text").join(chosen, "episode_id")
+    rows = own.join(hits.select("episode_id", "seq").join(chosen.select("episode_id"), "episode_id", "left_semi"), ["episode_id", "seq"], "left_semi")
+    rows = known.join(rows, "episode_id")
     return rows.select("episode_id", "title", "duration_ms", "summary", "seq", "start_ms", "end_ms", "text", "best_rank", "has_more").orderBy(F.desc("episode_id"), "start_ms")
 
 
@@ -44,11 +50,11 @@ def semantic_search(index: DataFrame, episodes: DataFrame, query: list[float], k
     return rows.select("episode_id", T.falsy_or(F.col("_title"), F.col("title")).alias("title"), F.nullif(F.col("duration_ms"), F.lit(0)).alias("duration_ms"), F.nullif(F.col("summary"), F.lit("")).alias("summary"), "start_ms", "end_ms", "text", "score").orderBy(F.desc("episode_id"), "start_ms")
 
 
-def timeline(segments: DataFrame, episodes: DataFrame, query: str) -> DataFrame:
+def timeline(segments: DataFrame, episodes: DataFrame, query: str, index: textindex.Index | None = None) -> DataFrame:
     """month, mentions, episodes of the months with a mention."""
-    hits = textindex.match(segments, query).select("episode_id")
+    hits = (index.match(query) if index else textindex.match(segments, query)).groupBy("episode_id").agg(F.count("*").alias("n"))
     dated = episodes.select(F.col("id").alias("episode_id"), X.month(F.col("published_at")).alias("month"))
-    return hits.join(dated, "episode_id").groupBy("month").agg(F.count("*").alias("mentions"), F.countDistinct("episode_id").alias("episodes"))
+    return hits.join(dated, "episode_id").groupBy("month").agg(F.sum("n").alias("mentions"), F.count("*").alias("episodes"))
 
 
 def timeline_range(timeline_rows: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -73,8 +79,8 @@ def on_this_day(episodes: DataFrame, month_day: str) -> DataFrame:
 def guest_list(links: DataFrame, episodes: DataFrame) -> DataFrame:
     """guest_name, n_episodes, episodes (ids, newest first), total (guests)."""
     rows = links.join(episodes.select(F.col("id").alias("episode_id")), "episode_id")
-    out = rows.groupBy("guest_name").agg(F.count("*").alias("n_episodes"), F.sort_array(F.collect_list("episode_id"), asc=False).alias("episodes"))
-    return out.crossJoin(out.agg(F.count("*").alias("total"))).orderBy(F.lower("guest_name"), "guest_name")  # one row
+    out = cut_lineage(rows.groupBy("guest_name").agg(F.count("*").alias("n_episodes"), F.sort_array(F.collect_list("episode_id"), asc=False).alias("episodes")))
+    return out.crossJoin(F.broadcast(out.agg(F.count("*").alias("total")))).orderBy(F.lower("guest_name"), "guest_name")  # one row
 
 
 def episode_cards(episodes: DataFrame, links: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from scribeflow.functions import text as T
 from scribeflow.operators import textindex, vectors, windows
 from scribeflow.plans import api
 from scribeflow.plans._register import registrar
-from scribeflow.runtime import table
+from scribeflow.runtime import fresh_path, table
 
 QUERIES, SQL, query = registrar()
 
@@ -23,6 +23,17 @@ def _words(d: str) -> str:
     return f"tok AS (SELECT *, {_TOK} AS t, {_PADDED} AS p FROM {d})"
 
 
+_INDEXES: dict[tuple[str, str], textindex.Index] = {}
+
+
+def _index(spark, d):
+    """The index of a folder's segments: built once in a session, then read by every query."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = textindex.Index.of(M.segments(spark, d)).store(fresh_path(spark, "index"))
+    return _INDEXES[key]
+
+
 @query(f"""WITH {M.EPISODES_SQL}, {_words('seg')}, n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 c AS (SELECT *, len(t) AS dl, len(list_filter(t, lambda x: x = 'the')) AS f1, len(list_filter(t, lambda x: x = 'to')) AS f2 FROM tok),
 k AS (SELECT count(*) FILTER (f1 > 0) AS n1, count(*) FILTER (f2 > 0) AS n2 FROM c),
@@ -33,13 +44,13 @@ pg AS (SELECT episode_id, min(rank) AS best_rank FROM m GROUP BY 1 ORDER BY 1 DE
 SELECT m.episode_id, title, duration_ms, summary, seq, start_ms, end_ms, text, round(best_rank, 6) AS best_rank, (SELECT count(*) = 20 FROM pg) AS has_more FROM m JOIN pg USING (episode_id)""")
 def q01_search_page(spark, d):
     """Q01: second page of the episodes in which a segment holds both terms."""
-    return api.search(M.segments(spark, d), M.episodes(spark, d), '"the" to', page=2).withColumn("best_rank", F.round("best_rank", 6))
+    return api.search(M.segments(spark, d), M.episodes(spark, d), '"the" to', page=2, index=_index(spark, d)).withColumn("best_rank", F.round("best_rank", 6))
 
 
 @query(f"WITH {M.EPISODES_SQL}, {_words('seg')} SELECT strftime(published_at, '%Y-%m') AS month, count(*) AS mentions, count(DISTINCT episode_id) AS episodes FROM tok JOIN ep ON ep.id = episode_id WHERE list_contains(t, 'the') GROUP BY 1")
 def q03_timeline(spark, d):
     """Q03: mentions and episodes by month."""
-    return api.timeline(M.segments(spark, d), M.episodes(spark, d), "the")
+    return api.timeline(M.segments(spark, d), M.episodes(spark, d), "the", index=_index(spark, d))
 
 
 @query(f"""WITH {M.EPISODES_SQL}, {_words('seg')} SELECT CAST((SELECT count(*) FROM tok JOIN ep ON ep.id = episode_id WHERE list_contains(t, 'the')) AS BIGINT) AS total_mentions,
@@ -47,7 +58,7 @@ min(strftime(published_at, '%Y-%m')) AS first_month, max(strftime(published_at,
 def q03_range(spark, d):
     """AG03, AG04: all mentions and the span of months."""
     e = M.episodes(spark, d)
-    return api.timeline_range(api.timeline(M.segments(spark, d), e, "the"), e)
+    return api.timeline_range(api.timeline(M.segments(spark, d), e, "the", index=_index(spark, d)), e)
 
 
 @query(f"WITH {M.EPISODES_SQL} SELECT id, title, duration_ms, summary FROM ep")
@@ -110,7 +121,7 @@ def ft_phrase(spark, d):
 @query(f"WITH {M.SEGMENTS_SQL}, {_words('seg')} SELECT episode_id, seq FROM tok WHERE p LIKE '% of the %' AND list_contains(t, 'and')")
 def ft_postings(spark, d):
     """FT01, FT04, JN10: a phrase and a term, by postings and positions."""
-    return textindex.match_postings(textindex.postings(M.segments(spark, d)), ["of the", "and"])
+    return _index(spark, d).match(["of the", "and"])
 
 
 @query(f"""WITH {M.SEGMENTS_SQL}, {_words('seg')}, n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
@@ -120,7 +131,7 @@ SELECT episode_id, round(min(-(greatest(1e-6, ln((n - n1 + 0.5) / (n1 + 0.5))) *
   + greatest(1e-6, ln((n - n2 + 0.5) / (n2 + 0.5))) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS best_rank FROM c, k, n WHERE f > 0 AND f2 > 0 GROUP BY 1""")
 def ft_bm25_min_rank(spark, d):
     """FT03, AG01: the best rank of each episode."""
-    return textindex.bm25(M.segments(spark, d), ["the", "in a"]).groupBy("episode_id").agg(F.round(F.min("rank"), 6).alias("best_rank"))
+    return _index(spark, d).bm25(["the", "in a"]).groupBy("episode_id").agg(F.round(F.min("rank"), 6).alias("best_rank"))
 
 
 @query(f"WITH {M.SEGMENTS_SQL} SELECT episode_id, seq FROM seg WHERE regexp_matches(text, '(?i)\\bthe\\b')")

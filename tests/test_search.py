@@ -42,6 +42,33 @@ def test_phrase(segments, fts, phrase):
     assert {r.seq for r in textindex.match_postings(textindex.postings(segments), [phrase]).collect()} == want
 
 
+@pytest.mark.parametrize("query", ["cat", "the cat", "dog cat", "cafe", "don't", ["the cat", "cat sat on"], ["the the"], "missing", "--"])
+def test_index_equals_scan(segments, tmp_path, query):
+    index = textindex.Index.of(segments).store(str(tmp_path / "index"))
+    want = {r.seq: r["rank"] for r in textindex.bm25(segments, query).collect()}
+    got = {r.seq: r["rank"] for r in index.bm25(query).collect()}
+    assert got.keys() == want.keys() == {r.seq for r in index.match(query).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_index_follows_its_episodes(spark, segments, tmp_path):
+    """Episodes removed, replaced and added: as an index of what is left, and of what they are now."""
+    same = lambda a, b: sorted(map(str, a.bm25("cat the").collect())) == sorted(map(str, b.bm25("cat the").collect()))
+    index = textindex.Index.of(segments).store(str(tmp_path / "index"))
+    assert same(index.without(segments.where("episode_id = '1'")), textindex.Index.of(segments.where("episode_id <> '1'")))
+    new = spark.createDataFrame([("1", 1, 0, 9, "the cat again"), ("7", 1, 0, 9, "the last cat"), ("8", 1, 0, 9, "")], segments.schema)
+    assert same(index.merged(textindex.Index.of(new)), textindex.Index.of(segments.where("episode_id <> '1'").unionByName(new)))
+
+
+def test_search_by_index_equals_search_by_scan(spark, segments):
+    episodes = spark.createDataFrame([(str(i), f"t{i}", 1000, "s") for i in range(3)], "id string, title string, duration_ms long, summary string")
+    index = textindex.Index.of(segments)
+    for query in ("cat", "the cat", "nothing here", ""):
+        for page in (1, 2):
+            a, b = (api.search(segments, episodes, query, page, 2, i).drop("best_rank").collect() for i in (None, index))
+            assert a == b
+
+
 def test_no_tokens_match_nothing(segments):
     assert textindex.match(segments, "--").count() == 0 and textindex.bm25(segments, "()").count() == 0
 
