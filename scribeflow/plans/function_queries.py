@@ -23,25 +23,25 @@ def sf27_durations(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.hours_minutes(k * 1000).alias("hm"), X.clock(k * 1000).alias("clock"), X.elapsed(k).alias("elapsed"), X.megabytes(k * 100_000).alias("mb"))
 
 
-@query("""WITH g AS (SELECT o_custkey AS id, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders WHERE o_custkey % 10 < 6 AND o_orderkey % 4 = 0 GROUP BY 1)
+@query("""WITH g AS (SELECT o_custkey AS id, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)
 SELECT id, CASE len(l) WHEN 1 THEN 'g' || l[1] WHEN 2 THEN 'g' || l[1] || ' & g' || l[2] WHEN 3 THEN 'g' || l[1] || ', g' || l[2] || ' & g' || l[3] ELSE 'g' || l[1] || ', g' || l[2] || ' & ' || (len(l) - 2) || ' others' END AS label,
 len(l) || CASE WHEN len(l) = 1 THEN ' place mentioned like g' || l[1] WHEN len(l) = 2 THEN ' places mentioned like g' || l[1] || ' and g' || l[2] ELSE ' places mentioned like g' || l[1] || ', g' || l[2] || ', and g' || l[3] END || '.' AS places FROM g""")
 def sf28_labels(spark, d):
     """SF28, SF29, SL08: labels of guests and places."""
-    per = table(spark, d, "orders").where("o_custkey % 10 < 6 AND o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("g"), k)).alias("l"))
+    per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("g"), k)).alias("l"))
     return per.select("id", X.guest_label(F.col("l")).alias("label"), X.places_label(F.col("l")).alias("places"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped, substr(html, 1, 200) AS cut FROM pages""")
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped, substr(html, 1, 200) AS cut FROM pages""")
 def sf36_escape(spark, d):
     """SF31, SF36: cuts and HTML escapes."""
-    return table(spark, d, "pages").select("page_id", T.html_escape(F.substring("html", 1, 300)).alias("escaped"), F.substring("html", 1, 200).alias("cut"))
+    return table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"), F.substring("html", 1, 200).alias("cut"))
 
 
-@query("""SELECT event_id, lpad(strftime(timezone('America/Los_Angeles', timezone('UTC', ts)), '%-I:%M %p'), 1, '') IS NOT NULL AS x, strftime(timezone('America/Los_Angeles', timezone('UTC', ts)), '%-I:%M %p') AS pacific FROM events""")
+@query("""SELECT event_id, strftime(timezone('America/Los_Angeles', timezone('UTC', ts)), '%-I:%M %p') AS pacific FROM events""")
 def sf23_pacific(spark, d):
     """SF23, SF24: UTC instants on the Pacific wall clock."""
-    return table(spark, d, "events").select("event_id", F.lit(True).alias("x"), X.wall_clock(F.col("ts").cast("timestamp")).alias("pacific"))
+    return table(spark, d, "events").select("event_id", X.wall_clock(F.col("ts").cast("timestamp")).alias("pacific"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'bytes=' || s_suppkey || '-' || (s_suppkey * 2) WHEN s_suppkey % 3 = 1 THEN 'bytes=' || s_suppkey || '-' ELSE 'none' END AS header,
@@ -57,7 +57,7 @@ def sf40_requests(spark, d):
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ', city, ' || s_suppkey ELSE s_name || ', ' || s_suppkey END AS address, CASE WHEN s_suppkey % 3 = 0 THEN 'A' || s_suppkey ELSE NULL END AS first_street,
-CASE WHEN s_suppkey % 3 = 0 THEN 'B st' END AS second_street, s_suppkey % 4 = 0 AS inside, CASE WHEN s_acctbal < 0 THEN ceil(s_acctbal - 0.5) ELSE floor(s_acctbal + 0.5) END IS NOT NULL AS r, CAST(floor(s_acctbal + 0.5) AS BIGINT) AS rounded FROM supplier""")
+CASE WHEN s_suppkey % 3 = 0 THEN 'B st' END AS second_street, s_suppkey % 4 = 0 AS inside, CAST(floor(s_acctbal + 0.5) AS BIGINT) AS rounded FROM supplier""")
 def sf42_addresses(spark, d):
     """SF42, SF43, SF45, PF15: addresses, crossings, bounds, rounding."""
     k = F.col("s_suppkey")
@@ -66,7 +66,7 @@ def sf42_addresses(spark, d):
     lat = F.when(k % 4 == 0, 37.75).otherwise(36.0)
     return table(spark, d, "supplier").select(
         "s_suppkey", T.join_parts(F.col("s_name"), F.when(k % 2 == 0, "city").otherwise(""), k.cast("string")).alias("address"), two[0].alias("first_street"), two[1].alias("second_street"),
-        X.in_box(lat, F.lit(-122.4)).alias("inside"), F.lit(True).alias("r"), X.js_round(F.col("s_acctbal")).alias("rounded"),
+        X.in_box(lat, F.lit(-122.4)).alias("inside"), X.js_round(F.col("s_acctbal")).alias("rounded"),
     )
 
 

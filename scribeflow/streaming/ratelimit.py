@@ -12,9 +12,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from scribeflow.runtime import tasks_for
+
 
 class Gate:
     """The admitted times of one key within the window."""
@@ -52,11 +55,17 @@ def admitted(requests: DataFrame, limit: int, window_s: int) -> DataFrame:
                 flags.append(gate.admit(at))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(flags)], schema=out)
 
-    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = requests.select("key", "at", "event_id").where("key IS NOT NULL AND at IS NOT NULL")
+    parts = tasks_for(requests.sparkSession, rows.count(), 5_000_000)
     return rows.repartition(parts, "key").sortWithinPartitions("key", "at", "event_id").mapInArrow(run, kind)
 
 
+def first_per_key(requests: DataFrame) -> DataFrame:
+    """key, at, event_id, events: the first request of each key, by time and id, and the number of all."""
+    first = F.min(F.struct("at", "event_id")).alias("f")
+    return requests.groupBy("key").agg(first, F.count("*").alias("events")).select("key", "f.at", "f.event_id", "events")
+
+
 class RateLimiter(StatefulProcessor):
     """The same as a stateful stream operator: rows key, at, event_id in; key, at, event_id, admitted out."""
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables, on orders beyond the id bounds of their small forms and with dates of many files."""
+"""Queries over whole tables, with dates of many files."""
 
 from collections import Counter
 from datetime import datetime, timedelta
@@ -34,12 +34,12 @@ def rows_of(spark, folder, name):
 
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_equals_sql(spark, folder, name):
-    sql = registry.SQL[f"{name}_whole"]
+    sql = registry.SQL[name]
     assert "WHERE o_orderkey <" not in sql and "BETWEEN" not in sql
     db = duckdb.connect()
     for t in ("orders", "part"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
-    frame = registry.QUERIES[f"{name}_whole"](spark, folder)
+    frame = registry.QUERIES[name](spark, folder)
     got = Counter(map(tuple, frame.collect()))
     want = db.execute(sql)
     assert [c[0] for c in want.description] == frame.columns
@@ -49,10 +49,10 @@ def test_whole_equals_sql(spark, folder, name):
 def test_whole_against_plain_python(spark, folder):
     keys = range(1, ORDERS + 1)
     status = lambda k: next((s for n, s in ((2, "completed"), (3, "failed"), (5, "skipped"), (7, "completed")) if k % n == 0), "pending")
-    assert rows_of(spark, folder, "jn16_status_cascade_whole") == Counter((k, status(k)) for k in keys)
+    assert rows_of(spark, folder, "jn16_status_cascade") == Counter((k, status(k)) for k in keys)
     # files of one spelling, size and day are one; spellings 5 and 7 hold no date
     files = {(k % 8, k % 11, day(k).date()) for k in keys if k % 8 not in (5, 7)}
     per = Counter(str(f[2]) for f in files)
-    assert rows_of(spark, folder, "cl07_duplicate_dates_whole") == Counter((d, n) for d, n in per.items() if n > 1)
+    assert rows_of(spark, folder, "cl07_duplicate_dates") == Counter((d, n) for d, n in per.items() if n > 1)
     ranges = Counter((k, i, i * 20971520, min(20971520, (k % 40 + 1) * 7_000_000 - i * 20971520)) for k in range(1, PARTS + 1) for i in range(-(-(k % 40 + 1) * 7_000_000 // 20971520)))
-    assert rows_of(spark, folder, "sc05_byte_ranges_whole") == ranges
+    assert rows_of(spark, folder, "sc05_byte_ranges") == ranges
