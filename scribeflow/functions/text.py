@@ -102,7 +102,7 @@ def tokens_of(phrase: str) -> list[str]:
 def whole_word(text: Column, name: Column) -> Column:
     """name stands in text between ASCII word borders, whatever the case; name is taken literally."""
     quoted = F.regexp_replace(name, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    left = F.when(name.rlike(r"^\w"), r"(?i)(?<!\w)").otherwise(r"(?i)(?<=\w)")
+    left = F.when(name.rlike(r"^\w"), r"(?iu)(?<!\w)").otherwise(r"(?iu)(?<=\w)")
     right = F.when(name.rlike(r"\w$"), r"(?!\w)").otherwise(r"(?=\w)")
     return F.regexp_like(text, F.concat(left, quoted, right))
 

@@ -44,13 +44,27 @@ def usable_candidates(merged: DataFrame, stoplist: tuple[str, ...] = N.PLACE_STO
     return merged.where(~N.unusable_name(F.col("name"), stoplist))
 
 
+def _pieces(c: Column, size: int) -> Column:
+    """The distinct runs of size characters of a text of at least so many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(c, i, F.lit(size))))
+
+
 def longer_names_only(names: DataFrame, column: str = "normalized_name") -> DataFrame:
-    """names without those that stand inside a longer one. Joined on three-letter pieces, then verified."""
-    pieces = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
+    """names without those that stand inside a longer one.
+
+    A name looks for longer ones by its rarest three letters (a shorter name
+    by all of it), so a beginning that very many names share is no meeting
+    place; what meets is verified.
+    """
     n = F.col(column)
-    short = names.where(F.length(n) >= 3).select(n.alias("_a"), F.substring(n, 1, 3).alias("_p"))
-    long = names.where(F.length(n) >= 4).select(n.alias("_b"), F.explode(F.array_distinct(pieces(n))).alias("_p"))
-    inside = short.join(long, "_p").where(F.col("_b").contains(F.col("_a")) & (F.col("_a") != F.col("_b"))).select(F.col("_a").alias(column)).distinct()
+    own = names.select(n.alias("_a")).distinct()
+    threes = own.where(F.length("_a") >= 3).select("_a", F.explode(_pieces(F.col("_a"), 3)).alias("_p"))
+    rarest = threes.join(threes.groupBy("_p").agg(F.count("*").alias("_n")), "_p").groupBy("_a").agg(F.min_by("_p", F.struct("_n", "_p")).alias("_p"))
+    short = own.where(F.length("_a").between(1, 2)).select("_a", F.col("_a").alias("_p"))
+    probes = threes.select(F.col("_a").alias("_b"), "_p")
+    for size in (1, 2):
+        probes = probes.unionByName(own.where(F.length("_a") > size).select(F.col("_a").alias("_b"), F.explode(_pieces(F.col("_a"), size)).alias("_p")))
+    inside = rarest.unionByName(short).join(probes, "_p").where(F.col("_b").contains(F.col("_a")) & (F.col("_a") != F.col("_b"))).select(F.col("_a").alias(column)).distinct()
     return names.join(inside, column, "left_anti").select(names.columns)
 
 
@@ -60,57 +74,83 @@ def grouped_guests(links: DataFrame, name: str = "guest_name") -> DataFrame:
 
 
 def similar_names(names: DataFrame, column: str = "guest_name", percent: int = 85) -> DataFrame:
-    """a, b, sim: pairs of distinct names (a before b) whose similarity is percent / 100 or more.
+    """a, b, sim: pairs of distinct names (a before b) whose similarity is percent / 100 or more (percent: 75 or more).
 
-    Names that are that close share one of few pieces at nearly the same
-    place: a name of length n is cut into one piece more than the edits that
-    the similarity allows, so at least one piece is untouched. Pairs come from
-    equal pieces and are verified; there is no product of all names.
+    Names within e edits share all but e * q of their runs of q letters, so at
+    least one of the e * q + 1 rarest of each. Pairs come from equal rare runs,
+    of lengths that fit, and are verified: no product of all names, and runs
+    that very many names share are met only by names made of such alone.
     """
+    if percent < 75:
+        raise ValueError("similar names are found from 75 % on")
+    q = 3 if percent >= 84 else 2
     own = names.select(F.trim(F.lower(column)).alias("k"), F.col(column).alias("name")).where(F.length("k") > 0)
-    edits = lambda n: F.floor(F.floor(n * 100 / percent) * (100 - percent) / 100).cast("int")  # noqa: E731  of the longest partner
     n = F.length("k")
-    cuts = own.withColumns({"n": n, "e": edits(n)}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e"))))
-    begin = lambda i: F.floor(F.col("n") * i / (F.col("e") + 1)).cast("int")
-    cuts = cuts.withColumns({"at": begin(F.col("i")), "size": begin(F.col("i") + 1) - begin(F.col("i"))})
-    index = cuts.select(F.col("name").alias("x"), F.col("k").alias("kx"), F.col("n").alias("len"), "i", F.substring("k", F.col("at") + 1, F.col("size")).alias("piece"))
-    probes = own.withColumn("m", n).withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * percent / 100).cast("int"), F.col("m"))))
-    probes = probes.withColumn("e", edits(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e"))))
-    probes = probes.withColumns({"at": begin(F.col("i")), "size": begin(F.col("i") + 1) - begin(F.col("i"))})
-    low, high = F.greatest(F.lit(0), F.col("at") - F.col("e")), F.least(F.col("m") - F.col("size"), F.col("at") + F.col("e"))
-    probes = probes.where(low <= high).withColumn("s", F.explode(F.sequence(low, high)))
-    probes = probes.select(F.col("name").alias("y"), F.col("k").alias("ky"), F.col("n").alias("len"), "i", F.substring("k", F.col("s") + 1, F.col("size")).alias("piece")).distinct()
-    pairs = index.join(probes, ["len", "i", "piece"]).where("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.withColumn("sim", T.similarity(F.col("a"), F.col("b"))).where(F.col("sim") * 100 >= percent - 1e-9)
-
-
-def _key_token(name: Column) -> Column:
-    """The longest word of a name (the first of equals), lower-cased; null without one."""
-    words = F.filter(F.split(F.lower(name), r"\W+"), lambda w: w != "")
-    return F.get(F.array_sort(words, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(0))
+    edits = F.floor(F.floor(n * 100 / percent) * (100 - percent) / 100).cast("int")  # of the longest partner
+    keys = own.select("k").distinct().withColumns({"n": n, "most": edits * q + 1}).where(F.col("n") >= q)
+    runs = keys.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n") - (q - 1)))).withColumn("run", F.substring("k", F.col("i"), F.lit(q)))
+    again = F.row_number().over(W.partitionBy("k", "run").orderBy("i"))  # repeats of a run in a name are runs of their own
+    runs = runs.withColumn("run", F.concat("run", again.cast("string"))).select("k", "n", "most", "run")
+    counts = runs.groupBy("run").agg(F.count("*").alias("times"))
+    place = F.row_number().over(W.partitionBy("k").orderBy("times", "run"))
+    rare = runs.join(counts, "run").withColumn("place", place).where(F.col("place") <= F.col("most")).select("k", "n", "run")
+    left, right = rare.select(F.col("k").alias("x"), F.col("n").alias("nx"), "run"), rare.select(F.col("k").alias("y"), F.col("n").alias("ny"), "run")
+    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    pairs = left.join(right, "run").where((F.col("x") < F.col("y")) & fits).select("x", "y").distinct()
+    pairs = pairs.withColumn("sim", T.similarity(F.col("x"), F.col("y"))).where(F.col("sim") * 100 >= percent - 1e-9)
+    spelt = lambda k, c: own.select(F.col("k").alias(k), F.col("name").alias(c))
+    close = pairs.join(spelt("x", "p"), "x").join(spelt("y", "r"), "y").select("p", "r", "sim")
+    same = spelt("x", "p").join(spelt("x", "r"), "x").where("p < r").select("p", "r", F.lit(1.0).alias("sim"))  # spellings of one name
+    return close.unionByName(same).select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b"), "sim").distinct()
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != ""))
 
 
 def mentions(candidates: DataFrame, segments: DataFrame, name: str = "name") -> DataFrame:
     """Each candidate with each segment that holds its name as whole words, whatever the case.
 
-    Joined on the name's longest word (all words of a match stand whole in the
-    text), then verified; names without a word are compared with every segment,
-    as a broadcast, which is fit for the few there are.
+    A candidate looks for segments by the one of its words that fewest
+    segments hold (all words of a match stand whole in the text); a name
+    without an ASCII word, which only matches between word characters, by its
+    first character where one stands behind a word character. Words travel
+    with the segment's id alone; texts are joined to the hits and verified.
     """
-    left = candidates.withColumn("_w", _key_token(F.col(name)))
-    right = segments.withColumn("_w", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != ""))))
-    hit = T.whole_word(F.col("text"), F.col(name))
-    return left.where("_w IS NOT NULL").join(right, "_w").where(hit).drop("_w")
+    left = candidates.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct()
+    ids = segments.select("episode_id", "seq", F.explode(_words(F.col("text"))).alias("_w"))
+    parts = left.select("_name", F.explode(_words(F.col("_name"))).alias("_w"))
+    asked = ids.join(parts.select("_w").distinct(), "_w", "left_semi")
+    counts = asked.groupBy("_w").agg(F.count("*").alias("_n"))
+    keyed = parts.join(counts, "_w", "left").groupBy("_name").agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w"))
+    hits = keyed.join(ids, "_w").select("_name", "episode_id", "seq")
+    bare = left.where(F.size(_words(F.col("_name"))) == 0).withColumn("_w", F.lower(F.substring("_name", 1, 1)))
+    behind = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?<=\w)(\W)")), F.lower))
+    hits = hits.unionByName(bare.join(segments.select("episode_id", "seq", F.explode(behind).alias("_w")), "_w").select("_name", "episode_id", "seq"))
+    found = segments.join(hits, ["episode_id", "seq"]).where(T.whole_word(F.col("text"), F.col("_name")))
+    return candidates.join(found, F.col(name) == F.col("_name")).drop("_name")
+
+
+def phrase_mentions(names: DataFrame, texts: DataFrame, name: str = "normalized_name", keys: tuple[str, ...] = ("episode_id", "first")) -> DataFrame:
+    """Each name with each text (window or segment) whose search tokens hold those of the name in a row.
+
+    keys tell texts apart: tokens travel with them alone, and texts are joined to the hits and verified.
+    """
+    left = names.withColumn("_t", T.search_tokens(T.phrase_query(F.col(name)))).where(F.size("_t") > 0)
+    left = left.withColumn("_p", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")))
+    ids = texts.select(*keys, F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("_w"))
+    parts = left.select("_p", F.explode("_t").alias("_w")).distinct()
+    asked = ids.join(parts.select("_w").distinct(), "_w", "left_semi")
+    counts = asked.groupBy("_w").agg(F.count("*").alias("_n"))
+    keyed = parts.join(counts, "_w", "left").groupBy("_p").agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w"))
+    hits = keyed.join(ids, "_w").select("_p", *keys)
+    found = texts.join(hits, list(keys)).where(T.padded_tokens(F.col("text")).contains(F.col("_p")))
+    return left.drop("_t").join(found, "_p").drop("_p")
 
 
-def phrase_mentions(names: DataFrame, texts: DataFrame, name: str = "normalized_name") -> DataFrame:
-    """Each name with each text (window or segment) whose search tokens hold those of the name in a row."""
-    left = names.withColumn("_t", T.search_tokens(T.phrase_query(F.col(name)))).where(F.size("_t") > 0)
-    longest = F.array_sort("_t", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    left = left.withColumns({"_w": F.get(longest, F.lit(0)), "_p": F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" "))}).drop("_t")
-    right = texts.withColumn("_s", T.padded_tokens(F.col("text"))).withColumn("_w", F.explode(F.array_distinct(F.split("_s", " ")))).where("_w <> ''")
-    return left.join(right, "_w").where(F.col("_s").contains(F.col("_p"))).drop("_w", "_s", "_p")
+def ranked(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counted names, most mentioned first, then by name in the order of a reader's alphabet."""
+    return counts.orderBy(F.desc("total_mentions"), *[F.collate(F.col(k), "UNICODE") for k in keys], *keys)
 
 
 def match_counts(matched: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,9 +159,11 @@ def match_counts(matched: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def match_records(matched: DataFrame, keys: list[str], cut: int = 200) -> DataFrame:
-    """Nested records: keys, episode_count, total_mentions, episodes of mentions (start_ms, end_ms, context) in order."""
+    """keys, episode_id, episode_count, total_mentions, mentions (start_ms, end_ms, context, in order): a row an episode,
+    most mentioned first, so that a name found everywhere is no row without bounds."""
     per = matched.groupBy(*keys, "episode_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", F.substring("text", 1, cut).alias("context")))).alias("mentions"))
-    return per.groupBy(keys).agg(F.count("*").alias("episode_count"), F.sum(F.size("mentions")).alias("total_mentions"), F.array_sort(F.collect_list(F.struct("episode_id", "mentions"))).alias("episodes"))
+    counts = match_counts(matched, keys)
+    return per.join(counts, keys).select(*keys, "episode_id", "episode_count", "total_mentions", "mentions").orderBy(F.desc("total_mentions"), *keys, "episode_id")
 
 
 def first_context(matched: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,6 +204,31 @@ def place_samples(places: DataFrame, segments: DataFrame) -> DataFrame:
     return places.join(found, "id", "left")
 
 
+#: Where a place goes whose address isn't found: the city's centre. Fixed values.
+CITY_CENTRE = (37.7749, -122.4194)
+
+
+def located(plan: DataFrame, found: DataFrame, fallback: tuple[float, float] | None = CITY_CENTRE) -> DataFrame:
+    """Rows to insert: those of a plan with coordinates, and those to geocode with what a lookup found (name, lat, lng).
+
+    Where it found nothing, the fallback's coordinates count; without a fallback such rows are left out.
+    """
+    hits = found.groupBy("name").agg(F.min(F.struct("lat", "lng")).alias("_c"))
+    rows = plan.where(F.col("plan").isin("insert", "geocode")).join(hits, "name", "left")
+    own = F.col("plan") == "insert"
+    value = lambda c, i: F.when(own, F.col(c)).otherwise(F.coalesce(F.col(f"_c.{c}"), F.lit(fallback[i] if fallback else None).cast("double"))).alias(c)
+    keep = [c for c in plan.columns if c not in ("lat", "lng")]
+    return rows.select(*keep, value("lat", 0), value("lng", 1)).where("lat IS NOT NULL AND lng IS NOT NULL")
+
+
+def pending_corrections(links: DataFrame, renames: DataFrame, deletes: DataFrame, name: str = "guest_name") -> DataFrame:
+    """old, new (null: deleted), episodes, merges (whether the new name has links already) of corrections that links still need."""
+    counts = links.groupBy(F.col(name).alias("old")).agg(F.count("*").alias("episodes"))
+    asked = renames.select("old", "new").unionByName(deletes.select("old", F.lit(None).cast("string").alias("new")))
+    there = links.select(F.col(name).alias("new"), F.lit(True).alias("merges")).distinct()
+    return asked.join(counts, "old").join(there, "new", "left").select("old", "new", "episodes", F.coalesce("merges", F.lit(False)).alias("merges"))
+
+
 def seeding_plan(matches: DataFrame, places: DataFrame, stoplist: tuple[str, ...]) -> DataFrame:
     """matches (name, lat, lng, address, ...) not on the stop-list, with place_id and plan (link, insert, geocode, skip)."""
     known = places.groupBy(F.lower("name").alias("_n")).agg(F.max("id").alias("place_id"))

@@ -177,16 +177,18 @@ def _names(spark, d):
 
 
 _NAMES = """names AS (SELECT s_name AS name FROM supplier UNION SELECT c_name FROM customer UNION SELECT p_name FROM part
-  UNION (SELECT w FROM (SELECT unnest([string_split(text, ' ')[1], array_to_string(string_split(text, ' ')[1:2], ' ')]) AS w FROM benchmark) WHERE w <> ''))"""
+  UNION (SELECT w FROM (SELECT unnest([string_split(text, ' ')[1], array_to_string(string_split(text, ' ')[1:2], ' ')]) AS w FROM benchmark) WHERE w <> '')),
+nw AS (SELECT name, list_filter(regexp_split_to_array(lower(name), '[^0-9a-z_]+'), lambda w: w <> '')[1] AS w FROM names),
+sw AS (SELECT *, unnest(list_distinct(regexp_split_to_array(lower(text), '[^0-9a-z_]+'))) AS w FROM seg)"""
 
 
-@query(f"WITH {M.SEGMENTS_SQL}, {_NAMES}, h AS (SELECT name, episode_id FROM names JOIN seg ON regexp_matches(text, '(?i)\\b' || name || '\\b')) SELECT name, count(DISTINCT episode_id) AS episode_count, count(*) AS total_mentions FROM h GROUP BY 1")
+@query(f"WITH {M.SEGMENTS_SQL}, {_NAMES}, h AS (SELECT name, episode_id FROM nw JOIN sw USING (w) WHERE regexp_matches(text, '(?i)\\b' || regexp_escape(name) || '\\b')) SELECT name, count(DISTINCT episode_id) AS episode_count, count(*) AS total_mentions FROM h GROUP BY 1")
 def jn09_contains(spark, d):
     """JN09, CL12, AG16, SF10: candidate names in segments as whole words, joined by their longest word."""
     return entities.match_counts(entities.mentions(_names(spark, d), M.segments(spark, d)), ["name"])
 
 
-@query(f"""WITH {M.SEGMENTS_SQL}, {_NAMES}, h AS (SELECT name, episode_id, seq, text FROM names JOIN seg ON regexp_matches(text, '(?i)\\b' || name || '\\b'))
+@query(f"""WITH {M.SEGMENTS_SQL}, {_NAMES}, h AS (SELECT name, episode_id, seq, text FROM nw JOIN sw USING (w) WHERE regexp_matches(text, '(?i)\\b' || regexp_escape(name) || '\\b'))
 SELECT names.name, x.context FROM names LEFT JOIN (SELECT name, arg_min(text, (episode_id, seq)) AS context FROM h GROUP BY 1) x ON x.name = names.name""")
 def jn19_first_context(spark, d):
     """JN19, WN12: the first text that names a place, or none."""

@@ -92,6 +92,55 @@ def test_mentions(spark):
     assert {(r.name, r.seq) for r in entities.mentions(names, segs).collect()} == {("a.b", 1), ("end", 2), ("c++ day", 4)}
 
 
+def test_mentions_equal_all_pairs(spark):
+    """Names with and without ASCII words against a plain pattern over all pairs."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    parts = ["the", "end", "a", "B", "日本", "é", "&", "+", ".", " ", " ", "-", "x", "C++", "end."]
+    make = lambda n: "".join(rng.choice(parts) for _ in range(rng.randint(1, n)))
+    names = sorted({make(4) for _ in range(80)} | {"日本", "&", "é", "the end"})
+    segs = [("e", i, make(14)) for i in range(150)] + [("e", 900, "x日本y"), ("e", 901, "a&b"), ("e", 902, "")]
+    got = {(r.name, r.seq) for r in entities.mentions(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(segs, "episode_id string, seq long, text string")).collect()}
+    want = {(n, i) for n in names for _, i, t in segs if re.search(rf"\b{re.escape(n)}\b", t, re.I | re.A)}
+    assert got == want and {("日本", 900), ("&", 901)} <= want
+
+
+def test_longer_names_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 7))) for _ in range(150)} | {"ab", "abc", "abcd", "x", "yx", "the one", "the one more"})
+    got = {r[0] for r in entities.longer_names_only(spark.createDataFrame([(n,) for n in names], "normalized_name string")).collect()}
+    assert got == {a for a in names if not any(a in b and a != b for b in names)}
+
+
+def test_similar_names_of_one_beginning(spark):
+    """Names that share all but a few letters, and spellings of one name; below 75 % it refuses."""
+    names = [f"customer number {i:05d}" for i in range(0, 3000, 7)] + ["Ada L", "ADA L", "ada l", "Bo", "bo", "b"]
+    got = {(r.a, r.b) for r in entities.similar_names(spark.createDataFrame([(n,) for n in names], "guest_name string")).collect()}
+    assert {("ADA L", "Ada L"), ("ADA L", "ada l"), ("Ada L", "ada l"), ("Bo", "bo"), ("customer number 00000", "customer number 00007")} <= got
+    assert not any("b" in p for p in got) and all(a < b for a, b in got)
+    with pytest.raises(ValueError):
+        entities.similar_names(spark.createDataFrame([("a",)], "guest_name string"), percent=70)
+
+
+def test_places_whose_address_is_not_found(spark):
+    plan = spark.createDataFrame([("a", 1.0, 2.0, "insert"), ("b", None, None, "geocode"), ("c", None, None, "geocode"), ("d", None, None, "skip"), ("e", None, None, "link")], "name string, lat double, lng double, plan string")
+    found = spark.createDataFrame([("b", 3.0, 4.0)], "name string, lat double, lng double")
+    rows = lambda **k: {r.name: (r.lat, r.lng) for r in entities.located(plan, found, **k).collect()}
+    assert rows() == {"a": (1.0, 2.0), "b": (3.0, 4.0), "c": entities.CITY_CENTRE}
+    assert rows(fallback=None) == {"a": (1.0, 2.0), "b": (3.0, 4.0)}
+
+
+def test_pending_corrections(spark):
+    links = spark.createDataFrame([("1", "Jon"), ("2", "Jon"), ("3", "John"), ("4", "x")], "episode_id string, guest_name string")
+    renames = spark.createDataFrame([("Jon", "John"), ("x", "X"), ("gone", "y")], "old string, new string")
+    got = sorted(map(tuple, entities.pending_corrections(links, renames, spark.createDataFrame([("x",)], "old string")).collect()), key=str)
+    assert got == [("Jon", "John", 2, True), ("x", "X", 1, False), ("x", None, 1, False)]
+
+
 def test_discovery_prefers_large_then_score(spark):
     files = spark.createDataFrame(
         [("Dawn Patrol Hour 20240502.mp3", 9_000_000), ("Dawn Patrol Hour 20240502 final.mp3", 8_000_000), ("Dawn Patrol Hour 20240502 copy.mp3", 9_900_000), ("Dawn Patrol Hour 20240509.mp3", 10), ("Dawn Patrol Hour 20240509 final.mp3", 5), ("notes.mp3", 9_000_000)],
