@@ -20,6 +20,32 @@ def all_verified(asked: DataFrame) -> DataFrame:
     return asked.select(*[c for c in asked.columns if c != "context"], F.lit(True).alias("verdict"))
 
 
+def audio_addresses(base: str, ending: str = ".m4a"):
+    """Addresses of recordings below a public one: the audio service of ingest."""
+
+    def addresses(asked: DataFrame) -> DataFrame:
+        return asked.select("episode_id", F.concat(F.lit(base.rstrip("/") + "/"), T.percent_encoded(F.concat("episode_id", F.lit(ending)))).alias("audio_file"))
+
+    return addresses
+
+
+def named_places(names: tuple[str, ...]):
+    """A place extractor for offline use: replies with the names, of a fixed list, that a sample holds."""
+
+    def find(asked: DataFrame) -> DataFrame:
+        held = F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(F.lower("sample"), F.lower(n)))
+        return asked.select("episode_id", F.to_json(held).alias("raw_response"))
+
+    return find
+
+
+def named_guests(segments: DataFrame, known: DataFrame) -> DataFrame:
+    """A guest extractor for offline use: episode_id, guest_name of the known names (guest_name) that segments mention."""
+    from scribeflow.operators import entities
+
+    return entities.mentions(known.select("guest_name"), segments, "guest_name").select("episode_id", "guest_name").distinct()
+
+
 def gazetteer(known: DataFrame):
     """A lookup for the geocoding cascade, from a table (query, lat, lng)."""
 

@@ -26,6 +26,11 @@ def wall_clock(ts: Column, zone: str = ZONE) -> Column:
     return F.date_format(F.from_utc_timestamp(ts, zone), "h:mm a")
 
 
+def today_month_day(zone: str = ZONE) -> Column:
+    """MM-DD of now in a zone."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit(zone), F.localtimestamp()), "MM-dd")
+
+
 def long_date(d: Column) -> Column:
     return F.date_format(d, "MMMM d, yyyy")
 

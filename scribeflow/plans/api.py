@@ -72,8 +72,10 @@ def episode(episodes: DataFrame, episode_id) -> DataFrame:
     return episodes.where(F.col("id") == F.lit(episode_id))
 
 
-def on_this_day(episodes: DataFrame, month_day: str) -> DataFrame:
-    return episodes.where(X.month_day(F.col("published_at")) == month_day).select("id", "title", "published_at").orderBy(F.desc("id"))
+def on_this_day(episodes: DataFrame, month_day: str | None = None) -> DataFrame:
+    """Episodes of a day of the year (MM-DD), newest first; without one, of today where the show is made."""
+    day = F.lit(month_day) if month_day else X.today_month_day()
+    return episodes.where(X.month_day(F.col("published_at")) == day).select("id", "title", "published_at").orderBy(F.desc("id"))
 
 
 def guest_list(links: DataFrame, episodes: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scribeflow import ext
 from scribeflow import model as M
 from scribeflow.functions import names as N
 from scribeflow.functions import text as T
-from scribeflow.operators import catalog, clean, entities, lexicon, tables
+from scribeflow.operators import catalog, clean, entities, lexicon, tables, windows
 from scribeflow.plans._register import registrar
 from scribeflow.runtime import cut_lineage, table
+from scribeflow.sources import candidates as place_sources
 from scribeflow.streaming import ratelimit
 
 QUERIES, SQL, query = registrar()
@@ -267,6 +269,65 @@ def ag15_places_by_episode(spark, d):
     return out.select("name", F.array_join(F.transform("episodes", lambda e: e.cast("string")), ",").alias("episodes"), F.size("episodes").cast("long").alias("links"))
 
 
+_CROSSING = "CASE WHEN s_suppkey % 2 = 0 THEN 'St ' || s_suppkey || ' & Av ' || s_suppkey ELSE 'Place ' || s_suppkey END"
+
+
+@query(f"""WITH n AS (SELECT {_CROSSING} AS name, s_suppkey AS k FROM supplier)
+SELECT name, CAST(CASE WHEN k % 5 = 0 THEN 37.75 WHEN k % 2 = 0 AND k % 5 = 1 THEN 37.76 WHEN k % 2 = 0 AND k % 5 = 2 THEN 37.77 END AS DOUBLE) AS lat,
+CAST(CASE WHEN k % 5 = 0 OR k % 2 = 0 AND k % 5 IN (1, 2) THEN -122.4 END AS DOUBLE) AS lng FROM n""")
+def cl15_geocode(spark, d):
+    """CL15, SF43: the first query of the cascade that finds a place; hits far away don't count."""
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(k.alias("k"), F.when(k % 2 == 0, F.concat(F.lit("St "), k, F.lit(" & Av "), k)).otherwise(F.concat(F.lit("Place "), k)).alias("name"))
+    k = F.col("k")
+    whole = F.concat("name", F.lit(" San Francisco CA"))
+    known = rows.select(F.explode(F.array(
+        F.struct(F.when(k % 5 == 0, whole).alias("query"), F.lit(37.75).alias("lat")),
+        F.struct(F.when((k % 2 == 0) & (k % 5 < 2), F.concat(F.lit("St "), k, F.lit(" and Av "), k, F.lit(", San Francisco"))).alias("query"), F.lit(37.76).alias("lat")),
+        F.struct(F.when((k % 2 == 0) & (k % 5 < 3), F.concat(F.lit("St "), k, F.lit(", San Francisco CA"))).alias("query"), F.lit(37.77).alias("lat")),
+        F.struct(F.when(k % 5 == 4, F.concat("name", F.lit(" far"))).alias("query"), F.lit(10.0).alias("lat")),
+    )).alias("g")).select("g.query", "g.lat", F.lit(-122.4).alias("lng")).where("query IS NOT NULL")
+    return entities.geocode_cascade(rows.select("name"), ext.gazetteer(known))
+
+
+@query("""SELECT s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey || ' Main St, Town' WHEN s_suppkey % 3 = 1 THEN 'Main St' END AS address,
+CASE WHEN s_suppkey % 4 < 3 THEN CAST(s_suppkey % 90 AS DOUBLE) END AS lat, CASE WHEN s_suppkey % 4 < 3 THEN CAST(s_suppkey % 180 AS DOUBLE) END AS lng, 'bar' AS category, CAST(s_suppkey AS VARCHAR) AS element FROM supplier""")
+def sc08_spatial(spark, d):
+    """SC08: elements of a spatial query as candidates: a node's place, a centre, or none; address from tags."""
+    k = F.col("s_suppkey")
+    tags = F.map_from_entries(F.filter(F.array(
+        F.struct(F.lit("name").alias("k"), F.col("s_name").alias("v")), F.struct(F.lit("addr:housenumber").alias("k"), F.when(k % 3 == 0, k.cast("string")).alias("v")),
+        F.struct(F.lit("addr:street").alias("k"), F.when(k % 3 < 2, "Main St").alias("v")), F.struct(F.lit("addr:city").alias("k"), F.when(k % 3 == 0, "Town").alias("v")),
+    ), lambda x: x["v"].isNotNull()))
+    lat, lon = (k % 90).cast("double"), (k % 180).cast("double")
+    node = k % 4 == 0
+    center = F.when((k % 4 == 1) | (k % 4 == 2), F.struct(lat.alias("lat"), lon.alias("lon")))
+    element = F.struct(F.when(node, "node").otherwise("way").alias("type"), k.alias("id"), F.when(node, lat).alias("lat"), F.when(node, lon).alias("lon"), center.alias("center"), tags.alias("tags"))
+    out = place_sources.spatial(table(spark, d, "supplier").select(F.lit("bar").alias("category"), F.to_json(element).alias("element")))
+    return out.select("name", "address", "lat", "lng", "category", F.col("meta")["element_id"].alias("element"))
+
+
+@query("""SELECT o_orderkey AS episode_id, o_custkey * 1000 AS guest_start_ms FROM orders WHERE o_orderkey % 3 <> 0 AND (o_orderkey % 4 = 0 OR (o_orderkey % 4 * 1000000 >= 2000000 AND o_custkey * 1000 <= o_orderkey % 4 * 1000000))""")
+def pf25_guest_starts(spark, d):
+    """PF25: detected starts that may be stored: not set yet, in episodes long enough, not beyond the end; a duration of 0 is unknown."""
+    o = table(spark, d, "orders")
+    found = o.select(F.col("o_orderkey").alias("episode_id"), (F.col("o_custkey") * 1000).alias("guest_start_ms"))
+    eps = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4 * 1_000_000).alias("duration_ms"), F.when(F.col("o_orderkey") % 3 == 0, 5).alias("guest_start_ms"))
+    return clean.guest_starts_to_set(found, eps, 2_000_000)
+
+
+@query(f"""WITH {M.SEGMENTS_SQL}, s2 AS (SELECT * REPLACE (CASE WHEN episode_id % 4 = 1 THEN start_ms // 10 ELSE start_ms END AS start_ms, CASE WHEN episode_id % 4 = 1 THEN end_ms // 10 ELSE end_ms END AS end_ms) FROM seg),
+u AS (SELECT episode_id, max(end_ms) AS d FROM s2 GROUP BY 1), w AS (SELECT episode_id, unnest(range(0, d, 35000)) AS ws FROM u),
+c AS (SELECT s.episode_id, CAST(ws // 35000 AS BIGINT) AS win, arg_min(start_ms, seq) AS start_ms, string_agg(text, ' ' ORDER BY seq) AS text FROM w JOIN s2 s ON s.episode_id = w.episode_id AND end_ms > ws AND start_ms < ws + 45000 GROUP BY 1, 2)
+SELECT episode_id || ':' || start_ms AS id, max(win) AS "window" FROM c WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's') AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 20 GROUP BY 1""")
+def cl18_repaired_times(spark, d):
+    """CL18: chunks after the times of a quarter of the episodes were divided by ten: old ones deleted, new ones cut and embedded."""
+    s = M.segments(spark, d)
+    chunks = ext.embed(windows.last_per_id(windows.time_windows(s)))
+    wrong = table(spark, d, "documents").where("doc_id % 4 = 1").select(F.col("doc_id").alias("episode_id"))  # the feature: some episodes are repaired
+    return tables.repaired_times(s, chunks, wrong, ext.embed)[1].select("id", "window")
+
+
 # ---- catalogues
 
 

@@ -47,6 +47,21 @@ def q01_search_page(spark, d):
     return api.search(M.segments(spark, d), M.episodes(spark, d), '"the" to', page=2, index=_index(spark, d)).withColumn("best_rank", F.round("best_rank", 6))
 
 
+@query(f"""WITH {M.EPISODES_SQL}, {_words('seg')}, h AS (SELECT episode_id, seq, start_ms FROM tok WHERE p LIKE '% of the %'), pg AS (SELECT DISTINCT episode_id FROM h JOIN ep ON ep.id = h.episode_id ORDER BY 1 DESC LIMIT 20)
+SELECT h.episode_id, title, count(*) AS hits, string_agg(CAST(start_ms AS VARCHAR), ',' ORDER BY start_ms) AS starts FROM h JOIN pg USING (episode_id) JOIN ep ON ep.id = h.episode_id GROUP BY 1, 2""")
+def ag07_search_cards(spark, d):
+    """AG07: a page as one row an episode, its matches nested in order."""
+    cards = api.search_cards(api.search(M.segments(spark, d), M.episodes(spark, d), ["of the"], index=_index(spark, d)))
+    return cards.select("episode_id", "title", F.size("matches").cast("long").alias("hits"), F.array_join(F.transform("matches", lambda m: m["start_ms"].cast("string")), ",").alias("starts"))
+
+
+@query(f"WITH {M.SEGMENTS_SQL}, {_words('seg')} SELECT episode_id, seq FROM tok WHERE p LIKE '% of the %' AND (episode_id % 2 = 0 OR episode_id % 3 = 0)")
+def sk13_merged_index(spark, d):
+    """SK13: an index after episodes were replaced and added."""
+    s = M.segments(spark, d)
+    return textindex.Index.of(s.where("episode_id % 2 = 0")).merged(textindex.Index.of(s.where("episode_id % 3 = 0"))).match(["of the"])
+
+
 @query(f"WITH {M.EPISODES_SQL}, {_words('seg')} SELECT strftime(published_at, '%Y-%m') AS month, count(*) AS mentions, count(DISTINCT episode_id) AS episodes FROM tok JOIN ep ON ep.id = episode_id WHERE list_contains(t, 'the') GROUP BY 1")
 def q03_timeline(spark, d):
     """Q03: mentions and episodes by month."""

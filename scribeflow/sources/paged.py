@@ -1,23 +1,37 @@
-"""A Spark data source over a paged registry: partitions are runs of pages, filters go to the server.
+"""A Spark data source over a paged registry: partitions are runs of pages, filters and order go to the server.
 
 The transport is a function, given by its import path, so that tests and
 offline runs read canned pages: fetch(category, offset, limit, where) returns a
-list of row dicts; an empty list ends a category.
+list of row dicts; an empty list ends a category. With the option order it is
+asked fetch(category, offset, limit, where, order). A transport that raises
+Busy is asked again after pauses of 2, 5 and 10 seconds (option pauses); one
+that raises QuotaReached ends its partition: rows read so far stand.
 """
 
 from __future__ import annotations
 
 import importlib
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 
+class Busy(Exception):
+    """The server asks for a pause."""
+
+
+class QuotaReached(Exception):
+    """The server answers no more today."""
+
+
 class Category(InputPartition):
-    def __init__(self, name: str):
-        super().__init__(name)
-        self.name = name
+    """A category's rows from first on, up to end."""
+
+    def __init__(self, name: str, first: int = 0, end: int = 1 << 62):
+        super().__init__((name, first))
+        self.name, self.first, self.end = name, first, end
 
 
 def resolve(path: str):
@@ -26,7 +40,8 @@ def resolve(path: str):
 
 
 class PagedRegistry(DataSource):
-    """Options: fetch (import path), categories (comma-separated; one partition each), page_size, most (rows a category), columns (DDL)."""
+    """Options: fetch (import path), categories (comma-separated), page_size, most (rows a category), columns (DDL), order, pauses,
+    pages (with most: pages of a partition; a category is one partition without it)."""
 
     @classmethod
     def name(cls) -> str:
@@ -51,13 +66,29 @@ class PagedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [Category(c) for c in self.options.get("categories", "").split(",")]
+        names, most = self.options.get("categories", "").split(","), int(self.options.get("most", 1 << 62))
+        step = int(self.options.get("pages", 0)) * int(self.options.get("page_size", 50))
+        if not step or most >= 1 << 62:
+            return [Category(c, 0, most) for c in names]
+        return [Category(c, at, min(most, at + step)) for c in names for at in range(0, most, step)]
+
+    def _page(self, fetch, *asked) -> list[dict]:
+        order = self.options.get("order")
+        for pause in [*map(float, self.options.get("pauses", "2,5,10").split(",")), None]:
+            try:
+                return fetch(*asked, self.where, order) if order else fetch(*asked, self.where)
+            except Busy:
+                if pause is None:
+                    raise
+                time.sleep(pause)
 
     def read(self, partition: Category) -> Iterator[tuple]:
-        fetch, size = resolve(self.options["fetch"]), int(self.options.get("page_size", 50))
-        most, at = int(self.options.get("most", 1 << 62)), 0
-        while at < most:
-            rows = fetch(partition.name, at, min(size, most - at), self.where)
+        fetch, size, at = resolve(self.options["fetch"]), int(self.options.get("page_size", 50)), partition.first
+        while at < partition.end:
+            try:
+                rows = self._page(fetch, partition.name, at, min(size, partition.end - at))
+            except QuotaReached:
+                return
             if not rows:
                 return
             for r in rows:

@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from scribeflow.model import TRANSCRIPT
 
 
-def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """episode_id, title, segments of each file; corrupt files are left out, missing segments are none, and a missing id is the file's stem."""
-    rows = spark.read.schema(TRANSCRIPT + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(folder)
+def _documents(reader, folder: str) -> DataFrame:
+    rows = reader.schema(TRANSCRIPT + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(folder)
     rows = rows.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("_stem")).where("_corrupt IS NULL")
     none = F.array().cast(rows.schema["segments"].dataType)
     return rows.select(F.coalesce("episode_id", "_stem").alias("episode_id"), F.coalesce("title", "episode_id", "_stem").alias("title"), F.coalesce("segments", none).alias("segments"))
 
 
+def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """episode_id, title, segments of each file; corrupt files are left out, missing segments are none, and a missing id is the file's stem."""
+    return _documents(spark.read, folder)
+
+
+def stream_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stream of the files that land in a folder."""
+    return _documents(spark.readStream, folder)
+
+
 def segments_of(transcripts: DataFrame) -> DataFrame:
     """episode_id, seq (1-based), start_ms, end_ms, text."""
     rows = transcripts.select("episode_id", F.posexplode("segments").alias("p", "s"))

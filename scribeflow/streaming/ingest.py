@@ -1,23 +1,42 @@
 """Ingest of transcripts as they arrive: events, admission once a key, stages, incremental index.
 
 A micro-batch is written table by table under keys that make a rerun replace
-its own rows, so a batch that fails half-way can simply run again.
+its own rows, so a batch that fails half-way can simply run again. What was
+admitted is in the written tables, not in stream state, so state doesn't grow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scribeflow.model import TRANSCRIPT
-from scribeflow.operators import clean, textindex, windows
+from scribeflow import ext
+from scribeflow.functions import text as T
+from scribeflow.operators import clean, entities, textindex, windows
 from scribeflow.sources.listings import audio_events
-from scribeflow.sources.transcripts import segments_of
+from scribeflow.sources.transcripts import segments_of, stream_transcripts
 
-STAGES = ("segments", "postings", "chunks")
+@dataclass(frozen=True)
+class Services:
+    """External models and addresses, each a function between DataFrames; a stage without its service is passed over.
+
+    embed: chunks to chunks with values; summarise: (id, prompt) to (id, reply); find_places: (episode_id, sample) to
+    (episode_id, raw_response); audio: (episode_id) to (episode_id, audio_file).
+    """
+
+    embed: Callable[[DataFrame], DataFrame] | None = ext.embed
+    summarise: Callable[[DataFrame], DataFrame] | None = None
+    find_places: Callable[[DataFrame], DataFrame] | None = None
+    audio: Callable[[DataFrame], DataFrame] | None = None
+
+
+#: Stages whose failure is recorded and passed over.
+SOFT = ("chunks", "places")
 
 
 def upload_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,47 +51,74 @@ def once_per_key(events: DataFrame, key: str = "key", within: str | None = None,
     return events.dropDuplicates([key])
 
 
-def transcript_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of transcript documents that land in a folder, one JSON file each."""
-    return spark.readStream.schema(TRANSCRIPT).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-
-
-def stage_tables(transcripts: DataFrame) -> dict[str, DataFrame]:
-    """The tables that a batch of transcripts gives: cleaned segments, postings, chunks to embed."""
+def stages(transcripts: DataFrame, services: Services) -> dict[str, Callable[[], DataFrame]]:
+    """What a batch of transcripts gives, in order: cleaned segments, index, chunks, summaries, places, audio addresses."""
     segments = clean.clean_segments(segments_of(transcripts))
-    return {"segments": segments, "postings": textindex.postings(segments), "chunks": windows.last_per_id(windows.time_windows(segments))}
-
-
-def write_batch(folder: str, optional: tuple[str, ...] = ("chunks",)) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each stage's rows go to folder/<table>/batch=<id>; a failed optional stage is recorded and passed over.
-
-    Every (batch, stage) ends in folder/status with its state and error.
+    episodes = transcripts.select(F.col("episode_id").alias("id"), "title", F.lit(None).cast("date").alias("published_at"), F.lit(None).cast("string").alias("summary"))
+    chunks = lambda: windows.last_per_id(windows.time_windows(segments))
+    out = {"segments": lambda: segments, "postings": lambda: textindex.postings(segments), "lengths": lambda: textindex.episode_lengths(segments)}
+    if services.embed:
+        out["chunks"] = lambda: services.embed(chunks())
+    if services.summarise:
+        out["summaries"] = lambda: services.summarise(ext.summary_prompt(segments, episodes)).select("id", T.summary_reply(F.col("reply")).alias("r")).select("id", "r.*")
+    if services.find_places:
+        out["places"] = lambda: entities.places_by_episode(services.find_places(windows.sample_text(segments)))
+    if services.audio:
+        out["audio"] = lambda: services.audio(transcripts.select("episode_id"))
+    return out
+
+
+def _stored(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A table of the ingest folder; empty if nothing was written yet."""
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], ddl)
+
+
+def write_batch(folder: str, services: Services = Services(), soft: tuple[str, ...] = SOFT) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each stage's rows go to folder/<table>/batch=<id>.
+
+    Of documents of one id the first goes on; those whose episode an earlier
+    batch holds go no further (folder/documents: started or already_exists), so
+    no state is kept beside the tables. Every (batch, stage) ends in
+    folder/status with its state and error. A failed soft stage is passed over;
+    any other failure ends the batch, which can run again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        first = batch.groupBy("episode_id").agg(F.min(F.struct("title", "segments")).alias("d")).select("episode_id", "d.*")
+        known = _stored(spark, f"{folder}/documents", "episode_id string, state string, batch long").where((F.col("batch") != number) & (F.col("state") == "started"))
+        known = known.select("episode_id", F.lit("already_exists").alias("state")).distinct()
+        docs = first.join(known, "episode_id", "left").withColumn("state", F.coalesce("state", F.lit("started"))).persist()
         try:
-            for name, df in stage_tables(batch).items():
+            for name, make in stages(docs.where("state = 'started'").drop("state"), services).items():
                 state, error = "completed", ""
                 try:
-                    df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+                    make().write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
                 except Exception as e:
-                    if name not in optional:
-                        raise
                     state, error = "failed", str(e)[:500]
                 status = spark.createDataFrame([(number, name, state, error)], "batch long, stage string, state string, error string")
                 status.coalesce(1).write.mode("overwrite").parquet(f"{folder}/status/batch={number}/stage={name}")
+                if error and name not in soft:
+                    raise RuntimeError(f"stage {name} of batch {number}: {error}")
+            docs.select("episode_id", "state").write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
         finally:
-            batch.unpersist()
+            docs.unpersist()
 
     return run
 
 
-def start(spark: SparkSession, landing: str, folder: str, checkpoint: str) -> StreamingQuery:
+def start(spark: SparkSession, landing: str, folder: str, checkpoint: str, services: Services = Services()) -> StreamingQuery:
     """Runs ingest on all that has landed, each document once, and stops."""
-    fresh = once_per_key(transcript_stream(spark, landing), "episode_id")
-    return fresh.writeStream.foreachBatch(write_batch(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream_transcripts(spark, landing).writeStream.foreachBatch(write_batch(folder, services)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index(spark: SparkSession, folder: str) -> textindex.Index:
+    """The text index that ingest keeps up to date: each batch adds its episodes."""
+    own = textindex.Index.stored(spark, folder)
+    return textindex.Index(own.postings.drop("batch"), own.lengths.drop("batch"))
 
 
 def merged_postings(stored: DataFrame, new: DataFrame) -> DataFrame:

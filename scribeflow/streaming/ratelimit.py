@@ -13,8 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from scribeflow.runtime import tasks_for
 
@@ -66,28 +65,25 @@ def first_per_key(requests: DataFrame) -> DataFrame:
     return requests.groupBy("key").agg(first, F.count("*").alias("events")).select("key", "f.at", "f.event_id", "events")
 
 
-class RateLimiter(StatefulProcessor):
-    """The same as a stateful stream operator: rows key, at, event_id in; key, at, event_id, admitted out."""
+def admitted_stream(requests: DataFrame, limit: int, window_s: int, late_s: int = 60) -> DataFrame:
+    """admitted for a stream (at: seconds). A key's state, at most limit times, goes once its window has passed.
 
-    def __init__(self, limit: int, window_s: int):
-        self.limit, self.window_s = limit, window_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", StructType([StructField("at", LongType())]))
+    Requests that come more than late_s behind the newest are dropped by the watermark.
+    """
 
-    def handleInputRows(self, key, rows, timer_values):
+    def decide(key, frames, state):
         import pandas as pd
 
-        own = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        gate = Gate(self.limit, self.window_s, (int(t[0]) for t in self.times.get()))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        gate = Gate(limit, window_s, state.get[0] if state.exists else ())
         own["admitted"] = [gate.admit(int(t)) for t in own["at"]]
-        self.times.put([(t,) for t in gate.times])
+        state.update((list(gate.times),))
+        last = max([int(own["at"].iloc[-1]), *gate.times])
+        state.setTimeoutTimestamp(max((last + window_s) * 1000, state.getCurrentWatermarkMs() + 1))
         yield own[["key", "at", "event_id", "admitted"]]
 
-    def close(self) -> None:
-        pass
-
-
-def admitted_stream(requests: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """admitted for a stream; state is kept for each key."""
-    return requests.groupBy("key").transformWithStateInPandas(RateLimiter(limit, window_s), "key string, at long, event_id long, admitted boolean", "Append", "None")
+    rows = requests.select("key", "at", "event_id", F.timestamp_seconds("at").alias("_ts")).withWatermark("_ts", f"{late_s} seconds")
+    return rows.groupBy("key").applyInPandasWithState(decide, "key string, at long, event_id long, admitted boolean", "times array<long>", "append", "EventTimeTimeout")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scribeflow import ext
 from scribeflow.operators import catalog, clean, entities, lexicon, tables
-from scribeflow.sources import listings, paged, pages, speech, transcripts
+from scribeflow.sources import candidates, listings, paged, pages, speech, transcripts
 from scribeflow.streaming import ingest, ratelimit
 
 
@@ -72,6 +72,66 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert ingest.merged_postings(index, index.where("episode_id = 'a'")).count() == index.count()
 
 
+def test_ingest_of_files_without_ids_and_broken_ones(spark, tmp_path):
+    """Stems are ids, broken files are left out, and a document that comes again goes no further."""
+    landing, out = tmp_path / "in", tmp_path / "out"
+    landing.mkdir()
+    for name in ("x", "y"):
+        (landing / f"{name}.json").write_text(json.dumps({"segments": [{"start_ms": 0, "end_ms": 30_000, "text": f"segment of {name} at the Blue Door"}]}))
+    (landing / "z.json").write_text("{broken")
+    services = ingest.Services(find_places=ext.named_places(("Blue Door", "Red Door")), audio=ext.audio_addresses("http://a"), summarise=lambda asked: asked.select("id", F.lit('{"title": "T", "summary": "S"}').alias("reply")))
+    ingest.start(spark, str(landing), str(out), str(tmp_path / "ck"), services).awaitTermination()
+    (landing / "again.json").write_text(json.dumps(transcript("x", ["other text that comes too late"])))
+    ingest.start(spark, str(landing), str(out), str(tmp_path / "ck"), services).awaitTermination()
+    read = lambda t: spark.read.parquet(str(out / t))
+    assert sorted(r.episode_id for r in read("segments").collect()) == ["x", "y"]
+    assert sorted((r.episode_id, r.state) for r in read("documents").collect()) == [("x", "already_exists"), ("x", "started"), ("y", "started")]
+    assert [(r.name, r.episodes) for r in read("places").collect()] == [("Blue Door", ["x", "y"])]
+    assert sorted(r.audio_file for r in read("audio").collect()) == ["http://a/x.m4a", "http://a/y.m4a"]
+    assert {(r.id, r.title, r.summary) for r in read("summaries").collect()} == {("x", "T", "S"), ("y", "T", "S")}
+    index = ingest.index(spark, str(out))
+    assert {r.episode_id for r in index.bm25('"blue door"').collect()} == {"x", "y"} and index.match("late").count() == 0
+
+
+def test_a_failed_stage(spark, tmp_path):
+    """A soft stage that fails is recorded and passed over; another one ends the batch, which then runs again."""
+    def broken(asked):
+        raise ValueError("no service")
+
+    docs = spark.createDataFrame([("a", "t", [(0, 30_000, "a segment of some length here")])], "episode_id string, title string, segments array<struct<start_ms: long, end_ms: long, text: string>>")
+    out = str(tmp_path / "out")
+    ingest.write_batch(out, ingest.Services(find_places=broken))(docs, 0)
+    states = {r.stage: (r.state, r.error) for r in spark.read.parquet(f"{out}/status").collect()}
+    assert states["places"] == ("failed", "no service") and states["segments"] == ("completed", "")
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        ingest.write_batch(out, ingest.Services(summarise=broken))(docs.withColumn("episode_id", F.lit("b")), 1)
+    assert "b" not in {r.episode_id for r in spark.read.parquet(f"{out}/documents").collect()}
+    ingest.write_batch(out)(docs.withColumn("episode_id", F.lit("b")), 1)
+    assert {r.state for r in ingest.with_failures(spark.read.parquet(f"{out}/status").where("batch = 1 AND stage <> 'summaries'")).collect()} == {"completed"}
+
+
+def test_admitted_stream_against_a_loop(spark, tmp_path):
+    """Three runs of the stream over files in order of time: decisions as of one loop; what comes far too late is dropped."""
+    rng = random.Random(5)
+    rows = sorted((rng.randint(1000, 1900), f"k{rng.randint(0, 2)}", i) for i in range(300))
+    landing = tmp_path / "in"
+    landing.mkdir()
+    ddl = "key string, at long, event_id long"
+    got = []
+    sink = lambda batch, _: got.extend(map(tuple, batch.collect()))
+    for part in range(3):
+        own = rows[part * 100 : part * 100 + 100] + ([(0, "k0", 999)] if part == 2 else [])
+        (landing / f"{part}.json").write_text("\n".join(json.dumps({"key": k, "at": t, "event_id": i}) for t, k, i in own))
+        stream = ratelimit.admitted_stream(spark.readStream.schema(ddl).json(str(landing)), 5, 60, late_s=30)
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r[2] for r in got) == list(range(300))
+    for k in {r[0] for r in got}:
+        own = sorted((r[1], r[2], r[3]) for r in got if r[0] == k)
+        assert [x[2] for x in own] == plain_gate([x[0] for x in own], 5, 60)
+
+
 def test_upload_events(spark, tmp_path):
     lines = [{"object": {"key": "x/one.MP3", "size": 3}}, {"object": {"key": "x/two.wav", "size": 3}}, {"object": {}}, {"object": {"key": "x/one.MP3", "size": 3}}]
     (tmp_path / "e.json").write_text("\n".join(map(json.dumps, lines)))
@@ -114,6 +174,48 @@ def test_paged_registry(spark):
     assert len(left) == 1 and [r[0] for r in reader.read(reader.partitions()[0])] == [1, 3, 5]
 
 
+def moody(category, offset, limit, where, order):
+    """Busy twice, then rows in the order asked for; the quota ends at 6."""
+    MOOD.append(order)
+    if len(MOOD) < 3:
+        raise paged.Busy
+    if offset >= 6:
+        raise paged.QuotaReached
+    return [{"id": i} for i in sorted(range(20), reverse=order == "id DESC")][offset : offset + limit]
+
+
+MOOD = []
+
+
+def test_registry_that_is_busy_and_ends():
+    MOOD.clear()
+    options = {"fetch": f"{__name__}.moody", "categories": "a", "page_size": "2", "order": "id DESC", "pauses": "0,0"}
+    reader = paged.PagedReader(options, ["id"])
+    assert [r[0] for r in reader.read(reader.partitions()[0])] == [19, 18, 17, 16, 15, 14] and set(MOOD) == {"id DESC"}
+    parts = paged.PagedReader(options | {"most": "9", "pages": "2"}, ["id"]).partitions()
+    assert [(p.first, p.end) for p in parts] == [(0, 4), (4, 8), (8, 9)]
+
+
+def test_candidates_of_registries_and_reviews(spark):
+    rows = spark.createDataFrame([(1, " Blue Door ", "1 Main", "Town", None, "2020", None, "9"), (2, "BLUE DOOR", "2 Main", None, None, None, None, None), (3, " ", "x", None, None, None, None, None)], "ord long, name string, street string, city string, state string, start_date string, end_date string, row_id string")
+    assert [(r.name, r.address, r.meta) for r in candidates.registry(rows).collect()] == [("Blue Door", "1 Main, Town", {"start_date": "2020", "row_id": "9"})]
+    rows = spark.createDataFrame([(1, "b1", "X", ["1 Main", "Town"], 1.0, 2.0, "bar"), (2, "b1", "Y", [], 1.0, 2.0, "cafe"), (3, None, "Z", [], None, None, "bar")], "ord long, business_id string, name string, address_lines array<string>, lat double, lng double, category string")
+    assert [(r.name, r.address, r.category, r.meta) for r in candidates.reviews(rows).collect()] == [("X", "1 Main, Town", "bar", {"business_id": "b1"})]
+
+
+def test_today(spark):
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    from scribeflow.plans import api
+
+    eps = spark.sql("SELECT id, 't' AS title, date_add(current_date(), int(id) - 3) AS published_at FROM range(7) AS t(id)")
+    zone = ZoneInfo("America/Los_Angeles")
+    before = datetime.now(zone).strftime("%m-%d")
+    got = {r.published_at.strftime("%m-%d") for r in api.on_this_day(eps).collect()}
+    assert got <= {before, datetime.now(zone).strftime("%m-%d")} and len(got) == 1
+
+
 def test_speech_rounding(spark):
     reply = json.dumps({"segments": [{"start": 0.0005, "end": 1.2345, "text": " a "}, {"start": 2, "end": 3, "text": "  "}]})
     got = speech.from_seconds(spark.createDataFrame([("e", reply)], "episode_id string, reply string"), 100).collect()
