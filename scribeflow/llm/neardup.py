@@ -314,8 +314,6 @@ def _sized(rows: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where("size > 1")
     sizes = scratch.written(sizes, "sizes")
     large = sizes.where(F.col("size") > LEAF).select("node")
-    if large.isEmpty():
-        return rows.join(sizes, "node")
     hot, cool = sieve.parted(rows, F.col("node"), large)
     hot_sizes, cool_sizes = sieve.parted(sizes, F.col("node"), large)
     return _dealt(hot, hot_sizes).unionByName(cool.join(cool_sizes, "node"))
