@@ -47,7 +47,7 @@ WALKS = 24
 SAMPLED = 2
 BLOCK_WORDS = 500_000
 _SPAN = 18
-_CHARS = 3_000_000
+_CHARS = 1_000_000
 _U = np.uint64
 _PAD = _U(0x0DDC0FFEE0DDF00D)
 

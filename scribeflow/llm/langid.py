@@ -46,7 +46,7 @@ SYMBOLS = 30_000
 #: Bytes of the transition tables of all languages; transitions that they don't hold are looked up in sorted lists.
 TABLES = 128_000_000
 PIECE = 512
-_CHARS = 2_000_000
+_CHARS = 1_000_000
 
 
 def normal(text: str) -> np.ndarray:

@@ -54,7 +54,7 @@ DEPTH = 8
 BULK = 1 << 22
 #: Tasks over which the rows of a large node are dealt.
 SALTS = 32
-_CHARS = 3_000_000
+_CHARS = 1_000_000
 _U = np.uint64
 
 

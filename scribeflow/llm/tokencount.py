@@ -32,7 +32,7 @@ from scribeflow.runtime import written
 
 #: Pre-tokens that are broadcast: at 16 bytes each about 3 MB, whatever the input.
 TOP = 200_000
-_CHARS = 3_000_000
+_CHARS = 1_000_000
 
 
 @cache
