@@ -15,10 +15,11 @@ blocks, which is exact, and it isn't branched further.
 Compared groups give a star for each exactly linked component, never all
 pairs, so output stays linear in the rows. Groups are bounded in documents and
 in bytes. Components of these stars over the cluster give each document's
-group. The rows of a large node are dealt over tasks by salt. The join on a
-class holds two narrow columns and has a side that was aggregated first, so
-adaptive execution can split a class that very many rows share. Tables of the
-levels are removed once the groups are compared.
+group. Once a node is known to be large, its rows are dealt over tasks by salt.
+The joins that find a node's size and a row's class hold narrow columns and
+have a side that was aggregated first, so adaptive execution can split a key
+that very many rows share. Tables of the levels are removed once the groups
+are compared.
 
 Defined cases: null or blank texts have an empty set and are linked with
 nothing; fewer words than a shingle make one shingle of all of them; equal
@@ -309,16 +310,6 @@ def _dealt(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumn("_salt", salt).join(each, ["node", "_salt"]).drop("_salt")
 
 
-def _sized(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows with the size and pivot of their nodes, for nodes of more than one."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where("size > 1")
-    sizes = scratch.written(sizes, "sizes")
-    large = sizes.where(F.col("size") > LEAF).select("node")
-    hot, cool = sieve.parted(rows, F.col("node"), large)
-    hot_sizes, cool_sizes = sieve.parted(sizes, F.col("node"), large)
-    return _dealt(hot, hot_sizes).unionByName(cool.join(cool_sizes, "node"))
-
-
 def _near_pivot(rows: DataFrame, least: float = 0.95) -> DataFrame:
     """rows with near: whether the sketch agrees with the pivot's almost everywhere."""
     kind, out = arrow.schema(None, "node long, used long, doc long, n long, mini binary, pivot long, size long, near boolean")
@@ -336,9 +327,10 @@ def _near_pivot(rows: DataFrame, least: float = 0.95) -> DataFrame:
 def _compared(reps: DataFrame, similarity: float, scratch: Scratch) -> list[DataFrame]:
     """Tables (grp, doc, n, mini) of bounded groups whose members are to be compared."""
     groups = []
-    rows = scratch.written(_root_paths(reps, similarity), "roots")
+    rows = _root_paths(reps, similarity)
     for level in range(DEPTH + 1):
-        live = _sized(rows, scratch).join(reps.select("doc", "n", "mini"), "doc")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where("size > 1")
+        live = rows.join(sizes, "node").join(reps.select("doc", "n", "mini"), "doc")
         live = scratch.written(live.select("node", "used", "doc", "n", "mini", "pivot", "size"), "paths")
         groups.append(live.where(F.col("size") <= LEAF).select(F.col("node").alias("grp"), "doc", "n", "mini"))
         large = live.where(F.col("size") > LEAF)
