@@ -52,10 +52,10 @@ LEAF = 2048
 BLOCK = 1024
 DEPTH = 8
 #: Shingles of texts that are compared at once in a task: more documents, or longer ones, are compared by pairs of blocks.
-BULK = 1 << 22
+BULK = 1 << 20
 #: Tasks over which the rows of a large node are dealt.
 SALTS = 32
-_CHARS = 1_000_000
+_CHARS = 500_000
 _U = np.uint64
 
 
@@ -177,11 +177,15 @@ def _similar_groups(similarity: float, slack: float) -> Callable:
             return None
         n = rows.column(2).to_numpy()[first].astype(float)
         sketch = np.frombuffer(b"".join(rows.column(3).take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, TOKENS)
-        same = np.zeros((len(docs), len(docs)), np.uint8)
-        for i in range(TOKENS):
-            same += sketch[:, i, None] == sketch[None, :, i]
-        small, large = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
-        root = _linked((same >= least) & (small >= similarity * large - 1e-9))
+        near = np.empty((len(docs), len(docs)), bool)
+        for a in range(0, len(docs), 256):  # a strip at a time
+            part = sketch[a : a + 256]
+            same = np.zeros((len(part), len(docs)), np.uint8)
+            for i in range(TOKENS):
+                same += part[:, i, None] == sketch[None, :, i]
+            small, large = np.minimum(n[a : a + 256, None], n[None]), np.maximum(n[a : a + 256, None], n[None])
+            near[a : a + 256] = (same >= least) & (small >= similarity * large - 1e-9)
+        root = _linked(near)
         ids, who, size = np.unique(root, return_inverse=True, return_counts=True)
         groups, members = [], []
         for g in np.flatnonzero(size > 1):
@@ -200,7 +204,7 @@ def exact_links(sets: list[np.ndarray], parts: tuple[int, int]) -> np.ndarray:
     sizes = np.array([len(s) for s in sets], np.int64)
     both = np.zeros((m, m), np.float32)  # counts below 2**24 are exact
     # strips of the hash range, so that very many or very long sets take bounded memory
-    strips = max(1, int(sizes.sum()) >> 21)
+    strips = max(1, int(sizes.sum()) >> 20)
     edges = np.array([(1 << 64) * k // strips for k in range(1, strips)], np.uint64)
     cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets]
     for k in range(strips):

@@ -35,7 +35,7 @@ SAMPLE = 12_000
 #: Characters of their texts that it uses at most: rows beyond, in the order of the sample, are left out.
 SAMPLE_CHARS = 60_000_000
 THRESHOLD = 0.7
-_CHARS = 1_000_000
+_CHARS = 500_000
 
 
 def hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
