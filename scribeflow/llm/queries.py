@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribeflow.llm import ann, bpe, decontaminate, hilbert, langid, neardup, pii, tokencount, toxicity, warc
-from scribeflow.runtime import table
+from scribeflow.runtime import bounded_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def bounded(spark, sf_dir):
+        bounded_batches(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = bounded
+    return bounded
 
 
 @query
