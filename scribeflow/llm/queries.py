@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeflow.llm import annulus, ann, bpe, decontaminate, hilbert, langid, merkle, neardup, pii, tokencount, toxicity, warc
+from scribeflow.llm import annulus, ann, bpe, decontaminate, hilbert, langid, merkle, neardup, pii, repair, tokencount, toxicity, warc
 from scribeflow.runtime import bounded_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,11 @@ def op10_personal_data(spark, sf_dir):
     return pii.digest(docs, pii.fit(docs))
 
 
+@query
+def op11_repair_ids(spark, sf_dir):
+    return repair.round_trip(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_merkle_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
