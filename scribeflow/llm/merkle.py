@@ -38,7 +38,6 @@ from scribeflow.runtime import Scratch, tasks_for, written
 
 #: Children of a node, and the levels that one task climbs: blocks of 729 nodes.
 ARITY, LEVELS = 3, 6
-SPAN = ARITY**LEVELS
 #: The columns that a leaf's digest covers, in order.
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -166,70 +165,77 @@ def numbered(rows: DataFrame, tree: str, order: list[str], scratch: Scratch, par
 
 
 _PATH = "array<struct<l: array<string>, r: array<string>>>"
-_BLOCK = f"idx div {SPAN}"
 
 
-def _nodes(table: pa.Table) -> tuple[list, int]:
-    """Order of a block's rows by idx, and the levels that its task climbs."""
-    n = table.column("n")[0].as_py()
-    return table.sort_by("idx"), LEVELS if n > SPAN else levels_of(n)
+def _block(levels: int) -> Column:
+    return F.expr(f"idx div {ARITY**levels}")
 
 
-def _roots(leaves: DataFrame) -> DataFrame:
+def _above(levels: int) -> Column:
+    """How many nodes a tree of n has levels higher."""
+    return F.expr(f"(n + {ARITY**levels - 1}) div {ARITY**levels}")
+
+
+def _nodes(table: pa.Table, levels: int) -> tuple[pa.Table, int]:
+    """A block's rows by idx, and the levels that its task climbs: all of a tree of one block, else those of the block."""
+    return table.sort_by("idx"), min(levels, levels_of(table.column("n")[0].as_py()))
+
+
+def _roots(leaves: DataFrame, levels: int) -> DataFrame:
     """tree, block, root, n of each block of leaves (tree, idx, leaf, n)."""
     kind, out = arrow.schema(None, "tree string, block long, root string, n long")
 
     def run(table: pa.Table) -> pa.Table:
-        table, levels = _nodes(table)
+        table, up = _nodes(table, levels)
         one = table.slice(0, 1)
-        root = root_of([x.hex() for x in table.column("leaf").to_pylist()], levels)
-        return pa.table([one.column("tree").combine_chunks(), pa.array([one.column("idx")[0].as_py() // SPAN], pa.int64()), pa.array([root]), one.column("n").combine_chunks()], schema=out)
+        root = root_of([x.hex() for x in table.column("leaf").to_pylist()], up)
+        return pa.table([one.column("tree").combine_chunks(), pa.array([one.column("idx")[0].as_py() // ARITY**levels], pa.int64()), pa.array([root]), one.column("n").combine_chunks()], schema=out)
 
-    return leaves.select("tree", "idx", "leaf", "n", F.expr(_BLOCK).alias("block")).groupBy("tree", "block").applyInArrow(run, kind)
+    return leaves.select("tree", "idx", "leaf", "n", _block(levels).alias("block")).groupBy("tree", "block").applyInArrow(run, kind)
 
 
-def _climbed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _climbed(nodes: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
     """tree, idx, path and root (of the tree) of nodes (tree, idx, node, n)."""
     kind, out = arrow.schema(None, f"tree string, idx long, n long, path {_PATH}, root string")
 
     def run(table: pa.Table) -> pa.Table:
-        table, levels = _nodes(table)
+        table, up = _nodes(table, levels)
         leaves = table.column("node").to_pylist()
-        paths = [[{"l": a, "r": b} for a, b in p] for p in traversal(leaves, levels)]
-        columns = [table.column("tree").combine_chunks(), table.column("idx").combine_chunks(), table.column("n").combine_chunks(), pa.array(paths, out.field("path").type), pa.array([root_of(leaves, levels)] * len(leaves))]
+        paths = [[{"l": a, "r": b} for a, b in p] for p in traversal(leaves, up)]
+        columns = [table.column("tree").combine_chunks(), table.column("idx").combine_chunks(), table.column("n").combine_chunks(), pa.array(paths, out.field("path").type), pa.array([root_of(leaves, up)] * len(leaves))]
         return pa.table(columns, schema=out)
 
     passes = []
     while True:
-        passes.append(scratch.written(nodes.select("tree", "idx", "node", "n", F.expr(_BLOCK).alias("block")).groupBy("tree", "block").applyInArrow(run, kind), "climbed"))
-        more = passes[-1].where(f"n > {SPAN} AND idx % {SPAN} = 0")
+        passes.append(scratch.written(nodes.select("tree", "idx", "node", "n", _block(levels).alias("block")).groupBy("tree", "block").applyInArrow(run, kind), "climbed"))
+        more = passes[-1].where(f"n > {ARITY**levels} AND idx % {ARITY**levels} = 0")
         if more.isEmpty():
             break
-        nodes = more.select("tree", F.expr(_BLOCK).alias("idx"), F.col("root").alias("node"), F.expr(f"(n + {SPAN - 1}) div {SPAN}").alias("n"))
+        nodes = more.select("tree", _block(levels).alias("idx"), F.col("root").alias("node"), _above(levels).alias("n"))
     up = passes.pop().select("tree", "idx", "path", "root")
     for below in reversed(passes):
         above = up.select("tree", F.col("idx").alias("block"), F.col("path").alias("more"), F.col("root").alias("top"))
-        joined = below.withColumn("block", F.expr(_BLOCK)).join(above, ["tree", "block"], "left")
+        joined = below.withColumn("block", _block(levels)).join(above, ["tree", "block"], "left")
         more = F.coalesce("more", F.array().cast(_PATH))
         up = scratch.written(joined.select("tree", "idx", F.concat("path", more).alias("path"), F.coalesce("top", "root").alias("root")), "climbed")
     return up
 
 
-def _proofs(leaves: DataFrame, upper: DataFrame) -> DataFrame:
+def _proofs(leaves: DataFrame, upper: DataFrame, levels: int) -> DataFrame:
     """The result's rows: each block of leaves meets the path that they share."""
     kind, out = arrow.schema(None, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
-        table, levels = _nodes(table)
+        table, up = _nodes(table, levels)
         own = [x.hex() for x in table.column("leaf").to_pylist()]
         changed = [x and x.hex() for x in table.column("changed").to_pylist()]
         above = [(p["l"], p["r"]) for p in shared.column("path")[0].as_py()]
         tail = "".join(x for a, b in above for x in [*a, *b]).encode()
         subroot, root = shared.column("subroot")[0].as_py(), shared.column("root")[0].as_py()
-        base = root_of(own, levels)
+        base = root_of(own, up)
         known = {base: folded(base, above)}  # where leaves that weren't changed meet
         proofs, roots = [], []
-        for leaf, other, path in zip(own, changed, traversal(own, levels), strict=True):
+        for leaf, other, path in zip(own, changed, traversal(own, up), strict=True):
             proof = hashlib.sha256("".join(x for a, b in path for x in [*a, *b]).encode())
             proof.update(tail)
             proofs.append(proof.hexdigest())
@@ -238,11 +244,11 @@ def _proofs(leaves: DataFrame, upper: DataFrame) -> DataFrame:
         columns = [table.column("doc_id").combine_chunks(), own, [subroot] * len(own), [root] * len(own), proofs, roots, [r == root for r in roots]]
         return pa.Table.from_batches([arrow.batch(out, *columns)])
 
-    a = leaves.withColumn("block", F.expr(_BLOCK)).groupBy("tree", "block")
+    a = leaves.withColumn("block", _block(levels)).groupBy("tree", "block")
     return a.cogroup(upper.groupBy("tree", "block")).applyInArrow(run, kind)
 
 
-def manifest(docs: DataFrame, changed: Column | None = None, tampered: dict[str, Column] | None = None, order: str = "doc_id", tree: str = "source") -> DataFrame:
+def manifest(docs: DataFrame, changed: Column | None = None, tampered: dict[str, Column] | None = None, order: str = "doc_id", tree: str = "source", levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row of docs.
 
     Where changed holds, the fold starts from the leaf with the columns in
@@ -255,17 +261,17 @@ def manifest(docs: DataFrame, changed: Column | None = None, tampered: dict[str,
     leaves = docs.select(name.alias("tree"), F.col(order).cast("long").alias("doc_id"), leaf_digest(list(have.values())).alias("leaf"), (F.when(changed, other) if changed is not None else F.lit(None).cast("binary")).alias("changed"))
     leaves = scratch.written(leaves, "leaves")
     leaves = scratch.written(numbered(leaves, "tree", ["doc_id", "leaf"], scratch, tasks_for(docs.sparkSession, leaves.count(), 1_000_000)), "numbered")
-    blocks = scratch.written(_roots(leaves), "blocks")
-    cut = blocks.where(f"n > {SPAN}").select("tree", F.col("block").alias("idx"), F.col("root").alias("node"), F.expr(f"(n + {SPAN - 1}) div {SPAN}").alias("n"))
-    within = _climbed(cut, scratch)
-    subroots = blocks.where(f"n <= {SPAN}").select("tree", "root").unionByName(within.where("idx = 0").select("tree", "root"))
+    blocks = scratch.written(_roots(leaves, levels), "blocks")
+    cut = blocks.where(f"n > {ARITY**levels}").select("tree", F.col("block").alias("idx"), F.col("root").alias("node"), _above(levels).alias("n"))
+    within = _climbed(cut, scratch, levels)
+    subroots = blocks.where(f"n <= {ARITY**levels}").select("tree", "root").unionByName(within.where("idx = 0").select("tree", "root"))
     trees = numbered(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("node")), "tree", ["name"], scratch, 1)
     trees = scratch.written(trees, "trees")
-    top = _climbed(trees, scratch).select("idx", F.col("path").alias("last"), F.col("root").alias("root"))
+    top = _climbed(trees, scratch, levels).select("idx", F.col("path").alias("last"), F.col("root").alias("root"))
     tops = trees.select(F.col("name").alias("tree"), F.col("node").alias("subroot"), "idx").join(top, "idx").drop("idx")
     paths = within.select("tree", F.col("idx").alias("block"), "path")
     upper = blocks.select("tree", "block").join(paths, ["tree", "block"], "left").join(tops, "tree")
     upper = upper.select("tree", "block", F.concat(F.coalesce("path", F.array().cast(_PATH)), "last").alias("path"), "subroot", "root")
-    out = written(_proofs(leaves, scratch.written(upper, "upper")), "manifest")
+    out = written(_proofs(leaves, scratch.written(upper, "upper"), levels), "manifest")
     scratch.clear()
     return out
