@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 
 #: Extra columns that clash with names that operators use.
-CLASH = ["score", "key", "spans", "grp", "doc", "node", "kept", "row", "place", "id"]
+CLASH = ["score", "key", "spans", "grp", "doc", "node", "kept", "row", "place", "id", "bucket", "bit", "map", "_bucket", "_bit", "_Map", "gone", "count", "r"]
 STAGES = dict(cp.STAGES)
 N = 400
 
