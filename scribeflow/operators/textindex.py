@@ -11,11 +11,17 @@ hold every phrase: no shuffle, and only the text column is read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from scribeflow.functions import text as T
 from scribeflow.runtime import tasks_for
@@ -24,11 +30,33 @@ from scribeflow.runtime import tasks_for
 def postings(segments: DataFrame) -> DataFrame:
     """term, episode_id, seq, positions (0-based, ascending), dl (tokens of the segment).
 
-    A segment's tokens are grouped where they are made, before the shuffle.
+    A segment's tokens are grouped in the task that reads it, so postings need no shuffle.
     """
     tokens = segments.select("episode_id", "seq", T.search_tokens(F.col("text")).alias("t"))
-    rows = tokens.select("episode_id", "seq", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
-    return rows.groupBy("term", "episode_id", "seq").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
+    own = {f.name: f for f in tokens.schema}
+    kind = StructType([StructField("term", StringType()), own["episode_id"], own["seq"], StructField("positions", ArrayType(IntegerType())), StructField("dl", IntegerType())])
+    out = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
+                lists = part.column(2)
+                size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+                flat = lists.flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(size)), size)
+                code = np.asarray(flat.indices).astype(np.int64)
+                position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                key = row * max(1, len(flat.dictionary)) + code
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                at = pa.array(order[first])
+                ends = pa.array(np.append(first, len(order)), pa.int32())
+                places = pa.ListArray.from_arrays(ends, pa.array(position[order], pa.int32()))
+                rows = pa.array(row[order][first])
+                columns = [flat.dictionary.take(flat.indices.take(at)), part.column(0).take(rows), part.column(1).take(rows), places, pa.array(size[row[order][first]], pa.int32())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return tokens.mapInArrow(run, kind)
 
 
 def episode_lengths(segments: DataFrame) -> DataFrame:

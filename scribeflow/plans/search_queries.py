@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from scribeflow import model as M
 from scribeflow.functions import formats as X
 from scribeflow.functions import text as T
-from scribeflow.operators import textindex, vectors, windows
+from scribeflow.operators import indexlog, textindex, vectors, windows
+from scribeflow.operators.snapshots import Conflict
 from scribeflow.plans import api
 from scribeflow.plans._register import registrar
-from scribeflow.runtime import fresh_path, table
+from scribeflow.runtime import fresh_path, shared_dir, table
 
 QUERIES, SQL, query = registrar()
 
@@ -23,15 +26,26 @@ def _words(d: str) -> str:
     return f"tok AS (SELECT *, {_TOK} AS t, {_PADDED} AS p FROM {d})"
 
 
-_INDEXES: dict[tuple[str, str], textindex.Index] = {}
+def stored_index(spark, d):
+    """The index of a folder's segments, stored under the names, sizes and times of their files: a change of those makes a new one."""
+    files = sorted(table(spark, d, "documents").inputFiles())
+    configuration = spark._jsc.hadoopConfiguration()
+    about = []
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(configuration).getFileStatus(path)
+        about.append((name, status.getLen(), status.getModificationTime()))
+    index = indexlog.StoredIndex(spark, f"{shared_dir(spark)}/text-index-{hashlib.sha256(repr(about).encode()).hexdigest()[:32]}")
+    if not index.log.versions():
+        try:
+            index.write(M.segments(spark, d))
+        except Conflict:  # another session stored it meanwhile
+            pass
+    return index
 
 
 def _index(spark, d):
-    """The index of a folder's segments: built once in a session, then read by every query."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        _INDEXES[key] = textindex.Index.of(M.segments(spark, d)).store(fresh_path(spark, "index"))
-    return _INDEXES[key]
+    return stored_index(spark, d).index()
 
 
 @query(f"""WITH {M.EPISODES_SQL}, {_words('seg')}, n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
@@ -62,6 +76,31 @@ def sk13_merged_index(spark, d):
     return textindex.Index.of(s.where("episode_id % 2 = 0")).merged(textindex.Index.of(s.where("episode_id % 3 = 0"))).match(["of the"])
 
 
+@query(f"""WITH {M.SEGMENTS_SQL}, {_words('seg')}, w AS (SELECT episode_id, seq, unnest(t) AS term FROM tok)
+SELECT term, count(DISTINCT (episode_id, seq)) AS segments, count(*) AS occurrences FROM w GROUP BY 1""")
+def sk14_index_build(spark, d):
+    """SK14, FT01: an index made anew and stored; in how many segments each term is, and how often."""
+    index = indexlog.StoredIndex(spark, fresh_path(spark, "index"))
+    index.write(M.segments(spark, d))
+    return index.index().postings.groupBy("term").agg(F.count("*").alias("segments"), F.sum(F.size("positions")).alias("occurrences"))
+
+
+@query(f"""WITH {M.SEGMENTS_SQL}, now AS (SELECT episode_id, seq, CASE WHEN episode_id % 8 = 1 THEN text ELSE 'of the ' || text END AS text FROM seg WHERE episode_id % 8 = 1 OR (episode_id % 7 <> 0 AND episode_id % 5 = 0 AND seq <= 2)
+  UNION ALL SELECT episode_id, seq, text FROM seg WHERE episode_id % 8 <> 1 AND episode_id % 7 <> 0 AND episode_id % 5 <> 0 AND episode_id % 4 <> 1), {_words('now')},
+n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), c AS (SELECT episode_id, seq, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS f FROM tok),
+k AS (SELECT count(*) FILTER (f > 0) AS n1 FROM c)
+SELECT episode_id, seq, round(-(greatest(1e-6, ln((n - n1 + 0.5) / (n1 + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS rank FROM c, k, n WHERE f > 0""")
+def sk13_index_changes(spark, d):
+    """SK13: a stored index after episodes were inserted, revised and deleted, and after a merge: ranks are of what is left."""
+    s, e = M.segments(spark, d), F.col("episode_id")
+    index = indexlog.StoredIndex(spark, fresh_path(spark, "index"))
+    index.write(s.where(e % 4 != 1))
+    index.write(s.where((e % 5 == 0) & (F.col("seq") <= 2)).withColumn("text", F.concat(F.lit("of the "), "text")))
+    index.write(s.where(e % 8 == 1), deleted=s.where(e % 7 == 0).select("episode_id"))
+    index.compact()
+    return index.index().bm25(["of the"]).withColumn("rank", F.round("rank", 6))
+
+
 @query(f"WITH {M.EPISODES_SQL}, {_words('seg')} SELECT strftime(published_at, '%Y-%m') AS month, count(*) AS mentions, count(DISTINCT episode_id) AS episodes FROM tok JOIN ep ON ep.id = episode_id WHERE list_contains(t, 'the') GROUP BY 1")
 def q03_timeline(spark, d):
     """Q03: mentions and episodes by month."""

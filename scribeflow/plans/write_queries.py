@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from scribeflow import model as M
 from scribeflow.functions import text as T
 from scribeflow.operators import entities, tables, vectors, windows
+from scribeflow.operators.keyed import KeyedTable
 from scribeflow.plans._register import registrar
-from scribeflow.runtime import table
+from scribeflow.runtime import fresh_path, table
 from scribeflow.sources import listings, pages, speech
 
 QUERIES, SQL, query = registrar()
@@ -66,6 +67,31 @@ def sk10_rename(spark, d):
     return tables.rename_values(M.guests(spark, d), renames, spark.createDataFrame([("Customer#000000004",)], "old string"), "guest_name")
 
 
+@query("""WITH s AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings), u AS (SELECT id, CASE WHEN id % 3 = 0 THEN label + 100 ELSE label END AS label FROM s UNION ALL SELECT id + 10000000, 7 FROM s WHERE id % 50 = 0),
+p AS (SELECT id, CASE WHEN id % 4 = 0 THEN -id ELSE label END AS label FROM u) SELECT id, label FROM p WHERE id % 7 <> 0 UNION ALL SELECT id, 1 FROM s WHERE id % 7 = 0 AND id % 2 = 0""")
+def sk06_keyed_changes(spark, d):
+    """SK02 to SK04, SK06, SK07: a stored table by key, after an upsert, a patch, a delete and an insert of what isn't there."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"))
+    i = F.col("id")
+    stored = KeyedTable.create(rows, fresh_path(spark, "keyed"), ["id"], 32)
+    stored.upsert(rows.where(i % 3 == 0).withColumn("label", F.col("label") + 100).unionByName(rows.where(i % 50 == 0).select((i + 10_000_000).alias("id"), F.lit(7).cast("long").alias("label"))))
+    stored.patch(stored.rows().where(i % 4 == 0).select("id", (-i).alias("label")))
+    stored.delete(stored.rows().where(i % 7 == 0).select("id"))
+    stored.insert_ignore(rows.where(i % 2 == 0).withColumn("label", F.lit(1).cast("long")))
+    return stored.rows()
+
+
+@query(f"""WITH {M.GUESTS_SQL}, c AS (SELECT c_name AS old, CASE WHEN c_custkey % 3 = 0 THEN upper(c_mktsegment) ELSE NULL END AS new FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0)
+SELECT DISTINCT episode_id, coalesce(new, guest_name) AS guest_name FROM guests LEFT JOIN c ON old = guest_name WHERE old IS NULL OR new IS NOT NULL""")
+def sk10_keyed_rename(spark, d):
+    """SK10: guests renamed in a stored table, merged where they meet, or deleted; the corrections are a table."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    stored = KeyedTable.create(M.guests(spark, d), fresh_path(spark, "keyed"), ["guest_name"], 32)
+    stored.rename(c.where(k % 3 == 0).select(F.col("c_name").alias("old"), F.upper("c_mktsegment").alias("new")), c.where((k % 5 == 0) & (k % 3 != 0)).select(F.col("c_name").alias("old")), "guest_name")
+    return stored.rows()
+
+
 @query(f"WITH {M.SEGMENTS_SQL} SELECT episode_id, seq, CAST(floor((start_ms + 5) / 10 + 0.5) AS BIGINT) AS start_ms_rounded, (start_ms + 5) // 10 AS start_ms_cut, CAST(floor((end_ms + 7) / 10 + 0.5) AS BIGINT) AS end_ms_rounded, (end_ms + 7) // 10 AS end_ms_cut FROM seg")
 def sk11_rescale(spark, d):
     """SK11, CL18, SF45: times divided by ten, rounded and cut."""

@@ -51,8 +51,36 @@ def test_transcript_files(spark, tmp_path):
     assert set(got) == {"ep-a", "b"} and got["b"].segments == []
     seg = transcripts.segments_of(transcripts.read_transcripts(spark, str(tmp_path)))
     assert [(r.seq, r.text) for r in seg.orderBy("seq").collect()] == [(1, "one"), (2, "two")]
-    transcripts.write_transcripts(seg, spark.createDataFrame([("ep-a", "t")], "id string, title string"), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).first().segments[1].text == "two"
+    assert transcripts.write_transcripts(seg, spark.createDataFrame([("ep-a", "t")], "id string, title string"), str(tmp_path / "out")) == 1
+    assert json.loads((tmp_path / "out" / "ep-a.json").read_text())["segments"][1]["text"] == "two"
+    assert transcripts.read_transcripts(spark, str(tmp_path)).count() == 2
+    assert [tuple(r) for r in transcripts.broken_transcripts(spark, str(tmp_path)).collect()] == [("c", None, "{broken")]
+
+
+def test_transcripts_round_trip(spark, tmp_path):
+    """All episodes of one partition come back, whatever their ids are; one document a file."""
+    ids = [f"ep {i}" for i in range(37)] + ["a/b", "é.json", "100%"]
+    rows = [(i, k + 1, k * 1000, k * 1000 + 900, f"line {k}\nof {i}") for i in ids for k in range(3)]
+    segments = spark.createDataFrame(rows, "episode_id string, seq long, start_ms long, end_ms long, text string").coalesce(1)
+    episodes = spark.createDataFrame([(i, f"title {i}") for i in ids[:-1]], "id string, title string")
+    for _ in range(2):  # a second run writes the same files
+        assert transcripts.write_transcripts(segments, episodes, str(tmp_path / "out")) == 40
+    back = transcripts.read_transcripts(spark, str(tmp_path / "out"))
+    assert back.count() == 40 and len(list((tmp_path / "out").glob("*.json"))) == 40
+    assert sorted((r.episode_id, r.title) for r in back.select("episode_id", "title").collect()) == sorted((i, f"title {i}" if i != ids[-1] else i) for i in ids)
+    assert sorted(map(tuple, transcripts.segments_of(back).collect())) == sorted(rows)
+
+
+def test_files_of_json_lines(spark, tmp_path):
+    """Each line is a document; a broken one costs itself alone; a missing id is the stem and the line."""
+    lines = [json.dumps(transcript("a", ["one"])), "", json.dumps({"title": "no id"}), "{broken", json.dumps(transcript("b", ["two", "three"]))]
+    (tmp_path / "many.json").write_text("\r\n".join(lines) + "\n")
+    (tmp_path / "empty.json").write_text("")  # Spark reads no row of it
+    (tmp_path / "list.json").write_text("[1, 2]")
+    got = {r.episode_id: len(r.segments) for r in transcripts.read_transcripts(spark, str(tmp_path)).collect()}
+    assert got == {"a": 1, "many-2": 0, "b": 2}
+    broken = {(r.stem, r.line): r.content for r in transcripts.broken_transcripts(spark, str(tmp_path)).collect()}
+    assert broken.pop(("many", 3)) == "{broken" and set(broken) == {("list", None)}
 
 
 def test_ingest_is_idempotent(spark, tmp_path):
