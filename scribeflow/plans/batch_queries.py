@@ -12,7 +12,7 @@ from scribeflow.operators import catalog, clean, entities, lexicon, tables, wind
 from scribeflow.plans._register import registrar
 from scribeflow.runtime import cut_lineage, table
 from scribeflow.sources import candidates as place_sources
-from scribeflow.streaming import ratelimit
+from scribeflow.streaming import jobs, ratelimit
 
 QUERIES, SQL, query = registrar()
 
@@ -545,3 +545,35 @@ SELECT key, arg_min(event_id, ("at", event_id)) AS event_id, min("at") AS "at",
 def st02_dedupe(spark, d):
     """ST02: the first event of each key, and how many came."""
     return ratelimit.first_per_key(M.requests(spark, d))
+
+
+_STEPS = ("transcribe", "seed-db", "embeddings", "summary", "extract-places", "set-audio-url")
+
+
+def _step(k: int):
+    def run(key, request, segments):
+        if (request + k) % 11 == 0:
+            raise ValueError(f"{_STEPS[k]} of {request}")
+        return [{"text": key, "n": i} for i in range(request % 1200)]
+
+    return jobs.Step(_STEPS[k], run, soft=_STEPS[k] == "extract-places")
+
+
+_ENDS = 'r."at" + CASE WHEN r.fails THEN r.k + 1 ELSE 6 END * 10800000'
+_AGAIN = 'g.fails AND g.ends <= r."at"'
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS "at", event_id AS id, (11 - event_id % 11) % 11 AS k FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at", id) AS i, k < 6 AND k <> 4 AS fails FROM e),
+g AS (SELECT r.key, r.i, {_ENDS} AS ends, r.fails, r.k, r.id AS job, 1 AS starts, 0 AS refused FROM r WHERE r.i = 1 UNION ALL
+  SELECT r.key, r.i, CASE WHEN {_AGAIN} THEN {_ENDS} ELSE g.ends END, CASE WHEN {_AGAIN} THEN r.fails ELSE g.fails END, CASE WHEN {_AGAIN} THEN r.k ELSE g.k END,
+    CASE WHEN {_AGAIN} THEN r.id ELSE g.job END, g.starts + CASE WHEN {_AGAIN} THEN 1 ELSE 0 END, g.refused + CASE WHEN {_AGAIN} THEN 0 ELSE 1 END
+  FROM g JOIN r ON r.key = g.key AND r.i = g.i + 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i DESC) AS back FROM g)
+SELECT key, CASE WHEN fails THEN 'failed' ELSE 'completed' END AS status, CASE WHEN fails THEN [{", ".join(f"'{s}'" for s in _STEPS)}][k + 1] ELSE 'set-audio-url' END AS step,
+  CASE WHEN fails THEN [{", ".join(f"'{s}'" for s in _STEPS)}][k + 1] || ' of ' || job ELSE '' END AS error, CAST(starts AS BIGINT) AS starts, CAST(refused AS BIGINT) AS refused FROM z WHERE back = 1""")
+def st03_job_states(spark, d):
+    """ST03, ST04, Q09: a log of requests replayed through six steps of three hours, some of which fail: where each key's job stands."""
+    requests = M.requests(spark, d).select("key", (F.col("at") * 1000).alias("at"), F.col("event_id").alias("id"))
+    machine = jobs.Machine([_step(k) for k in range(6)], delay=10_800_000)
+    return jobs.last_states(jobs.replayed(requests, machine), _STEPS)
