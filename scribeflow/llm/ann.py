@@ -231,6 +231,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embed
     paths = vectors.sparkSession.sparkContext.broadcast([path for _, path in sorted(map(tuple, made.collect()))])  # one name a shard
     found_kind, found_out = arrow.schema(None, "query_id long, rank int, vec_id long, score double")
 
+    @arrow.settled
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]  # a block of queries
         if not held:

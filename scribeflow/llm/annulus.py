@@ -90,6 +90,7 @@ def _assigned(rows: DataFrame, centroids: np.ndarray, first: bool) -> DataFrame:
     """rows (vec_id, v, and cluster unless first) with the nearest centroid's number and its squared distance."""
     kind, out = arrow.schema(None, "vec_id long, v array<int>, cluster int, distance long")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -104,6 +105,7 @@ def _means(assigned: DataFrame, centroids: np.ndarray) -> np.ndarray:
     k, dims = centroids.shape
     kind, out = arrow.schema(None, "cluster int, n long, s array<long>")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s = np.zeros(k, np.int64), np.zeros((k, dims), np.int64)
         for b in batches:

@@ -53,6 +53,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind, out = arrow.schema(None, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for b in batches:
@@ -74,6 +75,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind, out = arrow.schema(None, "doc_id long, bytes binary")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for b in batches:

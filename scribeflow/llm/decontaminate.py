@@ -322,6 +322,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     result = None
     for shared in _shared_blocks(docs.sparkSession, benchmark, item):
 
+        @arrow.settled
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = _index(*shared.value)
             for b in batches:

@@ -312,6 +312,7 @@ def identify(docs: DataFrame, references: tuple[tuple[str, tuple[str, ...]], ...
     shared = docs.sparkSession.sparkContext.broadcast(references)
     kind, out = arrow.schema(None, "doc_id long, lang_pred string, score double")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parser(shared.value)
         for b in batches:

@@ -96,6 +96,7 @@ def features(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     """doc_id, key (digest of the set; null if empty), n (its size), sketch, mini (the sketch's low bytes)."""
     kind, out = arrow.schema(None, "doc_id long, key binary, n long, sketch binary, mini binary")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -133,6 +134,7 @@ def _grouped(df: DataFrame, key: str, run: Callable, ddl: str, tasks: int) -> Da
     """run(rows of one key) -> columns, for keys of bounded size."""
     kind, out = arrow.schema(None, ddl)
 
+    @arrow.settled
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in out]
         for rows in _runs(batches):
@@ -269,6 +271,7 @@ def _root_paths(reps: DataFrame, similarity: float) -> DataFrame:
     kind, out = arrow.schema(None, "node long, used long, doc long")
     roots = 2 * trees(similarity)
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs = b.column(0).to_numpy()
@@ -285,6 +288,7 @@ def _branches(rows: DataFrame, similarity: float) -> DataFrame:
     kind, out = arrow.schema(None, "node long, used long, doc long")
     second = _U(int((1 / similarity - 1) * 2**64))
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -318,6 +322,7 @@ def _near_pivot(rows: DataFrame, least: float = 0.95) -> DataFrame:
     """rows with near: whether the sketch agrees with the pivot's almost everywhere."""
     kind, out = arrow.schema(None, "node long, used long, doc long, n long, mini binary, pivot long, size long, near boolean")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in (4, 7))

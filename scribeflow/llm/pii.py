@@ -431,6 +431,7 @@ def spans(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     span = "array<struct<kind: string, start: int, end: int>>"
     kind, out = arrow.schema(None, f"doc_id long, base {span}, spans {span}, redacted string")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
@@ -447,6 +448,7 @@ def digest(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind, out = arrow.schema(None, "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:

@@ -50,8 +50,8 @@ from scribeflow.runtime import cut_lineage, fresh_path, tasks_for
 MAGIC = b"REPAIR01"
 #: Ids of a shard, uses of a pair that is worth a rule, and the share by which a round that isn't the last shortens a shard.
 SHARD, LEAST, GAIN = 1 << 18, 4, 128
-#: Bytes of text in a file, about; ids that a reader decodes at once; pre-tokens whose ids a task keeps.
-FILE_BYTES, WINDOW, KEPT = 64 << 20, 1 << 16, 1_000_000
+#: Bytes of text in a file, about; ids that a reader decodes at once; pre-tokens whose ids a worker keeps, at most.
+FILE_BYTES, WINDOW, KEPT = 64 << 20, 1 << 16, 1 << 21
 END = 0
 _CHARS = 1_000_000
 _HEAD, _FOOT, _TAIL = struct.Struct("<IIIQ"), struct.Struct("<IQ"), struct.Struct("<QI8s")
@@ -60,58 +60,50 @@ _SLOTS = 18
 
 
 class Encoder:
-    """Ids of texts; each distinct pre-token goes to the library once, as long as it is kept."""
+    """Ids of texts; each distinct pre-token goes to the library once, as long as it is kept.
 
-    def __init__(self, path: str):
-        self.tk, self.special = tokencount.tokenizer(path), tokencount.specials(path)
-        self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int32)
-
-    def _gathered(self, place: np.ndarray) -> np.ndarray:
-        """The ids of the entries at place, in turn."""
-        size = self.size[place]
-        ends = np.cumsum(size)
-        return self.ids[np.repeat(self.first[place] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    What is kept is a table by hash: a pre-token has one slot, and leaves it to the next one that needs it.
+    """
 
-    def _forget(self) -> None:
-        """Half of the table stays: what most blocks of texts held."""
-        stay = np.sort(np.argpartition(-self.uses, KEPT // 2)[: KEPT // 2]) if len(self.keys) > KEPT // 2 else np.arange(len(self.keys))
-        self.ids = self._gathered(stay)
-        self.keys, self.size, self.uses = self.keys[stay], self.size[stay], self.uses[stay] // 2
-        self.first = np.cumsum(self.size) - self.size
+    def __init__(self, path: str, slots: int = KEPT):
+        self.tk, self.special = tokencount.tokenizer(path), tokencount.specials(path)
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.first, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+        self.ids, self.used = np.zeros(1024, np.uint32), 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(texts), 2000) for e in self.tk.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        got = self._library(words)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        first = np.cumsum(size) - size + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        self.keys, self.first, self.size = every[order], np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
-        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int32)])[order]
-
-    def _missing(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.arange(len(keys))
-        return np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys)
+    def _gathered(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _store(self, ids: np.ndarray) -> int:
+        """Where ids are put. What no slot needs any more goes once it is most of what is held."""
+        if self.used + len(ids) > len(self.ids):
+            live = np.flatnonzero(self.size)
+            held = self._gathered(self.first[live], self.size[live])
+            self.first[live] = np.cumsum(self.size[live]) - self.size[live]
+            self.ids, self.used = np.zeros(2 * (len(held) + len(ids)), np.uint32), len(held)
+            self.ids[: len(held)] = held
+        at, self.used = self.used, self.used + len(ids)
+        self.ids[at : self.used] = ids
+        return at
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined, starts, lengths, h, who, _ = tokencount._tokens(texts, ())
-        got, first, back = np.unique(h, return_index=True, return_inverse=True)
-        missing = self._missing(got)
-        if len(missing) and len(self.keys) + len(missing) > KEPT:
-            self._forget()
-            missing = self._missing(got)
-        if len(missing):
-            at = first[missing]
-            self._learn(got[missing], [joined[s:e] for s, e in zip(starts[at].tolist(), (starts[at] + lengths[at]).tolist(), strict=True)])
-        place = np.searchsorted(self.keys, got)
-        self.uses[place] += 1
-        place = place[back]
-        return self._gathered(place), np.bincount(who, self.size[place], len(texts)).astype(np.int64)
+        got, place, back = np.unique(h, return_index=True, return_inverse=True)
+        slot = got & self.mask
+        missing = np.flatnonzero((self.keys[slot] != got) | (self.size[slot] == 0))
+        at = place[missing]
+        new = self._library([joined[s:e] for s, e in zip(starts[at].tolist(), (starts[at] + lengths[at]).tolist(), strict=True)])
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        begin = self._store(np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum())))
+        first, size = self.first[slot], self.size[slot]
+        first[missing], size[missing] = begin + np.cumsum(sizes) - sizes, sizes
+        out = self._gathered(first[back], size[back]), np.bincount(who, size[back], len(texts)).astype(np.int64)
+        self.keys[slot], self.first[slot], self.size[slot] = got, first, size
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and how many each text has."""
@@ -163,6 +155,7 @@ def grammar(ids: np.ndarray, least: int = LEAST, gain: int = GAIN) -> tuple[int,
     base = int(seq.max()) + 1 if len(seq) else 1
     rules, symbols = [np.zeros((0, 2), np.int64)], base
     slots = np.empty(1 << _SLOTS, np.int32)
+    names: dict[int, int] = {}
     while len(seq) > 1:
         keys = (seq[:-1] << 32) | seq[1:]
         ordered = np.sort(keys)
@@ -193,10 +186,14 @@ def grammar(ids: np.ndarray, least: int = LEAST, gain: int = GAIN) -> tuple[int,
         if not kept.any():
             break
         won, pair = won[kept[pair]], pair[kept[pair]]
-        used = pairs[kept]
-        rules.append(np.stack([used >> 32, used & 0xFFFFFFFF], 1))
-        seq[won] = symbols + np.cumsum(kept)[pair] - 1
-        symbols += len(used)
+        # a pair that lost places to others before has its rule already
+        number = np.array([names.get(p, -1) for p in pairs[kept].tolist()])
+        fresh = pairs[kept][number < 0]
+        number[number < 0] = symbols + np.arange(len(fresh))
+        names.update(zip(fresh.tolist(), range(symbols, symbols + len(fresh)), strict=True))
+        rules.append(np.stack([fresh >> 32, fresh & 0xFFFFFFFF], 1))
+        seq[won] = number[np.cumsum(kept)[pair] - 1]
+        symbols += len(fresh)
         stays = np.ones(len(seq), bool)
         stays[won + 1] = False
         before, seq = len(seq), seq[stays]
@@ -377,6 +374,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
     rows = own.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kind, out = arrow.schema(None, "part int, path string, docs long, ids long, bytes long")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -409,6 +407,7 @@ def read(manifest: DataFrame, folder: str, ids: bool = False) -> DataFrame:
     files = manifest.select("part", "path", "docs", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     kind, out = arrow.schema(None, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
         for b in batches:

@@ -90,6 +90,7 @@ def vocabulary(docs: DataFrame, special: tuple[str, ...], text: str = "text") ->
     """token, key (its hash) and n: the distinct pre-tokens of the corpus and how often they occur."""
     kind, out = arrow.schema(None, "token string, key long, n long")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
@@ -107,6 +108,7 @@ def pieces(vocab: DataFrame, path: str) -> DataFrame:
     """vocab with the number of pieces of each pre-token."""
     kind, out = arrow.schema(None, "token string, key long, n long, pieces int")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = tokenizer(path)
         for b in batches:
@@ -146,6 +148,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, over: int = 512, text
     shared = spark.sparkContext.broadcast((keys[order], sizes[order].astype(np.int64)))
     kind, out = arrow.schema(None, "doc_id long, row long, n_bytes long, base long, rare array<struct<token: string, f: int>>")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, size = shared.value
         for b in batches:

@@ -147,13 +147,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     kind, out = arrow.schema(None, "place int, weight double")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples, size = [], 0
         for b in batches:
+            texts, labels = [], []
             for x, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 size += len(x.as_py() or "")
-                if size <= SAMPLE_CHARS or not examples:
-                    examples.append((features([x.as_py()])[0].astype(np.int32), int(y > 0)))
+                if size <= SAMPLE_CHARS or not (examples or texts):
+                    texts.append(x.as_py())
+                    labels.append(int(y > 0))
+            for i, j in chars.blocks(texts, _CHARS):  # one array a block, of which the examples are parts
+                found, owners = features(texts[i:j])
+                ends = np.searchsorted(owners, np.arange(j - i + 1))
+                found = found.astype(np.int32)
+                examples += [(found[ends[k] : ends[k + 1]], labels[i + k]) for k in range(j - i)]
         places, weights, bias = train_calibrated(examples)
         yield arrow.batch(out, np.append(places, -1).astype(np.int32), np.append(weights, bias))
 
@@ -169,6 +177,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind, out = arrow.schema(None, "doc_id long, score double, predicted int")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, weights, bias = shared.value
         dense = np.zeros(1 << BITS)

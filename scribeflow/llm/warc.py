@@ -182,6 +182,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
     rows = some.select("page_id", "url", "html", refers.alias("refers_to")).unionByName(single.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
     kind, out = arrow.schema(None, "path string, records long, bytes long")
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
@@ -212,6 +213,7 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> Da
     """A row for each record of the archives in the manifest; with its payload if asked for."""
     kind, out = arrow.schema(None, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload)
 
+    @arrow.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
         for b in batches:
