@@ -20,6 +20,17 @@ def all_verified(asked: DataFrame) -> DataFrame:
     return asked.select(*[c for c in asked.columns if c != "context"], F.lit(True).alias("verdict"))
 
 
+def verifier(call, columns: list[str], at_once: int = 8):
+    """A check for entities.verified from a function of columns: a boolean for each row, null where the call failed."""
+    from scribeflow.operators import calls
+
+    def verify(asked: DataFrame) -> DataFrame:
+        ends = calls.settled(asked, call, columns, "boolean", at_once)
+        return ends.select(*[c for c in asked.columns if c != "context"], F.col("value").alias("verdict"))
+
+    return verify
+
+
 def audio_addresses(base: str, ending: str = ".m4a"):
     """Addresses of recordings below a public one: the audio service of ingest."""
 

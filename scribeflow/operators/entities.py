@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from scribeflow.functions import names as N
 from scribeflow.functions import text as T
-from scribeflow.operators import windows
+from scribeflow.operators import trie, windows
+from scribeflow.operators.keyed import KeyedTable
+from scribeflow.runtime import written
 
 
 def candidate_union(*sources: DataFrame) -> DataFrame:
@@ -105,47 +107,32 @@ def similar_names(names: DataFrame, column: str = "guest_name", percent: int = 8
 
 
 def _words(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != ""))
+    return F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != "")
 
 
-def mentions(candidates: DataFrame, segments: DataFrame, name: str = "name") -> DataFrame:
+def mentions(candidates: DataFrame, segments: DataFrame, name: str = "name", block: int = trie.BLOCK) -> DataFrame:
     """Each candidate with each segment that holds its name as whole words, whatever the case.
 
-    A candidate looks for segments by the one of its words that fewest
-    segments hold (all words of a match stand whole in the text); a name
-    without an ASCII word, which only matches between word characters, by its
-    first character where one stands behind a word character. Words travel
-    with the segment's id alone; texts are joined to the hits and verified.
+    The names' words are looked for in each segment where it is read (see trie);
+    what has them in a row is verified with all that stands between. A name
+    without an ASCII word, which only matches between word characters, is
+    looked for by its first character where one stands behind a word character.
     """
-    left = candidates.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct()
-    ids = segments.select("episode_id", "seq", F.explode(_words(F.col("text"))).alias("_w"))
-    parts = left.select("_name", F.explode(_words(F.col("_name"))).alias("_w"))
-    asked = ids.join(parts.select("_w").distinct(), "_w", "left_semi")
-    counts = asked.groupBy("_w").agg(F.count("*").alias("_n"))
-    keyed = parts.join(counts, "_w", "left").groupBy("_name").agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w"))
-    hits = keyed.join(ids, "_w").select("_name", "episode_id", "seq")
-    bare = left.where(F.size(_words(F.col("_name"))) == 0).withColumn("_w", F.lower(F.substring("_name", 1, 1)))
+    left = candidates.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct().withColumn("_t", _words(F.col("_name")))
+    rows = trie.found(left, segments.withColumn("_t", _words(F.col("text"))), block)
+    bare = left.where(F.size("_t") == 0).select("_name", F.lower(F.substring("_name", 1, 1)).alias("_w"))
     behind = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?<=\w)(\W)")), F.lower))
-    hits = hits.unionByName(bare.join(segments.select("episode_id", "seq", F.explode(behind).alias("_w")), "_w").select("_name", "episode_id", "seq"))
-    found = segments.join(hits, ["episode_id", "seq"]).where(T.whole_word(F.col("text"), F.col("_name")))
+    if not bare.isEmpty():
+        rows = rows.unionByName(segments.withColumn("_w", F.explode(behind)).join(bare, "_w").select(*segments.columns, "_name"))
+    found = rows.where(T.whole_word(F.col("text"), F.col("_name")))
     return candidates.join(found, F.col(name) == F.col("_name")).drop("_name")
 
 
-def phrase_mentions(names: DataFrame, texts: DataFrame, name: str = "normalized_name", keys: tuple[str, ...] = ("episode_id", "first")) -> DataFrame:
-    """Each name with each text (window or segment) whose search tokens hold those of the name in a row.
-
-    keys tell texts apart: tokens travel with them alone, and texts are joined to the hits and verified.
-    """
-    left = names.withColumn("_t", T.search_tokens(T.phrase_query(F.col(name)))).where(F.size("_t") > 0)
-    left = left.withColumn("_p", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")))
-    ids = texts.select(*keys, F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("_w"))
-    parts = left.select("_p", F.explode("_t").alias("_w")).distinct()
-    asked = ids.join(parts.select("_w").distinct(), "_w", "left_semi")
-    counts = asked.groupBy("_w").agg(F.count("*").alias("_n"))
-    keyed = parts.join(counts, "_w", "left").groupBy("_p").agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w"))
-    hits = keyed.join(ids, "_w").select("_p", *keys)
-    found = texts.join(hits, list(keys)).where(T.padded_tokens(F.col("text")).contains(F.col("_p")))
-    return left.drop("_t").join(found, "_p").drop("_p")
+def phrase_mentions(names: DataFrame, texts: DataFrame, name: str = "normalized_name", block: int = trie.BLOCK) -> DataFrame:
+    """Each name with each text (window or segment) whose search tokens hold those of the name in a row."""
+    left = names.select(F.col(name).alias("_name")).distinct().withColumn("_t", T.search_tokens(T.phrase_query(F.col("_name"))))
+    hits = trie.found(left, texts.withColumn("_t", T.search_tokens(F.col("text"))), block)
+    return names.join(hits, F.col(name) == F.col("_name")).drop("_name")
 
 
 def ranked(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -243,26 +230,50 @@ def links_by_name(matches: DataFrame, places: DataFrame) -> DataFrame:
     return matches.join(known, F.lower("name") == F.col("_n")).select("place_id", F.explode("episodes").alias("episode_id")).distinct()
 
 
-def geocode_cascade(names: DataFrame, lookup: Callable[[DataFrame], DataFrame], city: str = "San Francisco") -> DataFrame:
+def geocode_steps(city: str) -> list[tuple[Column | None, bool]]:
+    """The query of each step for a name (null: it has none), and whether it is bounded to the city."""
+    two = T.intersection(F.col("name"))
+    whole = F.concat("name", F.lit(f" {city} CA"))
+    return [(whole, True), (F.concat(two[0], F.lit(" and "), two[1], F.lit(f", {city}")), True), (F.concat(two[0], F.lit(f", {city} CA")), True), (whole, False)]
+
+
+def geocode_cascade(names: DataFrame, lookup: Callable[[DataFrame], DataFrame], city: str = "San Francisco", cache: KeyedTable | None = None) -> DataFrame:
     """names with lat, lng by the first query that finds something: the place, the crossing, its first street, anywhere.
 
-    lookup: from name, step, query, bounded to name, step, lat, lng (rows only for hits). Hits of the unbounded
-    last step count inside the city's bounds alone.
+    Each step asks only for names that are still open, once for each distinct query. lookup: from name, step,
+    query, bounded to name, step, lat, lng (rows only for hits); of several hits the smallest counts. Hits of the
+    unbounded last step count inside the city's bounds alone. A cache (a table with keys query, bounded and the columns
+    lat, lng: null for what isn't found) answers what it knows, and takes what is asked.
     """
     from scribeflow.functions import formats as X
 
-    two = T.intersection(F.col("name"))
-    whole = F.concat("name", F.lit(f" {city} CA"))
-    steps = F.array(
-        F.struct(F.lit(1).alias("step"), whole.alias("query"), F.lit(True).alias("bounded")),
-        F.struct(F.lit(2).alias("step"), F.concat(two[0], F.lit(" and "), two[1], F.lit(f", {city}")).alias("query"), F.lit(True).alias("bounded")),
-        F.struct(F.lit(3).alias("step"), F.concat(two[0], F.lit(f", {city} CA")).alias("query"), F.lit(True).alias("bounded")),
-        F.struct(F.lit(4).alias("step"), whole.alias("query"), F.lit(False).alias("bounded")),
-    )
-    asked = names.select("name", F.explode(steps).alias("q")).select("name", "q.*").where("query IS NOT NULL")
-    hits = lookup(asked).where((F.col("step") < 4) | X.in_box(F.col("lat"), F.col("lng")))
-    best = hits.groupBy("name").agg(F.min_by(F.struct("lat", "lng"), "step").alias("_c"))
-    return names.join(best, "name", "left").select(*names.columns, "_c.lat", "_c.lng")
+    own = written(names.select("name").where("name IS NOT NULL").distinct(), "open")
+    still, hits = own, []
+    for step, (query, bounded) in enumerate(geocode_steps(city), 1):
+        asked = still.select("name", query.alias("query")).where("query IS NOT NULL")
+        asked = asked.select("name", F.lit(step).alias("step"), "query", F.lit(bounded).alias("bounded"))
+        known = None
+        if cache is not None:
+            known = written(asked.join(cache.rows(), ["query", "bounded"]), "known")
+            asked = asked.join(known, ["query", "bounded"], "left_anti")
+        asked = written(asked.select("name", "step", "query", "bounded"), "asked")
+        if not asked.isEmpty():
+            each = asked.groupBy("step", "query", "bounded").agg(F.min("name").alias("name")).select("name", "step", "query", "bounded")
+            found = lookup(each).groupBy("name").agg(F.min(F.struct("lat", "lng")).alias("c")).select("name", "c.lat", "c.lng")
+            found = written(each.join(found, "name", "left").select("query", "bounded", "lat", "lng"), "found")
+            if cache is not None:
+                cache.upsert(found)
+            answers = asked.join(found, ["query", "bounded"])
+            known = answers if known is None else answers.unionByName(known, allowMissingColumns=True)
+        if known is not None:
+            good = known.where("lat IS NOT NULL AND lng IS NOT NULL")
+            hits.append(written((good if bounded else good.where(X.in_box(F.col("lat"), F.col("lng")))).select("name", "lat", "lng"), "hits"))
+            still = still.join(hits[-1], "name", "left_anti")
+    best = hits[0] if hits else own.select("name", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng")).limit(0)
+    for h in hits[1:]:
+        best = best.unionByName(h)
+    best = best.withColumnsRenamed({"lat": "_lat", "lng": "_lng"})
+    return names.join(best, "name", "left").select(*names.columns, F.col("_lat").alias("lat"), F.col("_lng").alias("lng"))
 
 
 def first_per_name(candidates: DataFrame, key: Column, order: str = "ord") -> DataFrame:

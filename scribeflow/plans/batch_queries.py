@@ -8,9 +8,9 @@ from scribeflow import ext
 from scribeflow import model as M
 from scribeflow.functions import names as N
 from scribeflow.functions import text as T
-from scribeflow.operators import catalog, clean, entities, lexicon, tables, windows
+from scribeflow.operators import calls, catalog, clean, entities, lexicon, tables, windows
 from scribeflow.plans._register import registrar
-from scribeflow.runtime import cut_lineage, table
+from scribeflow.runtime import cut_lineage, fresh_path, table
 from scribeflow.sources import candidates as place_sources
 from scribeflow.streaming import jobs, ratelimit
 
@@ -184,13 +184,14 @@ nw AS (SELECT name, list_filter(regexp_split_to_array(lower(name), '[^0-9a-z_]+'
 sw AS (SELECT *, unnest(list_distinct(regexp_split_to_array(lower(text), '[^0-9a-z_]+'))) AS w FROM seg)"""
 
 
-@query(f"WITH {M.SEGMENTS_SQL}, {_NAMES}, h AS (SELECT name, episode_id FROM nw JOIN sw USING (w) WHERE regexp_matches(text, '(?i)\\b' || regexp_escape(name) || '\\b')) SELECT name, count(DISTINCT episode_id) AS episode_count, count(*) AS total_mentions FROM h GROUP BY 1")
+@query(f"WITH {M.SEGMENTS_SQL}, {_NAMES}, h AS (SELECT name, episode_id FROM nw JOIN sw USING (w) WHERE regexp_matches(text, '(?i)\\b' || regexp_escape(name) || '\\b') UNION ALL SELECT name, episode_id FROM nw JOIN seg ON w IS NULL AND regexp_matches(text, '(?i)\\b' || regexp_escape(name) || '\\b')) SELECT name, count(DISTINCT episode_id) AS episode_count, count(*) AS total_mentions FROM h GROUP BY 1")
 def jn09_contains(spark, d):
-    """JN09, CL12, AG16, SF10: candidate names in segments as whole words, joined by their longest word."""
+    """JN09, CL12, AG16, SF10: candidate names in segments as whole words, found by one pass over the texts."""
     return entities.match_counts(entities.mentions(_names(spark, d), M.segments(spark, d)), ["name"])
 
 
-@query(f"""WITH {M.SEGMENTS_SQL}, {_NAMES}, h AS (SELECT name, episode_id, seq, text FROM nw JOIN sw USING (w) WHERE regexp_matches(text, '(?i)\\b' || regexp_escape(name) || '\\b'))
+@query(f"""WITH {M.SEGMENTS_SQL}, {_NAMES}, h AS (SELECT name, episode_id, seq, text FROM nw JOIN sw USING (w) WHERE regexp_matches(text, '(?i)\\b' || regexp_escape(name) || '\\b')
+  UNION ALL SELECT name, episode_id, seq, text FROM nw JOIN seg ON w IS NULL AND regexp_matches(text, '(?i)\\b' || regexp_escape(name) || '\\b'))
 SELECT names.name, x.context FROM names LEFT JOIN (SELECT name, arg_min(text, (episode_id, seq)) AS context FROM h GROUP BY 1) x ON x.name = names.name""")
 def jn19_first_context(spark, d):
     """JN19, WN12: the first text that names a place, or none."""
@@ -201,23 +202,31 @@ def jn19_first_context(spark, d):
 _TOKENS = r"' ' || array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\pL\pN]+'), lambda t: t <> ''), ' ') || ' '"
 
 
+_CORP = " OR ".join(f"ends_with(lower(name), '{s}')" for s in N.CORPORATE)
+
+
+_CULTURE = "|".join(N.CULTURE_WORDS)
+
+
 @query(f"""WITH {M.TURNS_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY seq) - 1 AS p, count(*) OVER (PARTITION BY episode_id) AS n FROM seg),
 w AS (SELECT DISTINCT x.episode_id, s AS first FROM x, LATERAL (SELECT unnest(list_concat(range(0, n - 5, 3), [n - 6])) AS s) WHERE n >= 6 AND p = 0),
-v AS (SELECT w.episode_id, w.first, string_agg(text, ' ' ORDER BY seq) AS text FROM w JOIN x ON x.episode_id = w.episode_id AND p >= first AND p < first + 6 GROUP BY 1, 2), t AS (SELECT *, {_TOKENS} AS s FROM v),
-nm AS (SELECT unnest(['the', 'of the', 'is a coffee', 'de la', 'zz', 'music and']) AS nn), h AS (SELECT nn, episode_id FROM nm JOIN t ON contains(s, ' ' || nn || ' ') WHERE length(regexp_replace(nn, '^(the|a|an)\\s+', '')) >= 4 OR nn LIKE '% %'),
-k AS (SELECT nn AS normalized_name, count(DISTINCT episode_id) AS episode_count, count(*) AS total_mentions FROM h WHERE nn NOT IN ('the') AND length(regexp_replace(nn, '^(the|a|an)\\s+', '')) >= 4 AND nn <> 'of the' GROUP BY 1)
-SELECT normalized_name, episode_count, total_mentions, CASE WHEN normalized_name LIKE '%music%' OR normalized_name LIKE '%coffee%' THEN CASE WHEN episode_count > 100 THEN 'skip' ELSE 'high' END WHEN episode_count > 50 THEN 'skip' ELSE 'medium' END AS confidence FROM k
-WHERE CASE WHEN normalized_name LIKE '%music%' OR normalized_name LIKE '%coffee%' THEN episode_count <= 100 ELSE episode_count <= 50 END""")
+v AS (SELECT w.episode_id, w.first, string_agg(text, ' ' ORDER BY seq) AS text FROM w JOIN x ON x.episode_id = w.episode_id AND p >= first AND p < first + 6 GROUP BY 1, 2),
+t AS (SELECT episode_id, first, {_TOKENS} AS s FROM v), u AS (SELECT *, unnest(list_distinct(string_split(trim(s), ' '))) AS head FROM t),
+c AS (SELECT string_split(lower(text), ' ') AS l FROM conversations), r AS (SELECT lower(p_name) AS name FROM part UNION SELECT l[1] FROM c UNION SELECT array_to_string(l[1:2], ' ') FROM c UNION SELECT array_to_string(l[1:4], ' ') FROM c),
+ask AS (SELECT name, regexp_replace(name, '[''"*(){{}}\\[\\]:^~!@#$%&]', '', 'g') AS text FROM r WHERE length(trim(regexp_replace(name, '^(the|a|an)\\s+', ''))) >= 4 AND NOT ({_CORP}) AND name NOT IN ('of the') AND trim(regexp_replace(name, '^(the|a|an)\\s+', '')) NOT IN ('of the')),
+k AS (SELECT name, {_TOKENS} AS q FROM ask), h AS (SELECT k.name, u.episode_id FROM k JOIN u ON u.head = string_split(trim(k.q), ' ')[1] AND contains(u.s, k.q) WHERE trim(k.q) <> ''),
+g AS (SELECT name AS normalized_name, count(DISTINCT episode_id) AS episode_count, count(*) AS total_mentions FROM h GROUP BY 1)
+SELECT *, CASE WHEN regexp_matches(normalized_name, '{_CULTURE}') THEN 'high' ELSE 'medium' END AS confidence FROM g WHERE episode_count <= 50 OR (episode_count <= 100 AND regexp_matches(normalized_name, '{_CULTURE}'))""")
 def cl11_cross_reference(spark, d):
-    """CL11, AG12, AG25, SF17, JN10: registry names against windows, with confidence."""
-    names = spark.createDataFrame([("the",), ("of the",), ("is a coffee",), ("de la",), ("zz",), ("music and",)], "normalized_name string")
-    registry = names.withColumns({"start_ms": F.lit(1), "end_ms": F.lit(2), "address": F.lit("x")})
+    """CL11, AG12, AG25, SF17, JN10: a registry (names of parts, and how turns of talk begin) against windows, with confidence."""
+    said = table(spark, d, "conversations").select(F.col("conv_id").alias("start_ms"), F.split(F.lower("text"), " ").alias("l"))
+    heads = F.explode(F.array(*[F.array_join(F.slice("l", 1, n), " ") for n in (1, 2, 4)]))
+    registry = said.select(heads.alias("normalized_name"), "start_ms", F.concat(F.lit("turn "), "start_ms").alias("address"))
+    parts = table(spark, d, "part").select(F.lower("p_name").alias("normalized_name"), F.col("p_partkey").alias("start_ms"), F.col("p_type").alias("address"))
+    registry = registry.unionByName(parts).withColumn("end_ms", F.col("start_ms") + 1)
     return entities.cross_reference(registry, M.turns(spark, d), ("of the",))
 
 
-_CORP = " OR ".join(f"ends_with(lower(name), '{s}')" for s in N.CORPORATE)
-
-
 @query(f"""WITH {M.CANDIDATES_SQL}, b AS (SELECT *, trim(regexp_replace(name, '(?i)^(the|a|an)\\s+', '')) AS bare FROM cand)
 SELECT CASE WHEN length(bare) < 4 THEN 'short' WHEN {_CORP} THEN 'corp' WHEN name IN ('red bolt', 'blue ring') OR bare IN ('red bolt', 'blue ring') THEN 'blocked' ELSE 'searched' END AS reason, count(*) AS n FROM b GROUP BY 1""")
 def ag25_skip_reasons(spark, d):
@@ -577,3 +586,43 @@ def st03_job_states(spark, d):
     requests = M.requests(spark, d).select("key", (F.col("at") * 1000).alias("at"), F.col("event_id").alias("id"))
     machine = jobs.Machine([_step(k) for k in range(6)], delay=10_800_000)
     return jobs.last_states(jobs.replayed(requests, machine), _STEPS)
+
+
+def _service(name, key):
+    if key % 7 == 0:
+        raise ValueError(f"no answer for {key}")
+    return name if key % 5 else None
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN p_name END AS value, CASE WHEN p_partkey % 7 = 0 THEN 'no answer for ' || p_partkey END AS error FROM part")
+def st09_settled_calls(spark, d):
+    """ST09: a call for each row, eight at once in a task; each row ends in a value or an error."""
+    rows = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("key"))
+    return calls.settled(rows, _service, ["name", "key"], "string").select("key", "value", "error")
+
+
+def _attempt(key, attempts, partial):
+    if int(key) % 5 == 0 or (int(key) % 3 == 0 and attempts < 1):
+        raise ValueError(f"attempt {attempts + 1}")
+    return f"done {attempts}"
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'completed' END AS state, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 3 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS INT) AS attempts,
+CASE WHEN o_orderkey % 5 = 0 THEN 'attempt 3' END AS error, CASE WHEN o_orderkey % 5 <> 0 THEN 'done ' || CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END END AS partial FROM orders""")
+def st07_ledger(spark, d):
+    """ST07, SK12: keys claimed, tried up to three times with a cool-down between, and kept in a stored ledger."""
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
+    now = [1000.0]
+    ledger = calls.Ledger.create(keys, fresh_path(spark, "ledger"), buckets=8, attempts=3, cooldown=120)
+    ledger.run(_attempt, batch=1_000_000, clock=lambda: now[0], wait=lambda s: now.__setitem__(0, now[0] + s))
+    return ledger.rows().select("key", "state", "attempts", "error", "partial")
+
+
+@query(f"""WITH {M.GUESTS_SQL}, c AS (SELECT c_name AS old, CASE WHEN c_custkey % 3 = 0 THEN 'Customer#' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0') END AS new FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0)
+SELECT old, new, count(*) AS episodes, coalesce(new IN (SELECT guest_name FROM guests), false) AS merges FROM c JOIN guests ON guest_name = old GROUP BY old, new""")
+def cl16_pending_corrections(spark, d):
+    """CL16: corrections of guests' names that links still need, and whether names meet."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    after = F.concat(F.lit("Customer#"), F.lpad((k + 1).cast("string"), 9, "0"))
+    renames = c.where(k % 3 == 0).select(F.col("c_name").alias("old"), after.alias("new"))
+    return entities.pending_corrections(M.guests(spark, d), renames, c.where((k % 5 == 0) & (k % 3 != 0)).select(F.col("c_name").alias("old")))
