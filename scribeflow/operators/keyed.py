@@ -63,21 +63,28 @@ class KeyedTable:
         """The table as of its newest version, or of another that is kept."""
         return self._read(self.log.read(version)[1]["files"])
 
+    def _touched(self, keys: DataFrame) -> set[str]:
+        return {str(r[0]) for r in keys.select(_bucket(self.by, self.buckets).alias("b")).distinct().collect()}  # at most one a bucket
+
+    def among(self, keys: DataFrame) -> DataFrame:
+        """The rows in the buckets of some keys (the columns by): all of those keys, and others; nothing else is read."""
+        hit = self._touched(keys)
+        return self._read({b: n for b, n in self.log.read()[1]["files"].items() if b in hit})
+
     def change(self, touched: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int:
         """Puts make(rows) in place of the rows in all buckets that keys in touched (the columns by) fall in.
 
         make gets whole buckets, with rows of other keys too, and gives all that shall stand in those buckets. Returns the version.
         """
         number, listed = self.log.read()
-        bucket = _bucket(self.by, self.buckets)
-        hit = {str(r[0]) for r in touched.select(bucket.alias("b")).distinct().collect()}  # at most one row a bucket
+        hit = self._touched(touched)
         if not hit:
             return number
         files = listed["files"]
         new = make(self._read({b: n for b, n in files.items() if b in hit}))
         new = new.select([F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
         name = self.log.fresh()
-        made = _write(new, f"{self.log.folder}/data/{name}", bucket)
+        made = _write(new, f"{self.log.folder}/data/{name}", _bucket(self.by, self.buckets))
         if not set(made) <= hit:
             raise ValueError("rows fell in buckets that weren't announced")
         files = {b: n for b, n in files.items() if b not in hit} | {b: name for b in made}

@@ -2,7 +2,13 @@
 
 A micro-batch is written table by table under keys that make a rerun replace
 its own rows, so a batch that fails half-way can simply run again. What was
-admitted is in the written tables, not in stream state, so state doesn't grow.
+admitted is in a table by key, of which a batch reads the buckets of its own
+ids alone; so neither state nor a batch's cost grows with what came before. The text
+index takes each batch as a segment, and merges them by size.
+
+An episode that can't be processed costs no other: where a stage fails, halves
+of the batch are tried until the episodes that fail are known; they end as
+failed, with their error, and the rest goes through.
 """
 
 from __future__ import annotations
@@ -10,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +23,9 @@ from pyspark.sql.streaming import StreamingQuery
 from scribeflow import ext
 from scribeflow.functions import text as T
 from scribeflow.operators import clean, entities, textindex, windows
+from scribeflow.operators.indexlog import StoredIndex
+from scribeflow.operators.keyed import KeyedTable
+from scribeflow.runtime import written
 from scribeflow.sources.listings import audio_events
 from scribeflow.sources.transcripts import segments_of, stream_transcripts
 
@@ -52,11 +60,11 @@ def once_per_key(events: DataFrame, key: str = "key", within: str | None = None,
 
 
 def stages(transcripts: DataFrame, services: Services) -> dict[str, Callable[[], DataFrame]]:
-    """What a batch of transcripts gives, in order: cleaned segments, index, chunks, summaries, places, audio addresses."""
+    """What a batch of transcripts gives, in order: cleaned segments, chunks, summaries, places, audio addresses."""
     segments = clean.clean_segments(segments_of(transcripts))
     episodes = transcripts.select(F.col("episode_id").alias("id"), "title", F.lit(None).cast("date").alias("published_at"), F.lit(None).cast("string").alias("summary"))
     chunks = lambda: windows.last_per_id(windows.time_windows(segments))
-    out = {"segments": lambda: segments, "postings": lambda: textindex.postings(segments), "lengths": lambda: textindex.episode_lengths(segments)}
+    out = {"segments": lambda: segments}
     if services.embed:
         out["chunks"] = lambda: services.embed(chunks())
     if services.summarise:
@@ -68,62 +76,118 @@ def stages(transcripts: DataFrame, services: Services) -> dict[str, Callable[[],
     return out
 
 
-def _stored(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A table of the ingest folder; empty if nothing was written yet."""
+ADMITTED = "episode_id string, state string, batch long, error string"
+#: Buckets of the table of admitted episodes; trials that look for episodes that fail, at most.
+BUCKETS, TRIALS = 64, 100
+
+
+def admitted(spark: SparkSession, folder: str) -> KeyedTable:
+    """The table of what became of each episode: completed or failed, in which batch, and why."""
     try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], ddl)
+        return KeyedTable(spark, f"{folder}/admitted")
+    except ValueError:
+        return KeyedTable.create(spark.createDataFrame([], ADMITTED), f"{folder}/admitted", ["episode_id"], BUCKETS)
 
 
-def write_batch(folder: str, services: Services = Services(), soft: tuple[str, ...] = SOFT) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each stage's rows go to folder/<table>/batch=<id>.
+def failing(docs: DataFrame, attempt: Callable[[DataFrame], None], error: str, trials: int = TRIALS) -> DataFrame:
+    """episode_id, error of the documents with which an attempt fails, found by trying halves of those that do.
 
-    Of documents of one id the first goes on; those whose episode an earlier
-    batch holds go no further (folder/documents: started or already_exists), so
-    no state is kept beside the tables. Every (batch, stage) ends in
-    folder/status with its state and error. A failed soft stage is passed over;
-    any other failure ends the batch, which can run again.
+    With more than trials tries, a part that failed as a whole counts as failed. Ids are split by their hash.
+    """
+    spark, found, waiting = docs.sparkSession, [], [(0, 0, error)]  # bits of the hash that are fixed, their value, what went wrong
+    while waiting:
+        bits, value, error = waiting.pop(0)
+        part = docs.where(F.pmod(F.xxhash64("episode_id"), F.lit(1 << bits)) == value)
+        if trials <= 0 or bits == 60 or part.select("episode_id").distinct().limit(2).count() < 2:
+            found.append(part.select("episode_id", F.lit(error).alias("error")))
+            continue
+        for half in (value, value + (1 << bits)):
+            own = docs.where(F.pmod(F.xxhash64("episode_id"), F.lit(1 << (bits + 1))) == half)
+            if own.isEmpty():
+                continue
+            trials -= 1
+            try:
+                attempt(own)
+            except Exception as e:
+                waiting.append((bits + 1, half, str(e)[:500]))
+    out = spark.createDataFrame([], "episode_id string, error string")
+    for f in found:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def write_batch(folder: str, services: Services = Services(), soft: tuple[str, ...] = SOFT) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each stage's rows go to folder/<table>/batch=<id>, texts into the index.
+
+    Of documents of one id the first goes on; those whose episode another batch
+    has completed go no further (folder/documents: completed, failed or
+    already_exists). Every (batch, stage) ends in folder/status with its state
+    and error. A failed soft stage is passed over. Where another stage fails,
+    the episodes that make it fail end as failed, and the batch runs without
+    them; they are taken up when they come again. If no single episode fails by
+    itself, the batch has failed and can run again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         first = batch.groupBy("episode_id").agg(F.min(F.struct("title", "segments")).alias("d")).select("episode_id", "d.*")
-        known = _stored(spark, f"{folder}/documents", "episode_id string, state string, batch long").where((F.col("batch") != number) & (F.col("state") == "started"))
-        known = known.select("episode_id", F.lit("already_exists").alias("state")).distinct()
-        docs = first.join(known, "episode_id", "left").withColumn("state", F.coalesce("state", F.lit("started"))).persist()
+        book = admitted(spark, folder)
+        known = book.among(first.select("episode_id")).where((F.col("batch") != number) & (F.col("state") == "completed"))
+        docs = first.join(known.select("episode_id", F.lit(True).alias("known")), "episode_id", "left").persist()
         try:
-            for name, make in stages(docs.where("state = 'started'").drop("state"), services).items():
-                state, error = "completed", ""
-                try:
-                    make().write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-                except Exception as e:
-                    state, error = "failed", str(e)[:500]
-                status = spark.createDataFrame([(number, name, state, error)], "batch long, stage string, state string, error string")
-                status.coalesce(1).write.mode("overwrite").parquet(f"{folder}/status/batch={number}/stage={name}")
-                if error and name not in soft:
+            fresh = docs.where("known IS NULL").drop("known")
+            bad = spark.createDataFrame([], "episode_id string, error string")
+            while True:
+                good = fresh.join(bad, "episode_id", "left_anti")
+                broken = _stages(spark, folder, number, good, services, soft)
+                if broken is None or good.isEmpty():  # nothing is left: all that came has failed
+                    break
+                name, error = broken
+                more = written(failing(good, lambda part, name=name: stages(part, services)[name]().write.format("noop").mode("overwrite").save(), error), "failing")
+                if more.isEmpty():
                     raise RuntimeError(f"stage {name} of batch {number}: {error}")
-            docs.select("episode_id", "state").write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
+                bad = bad.unionByName(more)
+            states = good.select("episode_id", F.lit("completed").alias("state"), F.lit(None).cast("string").alias("error"))
+            states = states.unionByName(bad.select("episode_id", F.lit("failed").alias("state"), "error"))
+            twice = docs.where("known").select("episode_id", F.lit("already_exists").alias("state"), F.lit(None).cast("string").alias("error"))
+            states.unionByName(twice).write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
+            text_index(spark, folder).write(spark.read.parquet(f"{folder}/segments/batch={number}"))
+            text_index(spark, folder).compact()
+            book.upsert(states.withColumn("batch", F.lit(number).cast("long")))
         finally:
             docs.unpersist()
 
     return run
 
 
+def _stages(spark: SparkSession, folder: str, number: int, docs: DataFrame, services: Services, soft: tuple[str, ...]) -> tuple[str, str] | None:
+    """Writes every stage of docs; the stage that failed and its error, if one did that isn't soft."""
+    for name, make in stages(docs, services).items():
+        state, error = "completed", ""
+        try:
+            make().write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        except Exception as e:
+            state, error = "failed", str(e)[:500]
+        status = spark.createDataFrame([(number, name, state, error)], "batch long, stage string, state string, error string")
+        status.coalesce(1).write.mode("overwrite").parquet(f"{folder}/status/batch={number}/stage={name}")
+        if error and name not in soft:
+            return name, error
+    return None
+
+
 def start(spark: SparkSession, landing: str, folder: str, checkpoint: str, services: Services = Services()) -> StreamingQuery:
     """Runs ingest on all that has landed, each document once, and stops."""
     return stream_transcripts(spark, landing).writeStream.foreachBatch(write_batch(folder, services)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index(spark: SparkSession, folder: str) -> textindex.Index:
-    """The text index that ingest keeps up to date: each batch adds its episodes."""
-    own = textindex.Index.stored(spark, folder)
-    return textindex.Index(own.postings.drop("batch"), own.lengths.drop("batch"))
+def text_index(spark: SparkSession, folder: str) -> StoredIndex:
+    """The stored index that ingest keeps up to date."""
+    return StoredIndex(spark, f"{folder}/index")
 
 
-def merged_postings(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """An index with the postings of the new batch in place of those of the episodes in it."""
-    return stored.join(new.select("episode_id").distinct(), "episode_id", "left_anti").select(stored.columns).unionByName(new.select(stored.columns))
+def index(spark: SparkSession, folder: str) -> textindex.Index:
+    """The text index of all episodes that ingest has completed."""
+    return text_index(spark, folder).index()
 
 
 def with_failures(statuses: DataFrame) -> DataFrame:

@@ -96,8 +96,10 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert sorted((r.episode_id, r.seq) for r in seg.collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
     states = ingest.with_failures(spark.read.parquet(str(out / "status"))).collect()
     assert states and all(r.state == "completed" for r in states)
-    index = spark.read.parquet(str(out / "postings")).drop("batch")
-    assert ingest.merged_postings(index, index.where("episode_id = 'a'")).count() == index.count()
+    assert sorted((r.episode_id, r.seq) for r in ingest.index(spark, str(out)).match("segment").collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    again = spark.createDataFrame([("b", "t b", [(0, 30_000, text[0]), (40_000, 70_000, text[1])])], "episode_id string, title string, segments array<struct<start_ms: long, end_ms: long, text: string>>")
+    ingest.write_batch(str(out))(again, 1)  # the batch runs again: nothing is there twice
+    assert spark.read.parquet(str(out / "segments")).count() == 4 and ingest.index(spark, str(out)).match("segment").count() == 4
 
 
 def test_ingest_of_files_without_ids_and_broken_ones(spark, tmp_path):
@@ -113,7 +115,7 @@ def test_ingest_of_files_without_ids_and_broken_ones(spark, tmp_path):
     ingest.start(spark, str(landing), str(out), str(tmp_path / "ck"), services).awaitTermination()
     read = lambda t: spark.read.parquet(str(out / t))
     assert sorted(r.episode_id for r in read("segments").collect()) == ["x", "y"]
-    assert sorted((r.episode_id, r.state) for r in read("documents").collect()) == [("x", "already_exists"), ("x", "started"), ("y", "started")]
+    assert sorted((r.episode_id, r.state) for r in read("documents").collect()) == [("x", "already_exists"), ("x", "completed"), ("y", "completed")]
     assert [(r.name, r.episodes) for r in read("places").collect()] == [("Blue Door", ["x", "y"])]
     assert sorted(r.audio_file for r in read("audio").collect()) == ["http://a/x.m4a", "http://a/y.m4a"]
     assert {(r.id, r.title, r.summary) for r in read("summaries").collect()} == {("x", "T", "S"), ("y", "T", "S")}
@@ -131,13 +133,30 @@ def test_a_failed_stage(spark, tmp_path):
     ingest.write_batch(out, ingest.Services(find_places=broken))(docs, 0)
     states = {r.stage: (r.state, r.error) for r in spark.read.parquet(f"{out}/status").collect()}
     assert states["places"] == ("failed", "no service") and states["segments"] == ("completed", "")
-    import pytest
+    episode = lambda rows: {(r.episode_id, r.state, r.error) for r in rows.select("episode_id", "state", "error").collect()}
+    ingest.write_batch(out, ingest.Services(summarise=broken))(docs.withColumn("episode_id", F.lit("b")), 1)
+    assert episode(spark.read.parquet(f"{out}/documents").where("batch = 1")) == {("b", "failed", "no service")}
+    assert ingest.index(spark, out).match("segment").select("episode_id").distinct().count() == 1
+    ingest.write_batch(out)(docs.withColumn("episode_id", F.lit("b")), 2)  # it comes again
+    assert episode(ingest.admitted(spark, out).rows()) == {("a", "completed", None), ("b", "completed", None)}
 
-    with pytest.raises(RuntimeError):
-        ingest.write_batch(out, ingest.Services(summarise=broken))(docs.withColumn("episode_id", F.lit("b")), 1)
-    assert "b" not in {r.episode_id for r in spark.read.parquet(f"{out}/documents").collect()}
-    ingest.write_batch(out)(docs.withColumn("episode_id", F.lit("b")), 1)
-    assert {r.state for r in ingest.with_failures(spark.read.parquet(f"{out}/status").where("batch = 1 AND stage <> 'summaries'")).collect()} == {"completed"}
+
+def test_episodes_that_fail_cost_no_other(spark, tmp_path):
+    """Two of nine episodes make a stage fail: they end as failed with their own error, the others go through."""
+    kind = "episode_id string, title string, segments array<struct<start_ms: long, end_ms: long, text: string>>"
+    docs = spark.createDataFrame([(f"e{i}", "t", [(0, 30_000, f"segment {i} of some length here")]) for i in range(9)], kind)
+
+    def summarise(asked):
+        bad = F.col("id").isin("e3", "e7")
+        return asked.select("id", F.when(bad, F.raise_error(F.concat(F.lit("bad "), "id")).cast("string")).otherwise('{"title": "T", "summary": "S"}').alias("reply"))
+
+    out = str(tmp_path / "out")
+    ingest.write_batch(out, ingest.Services(summarise=summarise))(docs, 0)
+    states = {r.episode_id: (r.state, r.error) for r in ingest.admitted(spark, out).rows().collect()}
+    assert {k for k, v in states.items() if v[0] == "failed"} == {"e3", "e7"} and all(f"bad {k}" in states[k][1] for k in ("e3", "e7"))
+    assert sorted(r.id for r in spark.read.parquet(f"{out}/summaries").collect()) == [f"e{i}" for i in range(9) if i not in (3, 7)]
+    assert sorted(r.episode_id for r in ingest.index(spark, out).match("segment").collect()) == [f"e{i}" for i in range(9) if i not in (3, 7)]
+    assert ingest.failing(docs, lambda part: 1 / 0, "all", trials=0).count() == 9
 
 
 def test_admitted_stream_against_a_loop(spark, tmp_path):
