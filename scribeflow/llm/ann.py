@@ -13,9 +13,9 @@ keeps the best k so far, so rows never exceed the queries and their answers;
 scores are computed in double precision on the original vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components (and null ids) take no part; vectors of a length other than the
-longest common one, the smallest of ties, take no part either; rows that
-repeat an id and a vector count once, and a query id with several vectors is
+components (and null ids) take no part; vectors of different lengths have no
+cosine, so each length is searched among its own (by an index each, so a
+column should hold few lengths); rows that repeat an id and a vector count once, and a query id with several vectors is
 asked with each; ties go to the smaller id; with fewer
 candidates than asked for, all are returned; components whose squares overflow
 or underflow are scaled by powers of two, which is exact; columns other than
@@ -44,6 +44,7 @@ BUILD_BEAM = 48
 QUERY_BEAM = 160
 RELAXED = 1.2
 QUERY_BLOCK = 4096
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarray, beam: int, lanes: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +203,17 @@ def _answers(shard: tuple, own: np.ndarray, q: np.ndarray, k: int, beam: int) ->
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row among all rows but its own id."""
     usable, asked = _usable(vectors, vec), _usable(queries, vec)
-    width = usable.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = width["w"] if width else 0
-    usable, asked = usable.where(F.size("v") == width), asked.where(F.size("v") == width).distinct()
+    widths = [r["w"] for r in asked.select(F.size("v").alias("w")).distinct().orderBy("w").collect()]  # lengths of vectors: as a rule one
+    parts = [_search_width(usable.where(F.size("v") == w), asked.where(F.size("v") == w).distinct(), k, shard_rows, beam, block) for w in widths]
+    out = parts[0] if parts else vectors.sparkSession.createDataFrame([], FOUND)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _search_width(usable: DataFrame, asked: DataFrame, k: int, shard_rows: int, beam: int, block: int) -> DataFrame:
+    """search among vectors of one length."""
+    vectors = usable
     first = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))  # each task keeps k + 1 ids a vector before the shuffle
     nodes = usable.distinct().withColumn("place", first).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = cut_lineage(nodes)
@@ -229,7 +238,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embed
 
     made = nodes.withColumn("shard", shard_of).groupBy("shard").applyInArrow(graph, index_kind)
     paths = vectors.sparkSession.sparkContext.broadcast([path for _, path in sorted(map(tuple, made.collect()))])  # one name a shard
-    found_kind, found_out = arrow.schema(None, "query_id long, rank int, vec_id long, score double")
+    found_kind, found_out = arrow.schema(None, FOUND)
 
     @arrow.settled
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

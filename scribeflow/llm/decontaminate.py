@@ -17,8 +17,9 @@ A passage of fewer than LEAST words is cut into one piece more than the edits
 it may have, so that one piece is untouched; where a piece stands in a text,
 the passage is verified. These short passages are found without loss.
 
-Passages are broadcast in blocks of at most BLOCK_WORDS words each; more
-passages take more blocks, so what is broadcast is bounded.
+Passages lie in blocks of about BLOCK_WORDS words in the shared folder; tasks
+read a block and search all texts for it, so more passages take more passes and
+no more memory, and neither the driver nor a broadcast holds them.
 
 Defined cases: null and empty texts match nothing, nor do passages without a
 word; very long texts are searched whole, in runs that overlap; of several matches
@@ -34,10 +35,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribeflow.llm import arrow, chars
+from scribeflow.llm import arrow, chars, sieve
+from scribeflow.runtime import fresh_path, written
 
 RATE = 0.2
 #: Passages of at least so many words are found by walks, shorter ones by their pieces.
@@ -297,56 +301,78 @@ class Index:
         return out
 
 
-@lru_cache(maxsize=2)
-def _index(ids: tuple[int, ...], texts: tuple[str, ...]) -> Index:
-    return Index(list(ids), list(texts))
+@lru_cache(maxsize=1)
+def _index(place: str) -> Index:
+    """The passages of a block, read where they are needed."""
+    store, base = pafs.FileSystem.from_uri(place)
+    rows = pq.read_table(base, filesystem=store, columns=["item", "text"], partitioning=None).sort_by([("item", "ascending"), ("text", "ascending")])
+    return Index(rows.column("item").to_pylist(), rows.column("text").to_pylist())
 
 
-def _shared_blocks(spark, benchmark: DataFrame, item: str) -> list:
-    """Broadcasts of (ids, texts) of the passages, each of at most about BLOCK_WORDS words."""
+def _stored_blocks(spark, benchmark: DataFrame, item: str, block_words: int) -> list[str]:
+    """Places in the shared folder of the passages, in blocks of about block_words words at most."""
     items = benchmark.where(F.col(item).isNotNull() & F.col("text").isNotNull()).select(F.col(item).cast("long").alias("item"), F.col("text").cast("string").alias("text"))
     unspaced = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in chars.UNSPACED)
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")) + F.length(F.regexp_replace("text", f"[^{unspaced}]", "")))).first()[0] or 0
-    blocks = max(1, -(-int(total) // BLOCK_WORDS))
-    out = []
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item", "text").toArrow()
-        out.append(spark.sparkContext.broadcast((tuple(part.column(0).to_pylist()), tuple(part.column(1).to_pylist()))))
-    return out
+    blocks = max(1, -(-int(total) // block_words))
+    folder = fresh_path(spark, "passages")
+    kept = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+    kept.repartition("block").write.partitionBy("block").parquet(folder)
+    have = spark.read.schema("block int").parquet(folder).distinct().collect() if total else []  # a number a block
+    return [f"{folder}/block={r['block']}" for r in sorted(have)]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """doc_id, item_id, start_word, n_words, edits: each passage of the benchmark that a document holds."""
-    kind, out = arrow.schema(None, "doc_id long, item_id long, start_word long, n_words long, edits long")
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(text).cast("string"))
+def _searched(rows: DataFrame, places: list[str], ddl: str) -> DataFrame:
+    """Of each match the columns of rows before the text, its last, and item_id, start_word, n_words, edits. A block of passages is a pass over the rows."""
+    kind, out = arrow.schema(None, f"{ddl}, item_id long, start_word long, n_words long, edits long")
     result = None
-    for shared in _shared_blocks(docs.sparkSession, benchmark, item):
+    for place in places:
 
         @arrow.settled
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = _index(*shared.value)
+        def run(batches: Iterator[pa.RecordBatch], place=place) -> Iterator[pa.RecordBatch]:
+            own = _index(place)
             for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                texts = b.column(b.num_columns - 1).to_pylist()
                 for i, j in chars.blocks(texts, _CHARS):
                     got = own.matches(texts[i:j])
-                    yield arrow.batch(out, *([[ids[i + t] for t, *_ in got]] + [[r[c] for r in got] for c in range(1, 5)]))
+                    at = pa.array([i + t for t, *_ in got], pa.int64())
+                    yield arrow.batch(out, *[c.take(at) for c in b.columns[:-1]], *([r[c] for r in got] for c in range(1, 5)))
 
         found = rows.mapInArrow(run, kind)
         result = found if result is None else result.unionByName(found)
+    return result if result is not None else rows.sparkSession.createDataFrame([], kind)
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, edits: each passage of the benchmark that a document holds."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string"))
+    result = _searched(rows, _stored_blocks(docs.sparkSession, benchmark, item, block_words), "doc_id long")
     first = F.min(F.struct("edits", "start_word", "n_words")).alias("m")
     return result.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "m.start_word", "m.n_words", "m.edits")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """docs without the rows that hold a passage of the benchmark."""
-    for shared in _shared_blocks(docs.sparkSession, benchmark, item):
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the rows that hold a passage of the benchmark.
+
+    One block of passages is a filter where the rows are read. With more, each
+    is a pass that gives the digests of the texts that go; only rows whose
+    digest may be among them are joined to those.
+    """
+    places = _stored_blocks(docs.sparkSession, benchmark, item, block_words)
+    if len(places) <= 1:
 
-        def keep(texts: list, shared=shared) -> list[bool]:
-            own, out = _index(*shared.value), []
+        def keep(texts: list) -> list[bool]:
+            own, out = _index(places[0]), []
             for i, j in chars.blocks(texts, _CHARS):
                 hit = {t for t, *_ in own.matches(texts[i:j])}
                 out += [t not in hit for t in range(j - i)]
             return out
 
-        docs = arrow.filtered(docs, text, keep)
-    return docs
+        return arrow.filtered(docs, text, keep) if places else docs
+    whole = F.col(text).cast("string")
+    h, g = F.xxhash64(whole), F.xxhash64(F.lit(1), whole)
+    rows = docs.where(F.col(text).isNotNull()).select(h.alias("h"), g.alias("g"), whole.alias("text"))
+    gone = written(_searched(rows, places, "h long, g long").select("h", "g").distinct(), "contaminated")
+    maybe, rest = sieve.parted(docs, F.when(F.col(text).isNotNull(), h), gone.select("h"))
+    left = maybe.join(gone, (h == gone["h"]) & (g == gone["g"]), "left_anti")
+    return rest.unionByName(left.select(docs.columns))

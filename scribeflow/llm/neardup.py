@@ -8,9 +8,13 @@ two tokens a tree (as many trees as reach RECALL), below by tokens chosen from t
 one common path in expectation while others part. A node small enough is
 compared exhaustively: by sketches first, with a margin of several standard
 deviations, then exactly on the full sets. A large node is also compared in
-blocks that share a pivot; once nearly all its documents are copies of the
-pivot (or the depth is used up) its remaining documents are compared with all
-blocks, which is exact, and it isn't branched further.
+blocks that share a pivot; once nearly all its documents agree with the pivot
+on 61 of 64 tokens (or the depth is used up) its remaining documents are
+compared with all blocks, and it isn't branched further. Documents of different
+blocks that agree with the pivot so far meet through it. A document at the
+threshold agrees so far with the pivot by chance once in 100 (at 0.85) or 2,000
+(at 0.8): if it is below, its links are left to the other trees, which have
+pivots of their own.
 
 Compared groups give a star for each exactly linked component, never all
 pairs, so output stays linear in the rows. Groups are bounded in documents and

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribeflow.llm import arrow, boosting
+from scribeflow.llm import arrow, boosting, chars
 
 #: The kinds with base patterns, and all kinds.
 BASE = ("email", "ip", "card", "phone")
@@ -363,6 +363,8 @@ def added_spans(texts: list[str], proposed: list[list[Proposal]], model: Model |
     return out
 
 
+#: Characters of texts that are searched at once, about; a longer text is searched by itself.
+_CHARS = 1_000_000
 Found = tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]
 
 
@@ -435,10 +437,12 @@ def spans(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            got = find_all(texts, own)
             as_rows = lambda s: [dict(zip(("kind", "start", "end"), x, strict=True)) for x in s]
-            yield arrow.batch(out, b.column(0), [as_rows(a) for a, _ in got], [as_rows(z) for _, z in got], [redact(x, z) for x, (_, z) in zip(texts, got, strict=True)])
+            every = b.column(1).to_pylist()
+            for i, j in chars.blocks(every, _CHARS):
+                texts = every[i:j]
+                got = find_all(texts, own)
+                yield arrow.batch(out, b.column(0)[i:j], [as_rows(a) for a, _ in got], [as_rows(z) for _, z in got], [redact(x, z) for x, (_, z) in zip(texts, got, strict=True)])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, kind)
 
@@ -452,10 +456,12 @@ def digest(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            got = find_all(b.column(1).to_pylist(), own)
             as_text = lambda s: ",".join(f"{k}:{a}:{z}" for k, a, z in s)
-            counts = [[sum(k == kk for kk, *_ in base) for base, _ in got] for k in BASE]
-            yield arrow.batch(out, b.column(0), *counts, [hashlib.sha256(as_text(base).encode()).hexdigest() for base, _ in got], [as_text(z) for _, z in got])
+            texts = b.column(1).to_pylist()
+            for i, j in chars.blocks(texts, _CHARS):
+                got = find_all(texts[i:j], own)
+                counts = [[sum(k == kk for kk, *_ in base) for base, _ in got] for k in BASE]
+                yield arrow.batch(out, b.column(0)[i:j], *counts, [hashlib.sha256(as_text(base).encode()).hexdigest() for base, _ in got], [as_text(z) for _, z in got])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, kind)
 
@@ -463,4 +469,9 @@ def digest(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
 def redacted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with the personal data of each text replaced by the names of its kinds."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return arrow.replaced(docs, text, lambda texts: [redact(x, z) for x, (_, z) in zip(texts, find_all(texts, shared.value), strict=True)])
+
+    def change(texts: list) -> list:
+        parts = (texts[i:j] for i, j in chars.blocks(texts, _CHARS))
+        return [redact(x, z) for part in parts for x, (_, z) in zip(part, find_all(part, shared.value), strict=True)]
+
+    return arrow.replaced(docs, text, change)

@@ -58,3 +58,21 @@ def test_passages_of_any_length_and_script(spark):
     got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.find_passages(df, bench).collect()}
     assert got == {(10, 1, 0), (11, 2, 4), (12, 3, 0), (13, 4, 0), (14, 5, 1)}
     assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {15, 16, 17}
+
+
+def test_blocks_of_passages_are_searched_each(spark):
+    """Many blocks, read by tasks, give what one block gives; rows without an id or with a repeated one are judged by their own text."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(12))) for i in range(30)] + [(90, "zebra quagga"), (None, "x y"), (91, None), (92, "")]
+    texts = [(i, " ".join([*(word() for _ in range(9)), items[i % 30][1] if i % 2 else word(), word()])) for i in range(40)]
+    docs = spark.createDataFrame([*texts, (None, "a zebra quagga here"), (7, "another text with the same id"), (50, None), (51, "")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for call in (decontaminate.find_passages, decontaminate.drop_contaminated):
+        one = rows(call(docs, benchmark))
+        assert rows(call(docs, benchmark, block_words=60)) == one and one
+    left = decontaminate.drop_contaminated(docs, benchmark, block_words=60).collect()
+    assert sorted((r.doc_id for r in left), key=str) == sorted([*range(0, 40, 2), 7, 50, 51], key=str)
+    assert decontaminate.drop_contaminated(docs, benchmark.limit(0)).count() == docs.count()
+    assert decontaminate.find_passages(docs, benchmark.limit(0)).count() == 0
