@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from scribeflow.llm import neardup
+from scribeflow.llm import ann, neardup
 
 
 @pytest.mark.parametrize("similarity", [0.85, 0.8])
