@@ -61,15 +61,16 @@ class Ledger:
     """Attempts by key in a stored table. Of two runs that claim at once one has to claim again.
 
     A claimed key that isn't reported before its lease ends counts as one more failed attempt: its run was lost.
-    Keys that are added again keep their state; null keys are left out.
+    Keys that are added again keep their state; null keys are left out. With serial, nothing is claimed while a key
+    runs, and one at a time, in order of arrival (column at of the keys; else of the keys themselves).
     """
 
-    def __init__(self, table: KeyedTable, attempts: int = 3, cooldown: int = 120, lease: int = 7200):
-        self.table, self.attempts, self.cooldown, self.lease = table, attempts, cooldown, lease
+    def __init__(self, table: KeyedTable, attempts: int = 3, cooldown: int = 120, lease: int = 7200, serial: bool = False):
+        self.table, self.attempts, self.cooldown, self.lease, self.serial = table, attempts, cooldown, lease, serial
 
     @staticmethod
     def create(keys: DataFrame, folder: str, buckets: int = 16, **rules) -> Ledger:
-        """A ledger of pending keys (key)."""
+        """A ledger of pending keys (key; at: the time before which they aren't tried)."""
         return Ledger(KeyedTable.create(_pending(keys), folder, ["key"], buckets), **rules)
 
     def add(self, keys: DataFrame) -> int:
@@ -88,13 +89,16 @@ class Ledger:
     def claim(self, now: int, most: int) -> DataFrame:
         """At most most keys (key, attempts, partial) whose time has come, those waiting longest first; they are running from now on."""
         while True:
+            self.table.pin()
             ready = self._ready(now)
+            if self.serial:
+                most = 1 if self.rows().where((F.col("state") == "running") & (F.col("lease") > now)).isEmpty() else 0
             worn = ready.where(F.col("attempts") >= self.attempts)
             chosen = written(ready.where(F.col("attempts") < self.attempts).orderBy("not_before", "key").limit(most), "claim")
             given_up = worn.select("key", F.lit("failed").alias("state"), "attempts", "not_before", F.lit(None).cast("long").alias("lease"), F.lit("lost").alias("error"), "partial")
             running = chosen.select("key", F.lit("running").alias("state"), "attempts", "not_before", F.lit(now + self.lease).cast("long").alias("lease"), "error", "partial")
             try:
-                self.table.upsert(written(given_up.unionByName(running), "claimed"))
+                self.table.upsert(written(given_up.unionByName(running), "claimed"), pinned=True)
                 return chosen.select("key", "attempts", "partial")
             except Conflict:  # someone else claimed meanwhile: look again
                 continue
@@ -102,7 +106,7 @@ class Ledger:
     def report(self, outcomes: DataFrame, now: int) -> int:
         """What became of claimed keys: key, error (null: done), partial (null: as before). A failed key cools down, or is given up."""
         new = outcomes.select("key", F.col("error").alias("_error"), F.col("partial").alias("_partial"))
-        both = self.rows().join(new, "key")
+        both = self.table.rows().join(new, "key")
         tried = F.col("attempts") + 1
         state = F.when(F.col("_error").isNull(), "completed").when(tried >= self.attempts, "failed").otherwise("retry")
         rows = both.select("key", state.alias("state"), tried.cast("int").alias("attempts"), F.lit(now + self.cooldown).cast("long").alias("not_before"), F.lit(None).cast("long").alias("lease"), F.col("_error").alias("error"), F.coalesce("_partial", "partial").alias("partial"))
@@ -135,6 +139,7 @@ class Ledger:
 
 
 def _pending(keys: DataFrame) -> DataFrame:
-    own = keys.select(F.col("key").cast("string")).where("key IS NOT NULL").distinct()
+    at = F.col("at").cast("long") if "at" in keys.columns else F.lit(0).cast("long")
+    own = keys.select(F.col("key").cast("string"), at.alias("at")).where("key IS NOT NULL").groupBy("key").agg(F.coalesce(F.min("at"), F.lit(0)).alias("at"))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    return own.select("key", F.lit("pending").alias("state"), F.lit(0).alias("attempts"), F.lit(0).cast("long").alias("not_before"), none("long", "lease"), none("string", "error"), none("string", "partial"))
+    return own.select("key", F.lit("pending").alias("state"), F.lit(0).alias("attempts"), F.col("at").cast("long").alias("not_before"), none("long", "lease"), none("string", "error"), none("string", "partial"))

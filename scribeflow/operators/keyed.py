@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scribeflow.operators.snapshots import Snapshots
+from scribeflow.operators.snapshots import Conflict, Snapshots
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str], b_names: dict[str, str]) -> Column:
@@ -40,7 +40,7 @@ class KeyedTable:
         if not number:
             raise ValueError(f"no table at {folder}")
         self.schema = StructType.fromJson(listed["schema"])
-        self.by, self.buckets = listed["by"], listed["buckets"]
+        self.by, self.buckets, self.pinned = listed["by"], listed["buckets"], number
 
     @staticmethod
     def create(rows: DataFrame, folder: str, by: list[str], buckets: int) -> KeyedTable:
@@ -63,6 +63,11 @@ class KeyedTable:
         """The table as of its newest version, or of another that is kept."""
         return self._read(self.log.read(version)[1]["files"])
 
+    def pin(self) -> int:
+        """Remembers the newest version: a pinned change fails (Conflict) if another came since, so it rests on what was read."""
+        self.pinned = self.log.read()[0]
+        return self.pinned
+
     def _touched(self, keys: DataFrame) -> set[str]:
         return {str(r[0]) for r in keys.select(_bucket(self.by, self.buckets).alias("b")).distinct().collect()}  # at most one a bucket
 
@@ -71,12 +76,14 @@ class KeyedTable:
         hit = self._touched(keys)
         return self._read({b: n for b, n in self.log.read()[1]["files"].items() if b in hit})
 
-    def change(self, touched: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int:
+    def change(self, touched: DataFrame, make: Callable[[DataFrame], DataFrame], pinned: bool = False) -> int:
         """Puts make(rows) in place of the rows in all buckets that keys in touched (the columns by) fall in.
 
         make gets whole buckets, with rows of other keys too, and gives all that shall stand in those buckets. Returns the version.
         """
         number, listed = self.log.read()
+        if pinned and number != self.pinned:
+            raise Conflict(f"{self.log.folder}: version {number} came after version {self.pinned}, which was read")
         hit = self._touched(touched)
         if not hit:
             return number
@@ -90,11 +97,11 @@ class KeyedTable:
         files = {b: n for b, n in files.items() if b not in hit} | {b: name for b in made}
         return self.log.commit(number, listed | {"files": files})
 
-    def upsert(self, rows: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> int:
+    def upsert(self, rows: DataFrame, keys: list[str] | None = None, order: list[str] | None = None, pinned: bool = False) -> int:
         """Rows whose keys are known replace those, others are added; of equal keys in rows the last counts."""
         keys = keys or self.by
         new = last_per_key(rows, keys, order)
-        return self.change(new, lambda old: without(old, new, keys).unionByName(new.select([c for c in new.columns if c in old.columns]), allowMissingColumns=True))
+        return self.change(new, lambda old: without(old, new, keys).unionByName(new.select([c for c in new.columns if c in old.columns]), allowMissingColumns=True), pinned)
 
     def insert_ignore(self, rows: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> int:
         """Rows whose keys aren't known are added."""

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from scribeflow import model as M
 from scribeflow.functions import text as T
-from scribeflow.operators import entities, tables, vectors, windows
+from scribeflow.operators import calls, entities, tables, vectors, windows
 from scribeflow.operators.keyed import KeyedTable
 from scribeflow.plans._register import registrar
 from scribeflow.runtime import fresh_path, table
-from scribeflow.sources import listings, pages, speech
+from scribeflow.sources import listings, objects, pages, speech
+from scribeflow.streaming import joblog
 
 QUERIES, SQL, query = registrar()
 
@@ -173,3 +174,47 @@ def cl19_summary_replies(spark, d):
     reply = F.when(i % 3 == 0, good).when(i % 3 == 1, F.concat(F.lit("plain "), i)).otherwise('{"title": bad')
     row = T.summary_reply(reply)
     return e.select("id", row.alias("r")).select("id", "r.title", "r.summary", F.array_join("r.guests", ",").alias("guests"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, strlen(text) AS size, (strlen(text) + 999) // 1000 AS parts, sha256(text) AS whole FROM documents WHERE text <> ''")
+def sc05_object_chunks(spark, d):
+    """SC05, SK09: texts put as objects, and read back by ranges of 1,000 bytes; joined they are the object."""
+    folder = fresh_path(spark, "objects")
+    made = objects.put(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("body")), folder)
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", F.hex("bytes").alias("h")))), lambda r: r["h"])
+    per = objects.chunks(made, folder, 1000).groupBy("key").agg(F.sum("length").alias("size"), F.count("*").alias("parts"), F.unhex(F.array_join(pieces, "")).alias("b"))
+    return per.select("key", "size", "parts", F.sha2("b", 256).alias("whole"))
+
+
+@query("""WITH o AS (SELECT doc_id, 'a' || doc_id || CASE WHEN doc_id % 11 = 0 THEN '.wav' ELSE '.m4a' END AS key, sha256(text) AS body FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id AS id, key, body, doc_id % 11 <> 0 AND doc_id % 7 <> 0 AS known, CASE doc_id % 4 WHEN 0 THEN doc_id % 60 WHEN 1 THEN 50 END AS first, CASE doc_id % 4 WHEN 0 THEN doc_id % 60 + 9 WHEN 1 THEN 63 END AS last FROM o)
+SELECT id, CAST(CASE WHEN NOT known THEN 404 WHEN first IS NOT NULL THEN 206 ELSE 200 END AS INT) AS status, CASE WHEN known AND first IS NOT NULL THEN 'bytes ' || first || '-' || last || '/64' END AS content_range,
+CASE WHEN known THEN CASE WHEN first IS NULL THEN body ELSE substr(body, CAST(first + 1 AS BIGINT), CAST(last - first + 1 AS BIGINT)) END END AS bytes FROM r""")
+def q08_audio_ranges(spark, d):
+    """Q08, SF40, SF41: requests for objects, whole or by range: status, place and bytes, of which no others are read."""
+    folder, k = fresh_path(spark, "objects"), F.col("doc_id")
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("a"), k, F.when(k % 11 == 0, ".wav").otherwise(".m4a")).alias("key"), F.sha2("text", 256).alias("body"))
+    made = objects.put(rows.where(k % 7 != 0), folder)
+    header = F.when(k % 4 == 0, F.concat(F.lit("bytes="), k % 60, F.lit("-"), k % 60 + 9)).when(k % 4 == 1, "bytes=50-").when(k % 4 == 2, "none")
+    return objects.answers(rows.select(k.alias("id"), "key", header.alias("header")), made, folder).select("id", "status", "content_range", F.decode("bytes", "UTF-8").alias("bytes"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS job, turn + 1 AS line, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) WHERE i > 2")
+def st06_replayed_lines(spark, d):
+    """ST06, Q10: every conversation as the log of a job, written by its task; a late reader's lines from the third on."""
+    folder = fresh_path(spark, "logs")
+    turns = table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("job")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: F.concat(r["turn"] + 1, F.lit("|"), r["text"])).alias("lines"))
+
+    def keep(job, lines):
+        log = joblog.LogWriter(folder, job)
+        for text in lines:
+            log.write(text)
+        log.flush()
+        return log.next
+
+    calls.settled(turns, keep, ["job", "lines"], "bigint", at_once=4).agg(F.sum("value"), F.count("error")).collect()
+    joblog.register(spark)
+    rows = spark.read.format("job_logs").option("folder", folder).option("start", 2).load()
+    at = F.instr("text", "|")
+    return rows.select("job", F.substring("text", F.lit(1), at - 1).cast("long").alias("line"), F.substring("text", at + 1, F.length("text")).alias("text"))
+
