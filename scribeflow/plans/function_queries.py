@@ -70,14 +70,23 @@ def sf42_addresses(spark, d):
     )
 
 
-@query("""WITH v AS (SELECT s_suppkey, s_suppkey % 4 + 1 AS n FROM supplier) SELECT s_suppkey, list_aggregate(list_transform(range(1, n + 1), lambda i: CASE WHEN i = 1 THEN 'YES' WHEN i = 3 THEN 'YES' ELSE 'NO' END), 'string_agg', ',') AS verdicts,
-list_aggregate(list_transform(range(1, n + 1), lambda i: CASE WHEN i = 2 THEN 'REMOVE' ELSE 'KEEP' END), 'string_agg', ',') AS keeps FROM v""")
+@query("""WITH c AS (SELECT c_custkey // 10 AS batch, c_custkey % 10 + 1 AS i, c_custkey % 7 = 0 AS absent, c_acctbal > 0 AS good FROM customer),
+g AS (SELECT batch, unnest(range(1, 11)) AS i FROM (SELECT DISTINCT batch FROM c))
+SELECT g.batch, string_agg(CASE WHEN good AND NOT absent THEN 'YES' ELSE 'NO' END, ',' ORDER BY g.i) AS verdicts, string_agg(CASE WHEN good AND NOT absent THEN 'REMOVE' ELSE 'KEEP' END, ',' ORDER BY g.i) AS keeps
+FROM g LEFT JOIN c ON c.batch = g.batch AND c.i = g.i GROUP BY g.batch""")
 def sf18_verdicts(spark, d):
-    """SF18, SF19: verdicts of a reply by number; absent ones take the default, the last of several counts."""
-    n = (F.col("s_suppkey") % 4 + 1).cast("int")
-    yes = F.lit("1. no\n1. yes - sure\nnoise\n3. YES\n9. YES")
-    keep = F.lit("2. remove: street\n7. KEEP")
-    return table(spark, d, "supplier").select("s_suppkey", F.array_join(T.verdicts(yes, n), ",").alias("verdicts"), F.array_join(T.verdicts(keep, n, "KEEP", "REMOVE", "KEEP"), ",").alias("keeps"))
+    """SF18, SF19: replies to batches of ten customers, a line for each, some without one and some with two: absent ones take the default, the last of several counts."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    i, good = k % 10 + 1, F.col("c_acctbal") > 0
+
+    def replies(yes: str, no: str):
+        line = F.concat(i, F.lit(". "), F.when(good, yes).otherwise(no), F.lit(" - "), F.col("c_mktsegment"))
+        other = F.when(k % 5 == 0, F.concat(i, F.lit(". "), F.when(good, no).otherwise(yes), F.lit("\n"))).otherwise("")
+        own = F.when(k % 7 == 0, "noise").otherwise(F.concat(other, line))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, own.alias("l")))), lambda r: r["l"]), "\n")
+
+    per = c.groupBy(F.call_function("div", k, F.lit(10)).alias("batch")).agg(replies("yes", "No").alias("a"), replies("Remove", "keep").alias("b"))
+    return per.select("batch", F.array_join(T.verdicts(F.col("a"), F.lit(10)), ",").alias("verdicts"), F.array_join(T.verdicts(F.col("b"), F.lit(10), "REMOVE", "KEEP", "KEEP"), ",").alias("keeps"))
 
 
 @query("""SELECT p_partkey, round(6 + 22 * sqrt(p_size / 50), 6) AS radius, round(ln(p_size) / ln(50), 6) AS t, CAST(floor(((p_partkey * 7) % 360) / 45.0 + 0.5) AS INT) % 8 AS point,

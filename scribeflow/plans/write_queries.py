@@ -145,7 +145,7 @@ def sf34_broadcast_pages(spark, d):
     day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("page_id") % 900).cast("int")), "yyyy-MM-dd")
     head = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('"datePublished": "'), day)).when(F.col("page_id") % 3 == 1, F.concat(F.lit('<meta content="'), day, F.lit('T07:30"'))).otherwise(F.concat(F.lit('<time class="x" datetime="'), day, F.lit('"')))
     audio = F.concat(F.lit('<a data-audio-src="'), F.base64(F.concat(F.lit("http://x/"), "page_id", F.lit(".mp3")).cast("binary")), F.lit('">'))
-    html = F.concat(head, audio)
+    html = F.concat(F.coalesce("html", F.lit("")), head, audio)  # within pages as they are
     return p.select("page_id", T.basename(F.col("url")).alias("base"), T.page_date(html).alias("date"), T.audio_source(html).alias("audio"))
 
 
@@ -218,3 +218,15 @@ def st06_replayed_lines(spark, d):
     at = F.instr("text", "|")
     return rows.select("job", F.substring("text", F.lit(1), at - 1).cast("long").alias("line"), F.substring("text", at + 1, F.length("text")).alias("text"))
 
+
+
+@query("""WITH b AS (SELECT CAST(page_id AS VARCHAR) AS id, strftime(DATE '1992-01-01' + CAST(page_id * 11 % 2400 AS INT), '%Y-%m-%d') AS date FROM pages)
+SELECT id, date FROM b WHERE date NOT IN (SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderdate IS NOT NULL)""")
+def jn18_broadcasts(spark, d):
+    """JN18, SC09: broadcasts scraped from listing pages, link first or date first, on dates of which there is no recording."""
+    p, k = table(spark, d, "pages"), F.col("page_id")
+    day = F.date_format(F.date_add(F.lit("1992-01-01").cast("date"), (k * 11 % 2400).cast("int")), "yyyy-MM-dd")
+    link, time = F.concat(F.lit('<a href="/broadcasts/'), k, F.lit('">on air</a>')), F.concat(F.lit('<time datetime="'), day, F.lit('T07:30">'))
+    listing = F.concat(F.coalesce("html", F.lit("")), F.when(k % 2 == 0, F.concat(link, time)).otherwise(F.concat(time, link)))
+    there = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).distinct()
+    return pages.broadcasts(p.select("page_id", listing.alias("html"))).join(there, "date", "left_anti").select("id", "date")
