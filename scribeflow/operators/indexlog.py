@@ -2,7 +2,8 @@
 
 Every batch is one generation. It writes a segment with the postings of its
 episodes, and a tombstone (episode, generation) for every episode that it
-writes or deletes, so its cost follows its own rows. A row of a segment counts
+writes or deletes and that an older segment has, so its cost follows its own
+rows (of older segments it reads ids alone). A row of a segment counts
 if no tombstone of its episode has a later generation than the segment.
 
 A merge takes the newest segments, up to the oldest that is no larger than all
@@ -11,6 +12,11 @@ generation. Then each segment is larger than all newer ones together, so there
 are no more than a logarithm of the rows, and a row is rewritten no more often.
 Tombstones older than every segment go.
 
+For pages of newest episodes a segment also has a table of how many segments
+hold each term, and the list has the ids from which on it has 64, 128, ...
+episodes; while no tombstone is left, ranks come from those, and only the newest
+postings are read.
+
 Segments and tombstones are Parquet; a segment lies in ranges of term and
 episode, so a query reads the row groups of its terms. Versions are put in place
 in one step (see snapshots): a batch that fails leaves the version before, and
@@ -31,8 +37,10 @@ from scribeflow.operators import textindex
 from scribeflow.operators.snapshots import Snapshots
 from scribeflow.runtime import tasks_for
 
-#: Tokens that a task writes, about.
-EACH = 20_000_000
+#: Tokens that a task writes, about; bytes of a row group, of which a query reads those of its terms and episodes.
+EACH, GROUP = 20_000_000, 16 << 20
+#: How many newest episodes the bounds of a segment take in.
+RANKS = (64, 128, 256, 512, 1024, 2048, 4096)
 
 
 class StoredIndex:
@@ -69,18 +77,32 @@ class StoredIndex:
         _, listed = self.log.read(version)
         parts = listed.get("segments", [])
         own = {kind: self._alive(self._all(parts, kind, self._type(listed)), listed, parts) for kind in ("postings", "lengths")}
-        return textindex.Index(own["postings"], own["lengths"])
+        return textindex.Index(own["postings"], own["lengths"], self._newest(listed))
+
+    def _newest(self, listed: dict) -> textindex.Newest | None:
+        parts = listed.get("segments", [])
+        if not parts or listed.get("dead"):  # counts hold rows that are dead
+            return None
+        terms = self._all(parts, "terms", self._type(listed)).groupBy("term").agg(F.sum("n").alias("n"))
+        # the newest bound of any segment takes in at least as many episodes as that segment has from there on
+        bounds = [max(p["bounds"][i] for p in parts if len(p["bounds"]) > i) for i in range(max(len(p["bounds"]) for p in parts))]
+        return textindex.Newest(bounds, terms, sum(p["segments"] for p in parts), sum(p["tokens"] for p in parts))
 
     def _segment(self, postings: DataFrame, lengths: DataFrame, gen: int) -> dict | None:
         """Writes a segment; None if it has no rows."""
         name = self.log.fresh()
-        lengths.write.parquet(self._path(name, "lengths"))
+        lengths.sortWithinPartitions("episode_id").write.parquet(self._path(name, "lengths"))
         total = self.spark.read.parquet(self._path(name, "lengths")).agg(F.count("*").alias("episodes"), F.sum("segments").alias("segments"), F.sum("tokens").alias("tokens")).first()
         if not total["episodes"]:
             return None
         tasks = tasks_for(self.spark, int(total["tokens"] or 0), EACH)
-        postings.repartitionByRange(tasks, "term", "episode_id").sortWithinPartitions("term", "episode_id", "seq").write.parquet(self._path(name, "postings"))
-        return {"name": name, "gen": gen, "episodes": total["episodes"], "segments": total["segments"], "tokens": int(total["tokens"] or 0)}
+        rows = postings.repartitionByRange(tasks, "term", "episode_id").sortWithinPartitions("term", "episode_id", "seq")
+        rows.write.option("parquet.block.size", GROUP).parquet(self._path(name, "postings"))
+        counts = self.spark.read.parquet(self._path(name, "postings")).groupBy("term").agg(F.count("*").alias("n"))
+        counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(self._path(name, "terms"))
+        top = self.spark.read.parquet(self._path(name, "lengths")).select("episode_id").orderBy(F.desc("episode_id")).limit(RANKS[-1]).collect()  # of bounded number
+        bounds = [top[r - 1][0] for r in RANKS if r <= len(top)]
+        return {"name": name, "gen": gen, "episodes": total["episodes"], "segments": total["segments"], "tokens": int(total["tokens"] or 0), "bounds": bounds}
 
     def write(self, segments: DataFrame | None = None, deleted: DataFrame | None = None) -> int:
         """One batch: the episodes in segments (episode_id, seq, text) take the place of their older rows; those in deleted (episode_id) go.
@@ -101,13 +123,17 @@ class StoredIndex:
             return number
         kind = listed.get("id_type") or ids[0].schema["episode_id"].dataType.simpleString()
         gone = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1].select(F.col("episode_id").cast(kind)))
-        name = self.log.fresh()
-        gone.distinct().write.parquet(self._path(name, "dead"))
-        count = self.spark.read.parquet(self._path(name, "dead")).count()
-        if not count:
+        old, dead = listed.get("segments", []), listed.get("dead", [])
+        count = 0
+        if old:  # only what an older segment has needs a tombstone
+            there = self._all(old, "lengths", self._type(listed)).select("episode_id")
+            name = self.log.fresh()
+            gone.distinct().join(there, "episode_id", "left_semi").write.parquet(self._path(name, "dead"))
+            count = self.spark.read.parquet(self._path(name, "dead")).count()
+        if not new and not count:
             return number
-        dead = listed.get("dead", []) + ([{"name": name, "gen": gen, "episodes": count}] if listed.get("segments") else [])
-        return self.log.commit(number, {"id_type": kind, "segments": listed.get("segments", []) + ([new] if new else []), "dead": dead})
+        dead = dead + ([{"name": name, "gen": gen, "episodes": count}] if count else [])
+        return self.log.commit(number, {"id_type": kind, "segments": old + ([new] if new else []), "dead": dead})
 
     def compact(self, whole: bool = False) -> int:
         """Merges the newest segments as far as sizes ask for it, or all of them. Returns the version."""
@@ -148,4 +174,4 @@ def merge_from(sizes: list[int]) -> int:
 
 def _schema(kind: str, ids: DataFrame) -> str:
     own = f"episode_id {ids.schema['episode_id'].dataType.simpleString()}"
-    return {"postings": f"term string, {own}, seq bigint, positions array<int>, dl int", "lengths": f"{own}, segments bigint, tokens bigint", "dead": own}[kind]
+    return {"postings": f"term string, {own}, seq bigint, positions array<int>, dl int", "lengths": f"{own}, segments bigint, tokens bigint", "terms": "term string, n bigint", "dead": own}[kind]

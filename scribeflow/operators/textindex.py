@@ -64,10 +64,25 @@ def episode_lengths(segments: DataFrame) -> DataFrame:
     return segments.groupBy("episode_id").agg(F.count("*").alias("segments"), F.sum(F.regexp_count(T.padded_tokens(F.col("text")), F.lit(r" (?=\S)"))).alias("tokens"))
 
 
+@dataclass(frozen=True)
+class Newest:
+    """What lets a page of newest episodes read only the postings that it needs.
+
+    bounds: episode ids from which on there are more and more episodes, newest first; terms: term, n (segments that hold
+    it); segments, tokens: of the whole index.
+    """
+
+    bounds: list
+    terms: DataFrame
+    segments: int
+    tokens: int
+
+
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame
     lengths: DataFrame
+    newest: Newest | None = None
 
     @staticmethod
     def of(segments: DataFrame) -> Index:
@@ -112,6 +127,21 @@ class Index:
 
         return per.select("episode_id", "seq", "dl", *[times(p).alias(f"_f{i}") for i, p in enumerate(phrases)])
 
+    def newest_pages(self, query: str | list[str], k1: float = 1.2, b: float = 0.75) -> Iterator[DataFrame]:
+        """bm25 of more and more episodes, the newest first, and at last of all of them.
+
+        Ranks are those of the whole index: how many segments hold a term is in a table by term. Queries with a phrase of
+        several terms, of which only postings know how often it stands, give all at once.
+        """
+        phrases = _phrases(query)
+        if phrases and self.newest and all(len(p) == 1 for p in phrases):
+            own = {r["term"]: r["n"] for r in self.newest.terms.where(F.col("term").isin(*{p[0] for p in phrases})).collect()}  # a row a term
+            for bound in self.newest.bounds:
+                rows = Index(self.postings.where(F.col("episode_id") >= F.lit(bound)), self.lengths)._counted(phrases).where(_all(phrases)).withColumnRenamed("dl", "_dl")
+                known = {f"_n{i}": F.lit(own.get(p[0], 0)) for i, p in enumerate(phrases)} | {"_n": F.lit(self.newest.segments), "_avg": F.lit(self.newest.tokens / max(1, self.newest.segments))}
+                yield rows.withColumns(known).select("episode_id", "seq", _rank(len(phrases), k1, b).alias("rank"))
+        yield self.bm25(query, k1, b)
+
     def match(self, query: str | list[str]) -> DataFrame:
         """episode_id, seq of the segments that hold every phrase of query."""
         phrases = _phrases(query)

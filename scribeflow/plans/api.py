@@ -22,15 +22,20 @@ def search(segments: DataFrame, episodes: DataFrame, query: str, page: int = 1,
     """Matching segments of a page of episodes (newest id first), with best_rank and has_more.
 
     The page is chosen on ids and ranks; only its own texts are fetched. With
-    an index, nothing else is read of the segments.
+    an index, nothing else is read of the segments; a stored one without
+    tombstones gives the newest episodes first, and as soon as they fill the
+    page, no older postings are read.
 
     has_more is true when the page is full, even if nothing follows.
     """
-    hits = (index.bm25(query) if index else textindex.bm25(segments, query)).select("episode_id", "seq", "rank")
     known = episodes.select(F.col("id").alias("episode_id"), "title", "duration_ms", "summary")
-    best = hits.groupBy("episode_id").agg(F.min("rank").alias("best_rank")).join(known.select("episode_id"), "episode_id", "left_semi")
-    chosen = _page(best.orderBy(F.desc("episode_id")), page, size).withColumn("has_more", F.count("*").over(W.partitionBy()) == size)
-    chosen = F.broadcast(cut_lineage(chosen))  # a page, made once
+    for hits in index.newest_pages(query) if index else [textindex.bm25(segments, query)]:
+        hits = hits.select("episode_id", "seq", "rank")
+        best = hits.groupBy("episode_id").agg(F.min("rank").alias("best_rank")).join(known.select("episode_id"), "episode_id", "left_semi")
+        chosen = _page(best.orderBy(F.desc("episode_id")), page, size).withColumn("has_more", F.count("*").over(W.partitionBy()) == size)
+        chosen = F.broadcast(cut_lineage(chosen))  # a page, made once
+        if chosen.count() == size:
+            break
     own = segments.select("episode_id", "seq", "start_ms", "end_ms", "text").join(chosen, "episode_id")
     rows = own.join(hits.select("episode_id", "seq").join(chosen.select("episode_id"), "episode_id", "left_semi"), ["episode_id", "seq"], "left_semi")
     rows = known.join(rows, "episode_id")

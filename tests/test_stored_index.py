@@ -99,3 +99,31 @@ def test_two_writers_of_one_version_conflict(spark, tmp_path):
     with pytest.raises(Conflict):
         b.commit(number, {"x": 2})
     assert b.read() == (1, {"x": 1}) and a.versions() == [1]
+
+
+def test_pages_of_newest_episodes_read_no_older_postings(spark, tmp_path, monkeypatch):
+    """The page is that of a scan; of a corpus ten times as large, a page of common words reads no more postings."""
+    from scribeflow.operators import indexlog
+    from scribeflow.plans import api
+
+    monkeypatch.setattr(indexlog, "RANKS", (8, 16, 32))
+    read = {}
+    for n in (60, 600):
+        rows = [(e, i, i * 1000, i * 1000 + 900, f"the cat number {e} sat" if e % 3 else "the dog") for e in range(n) for i in range(3)]
+        segments = spark.createDataFrame(rows, "episode_id long, seq long, start_ms long, end_ms long, text string")
+        episodes = spark.createDataFrame([(e, f"t{e}", 1, "s") for e in range(n) if e % 10], "id long, title string, duration_ms long, summary string")
+        stored = StoredIndex(spark, f"file://{tmp_path}/i{n}")
+        stored.write(segments.where("episode_id % 2 = 0"))
+        stored.write(segments.where("episode_id % 2 = 1"))
+        index = stored.index()
+        assert index.newest and len(index.newest.bounds) >= 2
+        for query, page in ((["the", "cat"], 1), (["the", "cat"], 3), (["the cat"], 1), (["dog"], 2), (["number", "7"], 1), (["missing"], 1)):
+            own = lambda rows: [tuple(r[:-2]) + (round(r.best_rank, 9), r.has_more) for r in rows.collect()]
+            assert own(api.search(segments, episodes, query, page, 5, index)) == own(api.search(segments, episodes, query, page, 5)), (query, page)
+        first = next(iter(index.newest_pages(["the", "cat"])))
+        read[n] = first.count()
+        stored.write(segments.where("episode_id = 0").withColumn("text", F.lit("the cat")))
+        assert stored.index().newest is None  # counts hold a dead row: all postings are read
+        stored.compact(whole=True)
+        assert stored.index().newest is not None
+    assert read[600] <= read[60]
