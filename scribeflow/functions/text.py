@@ -54,7 +54,9 @@ def js_trim(c: Column) -> Column:
 def has_internal_loop(c: Column) -> Column:
     """Twelve words or more, of which some phrase of three to eight comes four times in a row."""
     flat = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"\s+", " "), F.lit(" "))
-    return (F.size(F.split(F.lower(c), r"\s+")) >= 12) & flat.rlike(r" ((?:\S+ ){2,7}\S+ )\1{3}")
+    words = F.split(F.lower(c), r"\s+")
+    few = F.size(F.array_distinct(words)) <= F.size(words) - 9  # a run of three words or more that stands four times repeats nine
+    return (F.size(words) >= 12) & few & flat.rlike(r" ((?:\S+ ){2,7}\S+ )\1{3}")
 
 
 def search_phrases(query: str) -> list[str]:

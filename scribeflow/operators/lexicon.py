@@ -24,8 +24,7 @@ STOP_WORDS = tuple(
 
 def words(segments: DataFrame, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """word: every word of three letters or more that isn't a stop word; letters a-z, inner apostrophes and hyphens."""
-    bare = F.regexp_replace(F.lower("text"), "[^a-z'-]", " ")
-    rows = segments.select(F.explode(F.split(bare, r"\s+")).alias("w")).select(F.regexp_replace("w", "^['-]+|['-]+$", "").alias("word"))
+    rows = segments.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z](?:[a-z'-]*[a-z])?"), 0)).alias("word"))
     return rows.where((F.length("word") >= 3) & ~F.col("word").isin(*stop))
 
 

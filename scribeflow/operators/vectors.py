@@ -39,6 +39,7 @@ def delete_ids(stored: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 def hashed_embedding(text: Column, width: int = 64) -> Column:
     """An offline stand-in for an embedding model: signed counts of hashed words."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    place = lambda w: F.pmod(F.xxhash64(w), F.lit(width))
-    sign = lambda w: F.when(F.xxhash64(w, F.lit(1)) < 0, -1.0).otherwise(1.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.when(place(w) == i, sign(w)).otherwise(0.0)))
+    code = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)) * 2 + F.when(F.xxhash64(w, F.lit(1)) < 0, 1).otherwise(0))
+    at = lambda own, i: F.aggregate(own, F.lit(0.0), lambda s, c: s + F.when(c == 2 * i, 1.0).when(c == 2 * i + 1, -1.0).otherwise(0.0))
+    # within a list of one, so that the words are split and hashed once, not for each place
+    return F.element_at(F.transform(F.array(code), lambda own: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: at(own, i))), 1)

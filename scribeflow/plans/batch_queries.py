@@ -328,13 +328,13 @@ def pf25_guest_starts(spark, d):
 @query(f"""WITH {M.SEGMENTS_SQL}, s2 AS (SELECT * REPLACE (CASE WHEN episode_id % 4 = 1 THEN start_ms // 10 ELSE start_ms END AS start_ms, CASE WHEN episode_id % 4 = 1 THEN end_ms // 10 ELSE end_ms END AS end_ms) FROM seg),
 u AS (SELECT episode_id, max(end_ms) AS d FROM s2 GROUP BY 1), w AS (SELECT episode_id, unnest(range(0, d, 35000)) AS ws FROM u),
 c AS (SELECT s.episode_id, CAST(ws // 35000 AS BIGINT) AS win, arg_min(start_ms, seq) AS start_ms, string_agg(text, ' ' ORDER BY seq) AS text FROM w JOIN s2 s ON s.episode_id = w.episode_id AND end_ms > ws AND start_ms < ws + 45000 GROUP BY 1, 2)
-SELECT episode_id || ':' || start_ms AS id, max(win) AS "window" FROM c WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's') AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 20 GROUP BY 1""")
+SELECT episode_id || ':' || start_ms AS id, max(win) AS "window", 64 AS width FROM c WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's') AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 20 GROUP BY 1""")
 def cl18_repaired_times(spark, d):
     """CL18: chunks after the times of a quarter of the episodes were divided by ten: old ones deleted, new ones cut and embedded."""
     s = M.segments(spark, d)
     chunks = ext.embed(windows.last_per_id(windows.time_windows(s)))
     wrong = table(spark, d, "documents").where("doc_id % 4 = 1").select(F.col("doc_id").alias("episode_id"))  # the feature: some episodes are repaired
-    return tables.repaired_times(s, chunks, wrong, ext.embed)[1].select("id", "window")
+    return tables.repaired_times(s, chunks, wrong, ext.embed)[1].select("id", "window", F.size(F.filter("values", lambda v: v.isNotNull())).alias("width"))
 
 
 # ---- catalogues
