@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribeflow.llm import bpe, decontaminate, neardup, pii, sieve, toxicity
-from scribeflow.runtime import bounded_batches, table, written
+from scribeflow.runtime import Scratch, bounded_batches, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        kept = Scratch(spark)
+        docs = kept.written(stage(spark, docs, sf_dir), name)
+        if before:  # the next stage's input is written
+            before.clear()
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)

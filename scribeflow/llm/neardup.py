@@ -22,8 +22,7 @@ in bytes. Components of these stars over the cluster give each document's
 group. Once a node is known to be large, its rows are dealt over tasks by salt.
 The joins that find a node's size and a row's class hold narrow columns and
 have a side that was aggregated first, so adaptive execution can split a key
-that very many rows share. Tables of the levels are removed once the groups
-are compared.
+that very many rows share. All tables but the result are removed at the end.
 
 Defined cases: null or blank texts have an empty set and are linked with
 nothing; fewer words than a shingle make one shingle of all of them; equal
@@ -384,22 +383,22 @@ def _bounded(alike: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), text: str = "text", slack: float = 0.18) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; similarity is a fraction (parts, of)."""
     spark, level = docs.sparkSession, similarity[0] / similarity[1]
-    scratch = Scratch(spark)
-    found = written(features(docs, k, text), "sets")
+    scratch, own_tables = Scratch(spark), Scratch(spark)
+    found = own_tables.written(features(docs, k, text), "sets")
     whole = found.where("key IS NOT NULL AND doc_id IS NOT NULL")
     reps = whole.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
-    reps = written(reps.withColumn("class", F.xxhash64("key")), "classes")
+    reps = own_tables.written(reps.withColumn("class", F.xxhash64("key")), "classes")
     groups = None
     for g in _compared(reps.select(F.col("class").alias("doc"), "n", "sketch", "mini"), level, scratch):
         groups = g if groups is None else groups.unionByName(g)
     tasks = tasks_for(spark, reps.count() * 2 * trees(level), 2_000_000)
     alike = _grouped(groups, "grp", _similar_groups(level, slack), "grp long, class long", tasks).distinct()
-    alike = written(alike.join(reps.select("class", "doc", "n"), "class").groupBy("grp", "doc").agg(F.max("n").alias("n")), "alike")
+    alike = own_tables.written(alike.join(reps.select("class", "doc", "n"), "class").groupBy("grp", "doc").agg(F.max("n").alias("n")), "alike")
     scratch.clear()
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     active, _ = sieve.parted(own, F.col("doc"), alike.select("doc"))
     again = whole.groupBy("doc_id").agg(F.count("*").alias("rows"), (F.min("key") != F.max("key")).alias("varied")).where("rows > 1")
-    again = written(again, "again")
+    again = own_tables.written(again, "again")
     if not again.isEmpty():  # of rows that repeat an id and a text one goes on
         some, single = sieve.parted(active, F.col("doc"), again.select("doc_id"))
         active = single.unionByName(some.dropDuplicates(["doc", "text"]))
@@ -411,10 +410,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
         edges = edges.unionByName(varied.join(reps.select("key", "doc"), "key").select(F.col("doc_id").alias("u"), F.col("doc").alias("v")))
     roots = components(edges)
     unmatched = F.concat(F.lit("-").cast("binary"), F.col("doc_id").cast("string").cast("binary"))  # of no class: dealt over all tasks
-    return (
+    out = (
         found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("key", unmatched).alias("key"))
         .join(reps.select("key", "doc"), "key", "left")
         .join(roots, F.col("doc") == F.col("vertex"), "left")
         .withColumn("component_id", F.coalesce("component", "doc", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     )
+    out = written(out, "groups")
+    own_tables.clear()
+    return out
