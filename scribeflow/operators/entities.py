@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from scribeflow.functions import names as N
 from scribeflow.functions import text as T
@@ -75,31 +79,68 @@ def grouped_guests(links: DataFrame, name: str = "guest_name") -> DataFrame:
     return links.groupBy(F.lower(name).alias("_k")).agg(F.min(name).alias("guest_name"), F.count("*").alias("n")).drop("_k")
 
 
-def similar_names(names: DataFrame, column: str = "guest_name", percent: int = 85) -> DataFrame:
+#: Names that share a run from which on it is no meeting place; shortened forms of a name, at most, that take its place.
+HOT, FORMS = 1000, 3000
+
+
+def _edits(n: Column, percent: int) -> Column:
+    """Edits at most between a name of n letters and its longest possible partner."""
+    return F.floor(F.floor(n * 100 / percent) * (100 - percent) / 100).cast("int")
+
+
+def _shortened(names: DataFrame) -> DataFrame:
+    """k, n, form of names (k, n, most): each name with up to most letters left out, in every way."""
+    kind = StructType.fromDDL("k string, n int, form string")
+    out = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, n, most in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                forms = {"".join(left) for gone in range(most + 1) for left in combinations(k, len(k) - gone)}
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(forms)), pa.array([n] * len(forms), pa.int32()), pa.array(list(forms))], schema=out)
+
+    return names.select("k", "n", "most").mapInArrow(run, kind)
+
+
+def similar_names(names: DataFrame, column: str = "guest_name", percent: int = 85, hot: int = HOT) -> DataFrame:
     """a, b, sim: pairs of distinct names (a before b) whose similarity is percent / 100 or more (percent: 75 or more).
 
     Names within e edits share all but e * q of their runs of q letters, so at
     least one of the e * q + 1 rarest of each. Pairs come from equal rare runs,
-    of lengths that fit, and are verified: no product of all names, and runs
-    that very many names share are met only by names made of such alone.
+    of lengths that fit, and are verified: no product of all names. A run that
+    more than hot names share is no meeting place: names that have one among their rarest meet
+    by what is left of both after e letters are left out, so what is compared
+    there is within 2 * e edits, however many names share their runs. Names of which that would
+    make more than FORMS forms (from about 27 letters on) still meet by such runs.
     """
     if percent < 75:
         raise ValueError("similar names are found from 75 % on")
     q = 3 if percent >= 84 else 2
     own = names.select(F.trim(F.lower(column)).alias("k"), F.col(column).alias("name")).where(F.length("k") > 0)
-    n = F.length("k")
-    edits = F.floor(F.floor(n * 100 / percent) * (100 - percent) / 100).cast("int")  # of the longest partner
-    keys = own.select("k").distinct().withColumns({"n": n, "most": edits * q + 1}).where(F.col("n") >= q)
+    keys = own.select("k").distinct().withColumn("n", F.length("k")).withColumn("edits", _edits(F.col("n"), percent)).where(F.col("n") >= q)
+    keys = keys.withColumn("most", F.col("edits") * q + 1)
     runs = keys.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n") - (q - 1)))).withColumn("run", F.substring("k", F.col("i"), F.lit(q)))
     again = F.row_number().over(W.partitionBy("k", "run").orderBy("i"))  # repeats of a run in a name are runs of their own
-    runs = runs.withColumn("run", F.concat("run", again.cast("string"))).select("k", "n", "most", "run")
+    runs = runs.withColumn("run", F.concat("run", again.cast("string"))).select("k", "n", "edits", "most", "run")
     counts = runs.groupBy("run").agg(F.count("*").alias("times"))
     place = F.row_number().over(W.partitionBy("k").orderBy("times", "run"))
-    rare = runs.join(counts, "run").withColumn("place", place).where(F.col("place") <= F.col("most")).select("k", "n", "run")
-    left, right = rare.select(F.col("k").alias("x"), F.col("n").alias("nx"), "run"), rare.select(F.col("k").alias("y"), F.col("n").alias("ny"), "run")
+    rare = runs.join(counts, "run").withColumn("place", place).where(F.col("place") <= F.col("most")).select("k", "n", "edits", "run", "times")
     fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    pairs = left.join(right, "run").where((F.col("x") < F.col("y")) & fits).select("x", "y").distinct()
-    pairs = pairs.withColumn("sim", T.similarity(F.col("x"), F.col("y"))).where(F.col("sim") * 100 >= percent - 1e-9)
+
+    def meeting(left: DataFrame, right: DataFrame, at: str) -> DataFrame:
+        x, y = left.select(F.col("k").alias("x"), F.col("n").alias("nx"), at), right.select(F.col("k").alias("y"), F.col("n").alias("ny"), at)
+        return x.join(y, at).where((F.col("x") != F.col("y")) & fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+    pairs = meeting(rare.where(F.col("times") <= hot), rare.where(F.col("times") <= hot), "run")
+    if not counts.where(F.col("times") > hot).isEmpty():
+        crowded = rare.where(F.col("times") > hot)
+        forms = F.lit(1).cast("double")  # n over edits
+        for i in range(8):
+            forms = forms * F.when(F.col("edits") > i, (F.col("n") - i) / (i + 1)).otherwise(1)
+        many = (forms > FORMS) | (F.col("edits") > 8)
+        short = _shortened(crowded.where(~many).select("k", "n", F.col("edits").alias("most")).distinct())
+        pairs = pairs.unionByName(meeting(short, short, "form")).unionByName(meeting(crowded, crowded.where(many), "run"))
+    pairs = pairs.distinct().withColumn("sim", T.similarity(F.col("x"), F.col("y"))).where(F.col("sim") * 100 >= percent - 1e-9)
     spelt = lambda k, c: own.select(F.col("k").alias(k), F.col("name").alias(c))
     close = pairs.join(spelt("x", "p"), "x").join(spelt("y", "r"), "y").select("p", "r", "sim")
     same = spelt("x", "p").join(spelt("x", "r"), "x").where("p < r").select("p", "r", F.lit(1.0).alias("sim"))  # spellings of one name

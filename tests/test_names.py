@@ -66,24 +66,43 @@ def test_merge(spark):
     assert (got["other"].categories, got["other"].lat) == ([], None)
 
 
-def test_similar_names_equal_all_pairs(spark):
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def _pairs(names, percent):
+    return {(a, b) for a in names for b in names if a < b and abs(len(a) - len(b)) <= 9 and (1 - _distance(a, b) / max(len(a), len(b))) * 100 >= percent - 1e-9}
+
+
+@pytest.mark.parametrize("percent, hot", [(85, 1000), (85, 2), (75, 5), (90, 1)])
+def test_similar_names_equal_all_pairs(spark, percent, hot):
     import random
 
     rng = random.Random(2)
-    names = sorted({"".join(rng.choice("ab ") for _ in range(rng.randint(1, 9))).strip() for _ in range(120)} | {"maria lopez", "maria lopes", "mario lopez", "x"} - {""})
-    got = {(r.a, r.b) for r in entities.similar_names(spark.createDataFrame([(n,) for n in names], "guest_name string")).collect()}
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    want = {(a, b) for a in names for b in names if a < b and 1 - distance(a, b) / max(len(a), len(b)) >= 0.85 - 1e-9}
-    assert got == want
+    names = {"".join(rng.choice("ab ") for _ in range(rng.randint(1, 9))).strip() for _ in range(120)} | {"maria lopez", "maria lopes", "mario lopez", "x"} - {""}
+    names |= {"the very long name of a place by the sea " + "".join(rng.choice("ab") for _ in range(4)) for _ in range(20)}  # too long for shortened forms
+    names = sorted(n for n in names if n)
+    if percent == 75:
+        names = [n for n in names if len(n) >= 2]  # a name shorter than a run meets none
+    got = {(r.a, r.b) for r in entities.similar_names(spark.createDataFrame([(n,) for n in names], "guest_name string"), percent=percent, hot=hot).collect()}
+    assert got == {p for p in _pairs(names, percent) if min(map(len, p)) >= 3 or percent == 75}
+
+
+def test_names_that_share_every_run(spark):
+    """Numbered names: what is compared stays within a multiple of what is alike, where all share their runs."""
+    names = [f"guest number {i:03d} of it" for i in range(0, 1000, 3)]
+    df = spark.createDataFrame([(n,) for n in names], "guest_name string")
+    got = {(r.a, r.b) for r in entities.similar_names(df, percent=90, hot=20).collect()}
+    assert got == _pairs(names, 90)
+    forms = entities._shortened(df.select(F.col("guest_name").alias("k"), F.length("guest_name").alias("n"), F.lit(2).alias("most")))
+    meet = forms.alias("x").join(forms.alias("y"), "form").where("x.k < y.k").select("x.k", "y.k").distinct().count()
+    assert meet <= 3 * len(got)
 
 
 def test_mentions(spark):
