@@ -85,8 +85,7 @@ def sk14_index_build(spark, d):
     return index.index().postings.groupBy("term").agg(F.count("*").alias("segments"), F.sum(F.size("positions")).alias("occurrences"))
 
 
-@query(f"""WITH {M.SEGMENTS_SQL}, now AS (SELECT episode_id, seq, CASE WHEN episode_id % 8 = 1 THEN text ELSE 'of the ' || text END AS text FROM seg WHERE episode_id % 8 = 1 OR (episode_id % 7 <> 0 AND episode_id % 5 = 0 AND seq <= 2)
-  UNION ALL SELECT episode_id, seq, text FROM seg WHERE episode_id % 8 <> 1 AND episode_id % 7 <> 0 AND episode_id % 5 <> 0 AND episode_id % 4 <> 1), {_words('now')},
+@query(f"""WITH {M.SEGMENTS_SQL}, now AS (SELECT episode_id, seq, CASE WHEN episode_id % 4 <> 1 AND episode_id % 5 = 0 THEN 'of the ' || text ELSE text END AS text FROM seg WHERE episode_id % 4 = 1 OR episode_id % 7 <> 0), {_words('now')},
 n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), c AS (SELECT episode_id, seq, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS f FROM tok),
 k AS (SELECT count(*) FILTER (f > 0) AS n1 FROM c)
 SELECT episode_id, seq, round(-(greatest(1e-6, ln((n - n1 + 0.5) / (n1 + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS rank FROM c, k, n WHERE f > 0""")
@@ -95,8 +94,8 @@ def sk13_index_changes(spark, d):
     s, e = M.segments(spark, d), F.col("episode_id")
     index = indexlog.StoredIndex(spark, fresh_path(spark, "index"))
     index.write(s.where(e % 4 != 1))
-    index.write(s.where((e % 5 == 0) & (F.col("seq") <= 2)).withColumn("text", F.concat(F.lit("of the "), "text")))
-    index.write(s.where(e % 8 == 1), deleted=s.where(e % 7 == 0).select("episode_id"))
+    index.write(s.where(e % 5 == 0).withColumn("text", F.concat(F.lit("of the "), "text")))
+    index.write(s.where(e % 4 == 1), deleted=s.where(e % 7 == 0).select("episode_id"))
     index.compact()
     return index.index().bm25(["of the"]).withColumn("rank", F.round("rank", 6))
 
