@@ -16,8 +16,11 @@ threshold agrees so far with the pivot by chance once in 100 (at 0.85) or 2,000
 (at 0.8): if it is below, its links are left to the other trees, which have
 pivots of their own.
 
-Compared groups give a star for each exactly linked component, never all
-pairs, so output stays linear in the rows. Groups are bounded in documents and
+What sketches link in a node is a group, with a spanning tree of its closest
+links. First only the trees' links are confirmed on full sets, one for each
+document. Where all hold, the group is one component; in the other groups every
+pair is compared, which gives a star for each exactly linked component, never all
+pairs. So output stays linear in the rows. Groups are bounded in documents and
 in bytes. Components of these stars over the cluster give each document's
 group. Once a node is known to be large, its rows are dealt over tasks by salt.
 The joins that find a node's size and a row's class hold narrow columns and
@@ -56,6 +59,8 @@ BLOCK = 1024
 DEPTH = 8
 #: Shingles of texts that are compared at once in a task: more documents, or longer ones, are compared by pairs of blocks.
 BULK = 1 << 20
+#: Links of one document that a task confirms, about.
+FAN = 256
 #: Tasks over which the rows of a large node are dealt.
 SALTS = 32
 _CHARS = 500_000
@@ -170,6 +175,26 @@ def _linked(links: np.ndarray) -> np.ndarray:
     return root
 
 
+def _spanning_forest(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a symmetric matrix (0: no link) the first row of its component, and its neighbour in a tree of the
+    heaviest links (itself for the first); of equal links the one to the row that joined first counts."""
+    n = len(weight)
+    first, parent = np.full(n, -1), np.arange(n)
+    for start in range(n):
+        if first[start] >= 0:
+            continue
+        first[start] = start
+        best, via = np.where(first < 0, weight[start], 0), np.full(n, start)
+        while True:
+            v = int(best.argmax())
+            if not best[v]:
+                break
+            first[v], parent[v], best[v] = start, via[v], 0
+            more = (weight[v] > best) & (first < 0)
+            best[more], via[more] = weight[v][more], v
+    return first, parent
+
+
 def _similar_groups(similarity: float, slack: float) -> Callable:
     least = int(np.ceil((similarity - slack) * TOKENS))  # low bytes agree by chance too, which only adds pairs to verify
 
@@ -182,23 +207,26 @@ def _similar_groups(similarity: float, slack: float) -> Callable:
             return None
         n = rows.column(2).to_numpy()[first].astype(float)
         sketch = np.frombuffer(b"".join(rows.column(3).take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, TOKENS)
-        near = np.empty((len(docs), len(docs)), bool)
+        weight = np.empty((len(docs), len(docs)), np.uint8)
         for a in range(0, len(docs), 256):  # a strip at a time
             part = sketch[a : a + 256]
             same = np.zeros((len(part), len(docs)), np.uint8)
             for i in range(TOKENS):
                 same += part[:, i, None] == sketch[None, :, i]
             small, large = np.minimum(n[a : a + 256, None], n[None]), np.maximum(n[a : a + 256, None], n[None])
-            near[a : a + 256] = (same >= least) & (small >= similarity * large - 1e-9)
-        root = _linked(near)
-        ids, who, size = np.unique(root, return_inverse=True, return_counts=True)
-        groups, members = [], []
-        for g in np.flatnonzero(size > 1):
-            own = docs[who == g]
-            name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+            weight[a : a + 256] = np.where((same >= least) & (small >= similarity * large - 1e-9), same, 0)
+        np.fill_diagonal(weight, 0)
+        linked = np.flatnonzero(weight.any(axis=1))
+        docs, weight = docs[linked], weight[np.ix_(linked, linked)]
+        root, parent = _spanning_forest(weight)
+        groups, members, parents = [], [], []
+        for g in np.unique(root):
+            own = np.flatnonzero(root == g)
+            name = int.from_bytes(hashlib.blake2b(docs[own].tobytes(), digest_size=8).digest(), "little", signed=True)
             groups += [name] * len(own)
-            members += own.tolist()
-        return groups, members
+            members += docs[own].tolist()
+            parents += docs[parent[own]].tolist()
+        return groups, members, parents
 
     return run
 
@@ -251,6 +279,42 @@ def _exact_stars(k: int, parts: tuple[int, int]) -> Callable:
     return run
 
 
+def _confirmed(tree: DataFrame, reps: DataFrame, active: DataFrame, k: int, parts: tuple[int, int]) -> DataFrame:
+    """parent, child, ok of the links of spanning trees (class, parent): whether their full sets are as similar as asked for.
+
+    A parent's children are dealt in parts of about FAN, each with a copy of the parent, and checked one by one.
+    """
+    spark = tree.sparkSession
+    pairs = tree.where("class <> parent").select("parent", F.col("class").alias("child")).distinct()
+    fan = pairs.groupBy("parent").agg(F.ceil(F.count("*") / FAN).alias("parts"))
+    part = lambda p: F.xxhash64("parent", p.cast("long")).alias("grp")
+    heads = fan.select("parent", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p")).select(part(F.col("p")), F.lit(0).alias("role"), "parent", F.col("parent").alias("class"))
+    children = pairs.join(fan, "parent").select(part(F.pmod(F.xxhash64("child"), F.col("parts"))), F.lit(1).alias("role"), "parent", F.col("child").alias("class"))
+    rows = heads.unionByName(children).join(reps.select("class", "key", "doc"), "class").join(active, "doc")
+    rows = rows.select("grp", "role", "parent", "class", "key", "text")
+    kind, out = arrow.schema(None, "parent long, child long, ok boolean")
+
+    @arrow.settled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple = (None, None)
+        for b in batches:
+            groups, roles, parents, classes, keys, texts = (c.to_pylist() for c in b.columns)
+            found: list[tuple] = []
+            for i, j in chars.blocks(texts, _CHARS):
+                for r, s in enumerate(shingle_sets(texts[i:j], k), i):
+                    if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != keys[r]:
+                        continue  # another text of the same id
+                    if not roles[r]:
+                        head = groups[r], s
+                    elif head[0] == groups[r]:
+                        inter = len(np.intersect1d(head[1], s, assume_unique=True))
+                        found.append((parents[r], classes[r], parts[1] * inter >= parts[0] * (len(head[1]) + len(s) - inter)))
+            yield arrow.batch(out, *([f[c] for f in found] for c in range(3)))
+
+    tasks = tasks_for(spark, tree.count(), 20_000)
+    return rows.repartition(tasks, "grp").sortWithinPartitions("grp", "role").mapInArrow(run, kind)
+
+
 def missed(similarity: float, count: int) -> float:
     """The probability that a pair at the threshold has no common path after DEPTH levels of so many trees."""
     second, out = 1 / similarity - 1, 0.0
@@ -392,8 +456,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     for g in _compared(reps.select(F.col("class").alias("doc"), "n", "sketch", "mini"), level, scratch):
         groups = g if groups is None else groups.unionByName(g)
     tasks = tasks_for(spark, reps.count() * 2 * trees(level), 2_000_000)
-    alike = _grouped(groups, "grp", _similar_groups(level, slack), "grp long, class long", tasks).distinct()
-    alike = own_tables.written(alike.join(reps.select("class", "doc", "n"), "class").groupBy("grp", "doc").agg(F.max("n").alias("n")), "alike")
+    tree = own_tables.written(_grouped(groups, "grp", _similar_groups(level, slack), "grp long, class long, parent long", tasks).distinct(), "trees")
+    alike = own_tables.written(tree.join(reps.select("class", "doc", "n"), "class").groupBy("grp", "doc").agg(F.max("n").alias("n")), "alike")
     scratch.clear()
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     active, _ = sieve.parted(own, F.col("doc"), alike.select("doc"))
@@ -403,8 +467,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
         some, single = sieve.parted(active, F.col("doc"), again.select("doc_id"))
         active = single.unionByName(some.dropDuplicates(["doc", "text"]))
     # texts travel, not sets: they compress, and sets are made where they are compared
-    full = _bounded(alike).join(active, "doc").select("grp", "doc", "text")
-    edges = _grouped(full, "grp", _exact_stars(k, similarity), "u long, v long", tasks_for(spark, alike.count(), 20_000))
+    links = own_tables.written(_confirmed(tree.select("class", "parent"), reps, active, k, similarity), "links")
+    of = lambda c, name: reps.select(F.col("class").alias(c), F.col("doc").alias(name))
+    edges = links.where("ok").join(of("parent", "u"), "parent").join(of("child", "v"), "child").select("u", "v")
+    # a group whose tree holds is one component, whatever its other pairs are; the others are compared whole
+    open_ = tree.join(links.where("NOT ok").select("parent", F.col("child").alias("class")), ["parent", "class"], "left_semi").select("grp").distinct()
+    unsure = own_tables.written(alike.join(open_, "grp", "left_semi"), "unsure")
+    full = _bounded(unsure).join(active, "doc").select("grp", "doc", "text")
+    edges = edges.unionByName(_grouped(full, "grp", _exact_stars(k, similarity), "u long, v long", tasks_for(spark, unsure.count(), 20_000)))
     if not again.isEmpty():  # an id with several texts is one document
         varied = whole.join(again.where("varied").select("doc_id"), "doc_id").select("doc_id", "key").distinct()
         edges = edges.unionByName(varied.join(reps.select("key", "doc"), "key").select(F.col("doc_id").alias("u"), F.col("doc").alias("v")))
