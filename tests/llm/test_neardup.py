@@ -115,3 +115,42 @@ def test_components(spark):
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {v: find(v) for v in root if find(v) != v}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("fan", [1, 256])
+def test_trees_of_links_equal_all_pairs(spark, monkeypatch, fan):
+    """Families around the threshold, in which some links of a tree fail, against all pairs; ids with several texts among them."""
+    monkeypatch.setattr(neardup, "FAN", fan)
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    rows, ident = [], 0
+    for _ in range(12):
+        base = [word() for _ in range(60)]
+        for _ in range(rng.randint(1, 14)):
+            words = list(base)
+            for _ in range(rng.randint(0, 9)):
+                words[rng.randrange(60)] = word()
+            rows.append((ident, " ".join(words)))
+            ident += rng.randint(0, 1)  # some ids have several texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, k=3, similarity=(85, 100)).collect()}
+    sets = [(i, {tuple(t.split()[j : j + 3]) for j in range(58)}) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[a + 1 :]:
+            if 100 * len(x & y) >= 85 * len(x | y):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in root}
+    assert 1 < len(set(got.values())) < len(got)
+
+
+def test_spanning_forest_is_of_heaviest_links():
+    weight = np.array([[0, 5, 3, 0], [5, 0, 4, 0], [3, 4, 0, 0], [0, 0, 0, 0]], np.uint8)
+    first, parent = neardup._spanning_forest(weight)
+    assert first.tolist() == [0, 0, 0, 3] and parent.tolist() == [0, 0, 1, 3]
