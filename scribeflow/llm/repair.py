@@ -55,7 +55,7 @@ FILE_BYTES, WINDOW, KEPT = 64 << 20, 1 << 16, 1 << 21
 END = 0
 _CHARS = 1_000_000
 _HEAD, _FOOT, _TAIL = struct.Struct("<IIIQ"), struct.Struct("<IQ"), struct.Struct("<QI8s")
-_NONE = np.int64(1 << 40)
+_NONE = np.int32((1 << 31) - 1)
 _SLOTS = 18
 
 
@@ -71,8 +71,26 @@ class Encoder:
         self.keys, self.first, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int64)
         self.ids, self.used = np.zeros(1024, np.uint32), 0
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for i in range(0, len(texts), 2000) for e in self.tk.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all texts in turn, and how many each has."""
+        got = [e.ids for i in range(0, len(texts), 2000) for e in self.tk.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pre-tokens that hold no special string: asked many at a time, with one between them as a mark."""
+        if not self.special:
+            return self._library(words)
+        mark, ids, sizes = self.tk.token_to_id(self.special[0]), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 500):
+            own = words[i : i + 500]
+            marked = [self.special[0]] * (2 * len(own))
+            marked[::2] = own
+            got = np.array(self.tk.encode_batch_fast([marked], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            at = got == mark
+            ids.append(got[~at])
+            sizes.append(np.diff(np.flatnonzero(at), prepend=-1) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _gathered(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         ends = np.cumsum(size)
@@ -96,9 +114,8 @@ class Encoder:
         slot = got & self.mask
         missing = np.flatnonzero((self.keys[slot] != got) | (self.size[slot] == 0))
         at = place[missing]
-        new = self._library([joined[s:e] for s, e in zip(starts[at].tolist(), (starts[at] + lengths[at]).tolist(), strict=True)])
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        begin = self._store(np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum())))
+        new, sizes = self._words([joined[s:e] for s, e in zip(starts[at].tolist(), (starts[at] + lengths[at]).tolist(), strict=True)])
+        begin = self._store(new)
         first, size = self.first[slot], self.size[slot]
         first[missing], size[missing] = begin + np.cumsum(sizes) - sizes, sizes
         out = self._gathered(first[back], size[back]), np.bincount(who, size[back], len(texts)).astype(np.int64)
@@ -116,9 +133,9 @@ class Encoder:
             flat.append(ids)
             size.append(n)
             if i < len(texts):
-                own = self._library([texts[i]])[0]
-                flat.append(np.asarray(own, np.uint32))
-                size.append(np.array([len(own)]))
+                ids, n = self._library([texts[i]])
+                flat.append(ids)
+                size.append(n)
             at = i + 1
         return np.concatenate(flat), np.concatenate(size)
 
@@ -146,7 +163,7 @@ def documents_of(enc: Encoder, texts: list[str | None], limit: int = _CHARS) ->
 
 
 def _slot(keys: np.ndarray, salt: int) -> np.ndarray:
-    return (chars.mix(keys.view(np.uint64) + np.uint64(salt)) >> np.uint64(64 - _SLOTS)).view(np.int64)
+    return (((keys.view(np.uint64) ^ np.uint64(salt)) * chars.GOLD) >> np.uint64(64 - _SLOTS)).view(np.int64)
 
 
 def grammar(ids: np.ndarray, least: int = LEAST, gain: int = GAIN) -> tuple[int, np.ndarray, np.ndarray]:
@@ -176,10 +193,11 @@ def grammar(ids: np.ndarray, least: int = LEAST, gain: int = GAIN) -> tuple[int,
         here[some + 1] = rank[some]
         wins = (here[1:-1] < _NONE) & (here[1:-1] <= here[2:]) & (here[1:-1] <= here[:-2])
         again = wins & (here[1:-1] == here[:-2])
-        if again.any():  # a run of one symbol: every other place of its pair
-            place = np.arange(len(keys))
-            started = np.maximum.accumulate(np.where(here[1:-1] == here[:-2], 0, place))
-            wins &= ~again | ((place - started) % 2 == 0)
+        place = np.flatnonzero(again)
+        if len(place):  # runs of one symbol: every other place of its pair
+            starts = np.flatnonzero(np.diff(place, prepend=-2) > 1)
+            before = place - np.repeat(place[starts], np.diff(np.append(starts, len(place))))
+            wins[place[before % 2 == 0]] = False
         won = np.flatnonzero(wins)
         pair = here[won + 1]
         kept = np.bincount(pair, minlength=len(pairs)) >= least
