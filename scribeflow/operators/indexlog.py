@@ -41,6 +41,8 @@ from scribeflow.runtime import tasks_for
 EACH, GROUP = 20_000_000, 16 << 20
 #: How many newest episodes the bounds of a segment take in.
 RANKS = (64, 128, 256, 512, 1024, 2048, 4096)
+#: Of the files' layout: to be part of the name of an index that later code may meet.
+LAYOUT = 2
 
 
 class StoredIndex:
@@ -79,6 +81,12 @@ class StoredIndex:
         own = {kind: self._alive(self._all(parts, kind, self._type(listed)), listed, parts) for kind in ("postings", "lengths")}
         return textindex.Index(own["postings"], own["lengths"], self._newest(listed))
 
+    def sound(self) -> bool:
+        """Whether there is a version and all that it lists is there, as far as finished writes tell."""
+        number, listed = self.log.read()
+        parts = [(p["name"], k) for p in listed.get("segments", []) for k in ("postings", "lengths", "terms")] + [(p["name"], "dead") for p in listed.get("dead", [])]
+        return bool(number) and all(self.log.has(f"data/{name}/{kind}/_SUCCESS") for name, kind in parts)
+
     def _newest(self, listed: dict) -> textindex.Newest | None:
         parts = listed.get("segments", [])
         if not parts or listed.get("dead"):  # counts hold rows that are dead

@@ -35,13 +35,17 @@ def stored_index(spark, d):
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         status = path.getFileSystem(configuration).getFileStatus(path)
         about.append((name, status.getLen(), status.getModificationTime()))
-    index = indexlog.StoredIndex(spark, f"{shared_dir(spark)}/text-index-{hashlib.sha256(repr(about).encode()).hexdigest()[:32]}")
-    if not index.log.versions():
-        try:
-            index.write(M.segments(spark, d))
-        except Conflict:  # another session stored it meanwhile
-            pass
-    return index
+    name = hashlib.sha256(repr((indexlog.LAYOUT, about)).encode()).hexdigest()[:32]
+    for copy in range(100):  # one whose files were cleared away is left alone
+        index = indexlog.StoredIndex(spark, f"{shared_dir(spark)}/text-index-{name}-{copy}")
+        if not index.log.versions():
+            try:
+                index.write(M.segments(spark, d))
+            except Conflict:  # another session stored it meanwhile
+                pass
+        if index.sound():
+            return index
+    raise RuntimeError(f"the files of every stored index of {d} are gone")
 
 
 def _index(spark, d):

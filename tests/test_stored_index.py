@@ -127,3 +127,17 @@ def test_pages_of_newest_episodes_read_no_older_postings(spark, tmp_path, monkey
         stored.compact(whole=True)
         assert stored.index().newest is not None
     assert read[600] <= read[60]
+
+
+def test_an_index_whose_files_are_gone_is_made_anew(spark, tmp_path):
+    import shutil
+
+    from scribeflow.plans import search_queries
+    from tests.conftest import SMALL
+
+    first = search_queries.stored_index(spark, SMALL)
+    assert search_queries.stored_index(spark, SMALL).log.folder == first.log.folder and first.sound()
+    name = first.log.read()[1]["segments"][0]["name"]
+    shutil.rmtree(f"{first.log.folder.removeprefix('file://')}/data/{name}/terms")
+    again = search_queries.stored_index(spark, SMALL)
+    assert not first.sound() and again.log.folder != first.log.folder and again.index().match("the").count() > 0
