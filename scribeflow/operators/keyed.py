@@ -50,7 +50,7 @@ class KeyedTable:
             raise ValueError(f"there is a table at {folder}")
         schema = StructType.fromJson({"type": "struct", "fields": [{**f, "nullable": True} for f in rows.schema.jsonValue()["fields"]]})
         name = log.fresh()
-        files = _write(rows, f"{log.folder}/data/{name}", _bucket(by, buckets))
+        files = _write(rows, f"{log.folder}/data/{name}", bucket_of(by, buckets))
         log.commit(0, {"schema": schema.jsonValue(), "by": by, "buckets": buckets, "files": {b: name for b in files}})
         return KeyedTable(spark, folder)
 
@@ -69,7 +69,7 @@ class KeyedTable:
         return self.pinned
 
     def _touched(self, keys: DataFrame) -> set[str]:
-        return {str(r[0]) for r in keys.select(_bucket(self.by, self.buckets).alias("b")).distinct().collect()}  # at most one a bucket
+        return {str(r[0]) for r in keys.select(bucket_of(self.by, self.buckets).alias("b")).distinct().collect()}  # at most one a bucket
 
     def among(self, keys: DataFrame) -> DataFrame:
         """The rows in the buckets of some keys (the columns by): all of those keys, and others; nothing else is read."""
@@ -91,7 +91,7 @@ class KeyedTable:
         new = make(self._read({b: n for b, n in files.items() if b in hit}))
         new = new.select([F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
         name = self.log.fresh()
-        made = _write(new, f"{self.log.folder}/data/{name}", _bucket(self.by, self.buckets))
+        made = _write(new, f"{self.log.folder}/data/{name}", bucket_of(self.by, self.buckets))
         if not set(made) <= hit:
             raise ValueError("rows fell in buckets that weren't announced")
         files = {b: n for b, n in files.items() if b not in hit} | {b: name for b in made}
@@ -175,7 +175,7 @@ def last_per_key(rows: DataFrame, keys: list[str], order: list[str] | None = Non
     return rows.groupBy(keys).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest]) if rest else rows.distinct()
 
 
-def _bucket(by: list[str], buckets: int) -> Column:
+def bucket_of(by: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
 
 

@@ -136,3 +136,24 @@ def test_names_in_blocks_equal_one_block(spark):
     phrases = lambda block: sorted((r.normalized_name, r.seq) for r in entities.phrase_mentions(names.withColumnRenamed("name", "normalized_name"), segments, block=block).collect())
     assert phrases(200_000) == phrases(4) and phrases(4)
     assert entities.mentions(names.limit(0), segments).count() == 0
+
+
+def test_large_claims_change_few_buckets_and_spread_their_calls(spark, tmp_path, monkeypatch):
+    """Keys of a large claim are those that wait longest, exactly so many, of few buckets, and dealt to several tasks."""
+    monkeypatch.setattr(calls, "LARGE", 100)
+    monkeypatch.setattr(calls, "EACH", 50)
+    monkeypatch.setattr(calls, "BUCKET", 200)
+    keys = spark.range(3000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).alias("at"))
+    ledger = calls.Ledger.create(keys, f"file://{tmp_path}/l", 2, attempts=2)
+    assert ledger.table.buckets == 15
+    files = lambda: ledger.table.log.read()[1]["files"]
+    seen = set()
+    for waits, most in ((0, 300), (0, 700), (1, 1000), (2, 999), (2, 1000)):
+        before = files()
+        claimed = ledger.claim(5, most)
+        got = {r.key for r in claimed.collect()}
+        assert len(got) == (1 if len(seen) == 2999 else most) and {int(k) % 3 for k in got} == {waits} and seen.isdisjoint(got)
+        if most == 300:
+            assert sum(files()[b] != name for b, name in before.items()) <= 6 and claimed.rdd.getNumPartitions() >= 2
+        seen |= got
+    assert len(seen) == 3000 and ledger.claim(5, 1000).isEmpty()
