@@ -13,6 +13,15 @@ def id_date(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"\d{4}-\d{2}-\d{2}", 0), F.lit("")).try_cast("date")
 
 
+def date_text(c: Column) -> Column:
+    """YYYY-MM-DD, with as many digits as the year has; Spark's own text has a plus sign before years after 9999."""
+    return _unsigned(c.cast("string"))
+
+
+def _unsigned(c: Column) -> Column:
+    return F.replace(c, F.lit("+"), F.lit(""))
+
+
 def month(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 
