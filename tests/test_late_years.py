@@ -7,7 +7,7 @@ import pytest
 
 from scribeflow.plans import registry
 
-QUERIES = ["cl07_off_days"]
+QUERIES = ["cl07_off_days", "jn13_missing_weeks"]
 
 
 @pytest.fixture(scope="module")
