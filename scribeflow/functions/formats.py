@@ -23,7 +23,7 @@ def _unsigned(c: Column) -> Column:
 
 
 def month(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM")
+    return _unsigned(F.date_format(c, "yyyy-MM"))
 
 
 def month_day(c: Column) -> Column:
