@@ -41,11 +41,11 @@ def today_month_day(zone: str = ZONE) -> Column:
 
 
 def long_date(d: Column) -> Column:
-    return F.date_format(d, "MMMM d, yyyy")
+    return _unsigned(F.date_format(d, "MMMM d, yyyy"))
 
 
 def short_date(d: Column) -> Column:
-    return F.date_format(d, "MMM d, yyyy")
+    return _unsigned(F.date_format(d, "MMM d, yyyy"))
 
 
 def thursdays(start: Column, end: Column) -> Column:

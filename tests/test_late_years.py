@@ -7,7 +7,7 @@ import pytest
 
 from scribeflow.plans import registry
 
-QUERIES = ["cl07_off_days", "jn13_missing_weeks", "q03_range", "q03_timeline", "q06_on_this_day"]
+QUERIES = ["cl07_off_days", "jn13_missing_weeks", "q03_range", "q03_timeline", "q06_on_this_day", "sf22_dates"]
 
 
 @pytest.fixture(scope="module")
