@@ -157,3 +157,17 @@ def test_large_claims_change_few_buckets_and_spread_their_calls(spark, tmp_path,
             assert sum(files()[b] != name for b, name in before.items()) <= 6 and claimed.rdd.getNumPartitions() >= 2
         seen |= got
     assert len(seen) == 3000 and ledger.claim(5, 1000).isEmpty()
+
+
+def test_hits_are_handed_on_without_texts(spark, monkeypatch):
+    """A text with very many names isn't copied for each of them."""
+    from scribeflow.operators import trie
+
+    frames, real = [], trie.found
+    monkeypatch.setattr(trie, "found", lambda *a, **k: frames.append(real(*a, **k)) or frames[-1])
+    words = [f"word{i}" for i in range(5000)]
+    turns = spark.createDataFrame([(1, i, i * 10, i * 10 + 8, " ".join(words)) for i in range(6)], "episode_id long, seq long, start_ms long, end_ms long, text string")
+    names = spark.createDataFrame([(w, 1, 2, "a") for w in words], "normalized_name string, start_ms long, end_ms long, address string")
+    got = entities.cross_reference(names, turns, ())
+    assert {(r.normalized_name, r.episode_count, r.total_mentions) for r in got.collect()} == {(w, 1, 1) for w in words}
+    assert frames[0].columns == ["episode_id", "_name"]
