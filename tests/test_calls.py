@@ -171,3 +171,19 @@ def test_hits_are_handed_on_without_texts(spark, monkeypatch):
     got = entities.cross_reference(names, turns, ())
     assert {(r.normalized_name, r.episode_count, r.total_mentions) for r in got.collect()} == {(w, 1, 1) for w in words}
     assert frames[0].columns == ["episode_id", "_name"]
+
+
+def test_names_that_no_text_can_hold_cost_no_pass(spark, monkeypatch):
+    """Of names of several blocks, those with a word that stands in no text are left out before the texts are passed over."""
+    from scribeflow.operators import trie
+
+    kept, real = [], trie._possible
+    monkeypatch.setattr(trie, "_possible", lambda *a: kept.append(real(*a)) or kept[-1])
+    monkeypatch.setattr(entities._named, "__defaults__", (10,))
+    names = spark.createDataFrame([(f"person {i}",) for i in range(50)] + [("red door",), ("red",), ("red",), ("Person 7",)], "name string")
+    segments = spark.createDataFrame([("b", 1, "no"), ("b", 2, "a RED door"), ("b", 3, "red door, red"), ("c", 1, "person 7 red")], "episode_id string, seq long, text string")
+    got = {tuple(r) for r in entities.mention_counts(names, segments).collect()}
+    assert got == {("red door", 1, 2), ("red", 2, 6), ("person 7", 1, 1), ("Person 7", 1, 1)}
+    assert {r._name for r in kept[0].collect()} == {"red door", "red", "person 7", "Person 7"}
+    places = spark.createDataFrame([(1, "red"), (2, "person 7"), (3, "person 8")], "id long, name string")
+    assert {tuple(r) for r in entities.place_samples(places, segments).collect()} == {(1, "red", "a RED door"), (2, "person 7", "person 7 red"), (3, "person 8", None)}
