@@ -189,3 +189,16 @@ def test_parsers(spark):
     r = one.select(T.summary_reply(F.lit('{"title": "t", "guests": "nobody"}')).alias("r")).first().r
     assert (r.title, r.guests) == ("t", [])
     assert T.search_phrases('a "b*" (c)') == ["a", "b", "c"] and T.tokens_of("Don't") == ["don", "t"]
+
+
+def test_similar_names_spread_their_pairs(spark, monkeypatch):
+    """Few names of one form make many pairs: tasks follow the pairs, and adaptive execution doesn't join them into one."""
+    from scribeflow.operators import entities
+
+    monkeypatch.setattr(entities, "PAIRS", 1000)
+    names = [f"suppl {i:05d}" for i in range(300)]
+    found = entities.similar_names(spark.createDataFrame([(n,) for n in names], "guest_name string"), hot=20)
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 4
+    one = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) == 1 or sum(x != y for x, y in zip(a, b, strict=True)) == 0
+    got = {(r.a, r.b) for r in found.collect()}
+    assert {(a, b) for a in names for b in names if a < b and one(a, b)} <= got
