@@ -30,6 +30,8 @@ tokens count in lengths with their segments.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ from scribeflow.operators import textindex
 from scribeflow.operators.snapshots import Snapshots
 from scribeflow.runtime import tasks_for
 
-#: Tokens that a task writes, about; bytes of a row group, of which a query reads those of its terms and episodes.
-EACH, GROUP = 20_000_000, 16 << 20
+#: Bytes of a row group, of which a query reads those of its terms and episodes.
+GROUP = 16 << 20
 #: How many newest episodes the bounds of a segment take in.
 RANKS = (64, 128, 256, 512, 1024, 2048, 4096)
 #: Of the files' layout: to be part of the name of an index that later code may meet.
@@ -96,21 +98,21 @@ class StoredIndex:
         bounds = [max(p["bounds"][i] for p in parts if len(p["bounds"]) > i) for i in range(max(len(p["bounds"]) for p in parts))]
         return textindex.Newest(bounds, terms, sum(p["segments"] for p in parts), sum(p["tokens"] for p in parts))
 
-    def _segment(self, postings: DataFrame, lengths: DataFrame, gen: int) -> dict | None:
-        """Writes a segment; None if it has no rows."""
+    def _segment(self, ranged: Callable[[int, int, int], DataFrame], lengths: DataFrame, gen: int) -> dict | None:
+        """Writes a segment; None if it has no rows. ranged(tasks, segments, tokens) gives its postings in so many ranges of term and episode."""
         name = self.log.fresh()
         lengths.sortWithinPartitions("episode_id").write.parquet(self._path(name, "lengths"))
         total = self.spark.read.parquet(self._path(name, "lengths")).agg(F.count("*").alias("episodes"), F.sum("segments").alias("segments"), F.sum("tokens").alias("tokens")).first()
         if not total["episodes"]:
             return None
-        tasks = tasks_for(self.spark, int(total["tokens"] or 0), EACH)
-        rows = postings.repartitionByRange(tasks, "term", "episode_id").sortWithinPartitions("term", "episode_id", "seq")
+        tokens = int(total["tokens"] or 0)
+        rows = ranged(tasks_for(self.spark, tokens, textindex.EACH), total["segments"], tokens).sortWithinPartitions("term", "episode_id", "seq")
         rows.write.option("parquet.block.size", GROUP).parquet(self._path(name, "postings"))
         counts = self.spark.read.parquet(self._path(name, "postings")).groupBy("term").agg(F.count("*").alias("n"))
         counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(self._path(name, "terms"))
         top = self.spark.read.parquet(self._path(name, "lengths")).select("episode_id").orderBy(F.desc("episode_id")).limit(RANKS[-1]).collect()  # of bounded number
         bounds = [top[r - 1][0] for r in RANKS if r <= len(top)]
-        return {"name": name, "gen": gen, "episodes": total["episodes"], "segments": total["segments"], "tokens": int(total["tokens"] or 0), "bounds": bounds}
+        return {"name": name, "gen": gen, "episodes": total["episodes"], "segments": total["segments"], "tokens": tokens, "bounds": bounds}
 
     def write(self, segments: DataFrame | None = None, deleted: DataFrame | None = None) -> int:
         """One batch: the episodes in segments (episode_id, seq, text) take the place of their older rows; those in deleted (episode_id) go.
@@ -122,7 +124,8 @@ class StoredIndex:
         ids, new = [], None
         if segments is not None:
             rows = segments.where("episode_id IS NOT NULL").select("episode_id", "seq", "text")
-            new = self._segment(textindex.postings(rows), textindex.episode_lengths(rows), gen)
+            ranged = lambda tasks, *of: textindex.postings(rows, textindex.range_bounds(rows, tasks, *of)).repartitionById(tasks, F.col("_range")).drop("_range")
+            new = self._segment(ranged, textindex.episode_lengths(rows), gen)
         if new:
             ids.append(self.spark.read.parquet(self._path(new["name"], "lengths")).select("episode_id"))
         if deleted is not None:
@@ -153,7 +156,7 @@ class StoredIndex:
         old, merged = parts[:first], parts[first:]
         gen = number
         own = {kind: self._alive(self._all(merged, kind, self._type(listed)), listed, merged) for kind in ("postings", "lengths")}
-        new = self._segment(own["postings"], own["lengths"], gen)
+        new = self._segment(lambda tasks, *_: own["postings"].repartitionByRange(tasks, "term", "episode_id"), own["lengths"], gen)
         left = old + ([new] if new else [])
         oldest = min((p["gen"] for p in left), default=gen)
         stay = [p for p in listed["dead"] if p["gen"] > oldest]

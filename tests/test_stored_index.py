@@ -155,3 +155,28 @@ def test_ranks_of_phrases_that_follow_each_other(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = dict(db.execute(registry.SQL["ft_bm25_min_rank"]).fetchall())
     assert {r.episode_id: r.best_rank for r in registry.QUERIES["ft_bm25_min_rank"](spark, str(tmp_path)).collect()} == want and len(want) == 5
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_task_sorts_few_postings_and_frequent_terms_take_several(spark, tmp_path, monkeypatch, kind):
+    """Ranges are by term and episode, about equally large, and hold what a plain build has."""
+    from bisect import bisect_right
+
+    assert textindex.EACH * 100 <= 256 << 20  # bytes that a task sorts
+    monkeypatch.setattr(textindex, "EACH", 400)
+    rng = random.Random(3)
+    rows = [(e, i, " ".join(["the"] * rng.randint(0, 2) + [f"w{rng.randint(0, 300)}" for _ in range(9)]) + " Café") for e in range(150) for i in range(3)] + [(7, 9, None), (8, 9, "")]
+    segments = spark.createDataFrame(rows, SCHEMA).withColumn("episode_id", F.col("episode_id").cast(kind))
+    want = sorted(map(tuple, textindex.postings(segments).collect()))
+    tokens = sum(len(r[3]) for r in want)
+    bounds = textindex.range_bounds(segments, 13, len(rows), tokens)
+    assert 8 <= len(bounds) <= 12 and bounds == sorted(bounds)
+    placed = textindex.postings(segments, bounds).collect()
+    assert sorted(tuple(r[:-1]) for r in placed) == want and all(r[-1] == bisect_right(bounds, (r.term, r.episode_id)) for r in placed)
+    index = StoredIndex(spark, f"file://{tmp_path}/i")
+    index.write(segments)
+    files = index.index().postings.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.max(F.col("term") == "the").alias("the")).collect()
+    assert sorted(map(tuple, index.index().postings.select("term", "episode_id", "seq", "positions", "dl").collect())) == want
+    assert len(files) >= tokens // 400 and max(f.n for f in files) <= 3 * 400
+    if kind == "long":
+        assert {r.episode_id: r.tokens for r in textindex.episode_lengths(segments).collect()} == {e: sum(len(r[3]) for r in want if r[1] == e) for e in range(150)}
