@@ -120,3 +120,19 @@ def test_a_quota_is_shared_and_the_next_run_goes_on(spark, tmp_path, probe, monk
     assert set(seen) == want and len(seen) == len(want)
     assert {r.category: r.next for r in progress.rows().collect()} == {c: min(n, 30) for c, n in ROWS.items()}
     assert paged.harvest(spark, options, progress, quota=4).count() == 0
+
+
+def test_a_read_of_all_jobs_has_no_task_a_job(spark, tmp_path):
+    folder = str(tmp_path / "logs")
+    jobs = [f"job {i}/é" for i in range(400)]
+    for job in jobs:
+        log = joblog.LogWriter(folder, job)
+        log.write(f"of {job}")
+        log.write("end")
+        log.flush()
+    joblog.register(spark)
+    rows = spark.read.format("job_logs").option("folder", folder).option("start", 1).load()
+    assert rows.rdd.getNumPartitions() <= joblog.FOLDERS < len(jobs)
+    assert sorted(map(tuple, rows.collect())) == sorted((j, 1, "stdout", "end") for j in jobs)
+    one = spark.read.format("job_logs").option("folder", folder).option("job", jobs[7]).load()
+    assert sorted(map(tuple, one.collect())) == [(jobs[7], 0, "stdout", f"of {jobs[7]}"), (jobs[7], 1, "stdout", "end")]
