@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,20 @@ def hashed_embedding(text: Column, width: int = 64) -> Column:
     """An offline stand-in for an embedding model: signed counts of hashed words."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     code = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)) * 2 + F.when(F.xxhash64(w, F.lit(1)) < 0, 1).otherwise(0))
-    at = lambda own, i: F.aggregate(own, F.lit(0.0), lambda s, c: s + F.when(c == 2 * i, 1.0).when(c == 2 * i + 1, -1.0).otherwise(0.0))
-    # within a list of one, so that the words are split and hashed once, not for each place
-    return F.element_at(F.transform(F.array(code), lambda own: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: at(own, i))), 1)
+    return _signed_counts(width)(code)
+
+
+@cache
+def _signed_counts(width: int):
+    """Of codes, place * 2 and 1 where it counts down: the sums of width places, a pass over the codes for all of them. Null: all places null."""
+
+    @F.arrow_udf("array<double>")
+    def counts(codes: pa.Array) -> pa.Array:
+        size = np.asarray(pc.fill_null(pc.list_value_length(codes), 0)).astype(np.int64)
+        own = np.asarray(codes.flatten()).astype(np.int64)
+        at = np.repeat(np.arange(len(size)) * width, size) + own // 2
+        sums = np.bincount(at, np.where(own % 2, -1.0, 1.0), len(size) * width)
+        none = np.repeat(np.asarray(pc.is_null(codes)), width)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * width, pa.int32()), pa.array(sums, mask=none))
+
+    return counts

@@ -132,3 +132,24 @@ def test_vectors(spark):
     assert merged["a"] == [9.0, 9.0] and len(merged) == 5
     assert vectors.delete_ids(df, new).count() == 3
     assert df.select(F.size(vectors.hashed_embedding(F.lit("some words")))).first()[0] == 64
+
+
+def test_embeddings_take_a_pass_over_the_words_whatever_the_width(spark):
+    import time
+
+    def plain(text, width):  # place by place
+        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        code = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)) * 2 + F.when(F.xxhash64(w, F.lit(1)) < 0, 1).otherwise(0))
+        at = lambda i: F.aggregate(code, F.lit(0.0), lambda s, c: s + F.when(c == 2 * i, 1.0).when(c == 2 * i + 1, -1.0).otherwise(0.0))
+        return F.array(*map(at, range(width)))
+
+    texts = [None, "", " - ", "a", "the The THE cat", "Größe 東京 x1 ½ cat", "one two three " * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(vectors.hashed_embedding(F.col("text"), 7).alias("own"), plain(F.col("text"), 7).alias("want")).collect()
+    assert all(r.own == r.want for r in rows) and rows[0].own == [None] * 7 and rows[1].own == [0.0] * 7
+    long = spark.range(200).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("w"), i * 7919 + F.col("id")))).alias("text"))
+    took = []
+    for width in (8, 8, 2048):
+        began = time.time()
+        long.select(F.size(F.filter(vectors.hashed_embedding(F.col("text"), width), lambda v: v != 0)).alias("n")).agg(F.sum("n")).collect()
+        took.append(time.time() - began)
+    assert took[2] < 4 * took[1] + 4
