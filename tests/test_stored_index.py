@@ -180,3 +180,16 @@ def test_a_task_sorts_few_postings_and_frequent_terms_take_several(spark, tmp_pa
     assert len(files) >= tokens // 400 and max(f.n for f in files) <= 3 * 400
     if kind == "long":
         assert {r.episode_id: r.tokens for r in textindex.episode_lengths(segments).collect()} == {e: sum(len(r[3]) for r in want if r[1] == e) for e in range(150)}
+
+
+def test_merges_too_are_written_by_small_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "EACH", 300)
+    rows = [(e, i, f"the cat number {e} of {i} sat") for e in range(120) for i in range(3)]
+    segments, index = spark.createDataFrame(rows, SCHEMA), StoredIndex(spark, f"file://{tmp_path}/i")
+    index.write(segments.where("episode_id % 2 = 0"))
+    index.write(segments.where("episode_id % 2 = 1 OR episode_id % 10 = 0"))
+    index.compact(whole=True)
+    assert len(index.log.read()[1]["segments"]) == 1
+    files = index.index().postings.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) >= len(rows) * 7 // 300 and max(f["count"] for f in files) <= 3 * 300
+    assert rows_of(index.index(), ["the cat"]) == rows_of(textindex.Index.of(segments), ["the cat"])
