@@ -18,7 +18,9 @@ episodes; while no tombstone is left, ranks come from those, and only the newest
 postings are read.
 
 Segments and tombstones are Parquet; a segment lies in ranges of term and
-episode, so a query reads the row groups of its terms. Versions are put in place
+episode, so a query reads the row groups of its terms. A batch's texts are
+tokenised once: lengths come from rows without a term that are written beside its
+postings. Versions are put in place
 in one step (see snapshots): a batch that fails leaves the version before, and
 readers keep theirs.
 
@@ -30,8 +32,6 @@ tokens count in lengths with their segments.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +57,8 @@ class StoredIndex:
     def _all(self, listed: list[dict], kind: str, ids: DataFrame) -> DataFrame:
         """Rows of kind in the listed parts with their generation (_gen); ids: an episode_id column, for its type."""
         schema = _schema(kind, ids)
-        parts = [self.spark.read.schema(schema).parquet(self._path(p["name"], kind)).withColumn("_gen", F.lit(p["gen"])) for p in listed]
+        own = "term IS NOT NULL" if kind == "postings" else "true"
+        parts = [self.spark.read.schema(schema).parquet(self._path(p["name"], kind)).where(own).withColumn("_gen", F.lit(p["gen"])) for p in listed]
         out = parts[0] if parts else self.spark.createDataFrame([], f"{schema}, _gen int")
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -98,21 +99,23 @@ class StoredIndex:
         bounds = [max(p["bounds"][i] for p in parts if len(p["bounds"]) > i) for i in range(max(len(p["bounds"]) for p in parts))]
         return textindex.Newest(bounds, terms, sum(p["segments"] for p in parts), sum(p["tokens"] for p in parts))
 
-    def _segment(self, ranged: Callable[[int, int, int], DataFrame], lengths: DataFrame, gen: int) -> dict | None:
-        """Writes a segment; None if it has no rows. ranged(tasks, segments, tokens) gives its postings in so many ranges of term and episode."""
+    def _postings(self, rows: DataFrame) -> str:
+        """Writes postings, that lie in ranges of term and episode; the name of their segment."""
         name = self.log.fresh()
+        rows.sortWithinPartitions("term", "episode_id", "seq").write.option("parquet.block.size", GROUP).parquet(self._path(name, "postings"))
+        return name
+
+    def _segment(self, name: str, lengths: DataFrame, gen: int) -> dict | None:
+        """Writes the rest of a segment whose postings are there; None if it has no rows."""
         lengths.sortWithinPartitions("episode_id").write.parquet(self._path(name, "lengths"))
         total = self.spark.read.parquet(self._path(name, "lengths")).agg(F.count("*").alias("episodes"), F.sum("segments").alias("segments"), F.sum("tokens").alias("tokens")).first()
         if not total["episodes"]:
             return None
-        tokens = int(total["tokens"] or 0)
-        rows = ranged(tasks_for(self.spark, tokens, textindex.EACH), total["segments"], tokens).sortWithinPartitions("term", "episode_id", "seq")
-        rows.write.option("parquet.block.size", GROUP).parquet(self._path(name, "postings"))
-        counts = self.spark.read.parquet(self._path(name, "postings")).groupBy("term").agg(F.count("*").alias("n"))
+        counts = self.spark.read.parquet(self._path(name, "postings")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
         counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(self._path(name, "terms"))
         top = self.spark.read.parquet(self._path(name, "lengths")).select("episode_id").orderBy(F.desc("episode_id")).limit(RANKS[-1]).collect()  # of bounded number
         bounds = [top[r - 1][0] for r in RANKS if r <= len(top)]
-        return {"name": name, "gen": gen, "episodes": total["episodes"], "segments": total["segments"], "tokens": tokens, "bounds": bounds}
+        return {"name": name, "gen": gen, "episodes": total["episodes"], "segments": total["segments"], "tokens": int(total["tokens"] or 0), "bounds": bounds}
 
     def write(self, segments: DataFrame | None = None, deleted: DataFrame | None = None) -> int:
         """One batch: the episodes in segments (episode_id, seq, text) take the place of their older rows; those in deleted (episode_id) go.
@@ -124,8 +127,10 @@ class StoredIndex:
         ids, new = [], None
         if segments is not None:
             rows = segments.where("episode_id IS NOT NULL").select("episode_id", "seq", "text")
-            ranged = lambda tasks, *of: textindex.postings(rows, textindex.range_bounds(rows, tasks, *of)).repartitionById(tasks, F.col("_range")).drop("_range")
-            new = self._segment(ranged, textindex.episode_lengths(rows), gen)
+            tasks, bounds = textindex.planned(rows)
+            name = self._postings(textindex.to_store(rows, tasks, bounds).repartitionById(tasks, F.col("_range")).drop("_range"))
+            totals = self.spark.read.schema(_schema("postings", rows)).parquet(self._path(name, "postings")).where("term IS NULL")
+            new = self._segment(name, totals.groupBy("episode_id").agg(F.sum("seq").alias("segments"), F.sum("dl").alias("tokens")), gen)
         if new:
             ids.append(self.spark.read.parquet(self._path(new["name"], "lengths")).select("episode_id"))
         if deleted is not None:
@@ -156,7 +161,8 @@ class StoredIndex:
         old, merged = parts[:first], parts[first:]
         gen = number
         own = {kind: self._alive(self._all(merged, kind, self._type(listed)), listed, merged) for kind in ("postings", "lengths")}
-        new = self._segment(lambda tasks, *_: own["postings"].repartitionByRange(tasks, "term", "episode_id"), own["lengths"], gen)
+        tasks = tasks_for(self.spark, sum(p["tokens"] for p in merged), textindex.EACH)
+        new = self._segment(self._postings(own["postings"].repartitionByRange(tasks, "term", "episode_id")), own["lengths"], gen)
         left = old + ([new] if new else [])
         oldest = min((p["gen"] for p in left), default=gen)
         stay = [p for p in listed["dead"] if p["gen"] > oldest]

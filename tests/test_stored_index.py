@@ -193,3 +193,23 @@ def test_merges_too_are_written_by_small_tasks(spark, tmp_path, monkeypatch):
     files = index.index().postings.groupBy(F.input_file_name().alias("f")).count().collect()
     assert len(files) >= len(rows) * 7 // 300 and max(f["count"] for f in files) <= 3 * 300
     assert rows_of(index.index(), ["the cat"]) == rows_of(textindex.Index.of(segments), ["the cat"])
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_large_batch_is_tokenised_once(spark, tmp_path, monkeypatch, kind):
+    """Lengths come with the postings, and what plans the tasks is a sample; an episode's segments may lie apart."""
+    want_lengths = textindex.episode_lengths
+    monkeypatch.setattr(textindex, "episode_lengths", None)  # a second pass over all texts
+    for name, value in (("EACH", 400), ("LOOKS", 20), ("ONE_IN", 2), ("RUN", 50)):
+        monkeypatch.setattr(textindex, name, value, raising=False)
+    rng = random.Random(11)
+    rows = [(e, i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 9)))) for i in range(6) for e in range(90)] + [(7, 9, None), (8, 9, ""), (95, 0, "")]
+    segments = spark.createDataFrame(rows, SCHEMA).withColumn("episode_id", F.col("episode_id").cast(kind)).repartition(3)
+    tokens = sum(len(r[3]) for r in textindex.postings(segments).collect())
+    tasks, bounds = textindex.planned(segments)
+    assert tokens / 400 / 2 <= tasks <= tokens / 400 * 2 and 2 <= len(bounds) < tasks
+    index = StoredIndex(spark, f"file://{tmp_path}/i")
+    index.write(segments)
+    assert sorted(map(tuple, index.index().lengths.collect())) == sorted(map(tuple, want_lengths(segments).select("episode_id", "segments", F.coalesce("tokens", F.lit(0)).alias("tokens")).collect()))
+    assert sorted(map(tuple, index.index().postings.collect())) == sorted(map(tuple, textindex.postings(segments).collect()))
+    assert rows_of(index.index(), ["the cat"]) == rows_of(textindex.Index(textindex.postings(segments), want_lengths(segments)), ["the cat"])
