@@ -9,6 +9,10 @@ the table's, so choose it by size (a bucket of about 1 GB is a good file).
 A bucket that outgrows the others, through one key with very many rows, is
 written as several files and read by as many tasks.
 
+With note, the list also holds something small about each bucket, so that a
+reader knows which buckets it needs; a change by one who has no note leaves out
+those of the buckets that it writes.
+
 Defined cases: a null key is a key; of rows of a change with one key the last by
 order (all columns, if none is given) counts; a change without rows commits no
 version; columns that the table lacks are left out of what is written, columns
@@ -21,7 +25,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from scribeflow.operators.snapshots import Conflict, Snapshots
 
@@ -34,6 +38,9 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], b_names: dict[str, str])
 
 
 class KeyedTable:
+    #: What the list shall hold about each bucket that is written: gets rows with their bucket, _b.
+    note: Callable[[DataFrame], dict[str, object]] | None = None
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.log = spark, Snapshots(spark, folder)
         number, listed = self.log.read()
@@ -43,7 +50,7 @@ class KeyedTable:
         self.by, self.buckets, self.pinned = listed["by"], listed["buckets"], number
 
     @staticmethod
-    def create(rows: DataFrame, folder: str, by: list[str], buckets: int) -> KeyedTable:
+    def create(rows: DataFrame, folder: str, by: list[str], buckets: int, note: Callable[[DataFrame], dict[str, object]] | None = None) -> KeyedTable:
         """A new table of rows, in buckets by some columns, which all later changes are found by."""
         spark, log = rows.sparkSession, Snapshots(rows.sparkSession, folder)
         if log.versions():
@@ -51,17 +58,23 @@ class KeyedTable:
         schema = StructType.fromJson({"type": "struct", "fields": [{**f, "nullable": True} for f in rows.schema.jsonValue()["fields"]]})
         name = log.fresh()
         files = _write(rows, f"{log.folder}/data/{name}", bucket_of(by, buckets))
-        log.commit(0, {"schema": schema.jsonValue(), "by": by, "buckets": buckets, "files": {b: name for b in files}})
-        return KeyedTable(spark, folder)
-
-    def _read(self, files: dict[str, str]) -> DataFrame:
+        listed = {"schema": schema.jsonValue(), "by": by, "buckets": buckets, "files": {b: name for b in files}}
+        if note:
+            listed["notes"] = note(_placed(spark, schema, f"{log.folder}/data/{name}")) if files else {}
+        log.commit(0, listed)
+        out = KeyedTable(spark, folder)
+        out.note = note
+        return out
+
+    def rows_of(self, files: dict[str, str]) -> DataFrame:
+        """The rows of some buckets, by the files that a version lists for them."""
         if not files:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.log.folder}/data/{name}/_b={b}" for b, name in files.items()])
 
     def rows(self, version: int | None = None) -> DataFrame:
         """The table as of its newest version, or of another that is kept."""
-        return self._read(self.log.read(version)[1]["files"])
+        return self.rows_of(self.log.read(version)[1]["files"])
 
     def pin(self) -> int:
         """Remembers the newest version: a pinned change fails (Conflict) if another came since, so it rests on what was read."""
@@ -74,28 +87,44 @@ class KeyedTable:
     def among(self, keys: DataFrame) -> DataFrame:
         """The rows in the buckets of some keys (the columns by): all of those keys, and others; nothing else is read."""
         hit = self._touched(keys)
-        return self._read({b: n for b, n in self.log.read()[1]["files"].items() if b in hit})
+        return self.rows_of({b: n for b, n in self.log.read()[1]["files"].items() if b in hit})
 
     def change(self, touched: DataFrame, make: Callable[[DataFrame], DataFrame], pinned: bool = False) -> int:
         """Puts make(rows) in place of the rows in all buckets that keys in touched (the columns by) fall in.
 
         make gets whole buckets, with rows of other keys too, and gives all that shall stand in those buckets. Returns the version.
         """
+        number, listed = self._newest(pinned)
+        hit = self._touched(touched)
+        return self._put(number, listed, hit, make(self.rows_of({b: n for b, n in listed["files"].items() if b in hit}))) if hit else number
+
+    def swap(self, files: dict[str, str], new: DataFrame, moved: bool = True, notes: dict[str, object] | None = None, pinned: bool = False) -> int:
+        """Puts new in place of all rows of some buckets, which nobody may have changed since their files were listed (else Conflict). Returns the version.
+
+        Without moved, new has each row of these files where it was read, so none is shuffled. notes, if known, spare a look at the new files.
+        """
+        number, listed = self._newest(pinned)
+        if any(listed["files"].get(b) != name for b, name in files.items()):
+            raise Conflict(f"{self.log.folder}: buckets changed since they were read")
+        return self._put(number, listed, set(files), new, moved, notes)
+
+    def _newest(self, pinned: bool) -> tuple[int, dict]:
         number, listed = self.log.read()
         if pinned and number != self.pinned:
             raise Conflict(f"{self.log.folder}: version {number} came after version {self.pinned}, which was read")
-        hit = self._touched(touched)
-        if not hit:
-            return number
-        files = listed["files"]
-        new = make(self._read({b: n for b, n in files.items() if b in hit}))
+        return number, listed
+
+    def _put(self, number: int, listed: dict, hit: set[str], new: DataFrame, moved: bool = True, notes: dict[str, object] | None = None) -> int:
         new = new.select([F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
         name = self.log.fresh()
-        made = _write(new, f"{self.log.folder}/data/{name}", bucket_of(self.by, self.buckets))
+        made = _write(new, f"{self.log.folder}/data/{name}", bucket_of(self.by, self.buckets), moved)
         if not set(made) <= hit:
             raise ValueError("rows fell in buckets that weren't announced")
-        files = {b: n for b, n in files.items() if b not in hit} | {b: name for b in made}
-        return self.log.commit(number, listed | {"files": files})
+        if self.note and made and notes is None:
+            notes = self.note(_placed(self.spark, self.schema, f"{self.log.folder}/data/{name}"))
+        all_notes = {b: x for b, x in listed.get("notes", {}).items() if b not in hit} | {b: (notes or {})[b] for b in made if b in (notes or {})}
+        files = {b: n for b, n in listed["files"].items() if b not in hit} | {b: name for b in made}
+        return self.log.commit(number, listed | {"files": files} | ({"notes": all_notes} if self.note or "notes" in listed else {}))
 
     def upsert(self, rows: DataFrame, keys: list[str] | None = None, order: list[str] | None = None, pinned: bool = False) -> int:
         """Rows whose keys are known replace those, others are added; of equal keys in rows the last counts."""
@@ -179,11 +208,17 @@ def bucket_of(by: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
 
 
-def _write(rows: DataFrame, path: str, bucket: Column) -> list[str]:
+def _write(rows: DataFrame, path: str, bucket: Column, moved: bool = True) -> list[str]:
     """Writes rows by bucket, a bucket with very many as several files, and returns the buckets that have rows."""
     spark = rows.sparkSession
-    rows.withColumn("_b", bucket).hint("rebalance", "_b").write.partitionBy("_b").parquet(path)
+    placed = rows.withColumn("_b", bucket)
+    (placed.hint("rebalance", "_b") if moved else placed).write.partitionBy("_b").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = place.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [f.getPath().getName() for f in store.listStatus(place)]
     return [n.removeprefix("_b=") for n in names if n.startswith("_b=")]
+
+
+def _placed(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """What _write wrote, with its bucket, _b, which no key is read for."""
+    return spark.read.schema(StructType([*schema.fields, StructField("_b", IntegerType())])).parquet(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scribeflow import ext
 from scribeflow.operators import calls, entities
-from scribeflow.operators.keyed import KeyedTable
+from scribeflow.operators.keyed import KeyedTable, bucket_of
 
 
 def open_calls():
@@ -159,6 +159,111 @@ def test_large_claims_change_few_buckets_and_spread_their_calls(spark, tmp_path,
     assert len(seen) == 3000 and ledger.claim(5, 1000).isEmpty()
 
 
+def small_sizes(monkeypatch, spans=8):
+    for name, n in (("LARGE", 20), ("EACH", 50), ("BUCKET", 100), ("SPANS", spans)):
+        monkeypatch.setattr(calls, name, n)
+
+
+def truth(ledger):
+    """What the rows say of each bucket: the first end of a lease, the most attempts of those that wait, and the times they wait for."""
+    out = {}
+    for r in ledger.rows().withColumn("_b", bucket_of(["key"], ledger.table.buckets)).collect():
+        lease, tries, times = out.setdefault(str(r._b), ([], [], []))
+        if r.state == "running":
+            lease.append(r.lease)
+        elif r.state in ("pending", "retry"):
+            tries.append(r.attempts)
+            times.append(r.not_before)
+    return {b: (min(x, default=None), max(y, default=None), sorted(z)) for b, (x, y, z) in out.items()}
+
+
+def test_a_large_run_reads_each_bucket_a_few_times(spark, tmp_path, monkeypatch):
+    """What a claim and its report read grows with the claim, not with the ledger: all buckets are read for the waits between attempts alone."""
+    small_sizes(monkeypatch)
+    read, real = [], KeyedTable.rows_of
+    monkeypatch.setattr(KeyedTable, "rows_of", lambda self, files: read.append(len(files)) or real(self, files))
+    keys = spark.range(2000).select(F.col("id").cast("string").alias("key"))
+    ledger, now = calls.Ledger.create(keys, f"file://{tmp_path}/l", 2, attempts=2, cooldown=60), [5.0]
+
+    def half(key, attempts, partial):
+        if int(key) % 2 and attempts == 0:
+            raise ValueError("first")
+        return f"{attempts}"
+
+    assert ledger.table.buckets == 20
+    assert ledger.run(half, batch=250, clock=lambda: now[0], wait=lambda s: now.__setitem__(0, now[0] + s)) == 3000
+    assert state(ledger) == {str(k): ("completed", 1 + k % 2, None, str(k % 2)) for k in range(2000)}
+    assert sum(read) <= 20 * 8 and max(read[:12]) <= 5  # 8 claims of 3 or 4 buckets, then 4 of 5 or 6; all for the wait between, and at the end
+
+
+@pytest.mark.parametrize("spans", [8, 1])
+def test_claims_by_what_the_list_tells_equal_claims_of_all_rows(spark, tmp_path, monkeypatch, spans):
+    """Large and small claims, lost runs, keys given up, keys added, and buckets of which the list tells nothing."""
+    import random
+
+    small_sizes(monkeypatch, spans)
+    rng, folder = random.Random(spans), f"file://{tmp_path}/l"
+    keys = spark.range(400).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).alias("at"))
+    ledger = calls.Ledger.create(keys, folder, 4, attempts=2, cooldown=7, lease=10)
+    model = {str(k): ["pending", 0, k % 3, None] for k in range(400)}
+    held, now = [], 1
+    for step, most in enumerate((70, 30, 5, 90, 500, 60, 25, 500, 500)):
+        for k, (what, tries, at, lease) in model.items():  # as of now
+            if what == "running" and lease <= now:
+                model[k] = ["lost", tries + 1, at, lease]
+        ready = {k: m for k, m in model.items() if m[0] == "lost" or m[0] in ("pending", "retry") and m[2] <= now}
+        can = {k: m for k, m in ready.items() if m[1] < 2}
+        got = {r.key: r.attempts for r in ledger.claim(now, most).collect()}
+        assert got.keys() <= can.keys() and all(can[k][1] == n for k, n in got.items())
+        assert sorted(can[k][2] for k in got) == sorted(m[2] for m in can.values())[:most]
+        for k in ready.keys() - can.keys():
+            model[k] = ["failed", model[k][1], model[k][2], None]
+        for k in got:
+            model[k] = ["running", model[k][1], model[k][2], now + 10]
+        for k, m in model.items():
+            if m[0] == "lost":  # not taken: as it was
+                m[:2] = "running", m[1] - 1
+        held += got
+        told, held = (held[: len(held) // 2], held[len(held) // 2 :]) if step % 2 else ([], held)
+        told = sorted({k for k in told if model[k][0] == "running"})
+        if told:
+            bad = {k: rng.random() < 0.5 for k in told}
+            ledger.report(spark.createDataFrame([(k, "no" if bad[k] else None, None) for k in told], "key string, error string, partial string"), now)
+            for k in told:
+                n = model[k][1] + 1
+                model[k] = ["completed" if not bad[k] else "failed" if n >= 2 else "retry", n, now + 7, None]
+        if step == 3:
+            KeyedTable(spark, folder).patch(spark.createDataFrame([(str(k), "p") for k in range(3)], "key string, partial string"))
+            assert len(ledger.table.log.read()[1]["notes"]) < 4
+            ledger.add(spark.createDataFrame([(f"new{k}", k) for k in range(50)], "key string, at long"))
+            model |= {f"new{k}": ["pending", 0, k, None] for k in range(50)}
+        assert {r.key: [r.state, r.attempts, r.not_before, r.lease] for r in ledger.rows().collect()} == model
+        want, told_of = truth(ledger), ledger.table.log.read()[1]["notes"]
+        for b, (lease, tries, known) in told_of.items():
+            first, most_tries, times = want[b]
+            assert (lease if lease is not None else 1e9) <= (first if first is not None else 1e9) and (tries or 0) >= (most_tries or 0)
+            assert sum(n for *_, n in known) == len(times) and len(known) <= spans
+            assert all(sum(lo <= t <= hi for t in times) == n for lo, hi, n in known)
+        now += 4
+
+
+def test_keys_that_come_while_a_large_claim_runs_stay(spark, tmp_path, monkeypatch):
+    """A report of a claim whose buckets someone changed meanwhile changes its own keys alone."""
+    small_sizes(monkeypatch)
+    ledger = calls.Ledger.create(spark.range(120).select(F.col("id").cast("string").alias("key")), f"file://{tmp_path}/l", 3, attempts=2, cooldown=60)
+    asked, now = [], [5.0]
+
+    def clock():  # of a run: its beginning, the first claim, the first report
+        asked.append(1)
+        if len(asked) == 4:
+            calls.Ledger(KeyedTable(spark, f"file://{tmp_path}/l")).add(spark.createDataFrame([(f"new{k}",) for k in range(30)], "key string"))
+        return now[0]
+
+    assert ledger.run(lambda key, attempts, partial: f"done {key}", batch=100, limit=1000, clock=clock) == 150
+    names = [*map(str, range(120)), *(f"new{k}" for k in range(30))]
+    assert len(asked) >= 4 and state(ledger) == {k: ("completed", 1, None, f"done {k}") for k in names}
+
+
 def test_hits_are_handed_on_without_texts(spark, monkeypatch):
     """A text with very many names isn't copied for each of them."""
     from scribeflow.operators import trie
